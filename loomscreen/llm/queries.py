@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(encoded, vocabulary, public_tokenizers.PATTERN))
+
+
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places, counts and checksums of all documents' ids as read from the files."""
+    docs = table(spark, sf_dir, "documents")
+    return tokenfile.read_back(tokenfile.write(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
