@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tokenfile
+from pyspark.sql import functions as F
+
+from . import bpe, langid, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +37,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places, counts and checksums of all documents' ids as read from the files."""
     docs = table(spark, sf_dir, "documents")
     return tokenfile.read_back(tokenfile.write(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+
+
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; documents of fold 2 of 4 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    net = langid.learn(docs.where(F.coalesce(langid.fold("doc_id", 4) != 2, F.lit(False))))
+    return langid.predict(docs, net).select(F.col("key").alias("doc_id"), F.coalesce(langid.fold("key", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
