@@ -111,7 +111,7 @@ class Network:
 
 def train(samples: list[tuple[bytes, str]], steps: int = STEPS, seed: int = 1) -> Network | None:
     """A network over (text, language) pairs; None without samples."""
-    samples = [(t, k) for t, k in samples if t]
+    samples = sorted((t, k) for t, k in samples if t)
     labels = sorted({k for _, k in samples})
     if not labels:
         return None

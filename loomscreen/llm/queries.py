@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, langid, tokenfile
+from . import bpe, langid, quality, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = langid.learn(docs.where(F.coalesce(langid.fold("doc_id", 4) != 2, F.lit(False))))
     return langid.predict(docs, net).select(F.col("key").alias("doc_id"), F.coalesce(langid.fold("key", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; fold 0 of 5 is held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    chain = quality.learn(docs, labels.where(langid.fold("doc_id", 5) != 0))
+    return quality.score(docs, chain).select(
+        F.col("key").alias("doc_id"), F.coalesce(langid.fold("key", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
