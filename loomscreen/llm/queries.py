@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, tokenfile
+from . import bpe, langid, quality, shards, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, chain).select(
         F.col("key").alias("doc_id"), F.coalesce(langid.fold("key", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, for 24 shards of nearly equal bytes."""
+    docs = table(spark, sf_dir, "documents")
+    dims = [shards.coded(F.col("source")), shards.coded(F.col("lang")), F.log2(F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(8))]
+    return shards.assign(docs, dims, 24).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
