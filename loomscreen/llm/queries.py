@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, html, langid, quality, shards, tokenfile, topk
+from . import bpe, html, langid, quality, shards, substring, tokenfile, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,25 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that no repeated window of 35 words covers."""
+    return substring.dedup(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+ORACLES["op5_substring_dedup"] = """
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+starts AS (SELECT r, unnest(range(1, len(w) - 33)) AS s FROM split WHERE len(w) >= 35),
+windows AS (SELECT r, s, array_to_string(w[s:s + 34], ' ') AS body FROM starts JOIN split USING (r)),
+repeated AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY body) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(range(s, s + 35)) AS i FROM repeated),
+lists AS (SELECT r, list(i) AS gone FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
+    list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: NOT list_contains(gone, z[2])), lambda z: z[1]) END, ' ')) AS kept_sha256
+FROM split LEFT JOIN lists USING (r)
+"""
