@@ -24,18 +24,23 @@ columns of the input are ignored; long texts may span any number of sequences.
 
 from __future__ import annotations
 
+import json
+import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
+from .batches import texts
 from .storage import columns, shared_dir, stored
 
 SEQUENCE = 2048
@@ -46,33 +51,93 @@ CACHE_WORDS = 500_000
 MANIFEST = "doc_id {kind}, tie long, file string, nth long, place long, n_tokens long"
 
 
+#: Arrow splits at a subset of the ASCII white space in some versions: all of it becomes spaces first.
+_SPACES = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
+
+
+class Filled(dict):
+    """A dictionary that computes what it misses."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class Encoder:
-    """Ids of texts, a distinct word encoded once."""
+    """Ids of texts: a distinct word is looked at once, a distinct pre-token encoded once.
+
+    Words of printable characters up to U+024F are lower-cased (by the
+    tokenizer's own normaliser if they aren't ASCII) and split by its own
+    pattern here, and only pre-tokens go to the library's model; all other
+    words, and vocabularies of another make, go through the whole library.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[bytes, bytes] = {}
-        probe = "Ab c,\td\n\n e's 12"
-        parts = [i for w in probe.split() for i in self._library([w])[0]]
-        if parts != self._library([probe])[0]:
-            raise ValueError(f"{path}: white space has tokens of its own in this vocabulary")
+        self.known = Filled(self._word)
+        self.pieces = Filled(self._piece)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        self.model = self.tokenizer.model
+        self.special = [t["content"] for t in made.get("added_tokens") or []]
+        self.pattern = self._pattern(made)
+        probe = "Ab c,\td\n\n e's 12 Ünï don't--x"
+        if [i for w in probe.encode().split() for i in self._library(w.decode())] != self._library(probe):
+            raise ValueError(f"{path}: white space has tokens of its own in this vocabulary")
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.encode().split()
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, ids in zip(part, self._library([w.decode() for w in part]), strict=True):
-                self.known[w] = np.array(ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
+    @staticmethod
+    def _pattern(made: dict) -> regex.Pattern | None:
+        """The pattern of the pre-tokens if normaliser and pre-tokeniser are of the make that is handled here."""
+        norm, pre = (made.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+        steps = [x["type"] for x in norm.get("normalizers", [])]
+        parts = pre.get("pretokenizers", [])
+        if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in parts] != ["Split", "ByteLevel"]:
+            return None
+        split, level = parts
+        if (split["behavior"], split["invert"], level["add_prefix_space"], level["use_regex"]) != ("Removed", True, False, False):
+            return None
+        return regex.compile(split["pattern"]["Regex"])
+
+    def _library(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else self.bytes.pre_tokenize_str(piece)[0][0]
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: bytes) -> bytes:
+        s = word.decode()
+        if self.pattern and s.isprintable() and (s.isascii() or max(s) < "\u0250") and not ("<" in s and any(t in s for t in self.special)):
+            s = s.lower() if s.isascii() else self.tokenizer.normalizer.normalize_str(s)
+            return self.pieces[s] if s.isalpha() else b"".join(map(self.pieces.__getitem__, self.pattern.findall(s)))
+        return np.array(self._library(s), dtype="<u4").tobytes()
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and the number of each text's ids."""
+        for seen in (self.known, self.pieces):
+            if len(seen) > CACHE_WORDS:
+                seen.clear()
+        lists = pc.ascii_split_whitespace(pa.array([(t or b"").translate(_SPACES) for t in texts], pa.large_binary()).cast(pa.large_string()))
+        words = lists.flatten().dictionary_encode()
+        code = words.indices.to_numpy()
+        made = list(map(self.known.__getitem__, words.dictionary.cast(pa.large_binary()).to_pylist()))
+        size = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
+        flat, begin = np.frombuffer(b"".join(made), dtype="<u4"), np.cumsum(size) - size
+        sizes = size[code]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.arange(total) + np.repeat(begin[code] - (ends - sizes), sizes)] if total else np.zeros(0, dtype="<u4")
+        upto = np.concatenate([[0], ends])[np.asarray(lists.offsets)]
+        return ids, np.diff(upto)
 
 
 @lru_cache(2)
@@ -169,22 +234,24 @@ def write(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         dtype = np.dtype("<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4")
-        end, w, order = np.array([end_id], dtype=dtype), None, 0
+        w, order = None, 0
         try:
-            for batch in batches:
-                places, counts, files, nths = [], [], [], []
-                for text in batch.column(2):
-                    ids = np.concatenate([enc.encode(text.as_py() or "").astype(dtype), end])
+            for part, found in texts(batches, 2):
+                places, files, nths = [], [], []
+                ids, counts = enc.encode(found)
+                ids = np.insert(ids.astype(dtype), np.cumsum(counts), end_id)
+                counts = counts + 1
+                ends = np.cumsum(counts)
+                for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
                     if w is None or w.n >= FILE_IDS:
                         if w:
                             w.close()
                         w, order = Writer(folder, dtype, sequence), order + 1
                     places.append(w.n)
-                    w.add(ids)
-                    counts.append(len(ids))
+                    w.add(ids[a:b])
                     files.append(w.path)
                     nths.append(order)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(files, pa.string()), pa.array(nths, pa.int64()), pa.array(places, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "tie", "file", "nth", "place", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(files, pa.string()), pa.array(nths, pa.int64()), pa.array(places, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "tie", "file", "nth", "place", "n_tokens"])
         finally:
             if w:
                 w.close()

@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from loomscreen.llm import tokenfile
@@ -56,3 +58,10 @@ def test_sequences_are_views(tmp_path):
     seq, mask = r.row(2 * tokenfile.BATCH_ROWS)
     assert seq[:5].tolist() == ids[-5:].tolist() and mask.to_pylist() == [True] * 5 + [False] * 3
     assert not r.row(3)[0].flags.owndata and r.ids(8 * tokenfile.BATCH_ROWS - 2, 4).tolist() == ids[8 * tokenfile.BATCH_ROWS - 2 :][:4].tolist()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \u00a0\x85\x1c'sTéÉÜ\u0301<|endoftext|>9,")), max_size=40))
+def test_as_the_library(library, text):
+    ids, counts = tokenfile.encoder(PATH).encode([None, text.encode(), b""])
+    assert counts[0] == counts[2] == 0 and ids.tolist() == library.encode(text, add_special_tokens=False).ids
