@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, html, jaccard, langid, quality, shards, substring, tokenfile, topk
+from . import bpe, decontam, html, jaccard, langid, quality, shards, substring, tokenfile, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,44 @@ FROM split LEFT JOIN lists USING (r)
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group and number of links of every document: five-word shingles, similarity of 0.8 or more."""
     return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, and where."""
+    found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity"), F.min("start_word").alias("start_word"), F.max("n_words").alias("n_words"))
+
+
+ORACLES["op4_decontaminate"] = r"""
+WITH items AS (
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+long_items AS (SELECT item_id, w, len(w) AS length FROM items WHERE len(w) >= 5),
+item_shingles AS (
+  SELECT item_id, length, j - 1 AS o, array_to_string(w[j:j + 4], ' ') AS shingle
+  FROM (SELECT *, unnest(range(1, length - 3)) AS j FROM long_items)),
+item_counts AS (SELECT item_id, shingle, count(*) AS n FROM item_shingles GROUP BY ALL),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+doc_shingles AS (
+  SELECT r, j - 1 AS p, array_to_string(w[j:j + 4], ' ') AS shingle
+  FROM (SELECT *, unnest(range(1, len(w) - 3)) AS j FROM docs WHERE len(w) >= 5)),
+hits AS (
+  SELECT DISTINCT d.r, s.item_id, d.p, s.length, least(greatest(d.p - s.o, 0), greatest(len(w) - s.length, 0)) AS start
+  FROM doc_shingles d JOIN item_shingles s USING (shingle) JOIN docs USING (r)),
+starts AS (SELECT DISTINCT r, item_id, length, start FROM hits),
+counts AS (
+  SELECT s.r, s.item_id, s.length, s.start, c.shingle, least(count(*), any_value(c.n)) AS n
+  FROM starts s JOIN doc_shingles d ON d.r = s.r AND d.p BETWEEN s.start AND s.start + s.length - 5
+  JOIN item_counts c ON c.item_id = s.item_id AND c.shingle = d.shingle
+  GROUP BY ALL),
+scored AS (
+  SELECT r, item_id, c.length, start, sum(n) AS common, any_value(least(c.length, len(w)) - 4 + c.length - 4) - sum(n) AS every
+  FROM counts c JOIN docs USING (r) GROUP BY r, item_id, c.length, start),
+best AS (
+  SELECT doc_id, r, item_id, length, start, common / every AS similarity,
+    row_number() OVER (PARTITION BY r, item_id ORDER BY common / every DESC, start) AS k
+  FROM scored JOIN docs USING (r) WHERE common * 1000 >= every * 800)
+SELECT doc_id, item_id, round(max(CAST(similarity AS DOUBLE)), 6) AS similarity, CAST(min(start) AS INTEGER) AS start_word, CAST(max(length) AS INTEGER) AS n_words
+FROM best WHERE k = 1 GROUP BY doc_id, item_id
+"""
