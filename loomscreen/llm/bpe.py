@@ -181,11 +181,12 @@ def decode(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return df.select("key", "ids").mapInArrow(run, f"key {kind}, ids array<int>, decoded binary")
 
 
-def digests(df: DataFrame) -> DataFrame:
-    """The counts and SHA-256 digests of what ``decode`` returns."""
+def digests(df: DataFrame, *more: str) -> DataFrame:
+    """The counts and SHA-256 digests of what ``decode`` returns, and any of its columns."""
     return df.select(
         F.col("key").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        *more,
     )

@@ -343,6 +343,29 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     n_links counts the other rows whose texts are linked with the row's (copies
     included); class_id is the least key of all rows that links connect.
     """
+    signed, info = _solve(df, id_col, text_col)
+    rows = signed.select("doc_id", "c1", "c2").join(info, ["c1", "c2"], "left")
+    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of one row of each group that links connect, and of every row without shingles.
+
+    The row has the least key, then the least hash of the text; of repeated
+    rows one stays.
+    """
+    signed, info = _solve(df, id_col, text_col)
+    firsts = info.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "c1", "c2")).alias("x"))
+    chosen = stored(firsts.select(F.col("x.least").alias("_k"), F.col("x.c1").alias("_1"), F.col("x.c2").alias("_2")), "survivors")
+    keyed = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), df[id_col].alias("_k"), *(c.alias(f"_{i + 1}") for i, c in enumerate(class_key(df[text_col]))))
+    # Copies of a survivor, with the same key too, are counted apart and leave one row.
+    kept = keyed.join(chosen, keyed["_k"].eqNullSafe(chosen["_k"]) & (keyed["_1"] == chosen["_1"]) & (keyed["_2"] == chosen["_2"]), "left_semi").dropDuplicates(["_k", "_1", "_2"])
+    bare = signed.where("sketch is null").select(F.col("c1").alias("_1"), F.col("c2").alias("_2")).distinct()
+    return kept.select("row.*").unionByName(keyed.join(bare, ["_1", "_2"], "left_semi").select("row.*"))
+
+
+def _solve(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, c1, c2, sketch) and, for each class: c1, c2, least, root, class_id, n_links."""
     docs = df.select(df[id_col].alias("doc_id"), *class_key(df[text_col]), df[text_col].alias("text"))
     signed = stored(docs.mapInArrow(_sign, f"doc_id {df.schema[id_col].dataType.simpleString()}, c1 long, c2 long, sketch binary"), "signed")
     reps = stored(signed.where("sketch is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "classes")
@@ -360,6 +383,5 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     roots = connected(links.select(node.alias("a"), root.alias("b"))).select("node.c1", "node.c2", "root")
     classes = reps.select("c1", "c2", "least", "copies").join(roots, ["c1", "c2"], "left").withColumn("root", F.coalesce("root", F.struct("c1", "c2")))
     least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
-    info = stored(classes.join(least, "root").join(counted, ["c1", "c2"], "left").select("c1", "c2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "info")
-    rows = signed.select("doc_id", "c1", "c2").join(info, ["c1", "c2"], "left")
-    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    info = stored(classes.join(least, "root").join(counted, ["c1", "c2"], "left").select("c1", "c2", "least", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "info")
+    return signed, info

@@ -158,9 +158,12 @@ def windows_of(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat.reshape(-1, WINDOW), np.repeat(np.arange(len(found)), counts), np.array(sizes, dtype=np.float64)
 
 
-def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``key``, ``lang_pred`` and ``score`` of every row, from its whole text."""
-    kind = df.schema[id_col].dataType.simpleString()
+def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``key``, ``lang_pred`` and ``score`` of every row, from its whole text; ``carry`` adds a struct ``carried`` of these columns."""
+    rows = df.select(df[id_col].alias("key"), df[text_col].alias("text"), *([F.struct(*(df[c] for c in carry)).alias("carried")] if carry else []))
+    kinds = [f"key {rows.schema['key'].dataType.simpleString()}", "lang_pred string", "score double"]
+    if carry:
+        kinds.append(f"carried {rows.schema['carried'].dataType.simpleString()}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in texts(batches, 1, 2 << 20):
@@ -174,9 +177,9 @@ def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
                 for i, row in zip(usable, mean, strict=True):
                     best = int(row.argmax())
                     label[i], score[i] = net.labels[best], min(1.0, float(row[best]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(label, pa.string()), pa.array(score)], names=["key", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(label, pa.string()), pa.array(score), *part.columns[2:]], names=["key", "lang_pred", "score", *part.schema.names[2:]])
 
-    return columns(df, key=id_col, text=text_col).mapInArrow(run, f"key {kind}, lang_pred string, score double")
+    return rows.mapInArrow(run, ", ".join(kinds))
 
 
 def fold(id_col: str, parts: int) -> Column:
