@@ -81,9 +81,7 @@ def digests(words: Words, starts: np.ndarray, window: int = WINDOW) -> np.ndarra
     """A 64-bit cryptographic digest of the words of each window."""
     size = words.ends - words.starts
     at = np.cumsum(size + 1) - (size + 1)
-    flat = np.full(int((size + 1).sum()), 32, dtype=np.uint8)
-    flat[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = words.buffer[np.arange(int(size.sum())) + np.repeat(words.starts - (np.cumsum(size) - size), size)]
-    body = flat.tobytes()
+    body = b" ".join(words.buffer.tobytes().split())
     begin, end = at[starts].tolist(), (at[starts + window - 1] + size[starts + window - 1]).tolist()
     h = hashlib.blake2b
     return np.frombuffer(b"".join([h(body[a:b], digest_size=8).digest() for a, b in zip(begin, end, strict=True)]), dtype=np.int64)

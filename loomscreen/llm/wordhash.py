@@ -12,6 +12,7 @@ import numpy as np
 _U = np.uint64
 #: Odd multipliers for the two families of hashes; any large odd numbers do.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+BLOCK = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[int, np.ndarray] = {}
@@ -65,8 +66,13 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self, family: int = 0) -> np.ndarray:
-        """A hash of each word's bytes."""
-        return stretches(self.buffer, self.starts, self.ends, family)
+        """A hash of each word's bytes, worked out for about BLOCK bytes at a time."""
+        out, n = np.empty(len(self.starts), dtype=_U), len(self.starts)
+        cuts = np.unique(np.append(np.searchsorted(self.starts, np.arange(0, len(self.buffer), BLOCK)), n)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            lo, hi = int(self.starts[a]), int(self.ends[b - 1])
+            out[a:b] = stretches(self.buffer[lo:hi], self.starts[a:b] - lo, self.ends[a:b] - lo, family)
+        return out
 
     def owner(self) -> np.ndarray:
         """The text of each word."""
