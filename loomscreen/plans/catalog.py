@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import analogs, relational
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+MODULES = (relational,)
+QUERIES, ORACLES = analogs.QUERIES, analogs.ORACLES
 FLAGSHIP = "p0_screen_hits"
