@@ -344,7 +344,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     included); class_id is the least key of all rows that links connect.
     """
     signed, info = _solve(df, id_col, text_col)
-    rows = signed.select("doc_id", "c1", "c2").join(info, ["c1", "c2"], "left")
+    rows = signed.select("doc_id", "c1", "c2").join(info.hint("merge"), ["c1", "c2"], "left")
     return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -372,12 +372,14 @@ def _solve(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFr
     found = buckets(reps)
     keys = found.groupBy("c1", "c2").agg(F.collect_list("key").alias("keys"))
     known = stored(reps.select("c1", "c2", "sketch", "copies").join(keys, ["c1", "c2"]), "known")
-    full = tiled(found).join(known, ["c1", "c2"]).select("key", "tile", "mine", "c1", "c2", "keys", "sketch", "copies")
+    full = tiled(found).join(known.hint("merge"), ["c1", "c2"]).select("key", "tile", "mine", "c1", "c2", "keys", "sketch", "copies")
     schema = "key long, tile int, mine int, c1 long, c2 long, keys array<long>, sketch binary, copies long"
     wanted = stored(full.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_wanted, schema), "wanted")
     needed = stored(wanted.select("c1", "c2").distinct(), "needed")
-    bodies = stored(docs.select("c1", "c2", "text").join(needed, ["c1", "c2"], "left_semi").dropDuplicates(["c1", "c2"]), "bodies")
-    links = stored(wanted.join(bodies, ["c1", "c2"]).select("key", "tile", "mine", "c1", "c2", "keys", "sketch", "copies", "text").repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_verify, _LINKS), "links")
+    # Copies collapse before the shuffle; all joins of rows are by shuffles at every size.
+    bodies = docs.where("text is not null").groupBy("c1", "c2").agg(F.first("text").alias("text"))
+    bodies = stored(bodies.join(needed.hint("merge"), ["c1", "c2"], "left_semi"), "bodies")
+    links = stored(wanted.join(bodies.hint("merge"), ["c1", "c2"]).select("key", "tile", "mine", "c1", "c2", "keys", "sketch", "copies", "text").repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_verify, _LINKS), "links")
     counted = links.groupBy("c1", "c2").agg(F.sum("links").alias("links"))
     node, root = (F.struct(F.col(x).alias("c1"), F.col(y).alias("c2")) for x, y in (("c1", "c2"), ("r1", "r2")))
     roots = connected(links.select(node.alias("a"), root.alias("b"))).select("node.c1", "node.c2", "root")
