@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analogs, relational
+from . import analogs, relational, sequencing, statistics
 
-MODULES = (relational,)
+MODULES = (relational, sequencing, statistics)
 QUERIES, ORACLES = analogs.QUERIES, analogs.ORACLES
 FLAGSHIP = "p0_screen_hits"

@@ -44,4 +44,4 @@ def symbols(df: DataFrame, mapping: DataFrame, overrides: DataFrame | None = Non
     if overrides is not None:
         maps = maps.unionByName(overrides.select("id", "symbol", F.lit(0).alias("_r")))
     best = maps.groupBy("id").agg(F.min_by("symbol", F.struct("_r", "symbol")).alias("symbol"))
-    return df.join(best.withColumnRenamed("id", key), key, "left").withColumn("symbol", F.coalesce("symbol", key))
+    return df.join(best.withColumnRenamed("id", key), key, "left").withColumn("symbol", F.coalesce("symbol", F.col(key).cast("string")))
