@@ -8,11 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def erfc_udf(x: pd.Series) -> pd.Series:
     """Complementary error function, by Arrow batches."""
     return x.map(erfc, na_action="ignore")
