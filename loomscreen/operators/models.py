@@ -200,11 +200,8 @@ def symmetric_interactions(delta: DataFrame) -> DataFrame:
 
 def interactions(pairs: DataFrame, singles: DataFrame, method: str = "joint") -> DataFrame:
     """Genetic interactions of guide pairs by ``joint`` or ``per_gene``, with z."""
-    effects = single_effects(singles)
-    if method == "joint":
-        m = joint_surface(pairs, effects)[0]
-    elif method == "per_gene":
-        m = symmetric_interactions(per_gene(pairs, effects))
-    else:
-        raise ValueError(f"no such method: {method}; there are joint and per_gene")
+    ways = {"joint": lambda e: joint_surface(pairs, e)[0], "per_gene": lambda e: symmetric_interactions(per_gene(pairs, e))}
+    if method not in ways:
+        raise ValueError(f"no such method: {method}; there are {', '.join(ways)}")
+    m = ways[method](single_effects(singles))
     return with_scalars(m, F.stddev_pop("v").alias("_s")).withColumn("z", F.try_divide("v", "_s")).drop("_s")
