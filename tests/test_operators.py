@@ -288,3 +288,31 @@ def test_whitelist_correction(spark):
     known = spark.createDataFrame([("AAAA",), ("AAAT",), ("CCCC",)], "barcode string")
     df = spark.createDataFrame([(1, "AAAA"), (2, "CCCG"), (3, "AAAC"), (4, "CCNC"), (5, "GGGG")], "k int, b string")
     assert {r.k: r.b for r in matching.whitelisted(df, known, "b", correct=True).collect()} == {1: "AAAA", 2: "CCCC"}
+
+
+def test_workflows(spark):
+    from loomscreen.plans import analogs, workflows
+
+    d = "/root/testdata/sf0.001"
+    df = analogs.dual(spark, d)
+    out = workflows.standard_dual(df, analogs.DUAL, prefix=analogs.CONTROL, method="joint", keep_single=True)
+    assert out.summary.count() > 200 and out.interactions.where("z is not null").count() > 0
+    merges, order = workflows.clustered(out.pairs)
+    assert merges.count() == order.count() - 1
+    with pytest.raises(ValueError, match="lacks"):
+        workflows.validate(df.drop("ident"), analogs.DUAL)
+    with pytest.raises(ValueError, match="no rows"):
+        workflows.validate(df.limit(0), analogs.DUAL)
+
+
+def test_stream_of_reads(spark, tmp_path):
+    from loomscreen.streaming import umi
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("l,UMI\nx,1\nx,1\nx,2\ny,\n")
+    (tmp_path / "in" / "b.csv").write_text("l,UMI\nx,2\ny,5\n")
+    counted = umi.molecule_counts(umi.read_stream(spark, str(tmp_path / "in"), "l string, UMI string"), ["l"])
+    q = counted.writeStream.outputMode("complete").format("memory").queryName("molecules").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r.l: r.molecules for r in spark.table("molecules").collect()} == {"x": 2, "y": 1}
