@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import texts
+from .batches import arrow, texts
 from .storage import columns
 
 # Fixed values of the HTML standard: element names by their role.
@@ -122,8 +122,8 @@ def parse(page: str) -> Tree:
     return t
 
 
-#: Hashed words of tag, class and id; then the numeric features.
-WORD_SLOTS = 1024
+#: Hashed words of tag, class and id, its own and of the elements above; then the numeric features.
+WORD_SLOTS = 4096
 NUMERIC = 14
 
 
@@ -132,9 +132,10 @@ def _slot(word: str) -> int:
 
 
 @lru_cache(100_000)
-def _slots(tag: str, names: str, parent: str) -> tuple[int, ...]:
+def _slots(tag: str, names: str, parent: str, above: str) -> tuple[int, ...]:
     words = [f"t:{tag}", f"p:{parent}>{tag}"]
     words += [f"w:{w}" for w in set(_WORD.findall(names)) if len(w) > 1]
+    words += [f"a:{w}" for w in set(_WORD.findall(above)) if len(w) > 1]
     return tuple(_slot(w) for w in words)
 
 
@@ -154,14 +155,19 @@ def forest(trees: list[Tree]) -> Forest:
     own_chars, own_link, own_words, stops = [], [], [], []
     for t in trees:
         base, n = len(parents), len(t.tags)
-        d, linked = [0] * n, [False] * n
+        d, linked, above = [0] * n, [False] * n, [""] * n
         chars, stop, words = [0] * n, [0] * n, [0] * n
         for i in range(n):
             p = t.parents[i]
             if p >= 0:
                 d[i] = d[p] + 1
                 linked[i] = linked[p] or t.tags[i] == "a"
-            found = _slots(t.tags[i], t.names[i], t.tags[p] if p >= 0 else "")
+                up = t.parents[p]
+                # Tags and names of up to three elements above.
+                above[i] = f"{t.tags[p]} {t.names[p]} {t.tags[up]} {t.names[up]}" if up >= 0 else t.tags[p]
+                if up >= 0 and (top := t.parents[up]) >= 0:
+                    above[i] += f" {t.tags[top]} {t.names[top]}"
+            found = _slots(t.tags[i], t.names[i], t.tags[p] if p >= 0 else "", above[i])
             owners += [base + i] * len(found)
             slots += found
         for i, text in t.pieces:
@@ -417,7 +423,7 @@ def _labelled(rng: np.random.Generator) -> tuple[str, list[bool]]:
 
 
 #: Labelled pages and gradient steps of the training.
-PAGES, STEPS = 400, 150
+PAGES, STEPS = 500, 250
 
 
 @lru_cache(2)
@@ -474,4 +480,4 @@ def extract(df: DataFrame, model: Model | None = None, id_col: str = "page_id",
             out = extract_texts(model, [(t or b"").decode() for t in found])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return rows.transform(arrow(run, f"{kinds}, text string, n_chars long"))
