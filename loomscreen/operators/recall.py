@@ -13,12 +13,12 @@ from pyspark.sql.window import Window
 from .ranks import bh_adjust
 
 
-def positions(df: DataFrame, order: str, label: str) -> DataFrame:
+def positions(df: DataFrame, order: str, label: str, *more: str) -> DataFrame:
     """Places 0, 1, ... of rows in an order of leaves.
 
     An order is one clustering's leaves (at most some thousands), so one task numbers it.
     """
-    return df.select("*", (F.row_number().over(Window.orderBy(order)) - 1).alias("pos")).select("pos", label, order)
+    return df.select("*", (F.row_number().over(Window.orderBy(order)) - 1).alias("pos")).select("pos", label, order, *more)
 
 
 def neighbours(p: DataFrame, chosen: str, window: int, label: str = "label") -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analogs, relational, sequencing, sources, statistics
+from . import analogs, extras, relational, sequencing, sources, statistics
 
-MODULES = (relational, sequencing, sources, statistics)
+MODULES = (extras, relational, sequencing, sources, statistics)
 QUERIES, ORACLES = analogs.QUERIES, analogs.ORACLES
 FLAGSHIP = "p0_screen_hits"

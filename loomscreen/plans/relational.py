@@ -152,9 +152,9 @@ def flt11_equality(spark, d):
     return read(spark, d, "events").where(F.col("event_type") == "click").select("event_id")
 
 
-@query("""SELECT c_custkey AS "FWER p-val", c_acctbal AS NES FROM customer WHERE c_acctbal > 100 AND c_custkey > 10""")
+@query("""SELECT c_nationkey AS "FWER p-val", c_acctbal AS NES FROM customer WHERE c_acctbal > 100 AND c_nationkey > 10""")
 def flt12_quoted_names(spark, d):
-    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("FWER p-val"), F.col("c_acctbal").alias("NES"))
+    rows = read(spark, d, "customer").select(F.col("c_nationkey").alias("FWER p-val"), F.col("c_acctbal").alias("NES"))
     return rows.where((F.col("`FWER p-val`") > 10) & (F.col("NES") > 100))
 
 
@@ -178,10 +178,10 @@ def flt15_all_match(spark, d):
     return rows.agg(F.bool_and(F.col("o_custkey") == F.col("c_custkey")).alias("equal"), F.count("*").alias("n"))
 
 
-@query("""WITH rep AS (SELECT n_name AS p1, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey < 20 GROUP BY 1)
+@query("""WITH rep AS (SELECT n_name AS p1, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 4 GROUP BY 1)
 SELECT p1, p2, round(coalesce(share, 0), 6) AS share, count(*) AS n FROM dual LEFT JOIN rep USING (p1) GROUP BY ALL""", "dual")
 def jn1_representation_join(spark, d):
-    homes = read(spark, d, "customer").join(read(spark, d, "nation").where("n_nationkey < 20"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("p1"))
+    homes = read(spark, d, "customer").join(read(spark, d, "nation").where("n_regionkey < 4"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("p1"))
     rows = screen.with_representation(dual(spark, d), counts.representation(homes, ["p1"], "share"), ["p1"])
     return rows.groupBy("p1", "p2", r6(F.col("share"), "share")).agg(F.count("*").alias("n"))
 
@@ -253,21 +253,21 @@ def jn12_records_not_listed(spark, d):
     return read(spark, d, "events").join(listed, "user_id", "left_anti").select("event_id")
 
 
-@query("""WITH p AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, label, vec_id FROM embeddings), s AS (SELECT * FROM p WHERE vec_id % 7 = 0)
+@query("""WITH p AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, label, embedding[1] AS e FROM embeddings), s AS (SELECT * FROM p WHERE e > 0.15)
 SELECT DISTINCT s.pos AS at, p.pos AS near, p.label AS cluster FROM s JOIN p ON s.label = p.label AND p.pos BETWEEN s.pos - 20 AND s.pos + 20 AND p.pos <> s.pos""")
 def jn13_neighbours(spark, d):
     from ..operators import recall
 
-    return recall.neighbours(recall.positions(read(spark, d, "embeddings"), "vec_id", "label"), "vec_id % 7 = 0", 20)
+    return recall.neighbours(recall.positions(read(spark, d, "embeddings"), "vec_id", "label", "embedding"), "embedding[0] > 0.15", 20)
 
 
-@query("""WITH p AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, label, vec_id FROM embeddings)
-SELECT a.pos AS at, a.label AS cluster FROM p a WHERE EXISTS (SELECT 1 FROM p b WHERE b.label = a.label AND b.vec_id % 5 = 0 AND b.pos BETWEEN a.pos - 10 AND a.pos + 10)""")
+@query("""WITH p AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, label, embedding[2] AS e FROM embeddings)
+SELECT a.pos AS at, a.label AS cluster FROM p a WHERE EXISTS (SELECT 1 FROM p b WHERE b.label = a.label AND b.e > 0.15 AND b.pos BETWEEN a.pos - 10 AND a.pos + 10)""")
 def jn14_not_orphans(spark, d):
     from ..operators import recall
 
-    p = recall.positions(read(spark, d, "embeddings"), "vec_id", "label")
-    return recall.near(p, p.where("vec_id % 5 = 0"), 10).select(F.col("pos").alias("at"), F.col("label").alias("cluster"))
+    p = recall.positions(read(spark, d, "embeddings"), "vec_id", "label", "embedding")
+    return recall.near(p, p.where("embedding[1] > 0.15"), 10).select(F.col("pos").alias("at"), F.col("label").alias("cluster"))
 
 
 @query("SELECT a.i, c.i AS control, a.n * c.n AS pairs FROM (SELECT p1 AS i, count(*) AS n FROM dual GROUP BY 1) a, (SELECT p1 AS i, count(*) AS n FROM dual WHERE p1 LIKE 'NATION_2%' GROUP BY 1) c", "dual")

@@ -119,24 +119,24 @@ def str18_ratio(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", F.round(sq.ratio(x), 6).alias("ratio"))
 
 
-@query("""WITH lib AS (SELECT DISTINCT p_name AS b FROM part WHERE p_size <= 10), q AS (SELECT DISTINCT c_name AS a FROM customer WHERE c_nationkey < 3),
+@query("""WITH lib AS (SELECT n_name AS b FROM nation), q AS (SELECT DISTINCT c_name AS a FROM customer),
 s AS (SELECT a, b, 100 * (1 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE)) AS score FROM q, lib)
 SELECT a AS seq, b AS identity, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s) WHERE k = 1""")
 def str19_fuzzy_identity(spark, d):
     from ..operators.matching import best_match
 
-    lib = read(spark, d, "part").where("p_size <= 10").select(F.col("p_name").alias("identity")).distinct()
-    seqs = read(spark, d, "customer").where("c_nationkey < 3").select(F.col("c_name").alias("seq")).distinct()
+    lib = read(spark, d, "nation").select(F.col("n_name").alias("identity"))
+    seqs = read(spark, d, "customer").select(F.col("c_name").alias("seq")).distinct()
     return best_match(seqs, lib).select("seq", "identity", F.round("score", 6).alias("score"))
 
 
-@query("SELECT event_id, concat(event_type, user_id) AS barcode_mapped FROM events e WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT concat(event_type, user_id) AS b FROM events WHERE event_id < 400) w WHERE w.b = concat(e.event_type, e.user_id))")
+@query("SELECT event_id, concat(event_type, user_id) AS barcode_mapped FROM events e WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT concat(event_type, user_id) AS b FROM events WHERE value > 90) w WHERE w.b = concat(e.event_type, e.user_id))")
 def str20_whitelist(spark, d):
     from ..operators.matching import whitelisted
 
     e = read(spark, d, "events")
     b = F.concat("event_type", F.col("user_id").cast("string"))
-    known = e.where("event_id < 400").select(b.alias("barcode")).distinct()
+    known = e.where("value > 90").select(b.alias("barcode")).distinct()
     return whitelisted(e.select("event_id", b.alias("barcode_mapped")), known, "barcode_mapped").select("event_id", "barcode_mapped")
 
 

@@ -302,10 +302,11 @@ def ml17_joint_recall(spark, d):
     return recall.joint(_order(spark, d), sets, n_perm=200, alpha=0.5)[1]
 
 
-@query(f"""WITH {_ORDER}, s AS (SELECT cluster, pos FROM ord WHERE guide % 17 = 0) SELECT DISTINCT o.cluster, o.pos, o.guide % 17 = 0 AS scored FROM ord o JOIN s ON s.cluster = o.cluster AND abs(o.pos - s.pos) <= 15""")
+@query(f"""WITH {_ORDER}, k AS (SELECT vec_id FROM embeddings WHERE embedding[1] > 0.2), s AS (SELECT cluster, pos FROM ord JOIN k ON vec_id = guide) SELECT DISTINCT o.cluster, o.pos, o.guide IN (SELECT vec_id FROM k) AS scored FROM ord o JOIN s ON s.cluster = o.cluster AND abs(o.pos - s.pos) <= 15""")
 def ml16_expand(spark, d):
     x = _order(spark, d).join(_sets(spark), "gene").select("cluster", F.col("guide").alias("gene"), "pos")
-    grown = recall.expand(x.where("gene % 17 = 0").withColumn("score", F.lit(1.0)), x, 15)
+    hits = read(spark, d, "embeddings").where("embedding[0] > 0.2").select(F.col("vec_id").alias("gene"))
+    grown = recall.expand(x.join(hits, "gene", "left_semi").withColumn("score", F.lit(1.0)), x, 15)
     return grown.select("cluster", "pos", F.col("score").isNotNull().alias("scored"))
 
 
