@@ -2,17 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of rows that Spark sends to a worker at once.
+BATCH_BYTES = "8m"
 #: Bytes of text that a worker handles at once; a longer text is handled alone.
 PART_BYTES = 8 << 20
 
 
+def tidied(run: Callable) -> Callable:
+    """``run``, after which a worker gives its free memory back: workers outlive tasks, and the next one may need little."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
+def arrow(run: Callable, schema: str) -> Callable[[DataFrame], DataFrame]:
+    """For DataFrame.transform: mapInArrow in batches of bounded bytes, whatever the rows' length."""
+
+    def apply(df: DataFrame) -> DataFrame:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return df.mapInArrow(tidied(run), schema)
+
+    return apply
+
+
 def texts(batches: Iterator[pa.RecordBatch], column: int, most: int = PART_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches of about ``most`` bytes of text, with the UTF-8 bytes of each."""
     for batch in batches:

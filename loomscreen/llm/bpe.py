@@ -25,10 +25,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import arrow
 from .storage import columns
 
 #: Pre-tokens remembered by a worker before its memory of them is cleared.
-CACHE_PRETOKENS = 300_000
+CACHE_PRETOKENS = 150_000
 #: Matches handled at once, so that a huge text needs no huge list.
 STEP = 200_000
 
@@ -162,7 +163,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
                 ids = [c.encode(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], names=["key", "ids"])
 
-    return columns(df, key=id_col, text=text_col).mapInArrow(run, f"key {kind}, ids array<int>")
+    return columns(df, key=id_col, text=text_col).transform(arrow(run, f"key {kind}, ids array<int>"))
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -178,7 +179,7 @@ def decode(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, type=pa.binary())], names=["key", "ids", "decoded"])
 
     kind = df.schema["key"].dataType.simpleString()
-    return df.select("key", "ids").mapInArrow(run, f"key {kind}, ids array<int>, decoded binary")
+    return df.select("key", "ids").transform(arrow(run, f"key {kind}, ids array<int>, decoded binary"))
 
 
 def digests(df: DataFrame, *more: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import texts
+from .batches import arrow, texts
 from .storage import stored
 from .wordhash import Words, mix, runs, stretches
 
@@ -148,14 +148,14 @@ def _shared(paths: DataFrame, name: str) -> DataFrame:
 
 def buckets(reps: DataFrame) -> DataFrame:
     """key, c1, c2, total: the final buckets of all sets that share one."""
-    level = _shared(reps.select("c1", "c2", "sketch").mapInArrow(_paths, _PATH), "paths")
+    level = _shared(reps.select("c1", "c2", "sketch").transform(arrow(_paths, _PATH)), "paths")
     done = [level.where(F.col("total") <= SPLIT)]
     for _ in range(DEPTH, MAX_DEPTH):
         large = level.where(F.col("total") > SPLIT)
         if large.isEmpty():
             return done[0] if len(done) == 1 else _union(done)
         rows = large.select("key", "c1", "c2").join(reps.select("c1", "c2", "sketch"), ["c1", "c2"]).select("key", "c1", "c2", "sketch")
-        level = _shared(rows.mapInArrow(_deeper, _PATH), "deeper")
+        level = _shared(rows.transform(arrow(_deeper, _PATH)), "deeper")
         done.append(level.where(F.col("total") <= SPLIT))
     return _union([*done, level.where(F.col("total") > SPLIT)])
 
@@ -367,19 +367,19 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _solve(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, c1, c2, sketch) and, for each class: c1, c2, least, root, class_id, n_links."""
     docs = df.select(df[id_col].alias("doc_id"), *class_key(df[text_col]), df[text_col].alias("text"))
-    signed = stored(docs.mapInArrow(_sign, f"doc_id {df.schema[id_col].dataType.simpleString()}, c1 long, c2 long, sketch binary"), "signed")
+    signed = stored(docs.transform(arrow(_sign, f"doc_id {df.schema[id_col].dataType.simpleString()}, c1 long, c2 long, sketch binary")), "signed")
     reps = stored(signed.where("sketch is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "classes")
     found = buckets(reps)
     keys = found.groupBy("c1", "c2").agg(F.collect_list("key").alias("keys"))
     known = stored(reps.select("c1", "c2", "sketch", "copies").join(keys, ["c1", "c2"]), "known")
     full = tiled(found).join(known.hint("merge"), ["c1", "c2"]).select("key", "tile", "mine", "c1", "c2", "keys", "sketch", "copies")
     schema = "key long, tile int, mine int, c1 long, c2 long, keys array<long>, sketch binary, copies long"
-    wanted = stored(full.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_wanted, schema), "wanted")
+    wanted = stored(full.repartition("key", "tile").sortWithinPartitions("key", "tile").transform(arrow(_wanted, schema)), "wanted")
     needed = stored(wanted.select("c1", "c2").distinct(), "needed")
     # Copies collapse before the shuffle; all joins of rows are by shuffles at every size.
     bodies = docs.where("text is not null").groupBy("c1", "c2").agg(F.first("text").alias("text"))
     bodies = stored(bodies.join(needed.hint("merge"), ["c1", "c2"], "left_semi"), "bodies")
-    links = stored(wanted.join(bodies.hint("merge"), ["c1", "c2"]).select("key", "tile", "mine", "c1", "c2", "keys", "sketch", "copies", "text").repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_verify, _LINKS), "links")
+    links = stored(wanted.join(bodies.hint("merge"), ["c1", "c2"]).select("key", "tile", "mine", "c1", "c2", "keys", "sketch", "copies", "text").repartition("key", "tile").sortWithinPartitions("key", "tile").transform(arrow(_verify, _LINKS)), "links")
     counted = links.groupBy("c1", "c2").agg(F.sum("links").alias("links"))
     node, root = (F.struct(F.col(x).alias("c1"), F.col(y).alias("c2")) for x, y in (("c1", "c2"), ("r1", "r2")))
     roots = connected(links.select(node.alias("a"), root.alias("b"))).select("node.c1", "node.c2", "root")

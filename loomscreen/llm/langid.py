@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import stratified, texts, uniform
+from .batches import arrow, stratified, texts, uniform
 from .storage import columns
 
 WINDOW = 256
@@ -179,7 +179,7 @@ def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
                     label[i], score[i] = net.labels[best], min(1.0, float(row[best]))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(label, pa.string()), pa.array(score), *part.columns[2:]], names=["key", "lang_pred", "score", *part.schema.names[2:]])
 
-    return rows.mapInArrow(run, ", ".join(kinds))
+    return rows.transform(arrow(run, ", ".join(kinds)))
 
 
 def fold(id_col: str, parts: int) -> Column:

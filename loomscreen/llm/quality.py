@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import stratified, texts
+from .batches import arrow, stratified, texts
 from .storage import columns
 from .wordhash import Words, stretches
 
@@ -197,4 +197,4 @@ def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
         for part, found in texts(batches, 1, 4 << 20):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chain.scores(found))], names=["key", "score"])
 
-    return columns(df, key=id_col, text=text_col).mapInArrow(run, f"key {kind}, score double")
+    return columns(df, key=id_col, text=text_col).transform(arrow(run, f"key {kind}, score double"))

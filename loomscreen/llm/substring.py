@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import texts
+from .batches import arrow, texts
 from .storage import shared_dir, stored
 from .wordhash import Words, mix, runs
 
@@ -51,7 +51,7 @@ WINDOW = 35
 K = 15
 #: Occurrences of a fingerprint that one task compares.
 GROUP = 2000
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def picks(words: Words, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +147,7 @@ def _scan(df: DataFrame, folder: str, number: int) -> DataFrame:
                 [pa.array(np.full(n, chunk)), pa.array([path] + [None] * (n - 1), pa.string()), pa.array([None, *prints.tolist()], pa.int64()), pa.array([0, *counts.tolist()], pa.int64())], names=["chunk", "path", "fp", "n"]
             )
 
-    return stored(df.mapInArrow(run, "chunk long, path string, fp long, n long"), "prints")
+    return stored(df.transform(arrow(run, "chunk long, path string, fp long, n long")), "prints")
 
 
 def _spans(flags: np.ndarray, chunks: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -280,9 +280,9 @@ def repeated_spans(df: DataFrame, number: int = 2) -> tuple[DataFrame, DataFrame
     chunks = scanned.where("path is not null").select("chunk", "path")
     prints = scanned.where("path is null").select("chunk", "fp").join(repeated.hint("merge"), "fp")
     asked = prints.groupBy("chunk").agg(F.collect_list(F.struct("fp", "total")).alias("pairs"))
-    looked = stored(chunks.join(asked, "chunk").select("path", "chunk", "pairs").mapInArrow(_look_again, _FOUND), "looked")
+    looked = stored(chunks.join(asked, "chunk").select("path", "chunk", "pairs").transform(arrow(_look_again, _FOUND)), "looked")
     open_rows = looked.where("kind = 1").repartition("fp", "part").sortWithinPartitions("fp", "part")
-    compared = stored(open_rows.mapInArrow(_compare, _FOUND), "compared")
+    compared = stored(open_rows.transform(arrow(_compare, _FOUND)), "compared")
     hot = compared.where("kind = 2").groupBy("fp", "digests").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") == 1, F.struct("chunk", "begin"))).alias("at"))
     late = hot.where("n > 1").select(F.explode("at").alias("x")).select("x.chunk", "x.begin", F.lit(1).alias("length"))
     spans = looked.where("kind = 0").select("chunk", "begin", "length").unionByName(compared.where("kind = 0").select("chunk", "begin", "length")).unionByName(late)
@@ -320,4 +320,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     kinds = [f"key {rows.schema['key'].dataType.simpleString()}", "kept string", "n_words long", "n_removed long"]
     if carry:
         kinds.append(f"carried {rows.schema['carried'].dataType.simpleString()}")
-    return joined.mapInArrow(_remove(WINDOW), ", ".join(kinds))
+    return joined.transform(arrow(_remove(WINDOW), ", ".join(kinds)))

@@ -40,14 +40,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from .batches import texts
+from .batches import arrow, texts
 from .storage import columns, shared_dir, stored
 
 SEQUENCE = 2048
 #: Sequences in a batch, and ids in a file before the next one is begun.
 BATCH_ROWS = 256
 FILE_IDS = 64 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 MANIFEST = "doc_id {kind}, tie long, file string, nth long, place long, n_tokens long"
 
 
@@ -258,7 +258,7 @@ def write(
 
     docs = columns(df, doc_id=id_col, text=text_col).select("doc_id", F.xxhash64("text").alias("tie"), "text")
     rows = docs.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-    return stored(rows.mapInArrow(run, MANIFEST.format(kind=kind)), "manifest")
+    return stored(rows.transform(arrow(run, MANIFEST.format(kind=kind))), "manifest")
 
 
 def starts(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -297,6 +297,6 @@ def read_back(manifest: DataFrame) -> DataFrame:
         if reader:
             reader.close()
 
-    read = manifest.mapInArrow(run, f"doc_id {kind}, file string, place long, n_tokens long, ids_crc32 long")
+    read = manifest.transform(arrow(run, f"doc_id {kind}, file string, place long, n_tokens long, ids_crc32 long"))
     bases = starts(manifest.sparkSession, manifest)
     return read.join(bases, "file").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import uniform
+from .batches import arrow, uniform
 from .storage import shared_dir, stored
 
 BLOCK = 64
@@ -160,7 +160,7 @@ def index(rows: DataFrame) -> DataFrame:
             near = nearest(v, found) if len(found) else np.zeros(len(v), dtype=int)
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), batch.column(0), batch.column(1)], names=["centre", "id", "v"])
 
-    placed = rows.mapInArrow(run, "centre int, id long, v array<double>")
+    placed = rows.transform(arrow(run, "centre int, id long, v array<double>"))
     return stored(placed.repartitionByRange("centre", "id").sortWithinPartitions("centre", "id"), "vectors")
 
 
@@ -214,7 +214,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
         written.append(f"{out}/{n}")
-        indexed.select("id", "v").mapInArrow(run, schema).write.parquet(written[-1])
+        indexed.select("id", "v").transform(arrow(run, schema)).write.parquet(written[-1])
         sent.destroy()
     found = spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema)
     rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")
