@@ -19,10 +19,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     local (tests), and an error is raised on a cluster: executors couldn't see
     the driver's disk.
     """
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not conf.get("spark.master", "").startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _local:
