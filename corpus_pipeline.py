@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from loomscreen.llm import bpe, decontam, jaccard, langid, substring
 from loomscreen.llm.storage import stored
 
-#: A document whose language is less probable than this is rejected.
-LEAST_SCORE = 0.4
+#: A document whose language is less probable than this is rejected; texts of mixed languages stay.
+LEAST_SCORE = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
