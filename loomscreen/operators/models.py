@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
 from ..spec import ScreenSpec
 from .matrix import expected_joint, mean_of, single_effects
 from .screen import with_scalars
@@ -203,5 +204,5 @@ def interactions(pairs: DataFrame, singles: DataFrame, method: str = "joint") ->
     ways = {"joint": lambda e: joint_surface(pairs, e)[0], "per_gene": lambda e: symmetric_interactions(per_gene(pairs, e))}
     if method not in ways:
         raise ValueError(f"no such method: {method}; there are {', '.join(ways)}")
-    m = ways[method](single_effects(singles))
+    m = settled(ways[method](single_effects(singles)), "interactions")
     return with_scalars(m, F.stddev_pop("v").alias("_s")).withColumn("z", F.try_divide("v", "_s")).drop("_s")

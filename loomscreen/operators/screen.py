@@ -1,8 +1,10 @@
 """The steps of a screen, each a function from DataFrame to DataFrame.
 
 Scalars that a step needs over the whole table (thresholds, ranges, control
-means) are one-row aggregates joined by a broadcast of that one row, so a chain
-of steps stays one lazy plan.
+means) are one-row aggregates joined by a broadcast of that one row.  Such a
+table is used twice, so tables that are costly to make and small beside the
+rows (lineages, guides) are settled first: written to the scratch folder and
+read again, instead of being worked out from the rows twice.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.sequences import field
+from ..sources.scratch import settled
 from ..spec import ScreenSpec
 from .counts import present
 
@@ -43,7 +46,7 @@ def filter_lineages(df: DataFrame, spec: ScreenSpec, floor: float | None = 0.05)
     A lineage is kept if each share is under the mean plus three standard
     deviations of all shares (null as 0), or under ``floor`` if that is more.
     """
-    shares = lineage_shares(df, spec)
+    shares = settled(lineage_shares(df, spec), "shares")
     names = [f"share_{t}" for t in spec.transcripts]
     limits = []
     for n in names:
@@ -118,9 +121,9 @@ def summary(df: DataFrame, spec: ScreenSpec, identity: str, reporter: str, rep:
         rows = scaled.withColumn(identity, F.when(F.col("_a") < 0, F.try_divide(x - F.col("_a"), F.col("_b") - F.col("_a"))).otherwise(x)).drop("_a", "_b")
     keys = [*spec.guides, "control"]
     if rep:
-        sums = rows.groupBy(*keys, rep).agg(F.sum(identity).alias("_s"), F.avg(reporter).alias("reporter"), F.count(reporter).alias("_n"))
         # A guide has one representation; its reporter mean is over all its rows.
-        out = with_scalars(sums, F.sum("_s").alias("_all")).withColumn("identity", F.log2(F.col("_s") / F.col("_all") + pseudocount) - F.log2(F.col(rep) + pseudocount)).drop("_s", "_all", "_n")
+        sums = settled(rows.groupBy(*keys, rep).agg(F.sum(identity).alias("_s"), F.avg(reporter).alias("reporter")), "guides")
+        out = with_scalars(sums, F.sum("_s").alias("_all")).withColumn("identity", F.log2(F.col("_s") / F.col("_all") + pseudocount) - F.log2(F.col(rep) + pseudocount)).drop("_s", "_all")
     else:
-        out = rows.groupBy(*keys).agg(F.avg(identity).alias("identity"), F.avg(reporter).alias("reporter"))
+        out = settled(rows.groupBy(*keys).agg(F.avg(identity).alias("identity"), F.avg(reporter).alias("reporter")), "guides")
     return control_z(control_z(out, "identity", "identity_z"), "reporter", "reporter_z")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matrix, models, screen
 from ..sources import tables
-from ..sources.scratch import folder
+from ..sources.scratch import folder, settled
 from .analogs import CONTROL, cells, dual, query, read
 
 
@@ -99,10 +99,10 @@ def mx19_selected_matrix(spark, d):
 @query()
 def vz7_query_fit_table(spark, d):
     """Observed, expected and residual of every partner of every guide, with the residual's z in the guide's row."""
-    m = cells(spark, d)
+    m = settled(cells(spark, d), "cells")
     effects = matrix.single_effects(matrix.singles(m, CONTROL))
     pairs = matrix.symmetrise(matrix.guide_pairs(m, CONTROL), keep_single=True)
-    resid = models.per_gene(pairs, effects).withColumnRenamed("v", "resid")
+    resid = settled(models.per_gene(pairs, effects), "resid").withColumnRenamed("v", "resid")
     rows = pairs.join(resid, ["i", "j"]).withColumn("expected", F.col("v") - F.col("resid"))
     s = rows.groupBy("i").agg(F.stddev_pop("resid").alias("sigma"))
     return rows.join(s, "i").withColumn("z", F.try_divide("resid", "sigma"))

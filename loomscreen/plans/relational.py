@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import sequences as sq
 from ..operators import counts, screen
+from ..sources.scratch import settled
 from .analogs import CONTROL, DUAL, dual, query, read, reads, single
 
 
@@ -26,7 +27,7 @@ def p0_screen_hits(spark, d):
     """Lineage filter, control pairs, mean log2 reporter of each pair, z-score against controls."""
     rows = screen.log_transform(screen.filter_lineages(dual(spark, d), DUAL), ["report"])
     rows = screen.set_control(rows, ["p1", "p2"], CONTROL)
-    means = rows.groupBy("p1", "p2", "control").agg(F.avg("log2_report").alias("reporter"))
+    means = settled(rows.groupBy("p1", "p2", "control").agg(F.avg("log2_report").alias("reporter")), "means")
     return screen.control_z(means, "reporter", "z").select("p1", "p2", "control", r6(F.col("z"), "reporter_z"))
 
 

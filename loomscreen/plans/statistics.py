@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import cluster, counts, lowrank, matrix, models, network, ranks, recall, sampling, screen, views
+from ..sources.scratch import settled
 from .analogs import CONTROL, DUAL, cells, dual, query, read, single
 
 
@@ -217,7 +218,7 @@ def ml01_poisson_residuals(spark, d):
 
 
 def _interactions(spark, d, method):
-    m = cells(spark, d)
+    m = settled(cells(spark, d), "cells")
     return models.interactions(matrix.symmetrise(matrix.guide_pairs(m, CONTROL), keep_single=True), matrix.singles(m, CONTROL), method)
 
 
@@ -250,24 +251,18 @@ def mx5_leaf_order(spark, d):
 @query()
 def pl08_dual_screen(spark, d):
     """Lineage filter, controls, residuals, activity matrix, low-rank denoising and interactions in one run."""
-    rows = screen.set_control(screen.log_transform(screen.filter_lineages(dual(spark, d), DUAL), ["ident", "report"]), ["p1", "p2"], CONTROL)
-    rows, names = screen.one_hot(rows, ["rep"], {"rep": ["F", "O"]})
-    rows, _ = models.regress_reporter(rows, DUAL, names)
-    m = rows.groupBy(F.col("p1").alias("i"), F.col("p2").alias("j")).agg(F.avg("log2_reporter_resid").alias("v"))
-    low = lowrank.split_matrices(m.withColumn("screen", F.lit(1)), "screen", most=200).select("i", "j", F.col("low").alias("v"))
-    return models.interactions(matrix.symmetrise(matrix.guide_pairs(low, CONTROL)), matrix.singles(low, CONTROL), "per_gene")
+    from .workflows import standard_dual
+
+    return standard_dual(dual(spark, d), DUAL.with_(samples=("rep",)), prefix=CONTROL, pcp=True, method="per_gene", most=200).interactions
 
 
 @query()
 def pl07_single_screen(spark, d):
     from ..spec import ScreenSpec
+    from .workflows import standard_single
 
     spec = ScreenSpec(guides=("guide",), barcodes=("barcode",), identity="ident", reporter="report", samples=("rep",), rep="rep")
-    rows = screen.log_transform(screen.set_control(screen.filter_lineages(single(spark, d), spec), ["guide"], "Brand#1"), ["ident", "report"])
-    rows, names = screen.one_hot(rows, ["rep"], {"rep": ["F", "O"]})
-    rows, _ = models.regress_reporter(rows, spec, names, degree=2)
-    rows = models.regress_identity_poisson(rows, spec, names)
-    return screen.summary(rows, spec, "log2_identity_resid_rescaled", "log2_reporter_resid")
+    return standard_single(single(spark, d), spec, prefix="Brand#1", degree=2).summary
 
 
 # Recall

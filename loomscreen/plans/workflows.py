@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
 from ..operators import cluster, counts, lowrank, matching, matrix, models, screen
+from ..sources.scratch import settled
 from ..spec import ScreenSpec
 
 
@@ -63,6 +64,8 @@ def standard_single(df: DataFrame, spec: ScreenSpec, rep: DataFrame | None = Non
     if rep is not None:
         rows = screen.with_representation(rows, rep, list(spec.guides))
     rows = screen.log_transform(screen.set_control(screen.filter_lineages(rows, spec, floor), list(spec.guides), prefix), list(spec.transcripts), pseudocount)
+    # The filtered rows feed both regressions and the summary.
+    rows = settled(rows, "filtered")
     rows, names = screen.one_hot(rows, list(spec.samples)) if spec.samples else (rows, [])
     rows, fit = models.regress_reporter(rows, spec, names, degree)
     identity = f"log2_{spec.identity}"
@@ -101,7 +104,7 @@ def standard_dual(
     """standard_single with both guides as keys, then the matrices and interactions of pairs."""
     one = standard_single(df, spec, rep, rep_column, prefix, floor, pseudocount, degree)
     m = activity(one.rows, spec, "log2_reporter_resid")
-    m = denoised(m, **settings) if pcp else m
+    m = settled(denoised(m, **settings) if pcp else m, "activity")
     singles = matrix.singles(m, prefix)
     pairs = matrix.symmetrise(matrix.guide_pairs(m, prefix), keep_single, mask_diagonal)
     return DualResult(one.rows, one.summary, m, singles, matrix.single_effects(singles), pairs, models.interactions(pairs, singles, method))
