@@ -117,10 +117,12 @@ def order_of(spark: SparkSession, distances: DataFrame, method: str = "average",
     """Merges (step, left, right, distance, size) and leaves (position, label) of a square long matrix of distances."""
     wide = distances.select("i", "j", "v").toPandas().pivot(index="i", columns="j", values="v")
     wide = wide.reindex(index=sorted(wide.index), columns=sorted(wide.index))
-    d = np.nan_to_num(wide.to_numpy(float), nan=1.0)
-    d = (d + d.T) / 2
-    z = linkage(d, method)
-    order = optimal_leaves(z, d) if optimal else leaves(z)
+    z, order = np.zeros((0, 4)), []
+    if len(wide):
+        d = np.nan_to_num(wide.to_numpy(float), nan=1.0)
+        d = (d + d.T) / 2
+        z = linkage(d, method)
+        order = optimal_leaves(z, d) if optimal else leaves(z)
     kind = distances.schema["i"].dataType.simpleString()
     merges = spark.createDataFrame([(k, int(a), int(b), float(h), int(s)) for k, (a, b, h, s) in enumerate(z)], "step int, left int, right int, distance double, size int")
     labels = [x.item() if hasattr(x, "item") else x for x in wide.index]
