@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .batches import arrow, texts
 from .storage import stored
@@ -47,7 +48,7 @@ SLOTS = 64
 RUNS = 32
 DEPTH, MAX_DEPTH = 2, 4
 SPLIT = 4096
-TILE = 1024
+TILE = 512
 _U32 = np.uint32
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = (_rng.integers(1 << 31, 1 << 32, SLOTS, dtype=np.uint64) | np.uint64(1)).astype(_U32)
@@ -356,12 +357,13 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     signed, info = _solve(df, id_col, text_col)
     firsts = info.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "c1", "c2")).alias("x"))
-    chosen = stored(firsts.select(F.col("x.least").alias("_k"), F.col("x.c1").alias("_1"), F.col("x.c2").alias("_2")), "survivors")
-    keyed = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), df[id_col].alias("_k"), *(c.alias(f"_{i + 1}") for i, c in enumerate(class_key(df[text_col]))))
-    # Copies of a survivor, with the same key too, are counted apart and leave one row.
-    kept = keyed.join(chosen, keyed["_k"].eqNullSafe(chosen["_k"]) & (keyed["_1"] == chosen["_1"]) & (keyed["_2"] == chosen["_2"]), "left_semi").dropDuplicates(["_k", "_1", "_2"])
-    bare = signed.where("sketch is null").select(F.col("c1").alias("_1"), F.col("c2").alias("_2")).distinct()
-    return kept.select("row.*").unionByName(keyed.join(bare, ["_1", "_2"], "left_semi").select("row.*"))
+    chosen = firsts.select(F.col("x.least").alias("_k"), F.col("x.c1").alias("_1"), F.col("x.c2").alias("_2"))
+    bare = signed.where("sketch is null").select(F.xxhash64("doc_id").alias("_h"), F.col("c1").alias("_1"), F.col("c2").alias("_2")).distinct()
+    keys = stored(chosen.select(F.xxhash64("_k").alias("_h"), "_1", "_2", F.lit(True).alias("_once")).unionByName(bare.withColumn("_once", F.lit(False))), "survivors")
+    keyed = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), F.xxhash64(df[id_col]).alias("_h"), *(c.alias(f"_{i + 1}") for i, c in enumerate(class_key(df[text_col]))))
+    # The rows are shuffled once: the numbering of repeated rows keeps the join's partitions.
+    kept = keyed.join(keys.hint("merge"), ["_h", "_1", "_2"]).withColumn("_n", F.row_number().over(Window.partitionBy("_h", "_1", "_2").orderBy("_once")))
+    return kept.where(~F.col("_once") | (F.col("_n") == 1)).select("row.*")
 
 
 def _solve(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
