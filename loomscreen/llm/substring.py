@@ -50,8 +50,10 @@ from .wordhash import Words, mix, runs
 WINDOW = 35
 K = 15
 #: Occurrences of a fingerprint that one task compares.
-GROUP = 2000
+GROUP = 500
 CHUNK_BYTES = 4 << 20
+#: Chunks that a task reads again: their work is in the files, not in the rows that name them.
+TASK_CHUNKS = 4
 
 
 def picks(words: Words, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,6 +261,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(pa.Table.from_batches(waiting))
 
 
+def _tasks(chunks: DataFrame) -> int:
+    return max(1, -(-chunks.count() // TASK_CHUNKS))
+
+
 def _batches_of(df: DataFrame, number: int) -> list[DataFrame]:
     if number == 1:
         return [df]
@@ -280,7 +286,8 @@ def repeated_spans(df: DataFrame, number: int = 2) -> tuple[DataFrame, DataFrame
     chunks = scanned.where("path is not null").select("chunk", "path")
     prints = scanned.where("path is null").select("chunk", "fp").join(repeated.hint("merge"), "fp")
     asked = prints.groupBy("chunk").agg(F.collect_list(F.struct("fp", "total")).alias("pairs"))
-    looked = stored(chunks.join(asked, "chunk").select("path", "chunk", "pairs").transform(arrow(_look_again, _FOUND)), "looked")
+    rows = chunks.join(asked, "chunk").select("path", "chunk", "pairs")
+    looked = stored(rows.repartition(_tasks(chunks), "chunk").transform(arrow(_look_again, _FOUND)), "looked")
     open_rows = looked.where("kind = 1").repartition("fp", "part").sortWithinPartitions("fp", "part")
     compared = stored(open_rows.transform(arrow(_compare, _FOUND)), "compared")
     hot = compared.where("kind = 2").groupBy("fp", "digests").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") == 1, F.struct("chunk", "begin"))).alias("at"))
@@ -320,4 +327,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     kinds = [f"key {rows.schema['key'].dataType.simpleString()}", "kept string", "n_words long", "n_removed long"]
     if carry:
         kinds.append(f"carried {rows.schema['carried'].dataType.simpleString()}")
-    return joined.transform(arrow(_remove(WINDOW), ", ".join(kinds)))
+    return joined.repartition(_tasks(chunks), "path").transform(arrow(_remove(WINDOW), ", ".join(kinds)))
