@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of rows that Spark sends to a worker at once.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 #: Bytes of text that a worker handles at once; a longer text is handled alone.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 
 
 def tidied(run: Callable) -> Callable:
@@ -33,11 +33,11 @@ def tidied(run: Callable) -> Callable:
     return whole
 
 
-def arrow(run: Callable, schema: str) -> Callable[[DataFrame], DataFrame]:
+def arrow(run: Callable, schema: str, size: str = BATCH_BYTES) -> Callable[[DataFrame], DataFrame]:
     """For DataFrame.transform: mapInArrow in batches of bounded bytes, whatever the rows' length."""
 
     def apply(df: DataFrame) -> DataFrame:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
         return df.mapInArrow(tidied(run), schema)
 
     return apply

@@ -236,7 +236,7 @@ def write(
         dtype = np.dtype("<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4")
         w, order = None, 0
         try:
-            for part, found in texts(batches, 2):
+            for part, found in texts(batches, 2, 8 << 20):
                 places, files, nths = [], [], []
                 ids, counts = enc.encode(found)
                 ids = np.insert(ids.astype(dtype), np.cumsum(counts), end_id)
@@ -258,7 +258,7 @@ def write(
 
     docs = columns(df, doc_id=id_col, text=text_col).select("doc_id", F.xxhash64("text").alias("tie"), "text")
     rows = docs.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-    return stored(rows.transform(arrow(run, MANIFEST.format(kind=kind))), "manifest")
+    return stored(rows.transform(arrow(run, MANIFEST.format(kind=kind), "8m")), "manifest")
 
 
 def starts(spark: SparkSession, manifest: DataFrame) -> DataFrame:
