@@ -6,9 +6,10 @@ with it by the weighted Jaccard similarity of their five-word shingles: the sum
 over shingles of the lesser count over the sum of the greater one.  A text with
 a window of THRESHOLD or more is contaminated by the item.
 
-A window that is similar to an item shares a shingle with it, so only windows
-that line up with a shared shingle are fingerprinted.  A fingerprint is a 64-bit SimHash of the
-window's words.  Items are indexed by their length and each of RADIUS + 1
+A window of THRESHOLD or more holds a certain number of shared shingles at least
+(of two sets of m, 8/9 of m), wherever they stand in the item, so every start
+whose window covers that many shingles of items of its length is fingerprinted,
+and no other.  A fingerprint is a 64-bit SimHash of the window's words.  Items are indexed by their length and each of RADIUS + 1
 blocks of their fingerprint: fingerprints that differ in RADIUS bits at most
 agree in one block at least, so the index finds all of these.  Candidates are
 then verified by the exact similarity.  (Windows of similarity 0.8 differ in 7
@@ -21,7 +22,8 @@ of them, and joined by a shuffle otherwise.  No Python runs on executors.
 Edge cases: null or empty texts and items match nothing; items of fewer than
 five words are one shingle of their length, matched wherever these words stand;
 repeated rows are all reported; an item id that stands for several texts counts
-by its most similar one; empty tables give an empty result; other columns of
+by its most similar one; of equally similar windows the first that lines up with
+a shared shingle (the first at all if none does) is the place; empty tables give an empty result; other columns of
 the inputs are ignored.
 """
 
@@ -65,6 +67,28 @@ def _block_of(fingerprint: str, block: str) -> str:
     return f"shiftrightunsigned({fingerprint}, {lo}) & (shiftleft(1L, {hi} - {lo}) - 1)"
 
 
+def _starts() -> Column:
+    """Starts of all windows that can be similar to an item of ``length`` words, from ``p``, the sorted places of its shingles in a text of ``n``.
+
+    The window and the item have b and a shingles; a similarity of t takes
+    t / (1 + t) * (a + b) common ones.  So many consecutive places within a
+    window allow the starts from its last place's reach to its first place.
+    """
+    t = int(THRESHOLD * 1000)
+    b = "(least(n, length) - k + 1)"
+    need = f"cast(ceil({t} * (length - k + 1 + {b}) / {1000 + t}.0D) as int)"
+    spans = f"transform(sequence(1, size(p) - {need} + 1), i -> struct(greatest(p[i + {need} - 2] - {b} + 1, 0) as lo, least(p[i - 1], greatest(n - length, 0)) as hi))"
+    starts = f"array_distinct(flatten(transform(filter({spans}, x -> x.lo <= x.hi), x -> sequence(x.lo, x.hi))))"
+    return F.expr(f"if(size(p) < {need}, cast(array() as array<int>), {starts})")
+
+
+def _lined_up() -> Column:
+    """Whether the window starts where a shared shingle's place in the item puts it, moved into the text if that is outside."""
+    pairs = "exists(sequence(0, size(shingles) - 1), i -> exists(sequence(0, size(item_shingles) - 1), j -> {} and shingles[i] = item_shingles[j]))"
+    same = "exists(sequence(0, least(size(shingles), size(item_shingles)) - 1), i -> shingles[i] = item_shingles[i])"
+    return F.expr(f"{same} or (start = 0 and {pairs.format('i < j')}) or (start = greatest(n - length, 0) and {pairs.format('i > j')})")
+
+
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     rows = benchmark.select(benchmark[item_col].alias("item_id"), words(benchmark[text_col]).alias("w")).where("size(w) > 0")
     rows = rows.withColumn("length", F.size("w")).withColumn("k", F.least("length", F.lit(SHINGLE)))
@@ -92,30 +116,27 @@ def text_leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id",
     items = _items(benchmark, item_col, item_text_col)
     texts = docs.where("text is not null").select(*text_key(F.col("text")), "text")
     row = ["c1", "c2"]
-    at = items.select("k", "length", F.posexplode("shingles").alias("offset", "shingle"))
-    # The same length and shingle line up alike, whatever the item.
-    lined = stored(at.groupBy("k", "length", "shingle", "offset").count().drop("count").select("k", "shingle", F.struct("length", "offset").alias("to")).groupBy("k", "shingle").agg(F.collect_set("to").alias("to")), "shingles")
+    at = items.select("k", "length", F.explode("shingles").alias("shingle"))
+    # Items of the same length are looked for alike.
+    lined = stored(at.groupBy("k", "shingle").agg(F.collect_set("length").alias("to")), "shingles")
     sizes = {r.k: r["count"] for r in lined.groupBy("k").count().collect()}
-    starts = None
+    places = None
     for k, n in sizes.items():
         found = lined.where(F.col("k") == k).select("shingle", "to")
         found = F.broadcast(found) if n <= BROADCAST_ROWS else found
         split = texts.select(*row, words(F.col("text")).alias("w"))
         hits = split.select(*row, F.size("w").alias("n"), F.posexplode(shingled("w", k)).alias("place", "shingle")).join(found, "shingle")
-        part = hits.select(*row, "n", "place", F.explode("to").alias("to")).select(
-            *row, F.col("to.length").alias("length"),
-            F.least(F.greatest(F.col("place") - F.col("to.offset"), F.lit(0)), F.greatest(F.col("n") - F.col("to.length"), F.lit(0))).alias("start"),
-        )
-        starts = part if starts is None else starts.unionByName(part)
-    if starts is None:
-        starts = texts.limit(0).select(*row, F.lit(0).alias("length"), F.lit(0).alias("start"))
-    wanted = stored(starts.distinct().groupBy(*row).agg(F.collect_list(F.struct("length", "start")).alias("windows")), "windows")
+        part = hits.select(*row, "n", F.lit(k).alias("k"), F.explode("to").alias("length"), "place")
+        places = part if places is None else places.unionByName(part)
+    if places is None:
+        places = texts.limit(0).select(*row, *(F.lit(0).alias(c) for c in ("n", "k", "length", "place")))
+    at = places.groupBy(*row, "n", "k", "length").agg(F.array_sort(F.collect_set("place")).alias("p"))
+    wanted = stored(at.select(*row, "length", F.explode(_starts()).alias("start")).groupBy(*row).agg(F.collect_list(F.struct("length", "start")).alias("windows")), "windows")
     # Texts come back for the windows' sake only, each once.
     again = texts.groupBy(*row).agg(F.first("text").alias("text")).join(wanted.hint("merge"), row).select(*row, words(F.col("text")).alias("w"), "windows")
     again = again.select(*row, F.transform("w", lambda x: F.xxhash64(x)).alias("h"), "w", "windows")
-    cut = again.select(*row, "h", "w", F.explode("windows").alias("x")).select(
-        *row, F.col("x.length").alias("length"), F.col("x.start").alias("start"),
-        F.expr("slice(h, x.start + 1, x.length)").alias("hashes"), F.expr("slice(w, x.start + 1, x.length)").alias("w"),
+    cut = again.select(
+        *row, F.expr("inline(transform(windows, x -> struct(x.length as length, x.start as start, size(w) as n, slice(h, x.start + 1, x.length) as hashes, slice(w, x.start + 1, x.length) as w)))"),
     )
     prints = stored(cut.withColumn("fingerprint", simhash("hashes")).withColumn("shingles", F.when(F.col("length") >= SHINGLE, shingled("w", SHINGLE)).otherwise(F.array(F.xxhash64("hashes")))).drop("w", "hashes"), "fingerprints")
     blocks = F.explode(F.sequence(F.lit(0), F.lit(RADIUS)))
@@ -130,5 +151,5 @@ def text_leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id",
     common = F.expr("aggregate(array_distinct(array_intersect(item_shingles, shingles)), 0, (acc, s) -> acc + least(size(filter(shingles, x -> x = s)), size(filter(item_shingles, x -> x = s))))")
     scored = both.withColumn("common", common).withColumn("all", F.size("shingles") + F.size("item_shingles") - F.col("common"))
     found = scored.where(F.col("common") * 1000 >= F.col("all") * int(THRESHOLD * 1000)).withColumn("similarity", F.col("common") / F.col("all"))
-    best = found.groupBy(*row, "item_id").agg(F.max("similarity").alias("similarity"), F.min_by(F.struct("start", "length"), F.struct(-F.col("similarity"), F.col("start"), F.col("length"))).alias("at"))
+    best = found.groupBy(*row, "item_id").agg(F.max("similarity").alias("similarity"), F.min_by(F.struct("start", "length"), F.struct(-F.col("similarity"), ~_lined_up(), F.col("start"), F.col("length"))).alias("at"))
     return stored(best.select(*row, "item_id", "similarity", F.col("at.start").alias("start_word"), F.col("at.length").alias("n_words")), "leaks")

@@ -59,3 +59,19 @@ def test_edges(spark):
     want = brute(docs, items)
     assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
     assert decontam.leaks(df.limit(0), bench).collect() == [] and decontam.leaks(df, bench.limit(0)).collect() == []
+
+
+def test_reordered_item(spark):
+    """Every window counts, not only those at a shared shingle's offset: the item's halves in the other order."""
+    rng = np.random.default_rng(8)
+    word = lambda n: ["x%d" % i for i in rng.integers(0, 10**6, n)]
+    a, b = word(30), word(30)
+    items = [(1, " ".join(a + b)), (2, " ".join(word(60)))]
+    docs = [(k, " ".join(word(before) + b + a + word(after))) for k, (before, after) in enumerate([(40, 45), (0, 40), (40, 0), (31, 3), (3, 31)])]
+    docs += [(9, " ".join(word(40) + b + word(9) + a + word(40)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word) for r in decontam.leaks(df, bench).collect()}
+    want = brute(docs, items)
+    assert {k: s for k, (s, _) in got.items()} == {k: round(v, 9) for k, v in want.items()} and len(want) == 5
+    assert got[0, 1] == (round(52 / 60, 9), 40)
