@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import identity_score
+from ..sources.scratch import settled
 
-#: Rows of a library that is sent to every task; larger ones are joined through shared letters.
+#: About the most rows of a library that are sent to every task at once; larger ones are sent in blocks, one after another.
 BROADCAST_LIBRARY = 200_000
 
 
@@ -15,17 +16,27 @@ def best_match(seqs: DataFrame, library: DataFrame, least: float = 0.0) -> DataF
     """For each distinct ``seq`` the library ``identity`` of the best score (ties by name), if it is ``least`` or more.
 
     Scores are worked out once for each distinct sequence, not for each read.
-    Small libraries are broadcast; a larger one is compared where an eighth of
-    the sequence or more is shared, so callers with such libraries should ask
-    for a score at which that is certain.
+    Every sequence is compared with every identity at any size: blocks of the
+    library are broadcast one after another, and each leaves its best matches.
     """
     seqs, library = seqs.select("seq").distinct(), library.select("identity").distinct()
-    if library.count() <= BROADCAST_LIBRARY:
-        pairs = seqs.crossJoin(F.broadcast(library))
-    else:
-        parts = lambda c: F.expr(f"explode(transform(sequence(1, greatest(length({c}) - 7, 1)), i -> substring({c}, i, 8)))")
-        pairs = seqs.withColumn("_w", parts("seq")).join(library.withColumn("_w", parts("identity")), "_w").select("seq", "identity").distinct()
-    scored = pairs.withColumn("score", identity_score(F.col("seq"), F.col("identity"))).where(F.col("score") >= least)
+
+    def best(part: DataFrame) -> DataFrame:
+        scored = seqs.crossJoin(F.broadcast(part)).withColumn("score", identity_score(F.col("seq"), F.col("identity"))).where(F.col("score") >= least)
+        return _best(scored)
+
+    blocks = -(-library.count() // BROADCAST_LIBRARY)
+    if blocks <= 1:
+        return best(library)
+    seqs, library = settled(seqs, "sequences"), settled(library.withColumn("block", F.expr(f"pmod(xxhash64(identity), {blocks})")), "library")
+    out = None
+    for k in range(blocks):
+        part = settled(best(library.where(F.col("block") == k).select("identity")), "matches")
+        out = part if out is None else out.unionByName(part)
+    return _best(out)
+
+
+def _best(scored: DataFrame) -> DataFrame:
     best = scored.groupBy("seq").agg(F.min_by(F.struct("identity", "score"), F.struct(-F.col("score"), "identity")).alias("b"))
     return best.select("seq", "b.identity", "b.score")
 

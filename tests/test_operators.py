@@ -316,3 +316,18 @@ def test_stream_of_reads(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.l: r.molecules for r in spark.table("molecules").collect()} == {"x": 2, "y": 1}
+
+
+def test_best_match_of_a_large_library(spark, monkeypatch):
+    """A library in several blocks gives the matches of one block, without a shared 8-mer as well."""
+    rng = np.random.default_rng(3)
+    names = ["".join(rng.choice(list("ACGT"), 20)) for _ in range(30)]
+    other = {"A": "C", "C": "G", "G": "T", "T": "A"}
+    reads = [s[:6] + other[s[6]] + s[7:13] + other[s[13]] + s[14:] for s in names] + ["".join(rng.choice(list("ACGT"), 20)) for _ in range(10)]
+    seqs = spark.createDataFrame([(r,) for r in reads], "seq string")
+    library = spark.createDataFrame([(s,) for s in [*names, names[0]]], "identity string")
+    found = lambda least: {r.seq: (r.identity, r.score) for r in matching.best_match(seqs, library, least).collect()}
+    whole = {least: found(least) for least in (0, 60)}
+    assert all(whole[60][r][0] == s for r, s in zip(reads, names, strict=False)) and len(whole[0]) == len(set(reads))
+    monkeypatch.setattr(matching, "BROADCAST_LIBRARY", 7)
+    assert {least: found(least) for least in (0, 60)} == whole
