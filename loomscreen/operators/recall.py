@@ -123,7 +123,7 @@ def assign(rows: DataFrame, reach: float = 80) -> DataFrame:
     return x.withColumn("_k", F.row_number().over(order)).where("_k = 1").select("cluster", "gene", "pos", "score")
 
 
-def joint(order: DataFrame, sets: DataFrame, window: int = 20, n_perm: int = 1000, alpha: float = 0.05, reach: float = 80, least: int = 2, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def joint(order: DataFrame, sets: DataFrame, window: int = 20, n_perm: int = 10_000, alpha: float = 0.05, reach: float = 80, least: int = 2, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """All sets (set_name, cluster, gene) at once: members with joint false-discovery rates, and the final clusters."""
     key = sets.select(F.concat_ws("\x1f", "set_name", "cluster").alias("cluster"), "gene")
     members, _ = permutation_recall(order, key, window, n_perm, seed)

@@ -288,13 +288,13 @@ def wn5_ml14_observed_recall(spark, d):
 
 @query()
 def ml13_recall(spark, d):
-    return recall.permutation_recall(_order(spark, d), _sets(spark), n_perm=200)[1]
+    return recall.permutation_recall(_order(spark, d), _sets(spark))[1]
 
 
 @query()
 def ml17_joint_recall(spark, d):
     sets = _sets(spark).withColumn("set_name", F.when(F.col("cluster") < "c3", "one").otherwise("two"))
-    return recall.joint(_order(spark, d), sets, n_perm=200, alpha=0.5)[1]
+    return recall.joint(_order(spark, d), sets)[1]
 
 
 @query(f"""WITH {_ORDER}, k AS (SELECT vec_id FROM embeddings WHERE embedding[1] > 0.2), s AS (SELECT cluster, pos FROM ord JOIN k ON vec_id = guide) SELECT DISTINCT o.cluster, o.pos, o.guide IN (SELECT vec_id FROM k) AS scored FROM ord o JOIN s ON s.cluster = o.cluster AND abs(o.pos - s.pos) <= 15""")

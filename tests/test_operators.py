@@ -1,5 +1,6 @@
 """Operators that SQL can't express, and edge cases, against small direct computations."""
 
+import inspect
 import itertools
 import math
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomscreen.functions import sequences as sq
 from loomscreen.operators import cluster, counts, lowrank, matching, matrix, models, network, ranks, recall, screen
+from loomscreen.plans import catalog
 from loomscreen.sources import fastq, genomics, tables
 from loomscreen.spec import ScreenSpec
 
@@ -331,3 +333,30 @@ def test_best_match_of_a_large_library(spark, monkeypatch):
     assert all(whole[60][r][0] == s for r, s in zip(reads, names, strict=False)) and len(whole[0]) == len(set(reads))
     monkeypatch.setattr(matching, "BROADCAST_LIBRARY", 7)
     assert {least: found(least) for least in (0, 60)} == whole
+
+
+def test_registered_permutations(spark, monkeypatch):
+    """The recall queries take the reference's permutations and level: 1,000 for one set, 10,000 and 0.05 for several."""
+    seen = []
+    run, kind = recall.permutation_recall, inspect.signature(recall.joint)
+
+    def spy(*args, **more):
+        bound = inspect.signature(run).bind(*args, **more)
+        bound.apply_defaults()
+        seen.append(bound.arguments["n_perm"])
+        return run(*args, **more)
+
+    monkeypatch.setattr(recall, "permutation_recall", spy)
+    rows = catalog.QUERIES["ml13_recall"](spark, "/root/testdata/sf0.001").collect()
+    assert seen == [1000] and all(abs(r.p_value * 1001 - round(r.p_value * 1001)) < 1e-6 for r in rows)
+    levels, joint = [], recall.joint
+
+    def outer(*args, **more):
+        bound = kind.bind(*args, **more)
+        bound.apply_defaults()
+        levels.append(bound.arguments["alpha"])
+        return joint(*args, **more)
+
+    monkeypatch.setattr(recall, "joint", outer)
+    catalog.QUERIES["ml17_joint_recall"](spark, "/root/testdata/sf0.001").collect()
+    assert seen == [1000, 10_000] and levels == [0.05]
