@@ -69,13 +69,13 @@ def split(d: np.ndarray, lam: float | None = None, mu: float | None = None, rho:
 
 
 def split_matrices(cells: DataFrame, by: str, **settings) -> DataFrame:
-    """``low`` and ``sparse`` of every cell of every matrix (columns by, i, j, v); a task takes one matrix, of at most some thousand labels."""
+    """``low`` and ``sparse`` of every cell of every matrix (columns by, i, j, v), and whether the matrix's split ``converged``; a task takes one matrix, of at most some thousand labels."""
     kind = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="i", columns="j", values="v")
         out = split(wide.to_numpy(float), **settings)
         i, j = np.indices(wide.shape)
-        return pd.DataFrame({by: key[0], "i": wide.index.to_numpy()[i.ravel()], "j": wide.columns.to_numpy()[j.ravel()], "low": out["L"].ravel(), "sparse": out["S"].ravel()})
+        return pd.DataFrame({by: key[0], "i": wide.index.to_numpy()[i.ravel()], "j": wide.columns.to_numpy()[j.ravel()], "low": out["L"].ravel(), "sparse": out["S"].ravel(), "converged": out["converged"]})
 
-    return cells.select(by, "i", "j", "v").groupBy(by).applyInPandas(solve, f"{by} {kind[by]}, i {kind['i']}, j {kind['j']}, low double, sparse double")
+    return cells.select(by, "i", "j", "v").groupBy(by).applyInPandas(solve, f"{by} {kind[by]}, i {kind['i']}, j {kind['j']}, low double, sparse double, converged boolean")

@@ -136,7 +136,7 @@ def mx15_guide_activities(spark, d):
     """Raw and denoised pair tables and single effects, stacked with their names."""
     raw = cells(spark, d)
     out = None
-    for name, m in (("raw", raw), ("pcp", workflows.denoised(raw, most=200))):
+    for name, m in (("raw", raw), ("pcp", workflows.denoised(raw))):
         singles = matrix.singles(m, CONTROL)
         parts = [(f"{name}_pairs", matrix.symmetrise(matrix.guide_pairs(m, CONTROL))), (f"{name}_singles", singles.select(F.col("control").alias("i"), F.col("guide").alias("j"), "v")), (f"{name}_effects", matrix.single_effects(singles).select(F.lit(None).cast("string").alias("i"), F.col("guide").alias("j"), F.col("x").alias("v")))]
         for kind, df in parts:

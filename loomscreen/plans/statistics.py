@@ -235,7 +235,7 @@ def ml04_per_gene_interactions(spark, d):
 @query()
 def mx11_low_rank(spark, d):
     m = dual(spark, d).groupBy("rep", F.col("p1").alias("i"), F.col("p2").alias("j")).agg(F.avg(F.log2(F.col("report") + 10)).alias("v"))
-    return lowrank.split_matrices(m, "rep", most=300)
+    return lowrank.split_matrices(m, "rep")
 
 
 @query()
@@ -253,7 +253,7 @@ def pl08_dual_screen(spark, d):
     """Lineage filter, controls, residuals, activity matrix, low-rank denoising and interactions in one run."""
     from .workflows import standard_dual
 
-    return standard_dual(dual(spark, d), DUAL.with_(samples=("rep",)), prefix=CONTROL, pcp=True, method="per_gene", most=200).interactions
+    return standard_dual(dual(spark, d), DUAL.with_(samples=("rep",)), prefix=CONTROL, pcp=True, method="per_gene").interactions
 
 
 @query()

@@ -7,6 +7,7 @@ the operators named in their own docstrings.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -92,9 +93,11 @@ class DualResult:
 
 
 def denoised(m: DataFrame, **settings) -> DataFrame:
-    """The low-rank part of one matrix, at its observed cells."""
-    low = lowrank.split_matrices(m.withColumn("_m", F.lit(1)), "_m", **settings).select("i", "j", F.col("low").alias("v"))
-    return matrix.masked_as(low, m)
+    """The low-rank part of one matrix, at its observed cells; warns if the split ended before it converged."""
+    parts = settled(lowrank.split_matrices(m.withColumn("_m", F.lit(1)), "_m", **settings), "low_rank")
+    if not parts.where("not converged").isEmpty():
+        warnings.warn("the low-rank split ended before it converged; its best iterate is used", stacklevel=2)
+    return matrix.masked_as(parts.select("i", "j", F.col("low").alias("v")), m)
 
 
 def standard_dual(

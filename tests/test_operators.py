@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomscreen.functions import sequences as sq
 from loomscreen.operators import cluster, counts, lowrank, matching, matrix, models, network, ranks, recall, screen
-from loomscreen.plans import catalog
+from loomscreen.plans import catalog, workflows
 from loomscreen.sources import fastq, genomics, tables
 from loomscreen.spec import ScreenSpec
 
@@ -360,3 +360,22 @@ def test_registered_permutations(spark, monkeypatch):
     monkeypatch.setattr(recall, "joint", outer)
     catalog.QUERIES["ml17_joint_recall"](spark, "/root/testdata/sf0.001").collect()
     assert seen == [1000, 10_000] and levels == [0.05]
+
+
+def test_low_rank_reports_convergence(spark, monkeypatch):
+    """The registered splits keep the operator's limit, and an unfinished split shows."""
+    rows = [(1, f"a{i}", f"b{j}", float(i * j + (i == j) * 5)) for i in range(6) for j in range(6)]
+    m = spark.createDataFrame(rows, "k long, i string, j string, v double")
+    assert {r.converged for r in lowrank.split_matrices(m, "k", most=3).collect()} == {False}
+    with pytest.warns(UserWarning, match="converged"):
+        workflows.denoised(m.drop("k"), most=3).collect()
+    limits, split = [], lowrank.split_matrices
+
+    def spy(cells, by, **settings):
+        limits.append(settings.get("most", 5000))
+        return split(cells, by, **settings)
+
+    monkeypatch.setattr(lowrank, "split_matrices", spy)
+    for name in ("mx11_low_rank", "pl08_dual_screen", "mx15_guide_activities"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert limits == [5000] * 3
