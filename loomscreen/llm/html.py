@@ -9,7 +9,10 @@ gradient ascent on the labelled trees' likelihood; the labelled pages are
 written by a seeded generator in this module that knows every region's role.
 The text of elements whose marginal for content is over one half is returned,
 one block a line.  Forms, scripts, styles, templates and the like never hold
-text of the article, whatever their marginal.
+text of the article, whatever their marginal, nor do elements that their page
+hides: by the attribute hidden, by aria-hidden="true", or by display: none or
+visibility: hidden in their own style (below the latter, visibility: visible
+shows an element again).  Such words in names and labels are left to the model.
 
 Edge cases: null or empty HTML gives an empty text; unclosed, misnested and
 unknown tags are accepted; text outside any tag belongs to the page's root;
@@ -47,6 +50,10 @@ INLINE_FORMAT = frozenset("a abbr b bdi bdo big cite code data del dfn em font i
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|aria-label|itemprop|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I | re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_CONCEALS = re.compile(r"hidden|display|visibility|&", re.I)
+#: What can hold a semicolon inside a style's declaration, and comments.
+_OPAQUE = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'|\([^)]*\)""", re.S)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 
@@ -59,11 +66,32 @@ class Tree:
     parents: list[int] = field(default_factory=list)
     names: list[str] = field(default_factory=list)
     pieces: list[tuple[int, str]] = field(default_factory=list)
+    gone: list[bool] = field(default_factory=list)  # not rendered, with all below
+    visible: list[bool | None] = field(default_factory=list)  # None: as the element around
+
+
+def concealed(attrs: str) -> tuple[bool, bool | None]:
+    """Whether an element with these attributes isn't rendered, and whether it is visible (None: not said)."""
+    if not _CONCEALS.search(attrs):
+        return False, None
+    own: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(attrs):
+        own.setdefault(name.lower(), entities.unescape(a or b or c))
+    style: dict[str, tuple[bool, str]] = {}
+    for declaration in _OPAQUE.sub("", own.get("style", "")).lower().split(";"):
+        name, _, value = declaration.partition(":")
+        value, mark, _ = value.partition("!")
+        # The last declaration of a property counts, important ones first.
+        if bool(mark) >= style.get(name.strip(), (False, ""))[0]:
+            style[name.strip()] = (bool(mark), value.strip())
+    at = style.get("visibility", (False, ""))[1]
+    gone = "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" or style.get("display", (False, ""))[1] == "none"
+    return gone, {"hidden": False, "collapse": False, "visible": True}.get(at)
 
 
 def parse(page: str) -> Tree:
     """The tree of a page; node 0 is the root, BR is kept as a white-space piece."""
-    t = Tree(["#root"], [-1], [""])
+    t = Tree(["#root"], [-1], [""], gone=[False], visible=[None])
     stack = [0]
     tags, parents, names, pieces = t.tags, t.parents, t.names, t.pieces
     at, end, find = 0, len(page), _TOKEN.search
@@ -108,6 +136,9 @@ def parse(page: str) -> Tree:
         tags.append(tag)
         parents.append(stack[-1])
         names.append(" ".join(f"{k} {a or b or c or ''}" for k, a, b, c in _NAMES.findall(attrs)).lower() if len(attrs) > 3 else "")
+        gone, visible = concealed(attrs)
+        t.gone.append(gone)
+        t.visible.append(visible)
         if tag in VOID:
             pieces.append((node, "\n"))
             continue
@@ -243,10 +274,11 @@ def sum_product(f: Forest, score: np.ndarray, pair: np.ndarray) -> tuple[np.ndar
 def text_of(t: Tree, content: np.ndarray) -> str:
     """The content's blocks in page order, joined by newlines."""
     n = len(t.tags)
-    hidden, block, skip = [False] * n, [0] * n, [False] * n
+    hidden, visible, block, skip = [False] * n, [True] * n, [0] * n, [False] * n
     for i in range(n):
         p = t.parents[i]
-        hidden[i] = t.tags[i] in HIDDEN or p >= 0 and hidden[p] or " hidden" in f" {t.names[i]}" and "hidden" in t.names[i].split()
+        hidden[i] = t.tags[i] in HIDDEN or p >= 0 and hidden[p] or t.gone[i]
+        visible[i] = p < 0 or visible[p] if t.visible[i] is None else t.visible[i]
         block[i] = i if t.tags[i] in BLOCK or p < 0 else block[p]
         skip[i] = hidden[i] or not content[i] and t.tags[i] not in INLINE_FORMAT and t.tags[i] not in VOID
         # Inline formatting goes with the element around it.
@@ -259,7 +291,7 @@ def text_of(t: Tree, content: np.ndarray) -> str:
         if here != last:
             blocks.append([])
             last = here
-        if not skip[i]:
+        if visible[i] and not skip[i]:
             blocks[-1].append(text if t.tags[i] not in VOID else " ")
     out = (_SPACE.sub(" ", entities.unescape("".join(b))).strip() for b in blocks)
     return "\n".join(b for b in out if b)

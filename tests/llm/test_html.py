@@ -62,3 +62,14 @@ def test_edges(spark):
     out = sorted((r.page_id, r.n_chars) for r in html.extract(df).collect())
     assert [k for k, _ in out] == [1, 2, 3, 3, 4] and out[0][1] == out[1][1] == 0 and out[4][1] == 499_999
     assert html.extract(df.limit(0)).collect() == []
+
+
+def test_hidden_elements():
+    """Only attributes and styles that hide an element drop it, not the word in names, labels or other values."""
+    shown = ['aria-hidden="false"', "data-hidden", 'data-hidden="true"', 'style="overflow: hidden"', 'style="color: red; overflow:hidden;"', 'class="overflow hidden md:block"', 'aria-label="Hidden gems"', 'id="hidden gems"', 'title="the hidden=true one"', 'style="display: none; display: block"', "style=\"background: url('a;display:none')\""]
+    gone = ["hidden", "HIDDEN=''", 'class="x" hidden', 'hidden="hidden"', 'aria-hidden="true"', "aria-hidden=true", 'style="display:none"', 'style="color:red;DISPLAY : None !important; display: block"', "style='visibility: hidden'"]
+    for names, want in [(x, "Some text.\nMore of it.") for x in shown] + [(x, "Some text.") for x in gone]:
+        t = html.parse(f"<article><p>Some text.</p><div {names}><p>More <b>of</b> it.</p></div></article>")
+        assert html.text_of(t, np.ones(len(t.tags), dtype=bool)) == want, names
+    t = html.parse("<div style='visibility:hidden'>no<p style='visibility:visible'>yes</p></div>")
+    assert html.text_of(t, np.ones(len(t.tags), dtype=bool)) == "yes"
