@@ -5,8 +5,8 @@ byte classes, word lengths and repetitions, its own and those of the lines
 before and after it; transitions tie neighbouring labels.  Forward-backward
 gives each line's probability of being good; a text's score is their mean
 weighted by the lines' bytes.  Training (Adam on the chain's log-likelihood,
-every line carrying its text's label) takes a bounded sample of labelled texts;
-scoring covers every line.
+every line carrying its text's label) takes a bounded sample of labelled texts,
+each whole; scoring covers every line.
 
 Edge cases: a null or empty text counts as one empty line; a null label isn't
 learned; repeated rows are scored alike; an empty table gives an empty result;
@@ -28,10 +28,9 @@ from .batches import arrow, stratified, texts
 from .storage import columns
 from .wordhash import Words, stretches
 
-#: Labelled texts learned from, a label, and the most characters and lines of each.
+#: Labelled texts learned from, a label; bytes of them that features are worked out for at once.
 SAMPLE_TEXTS = 1500
-SAMPLE_CHARS = 20_000
-SAMPLE_LINES = 48
+TRAIN_BYTES = 4 << 20
 STEPS = 300
 #: Words back within which a word counts as repeated.
 NEAR = 6
@@ -138,8 +137,18 @@ class Chain:
         return np.clip(np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1]), 0, 1)
 
 
-def _cut(text: bytes) -> bytes:
-    return b"\n".join(text.split(b"\n", SAMPLE_LINES)[:SAMPLE_LINES])
+def _features(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all lines and the first line of each text, as line_features gives them, some texts at a time."""
+    parts, first, group, size = [], [np.zeros(1, dtype=np.int64)], [], 0
+    for k, t in enumerate(found):
+        group.append(t)
+        size += len(t)
+        if size >= TRAIN_BYTES or k == len(found) - 1:
+            features, _, starts = line_features(group)
+            parts.append(features)
+            first.append(starts[1:] + first[-1][-1])
+            group, size = [], 0
+    return np.concatenate(parts), np.concatenate(first)
 
 
 def train(samples: list[tuple[bytes | None, int]], steps: int = STEPS) -> Chain:
@@ -148,7 +157,7 @@ def train(samples: list[tuple[bytes | None, int]], steps: int = STEPS) -> Chain:
     none = np.zeros(0)
     if len(set(labels.tolist())) < 2:
         return Chain(none, none, none, none, none, prior=float(labels.mean()) if len(labels) else 0.5)
-    features, _, first = line_features([_cut(t or b"") for t, _ in samples])
+    features, first = _features([t or b"" for t, _ in samples])
     lengths = np.diff(first)
     mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-3
     mean[-1], scale[-1] = 0, 1
@@ -181,11 +190,11 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     """Train on about ``per_label`` labelled rows a label (a hash of the key chooses).
 
     The chosen rows are at most 1.5 * per_label a label, so they are broadcast
-    to find their texts.
+    to find their texts, which come to the driver whole.
     """
     rows = columns(labels, key=id_col, label=label_col).where("label is not null and key is not null")
     chosen = stratified(rows.where("label in (0, 1)"), "label", "key", per_label)
-    found = columns(docs, key=id_col, text=text_col).join(F.broadcast(chosen), "key").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "label")
+    found = columns(docs, key=id_col, text=text_col).join(F.broadcast(chosen), "key").select("text", "label")
     return train([((r.text or "").encode(), int(r.label)) for r in found.collect()])
 
 

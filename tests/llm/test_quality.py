@@ -38,3 +38,25 @@ def test_edges(spark):
         got = quality.score(df, chain).collect()
         assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     assert quality.score(df.limit(0), chain).collect() == []
+
+
+def test_label_earned_by_the_tail(spark):
+    """Long texts are learned whole: here they differ after 30,000 characters and 60 lines only."""
+    head = ("plain words stand here, as in any other line of the text. " * 9 + "\n") * 60
+    tails = {0: "| x | y" * 20 + "\n", 1: "a good line ends the text.\n"}
+    rows = [(k, head + tails[k % 2] * 30) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, quality int")
+    chain = quality.learn(docs, labels)
+    good, bad = chain.scores([tails[1].encode() * 30, tails[0].encode() * 30])
+    assert good > 0.9 and bad < 0.1
+
+
+def test_features_in_groups(monkeypatch):
+    found = [b"one line", b"", b"two\nlines\n", b"| x | y\n" * 3, b"end"]
+    want, _, first = quality.line_features(found)
+    for size in (1, 12, 1 << 20):
+        monkeypatch.setattr(quality, "TRAIN_BYTES", size)
+        got, starts = quality._features(found)
+        np.testing.assert_allclose(got, want)
+        assert starts.tolist() == first.tolist()
