@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from loomscreen.llm import bpe, decontam, jaccard, langid, substring
 from loomscreen.llm.storage import stored
 
-#: A document whose language is less probable than this is rejected; texts of mixed languages stay.
-LEAST_SCORE = 0.25
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without a letter, or of no language for sure, go."""
+    """Documents with a letter, and so with a language that is the most probable one; the others go.
+
+    No document is rejected for its score: texts of mixed languages, which stay,
+    score less than junk with letters and texts of languages that aren't learned.
+    """
     net = langid.learn(docs)
-    kept = langid.predict(docs, net, carry=docs.columns).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    kept = langid.predict(docs, net, carry=docs.columns).where(F.col("lang_pred") != langid.UNDETERMINED)
     return kept.select("carried.*")
 
 

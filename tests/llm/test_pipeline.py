@@ -55,3 +55,13 @@ def test_edges(spark):
             at = cp.stored(stage(spark, at, D), "edges")
         assert at.count() == (0 if empty else 2)
     assert cp.near_duplicates(spark, df, D).where(F.col("text").isNull() | (F.col("text") == "")).count() == 3
+
+
+def test_texts_of_six_languages_stay(spark):
+    """Whatever the number of languages, a low score alone rejects nothing; only texts without a letter go."""
+    pools = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+    line = lambda p, k: (" ".join("".join(p[(k * i + i * i + j) % 4] for j in range(2 + (i + k) % 4)) for i in range(200)))[:256]
+    rows = [(100 * n + k, line(p, k) + line(p, k + 1), p) for n, p in enumerate(pools) for k in range(12)]
+    rows += [(9000, "".join(line(p, 3) for p in pools), None), (9001, "12 !?", None), (9002, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in cp.language(spark, df, D).collect()} == {k for k, *_ in rows} - {9001, 9002}
