@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,14 +58,22 @@ def second_guide(x: Column, motifs: tuple[str, ...] = ("CAAAC", "AAAC"), skip: i
     return revcomp(F.coalesce(after_motif(tail, list(motifs), take), fallback))
 
 
+#: Fixed value: the order in which bases are tried.
+TRIED_BASES = "ATCG"
+
+
 def edit_variants(motif: str) -> list[str]:
-    """The motif, then all its single substitutions, deletions and insertions inside it, each once."""
-    bases = "ATCG"
-    out = [motif]
-    out += [motif[:i] + b + motif[i + 1 :] for i in range(len(motif)) for b in bases if b != motif[i]]
-    out += [motif[:i] + motif[i + 1 :] for i in range(1, len(motif) - 1)]
-    out += [motif[:i] + b + motif[i:] for i in range(1, len(motif)) for b in bases]
-    return list(dict.fromkeys(out))
+    """The motif, then what one edit makes of it, each text once and in the order of tries.
+
+    An edit puts a filler in place of ``width`` bases from a place on: a base for
+    a base anywhere, nothing for an inner base, a base between two bases.
+    """
+    n = len(motif)
+    kinds = ((1, range(n), TRIED_BASES), (1, range(1, n - 1), ("",)), (0, range(1, n), TRIED_BASES))
+    tries = {motif: None}
+    for width, places, fillers in kinds:
+        tries |= dict.fromkeys(f"{motif[:at]}{filler}{motif[at + width :]}" for at, filler in product(places, fillers))
+    return list(tries)
 
 
 def tolerant_guide(x: Column, motif: str = "TAAAC", end: str = "CGT", take: int = 20) -> Column:

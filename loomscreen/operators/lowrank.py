@@ -2,70 +2,79 @@
 
 from __future__ import annotations
 
-import time
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def shrink_singular(x: np.ndarray, t: float) -> np.ndarray:
-    """Soft threshold of the singular values."""
+def shrink_singular(x: np.ndarray, t: float) -> tuple[np.ndarray, float]:
+    """Soft threshold of the singular values, and the sum of what is left of them."""
     u, s, v = np.linalg.svd(x, full_matrices=False)
-    return (u * np.maximum(s - t, 0)) @ v
+    s = np.maximum(s - t, 0)
+    return (u * s) @ v, float(s.sum())
 
 
 def shrink(x: np.ndarray, t: float) -> np.ndarray:
     return np.sign(x) * np.maximum(np.abs(x) - t, 0)
 
 
-def shrink_norm(x: np.ndarray, t: float) -> np.ndarray:
-    """Shrink the whole matrix towards 0 by its Frobenius norm."""
+def within_norm(x: np.ndarray, most: float) -> np.ndarray:
+    """The nearest matrix whose Frobenius norm is ``most`` at most."""
     n = np.linalg.norm(x)
-    return x * max(0.0, 1 - t / n) if n > 0 else x
+    return x * (most / n) if n > most else x
+
+
+def shrink_norm(x: np.ndarray, t: float) -> np.ndarray:
+    """What is left of the matrix beyond a Frobenius norm of ``t``."""
+    return x - within_norm(x, t)
+
+
+#: Iterations between looks at the duality gap, and between new weights of the two steps.
+LOOK, WEIGH = 10, 100
 
 
-def split(d: np.ndarray, lam: float | None = None, mu: float | None = None, rho: float = 0.2, most: int = 5000, tol: float = 1e-8, seconds: float = 1800) -> dict:
-    """L + S close to the observed cells of d (NaN: missing) by ADMM with an adaptive step.
+def split(d: np.ndarray, lam: float | None = None, mu: float | None = None, most: int = 5000, tol: float = 1e-8) -> dict:
+    """L + S close to the observed cells of d (NaN: missing).
 
-    Minimises the nuclear norm of L, lam times the absolute sum of S and mu
-    times the Frobenius norm of the misfit over observed cells.
+    Minimises the nuclear norm of L, plus lam times the absolute sum of S, plus
+    mu times the Frobenius norm of the misfit M over observed cells; S is 0
+    elsewhere.  As mu |M| is the largest <Y, M> over |Y| <= mu, this is a saddle
+    point, solved by the primal-dual hybrid gradient method: Y follows the
+    extrapolated misfit, L and S follow -Y.  A scaled Y with a spectral norm of
+    1 and cells of lam at most bounds the optimum from below by -<Y, d>, so the
+    gap certifies the result: ``converged`` means that the value is within
+    ``tol`` of the least one, in proportion.  lam and mu default to 1 / sqrt(rows)
+    and sqrt(columns / 2).
     """
-    n1, n2 = d.shape
-    lam, mu = lam or 1 / np.sqrt(n1), mu or np.sqrt(n2 / 2)
+    lam = 1 / np.sqrt(d.shape[0]) if lam is None else lam
+    mu = np.sqrt(d.shape[1] / 2) if mu is None else mu
     seen = np.isfinite(d)
     d = np.where(seen, d, 0.0)
-    zero = np.zeros_like(d)
-    l2, s2, y1, y2, y3 = zero, zero, zero, zero, zero
-    begin, best, least, idle, converged, it = time.monotonic(), (zero, zero), np.inf, 0, False, 0
+    low, sparse, y = np.zeros_like(d), np.zeros_like(d), np.zeros_like(d)
+    ahead, mark = -d, (low, sparse, y)
+    size = np.linalg.norm(d)
+    # The product of both steps is under 1 / 2, the inverse square of the norm of (L, S) -> L + S.
+    step, weight = 0.7, mu / size if size > 0 else 1.0
+    value = gap = 0.0
+    it = 0
     for it in range(1, most + 1):
-        l1 = shrink_singular(l2 - y1 / rho, 1 / rho)
-        s1 = shrink(s2 - y2 / rho, lam / rho)
-        z = shrink_norm(l2 + s2 - y3 / rho - d, mu / rho) + d
-        l_old, s_old = l2, s2
-        l_in = (2 * l1 - s1 + z + (2 * y1 - y2 + y3) / rho) / 3
-        s_in = (2 * s1 - l1 + z + (2 * y2 - y1 + y3) / rho) / 3
-        l2, s2 = (np.nan_to_num(np.where(seen, a, b), posinf=0, neginf=0) for a, b in ((l_in, l1 + y1 / rho), (s_in, s1 + y2 / rho)))
-        gap = np.where(seen, z - l2 - s2, 0.0)
-        y1, y2, y3 = y1 + rho * (l1 - l2), y2 + rho * (s1 - s2), y3 + rho * gap
-        primal = np.sqrt(np.linalg.norm(l1 - l2) ** 2 + np.linalg.norm(s1 - s2) ** 2 + np.linalg.norm(gap) ** 2)
-        dual = rho * np.sqrt(np.linalg.norm(l2 - l_old) ** 2 + np.linalg.norm(s2 - s_old) ** 2 + np.linalg.norm(np.where(seen, l2 + s2 - l_old - s_old, 0.0)) ** 2)
-        scale = max(np.linalg.norm(d), 1.0)
-        if primal + dual < least * (1 - 1e-6):
-            least, best, idle = primal + dual, ((l1 + l2) / 2, (s1 + s2) / 2), 0
-        else:
-            idle += 1
-        if primal < tol * (1 + scale) and dual < tol * (1 + scale):
-            converged = True
-            break
-        if idle > 200 or time.monotonic() - begin > seconds:
-            break
-        if primal > 5 * dual:
-            rho = min(rho * 1.2, 1e4)
-        elif dual > 5 * primal:
-            rho = max(rho / 1.2, 1e-4)
-    low, sparse = ((l1 + l2) / 2, (s1 + s2) / 2) if converged else best
-    return {"L": low, "S": sparse, "iterations": it, "converged": converged, "primal": float(primal), "dual": float(dual), "seconds": time.monotonic() - begin}
+        y = within_norm(y + step * weight * ahead, mu)
+        before = low + sparse
+        low, nuclear = shrink_singular(low - step / weight * y, step / weight)
+        sparse = np.where(seen, shrink(sparse - step / weight * y, lam * step / weight), 0.0)
+        ahead = np.where(seen, 2 * (low + sparse) - before - d, 0.0)
+        if it % LOOK == 0 or it == most:
+            value = nuclear + lam * np.abs(sparse).sum() + mu * np.linalg.norm(np.where(seen, low + sparse - d, 0.0))
+            scale = max(1.0, np.linalg.norm(y, 2), np.abs(y).max(initial=0.0) / lam)
+            gap = value + float((y * d).sum()) / scale
+            if gap <= tol * max(1.0, value):
+                break
+        if it % WEIGH == 0:
+            moved, pulled = np.hypot(np.linalg.norm(low - mark[0]), np.linalg.norm(sparse - mark[1])), np.linalg.norm(y - mark[2])
+            if min(moved, pulled) > 1e-12:
+                weight = float(np.sqrt(weight * pulled / moved))
+            mark = (low, sparse, y)
+    return {"L": low, "S": sparse, "iterations": it, "converged": bool(gap <= tol * max(1.0, value)), "value": float(value), "gap": float(gap)}
 
 
 def split_matrices(cells: DataFrame, by: str, **settings) -> DataFrame:

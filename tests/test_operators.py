@@ -200,6 +200,31 @@ def test_low_rank_split():
     assert np.abs((out["L"] + out["S"] - d)[seen]).max() < 2
 
 
+def test_low_rank_split_is_optimal():
+    """The subgradient conditions hold at the result, with and without missing cells."""
+    rng = np.random.default_rng(8)
+    for share in (0.0, 0.1):
+        d = np.outer(rng.standard_normal(15), rng.standard_normal(12)) + 0.2 * rng.standard_normal((15, 12))
+        d[rng.integers(0, 15, 8), rng.integers(0, 12, 8)] += 6
+        d[rng.random(d.shape) < share] = np.nan
+        lam, mu = 0.3, 2.0
+        out = lowrank.split(d, lam, mu, tol=1e-10)
+        assert out["converged"]
+        seen = np.isfinite(d)
+        miss = np.where(seen, out["L"] + out["S"] - np.where(seen, d, 0), 0)
+        y = mu * miss / np.linalg.norm(miss)
+        # -y is a subgradient of the nuclear norm at L and of lam times the absolute sum at S.
+        assert np.linalg.norm(y, 2) < 1 + 1e-4 and -(y * out["L"]).sum() == pytest.approx(np.linalg.svd(out["L"], compute_uv=False).sum(), rel=1e-4)
+        assert np.abs(y).max() < lam + 1e-4 and -(y * out["S"]).sum() == pytest.approx(lam * np.abs(out["S"]).sum(), rel=1e-4)
+        assert not out["S"][~seen].any()
+
+
+def test_shrinking():
+    x = np.array([[3.0, 0.0], [0.0, 4.0]])
+    assert np.allclose(lowrank.shrink_norm(x, 1.0), x * 0.8) and not lowrank.shrink_norm(x, 6.0).any()
+    assert np.allclose(lowrank.shrink_singular(x, 3.5)[0], [[0, 0], [0, 0.5]])
+
+
 def naive_linkage(d):
     groups = {i: [i] for i in range(len(d))}
     heights = []
