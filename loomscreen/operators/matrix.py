@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,11 +81,15 @@ def single_effects(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("guide").agg(F.avg("v").alias("x"))
 
 
+def joint_value(x1: Column, x2: Column, a: float, b: float, c: float) -> Column:
+    """a (x1^2 + x2^2) + b (x1 + x2) + c x1 x2."""
+    return F.lit(a) * (x1 * x1 + x2 * x2) + F.lit(b) * (x1 + x2) + F.lit(c) * x1 * x2
+
+
 def expected_joint(effects: DataFrame, a: float, b: float, c: float) -> DataFrame:
-    """a (x1^2 + x2^2) + b (x1 + x2) + c x1 x2 for every pair of guides."""
+    """The joint surface's value for every pair of guides: the full grid is the result."""
     left, right = effects.select(F.col("guide").alias("i"), F.col("x").alias("x1")), effects.select(F.col("guide").alias("j"), F.col("x").alias("x2"))
-    x1, x2 = F.col("x1"), F.col("x2")
-    return left.crossJoin(right).select("i", "j", (F.lit(a) * (x1 * x1 + x2 * x2) + F.lit(b) * (x1 + x2) + F.lit(c) * x1 * x2).alias("v"))
+    return left.crossJoin(right).select("i", "j", joint_value(F.col("x1"), F.col("x2"), a, b, c).alias("v"))
 
 
 def z_of_all(m: DataFrame) -> DataFrame:
@@ -116,11 +124,38 @@ def spearman(m: DataFrame) -> DataFrame:
 
 
 def kendall(m: DataFrame) -> DataFrame:
-    """a < b and Kendall's tau-b over their shared columns."""
+    """a < b and Kendall's tau-b over their shared columns.
+
+    A group is one pair of rows, as long as the matrix is wide; its pairs of
+    columns are counted by sorting, not made.
+    """
+
+    def tau(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[["a", "b"]].iloc[:1].assign(v=tau_b(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)))
+
     p = _pairs(m)
-    q = p.select("a", "b", F.col("j").alias("k"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    s = p.join(q, ["a", "b"]).where("j < k").selectExpr("a", "b", "sign(x - x2) as sx", "sign(y - y2) as sy")
-    return s.groupBy("a", "b").agg(F.try_divide(F.sum(F.col("sx") * F.col("sy")), F.sqrt(F.sum(F.col("sx") * F.col("sx")) * F.sum(F.col("sy") * F.col("sy")))).alias("v"))
+    kind = p.schema["a"].dataType.simpleString()
+    return p.groupBy("a", "b").applyInPandas(tau, f"a {kind}, b {kind}, v double")
+
+
+def _tied(*values: np.ndarray) -> int:
+    """Pairs of places that are equal in all of the arrays."""
+    _, n = np.unique(np.stack(values), axis=1, return_counts=True)
+    return int((n * (n - 1) // 2).sum())
+
+
+def tau_b(x: np.ndarray, y: np.ndarray) -> float | None:
+    """Kendall's tau-b; None where either side is constant."""
+    every, tied_x, tied_y, tied = len(x) * (len(x) - 1) // 2, _tied(x), _tied(y), _tied(x, y)
+    if every in (tied_x, tied_y):
+        return None
+    below: list[float] = []
+    discordant = 0
+    for value in y[np.lexsort((y, x))].tolist():
+        at = bisect_right(below, value)
+        discordant += len(below) - at
+        below.insert(at, value)
+    return (every - tied_x - tied_y + tied - 2 * discordant) / float(np.sqrt(float(every - tied_x) * float(every - tied_y)))
 
 
 def as_square(pairs: DataFrame, diagonal: float = 1.0) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import settled
 from ..spec import ScreenSpec
-from .matrix import expected_joint, mean_of, single_effects
+from .matrix import joint_value, mean_of, single_effects
 from .screen import with_scalars
 
 
@@ -134,8 +134,13 @@ def joint_surface(pairs: DataFrame, effects: DataFrame) -> tuple[DataFrame, np.n
     data = rows.where("i <= j and v is not null").select("i", "j", "xi", "xj", "v").orderBy("i", "j").toPandas()
     a, b = data["xi"].to_numpy(float), data["xj"].to_numpy(float)
     fit = huber_concomitant(np.column_stack([a**2 + b**2, a + b, a * b]), data["v"].to_numpy(float)) if len(data) else np.zeros(3)
-    expected = expected_joint(effects, *map(float, fit)).withColumnRenamed("v", "e")
-    return pairs.join(expected, ["i", "j"]).select("i", "j", (F.col("v") - F.col("e")).alias("v")), fit
+    return rows.select("i", "j", (F.col("v") - joint_value(F.col("xi"), F.col("xj"), *map(float, fit))).alias("v")), fit
+
+
+def huber_loss(r: Column, delta: float) -> Column:
+    """Half the square up to ``delta``, linear beyond."""
+    a = F.abs(r)
+    return F.when(a <= delta, 0.5 * r * r).otherwise(delta * (a - 0.5 * delta))
 
 
 def _huber(r: np.ndarray, delta: float) -> float:

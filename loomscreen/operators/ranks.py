@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import erfc
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from ..sources.scratch import settled
+from . import running
 
 
 @F.pandas_udf(DoubleType())
@@ -27,27 +30,28 @@ def average_rank(value: str, *by: str) -> Column:
 def mann_whitney(df: DataFrame, group: str, value: str, controls: DataFrame) -> DataFrame:
     """Each group against each control group: u, cles, rbc, z (tie- and continuity-corrected) and p.
 
-    ``controls`` has the same columns.  Ranks aren't made for each pair of
-    groups anew: for every value the numbers of lesser and equal controls come
-    from one cumulative table of the control group's values, so the work is the
-    groups' distinct values times the controls, not the pairs of rows.
+    ``controls`` has the same columns.  For a control group its values and all
+    groups' values stand in one order, dealt in ranges, so the numbers of lesser
+    and equal controls come from one running sum, whatever the groups' number.
+    The ties' sum is the controls' own plus a correction at the group's values.
     """
     x = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("x")).agg(F.count("*").alias("n"))
     y = controls.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("c"), F.col(value).alias("x")).agg(F.count("*").alias("m"))
-    # Union of a pair's values: groups' values meet every control group's.
-    names = y.select("c").distinct()
-    gs = x.select("g").distinct()
-    a = x.crossJoin(F.broadcast(names)).select("g", "c", "x", "n", F.lit(0).cast("long").alias("m"))
-    b = gs.join(y, how="cross").select("g", "c", "x", F.lit(0).cast("long").alias("n"), "m")
-    both = a.unionByName(b).groupBy("g", "c", "x").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    below = F.coalesce(F.sum("m").over(Window.partitionBy("g", "c").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = F.col("n") + F.col("m")
-    out = both.withColumn("below", below).groupBy("g", "c").agg(
-        F.sum("n").cast("double").alias("n1"), F.sum("m").cast("double").alias("n2"), F.sum(F.col("n") * (F.col("below") + F.col("m") / 2.0)).alias("u"), F.sum((t * t * t - t).cast("double")).alias("ties")
-    )
+    triple = lambda t: t.cast("double") * t * t - t
+    y = settled(y, "controls")
+    names = y.groupBy(F.col("c").alias("_c")).agg(F.sum("m").cast("double").alias("n2"), F.sum(triple(F.col("m"))).alias("own"))
+    a = x.crossJoin(F.broadcast(names.select(F.col("_c").alias("c")))).select("c", "x", "g", "n", F.lit(0).cast("long").alias("m"), F.lit(True).alias("asks"))
+    b = y.select("c", "x", F.lit(None).cast(x.schema["g"].dataType).alias("g"), F.lit(0).cast("long").alias("n"), "m", F.lit(False).alias("asks"))
+    rows = running.carried(running.ranged(a.unionByName(b), "c", "x"), ["c"], {"before": (F.sum("m"), F.sum)})
+    here = Window.partitionBy("c", running.RANGE)
+    equal = F.sum("m").over(Window.partitionBy("c", running.RANGE, "x"))
+    rows = rows.withColumn("equal", equal).withColumn("below", F.sum("m").over(here.orderBy("x").rangeBetween(Window.unboundedPreceding, 0)) - F.col("equal") + F.coalesce("before", F.lit(0)))
+    out = rows.where("asks").groupBy("g", "c").agg(
+        F.sum("n").cast("double").alias("n1"), F.sum(F.col("n") * (F.col("below") + F.col("equal") / 2.0)).alias("u"), F.sum(triple(F.col("n") + F.col("equal")) - triple(F.col("equal"))).alias("more")
+    ).join(F.broadcast(names), F.col("c").eqNullSafe(F.col("_c"))).drop("_c")
     n1, n2, u = F.col("n1"), F.col("n2"), F.col("u")
     n, full = n1 + n2, n1 * n2
-    sigma = F.sqrt(full / 12 * (n + 1 - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0))))
+    sigma = F.sqrt(full / 12 * (n + 1 - F.coalesce(F.try_divide(F.col("own") + F.col("more"), n * (n - 1)), F.lit(0.0))))
     least = F.least(u, full - u)
     # The continuity correction doesn't turn the sign: p is 1 at most.
     z = F.when((sigma > 0) & (n > 1), F.greatest(F.abs(least - full / 2) - 0.5, F.lit(0.0)) / sigma).otherwise(0.0)
@@ -55,12 +59,20 @@ def mann_whitney(df: DataFrame, group: str, value: str, controls: DataFrame) ->
 
 
 def bh_adjust(df: DataFrame, p: str, name: str, *by: str) -> DataFrame:
-    """Benjamini-Hochberg: the least of p * n / rank over all ranks from a row's on; nulls stay null."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    rows = df.where(F.col(p).isNotNull())
-    rank = F.row_number().over(w.orderBy(p))
-    rows = rows.withColumn("_r", rank).withColumn("_n", F.count("*").over(w))
-    rows = rows.withColumn(name, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(w.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)))).drop("_r", "_n")
+    """Benjamini-Hochberg: the least of p * n / rank over all ranks from a row's on; nulls stay null.
+
+    Ranks and minima run over ranges of the order, so one large set of tests isn't sorted in one task.
+    """
+    rows = running.ranged(df.where(F.col(p).isNotNull()), *by, p)
+    rows = running.carried(rows, [*by], {"_before": (F.count("*"), F.sum)})
+    sizes = rows.groupBy(*(F.col(c).alias(f"_set_{c}") for c in by)).agg(F.count("*").alias("_n"))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_set_{c}")) for c in by), F.lit(True))
+    part = Window.partitionBy(*by, running.RANGE)
+    rank = F.row_number().over(part.orderBy(running.PLACE)) + F.coalesce("_before", F.lit(0))
+    rows = rows.withColumn("_r", rank).join(sizes, same).drop(*(f"_set_{c}" for c in by)).withColumn("_q", F.col(p) * F.col("_n") / F.col("_r"))
+    rows = running.carried(rows, [*by], {"_later": (F.min("_q"), F.min)}, last_first=True)
+    here = F.min("_q").over(part.orderBy(F.desc(running.PLACE)).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn(name, F.least(F.lit(1.0), here, F.col("_later"))).select(*df.columns, name)
     return rows.unionByName(df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 

@@ -36,8 +36,10 @@ def with_representation(df: DataFrame, rep: DataFrame, keys: list[str]) -> DataF
 def lineage_shares(df: DataFrame, spec: ScreenSpec) -> DataFrame:
     """For each lineage and transcript, its share of the guide's total; null where that is 0."""
     sums = present(df, spec.lineage).groupBy(*spec.lineage).agg(*(F.coalesce(F.sum(t).cast("double"), F.lit(0.0)).alias(t) for t in spec.transcripts))
-    by_guide = Window.partitionBy(*spec.guides)
-    return sums.select(*spec.lineage, *(F.try_divide(F.col(t), F.sum(t).over(by_guide)).alias(f"share_{t}") for t in spec.transcripts))
+    sums = settled(sums, "lineages")
+    # A sum and a join, not a window: a guide with many lineages is summed before the shuffle, and its join can be split.
+    totals = sums.groupBy(*spec.guides).agg(*(F.sum(t).alias(f"all_{t}") for t in spec.transcripts))
+    return sums.join(totals, list(spec.guides)).select(*spec.lineage, *(F.try_divide(F.col(t), F.col(f"all_{t}")).alias(f"share_{t}") for t in spec.transcripts))
 
 
 def filter_lineages(df: DataFrame, spec: ScreenSpec, floor: float | None = 0.05) -> DataFrame:
@@ -45,6 +47,7 @@ def filter_lineages(df: DataFrame, spec: ScreenSpec, floor: float | None = 0.05)
 
     A lineage is kept if each share is under the mean plus three standard
     deviations of all shares (null as 0), or under ``floor`` if that is more.
+    The rows are read twice: settle them first if they are costly to make.
     """
     shares = settled(lineage_shares(df, spec), "shares")
     names = [f"share_{t}" for t in spec.transcripts]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.sequences import ratio
+from . import running
 from .matrix import mean_of
 
 
@@ -52,8 +53,10 @@ def running_enrichment(ranked: DataFrame, genes: DataFrame) -> DataFrame:
 
     x = with_scalars(marked, F.sum(F.when(F.col("hit"), F.abs("weight"))).alias("_w"), F.count_if(~F.col("hit")).alias("_m"))
     step = F.when(F.col("hit"), F.try_divide(F.abs("weight"), "_w")).otherwise(-F.try_divide(F.lit(1.0), "_m"))
-    w = Window.orderBy(F.desc("weight"), "gene").rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("es", F.sum(step).over(w)).select("gene", "weight", "hit", "es")
+    rows = running.ranged(x.withColumn("_step", step).withColumn("_falling", -F.col("weight")), "_falling", "gene")
+    here = Window.partitionBy(running.RANGE).orderBy(running.PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    rows = running.carried(rows, [], {"_before": (F.sum("_step"), F.sum)})
+    return rows.withColumn("es", F.sum("_step").over(here) + F.coalesce("_before", F.lit(0.0))).select("gene", "weight", "hit", "es")
 
 
 __all__ = ["histogram", "mean_of", "mean_sem", "running_enrichment", "term_edges", "term_table", "top_percent"]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators import matrix, models, screen
-from ..sources import tables
+from ..operators import matrix, models, ranks, screen
+from ..sources import fastq, stored, tables
 from ..sources.scratch import folder, settled
-from .analogs import CONTROL, cells, dual, query, read
+from . import workflows
+from .analogs import CONTROL, DUAL, cells, dual, query, read, reads
 
 
 def wrapped(x: Column, width: int) -> Column:
@@ -57,7 +58,7 @@ def snk4_kept_records(spark, d):
 
 @query("SELECT row_number() OVER (ORDER BY n_nationkey) AS idx, n_name FROM nation")
 def snk2_csv_with_index(spark, d):
-    from ..sources.fastq import numbered
+    from ..operators.running import numbered
 
     path = folder(spark, "indexed")
     tables.write_table(numbered(read(spark, d, "nation"), "n_nationkey", "idx").select("idx", "n_name"), path)
@@ -106,3 +107,90 @@ def vz7_query_fit_table(spark, d):
     rows = pairs.join(resid, ["i", "j"]).withColumn("expected", F.col("v") - F.col("resid"))
     s = rows.groupBy("i").agg(F.stddev_pop("resid").alias("sigma"))
     return rows.join(s, "i").withColumn("z", F.try_divide("resid", "sigma"))
+
+
+@query("SELECT event_type AS kind, event_id % 97 AS gene, count(*) AS n FROM events WHERE user_id % 3 = 0 GROUP BY ALL")
+def src6_cell_population(spark, d):
+    """A population stored and opened again: some cells' counts, summed by kind."""
+    e = reads(spark, d)
+    kind = e.select(F.concat_ws("/", "kind", F.col("cell").cast("string")).alias("cell"), "kind", F.col("cell").alias("user")).distinct()
+    counts = e.groupBy(F.concat_ws("/", "kind", F.col("cell").cast("string")).alias("cell"), F.col("umi").alias("gene")).agg(F.count("*").alias("n"))
+    path = folder(spark, "population")
+    stored.Population(kind, counts.select("gene").distinct(), counts).save(path)
+    return stored.Population.load(spark, path).where("user % 3 = 0").per_group("kind")
+
+
+@query("SELECT p1, p2, count(DISTINCT (barcode, rep)) AS n_lineages, round(sum(report), 2) AS total FROM dual GROUP BY ALL", "dual")
+def src7_stored_screen(spark, d):
+    """A screen stored and opened again, its roles with it."""
+    path = folder(spark, "screen")
+    stored.save_screen(path, DUAL, molecules=dual(spark, d))
+    spec, found = stored.load_screen(spark, path, "molecules")
+    lineages = found["molecules"].groupBy(*spec.lineage).agg(F.sum(spec.reporter).alias("s"))
+    return lineages.groupBy(*spec.guides).agg(F.count("*").alias("n_lineages"), F.round(F.sum("s"), 2).alias("total"))
+
+
+@query("SELECT r_name AS name, r_regionkey % 2 = 1 AS raised FROM region")
+def src17_header_check(spark, d):
+    """Which of several files raises: each has one record, with a proper header for even keys only."""
+    found = []
+    for name, key in read(spark, d, "region").select("r_name", "r_regionkey").collect():
+        path = folder(spark, "header")
+        spark.createDataFrame([(f"{'' if key % 2 else '@'}{name}\nACGT\n+\nIIII",)], "value string").coalesce(1).write.text(path)
+        try:
+            fastq.records(spark, path).collect()
+            found.append((name, False))
+        except Exception as e:
+            if "doesn't start with @" not in str(e):
+                raise
+            found.append((name, True))
+    return spark.createDataFrame(found, "name string, raised boolean")
+
+
+@query("SELECT concat('s=', n_regionkey) AS sample FROM nation GROUP BY 1")
+def src18_sample_folders(spark, d):
+    """The folders of a listing, each a sample."""
+    path = folder(spark, "samples")
+    read(spark, d, "nation").select("n_name", F.col("n_regionkey").alias("s")).write.partitionBy("s").csv(path)
+    return tables.samples(spark, f"{path}/*/*.csv")
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+SELECT a.vec_id, round(sqrt(list_sum(list_transform(a.e, lambda x: x * x))), 6) AS norm, round(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS to_next
+FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""")
+def mt12_norms_and_distances(spark, d):
+    v = read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("o")), "vec_id")
+    size = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda acc, c: acc + c * c))
+    return both.select("vec_id", F.round(size(F.col("e")), 6).alias("norm"), F.round(size(F.zip_with("e", "o", lambda a, b: a - b)), 6).alias("to_next"))
+
+
+@query("SELECT o_orderkey, CAST(floor(log10(o_totalprice)) AS BIGINT) AS exponent, CAST(floor(o_totalprice * 5 / 100) AS BIGINT) AS tail FROM orders WHERE o_totalprice > 0")
+def mt14_floors(spark, d):
+    """Powers of ten, and the size of a tail of 5 per cent."""
+    price = F.col("o_totalprice")
+    return read(spark, d, "orders").where(price > 0).select("o_orderkey", F.floor(F.log10(price)).alias("exponent"), F.floor(price * 5 / 100).alias("tail"))
+
+
+@query("""WITH e AS (SELECT user_id, value - 50 AS r FROM events WHERE value IS NOT NULL)
+SELECT user_id, round(sum(CASE WHEN abs(r) <= 1.35 THEN 0.5 * r * r ELSE 1.35 * (abs(r) - 0.5 * 1.35) END), 4) AS loss FROM e GROUP BY 1""")
+def mt11_huber_loss(spark, d):
+    r = F.col("value") - 50
+    return read(spark, d, "events").where("value is not null").groupBy("user_id").agg(F.round(F.sum(models.huber_loss(r, 1.35)), 4).alias("loss"))
+
+
+@query("SELECT p1, p2, count(DISTINCT barcode) AS n_lineages FROM dual GROUP BY ALL", "dual")
+def pl5_other_lineage_columns(spark, d):
+    """Lineages without the replicate, by a changed spec."""
+    spec = DUAL.with_(rep=None)
+    return workflows.counts.measurement_counts(dual(spark, d), list(spec.guides), spec.lineage)
+
+
+@query("""WITH g AS (SELECT DISTINCT p1, p2, barcode, rep FROM dual), r AS (SELECT n_name AS p1, n_nationkey / 100.0 AS repr FROM nation)
+SELECT p1, p2, count(*) AS n_lineages, any_value(coalesce(repr, 0)) AS repr FROM g LEFT JOIN r USING (p1) GROUP BY ALL""", "dual")
+def pl9_opened_screen(spark, d):
+    """Validated rows, merged with a representation, and their measurement counts."""
+    rep = read(spark, d, "nation").select(F.col("n_name").alias("p1"), (F.col("n_nationkey") / 100.0).alias("repr"))
+    rows = screen.with_representation(workflows.validate(dual(spark, d), DUAL), rep, ["p1"])
+    n = workflows.counts.measurement_counts(rows, list(DUAL.guides), DUAL.lineage)
+    return n.join(rows.groupBy(*DUAL.guides).agg(F.first("repr").alias("repr")), list(DUAL.guides))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import sequences as sq
-from ..operators import counts, screen
+from ..operators import counts, running, screen
 from ..sources.scratch import settled
 from .analogs import CONTROL, DUAL, dual, query, read, reads, single
 
@@ -25,7 +25,7 @@ c AS (SELECT avg(reporter) FILTER (control) AS mu, stddev_samp(reporter) FILTER
 SELECT p1, p2, control, round((reporter - mu) / nullif(sd, 0), 6) AS reporter_z FROM m, c""", "dual")
 def p0_screen_hits(spark, d):
     """Lineage filter, control pairs, mean log2 reporter of each pair, z-score against controls."""
-    rows = screen.log_transform(screen.filter_lineages(dual(spark, d), DUAL), ["report"])
+    rows = screen.log_transform(screen.filter_lineages(settled(dual(spark, d), "molecules"), DUAL), ["report"])
     rows = screen.set_control(rows, ["p1", "p2"], CONTROL)
     means = settled(rows.groupBy("p1", "p2", "control").agg(F.avg("log2_report").alias("reporter")), "means")
     return screen.control_z(means, "reporter", "z").select("p1", "p2", "control", r6(F.col("z"), "reporter_z"))
@@ -37,7 +37,7 @@ th AS (SELECT avg(coalesce(ra, 0)) + 3 * stddev_samp(coalesce(ra, 0)) AS ta, avg
 kept AS (SELECT p1, p2, barcode, rep FROM sh, th WHERE ra < ta AND rb < tb)
 SELECT p1, count(*) AS n, round(sum(report), 2) AS total FROM dual d WHERE EXISTS (SELECT 1 FROM kept k WHERE k.p1 = d.p1 AND k.p2 = d.p2 AND k.barcode = d.barcode AND k.rep = d.rep) GROUP BY p1""", "dual")
 def pl01_lineage_filter_no_floor(spark, d):
-    return screen.filter_lineages(dual(spark, d), DUAL, floor=None).groupBy("p1").agg(F.count("*").alias("n"), F.round(F.sum("report"), 2).alias("total"))
+    return screen.filter_lineages(settled(dual(spark, d), "molecules"), DUAL, floor=None).groupBy("p1").agg(F.count("*").alias("n"), F.round(F.sum("report"), 2).alias("total"))
 
 
 @query("SELECT rep, p2, ident FROM dual", "dual")
@@ -290,10 +290,8 @@ def jn19_either_orientation(spark, d):
 
 @query("SELECT a.rn, a.name AS first, b.name AS second FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS rn, c_name AS name FROM customer) a JOIN (SELECT row_number() OVER (ORDER BY p_partkey) AS rn, p_name AS name FROM part) b USING (rn)")
 def jn20_by_position(spark, d):
-    from ..sources import fastq
-
-    a = fastq.numbered(read(spark, d, "customer").select("c_custkey", F.col("c_name").alias("first")), "c_custkey", "rn")
-    b = fastq.numbered(read(spark, d, "part").select("p_partkey", F.col("p_name").alias("second")), "p_partkey", "rn")
+    a = running.numbered(read(spark, d, "customer").select("c_custkey", F.col("c_name").alias("first")), "c_custkey", "rn")
+    b = running.numbered(read(spark, d, "part").select("p_partkey", F.col("p_name").alias("second")), "p_partkey", "rn")
     return a.join(b, "rn").select(F.col("rn"), "first", "second")
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
-from ..operators import counts
-from ..sources import fastq, genomics
+from ..operators import counts, running
+from ..sources import genomics
 from .analogs import query, read, reads, sequences, single
 
 RC = "reverse(translate({0}, 'ATGC', 'TACG'))"
@@ -148,7 +148,7 @@ def snk5_fastq_text(spark, d):
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rec_no FROM customer")
 def src8_record_numbers(spark, d):
-    return fastq.numbered(read(spark, d, "customer").select("c_custkey"), "c_custkey")
+    return running.numbered(read(spark, d, "customer").select("c_custkey"), "c_custkey")
 
 
 _VCF = "concat_ws(chr(9), 'chr' || (user_id % 5), event_id, event_type, 'N', '.', '60', 'PASS', concat('SVTYPE=', CASE event_type WHEN 'click' THEN 'DEL' WHEN 'view' THEN 'INS' ELSE 'DUP' END, ';SUPPORT=', 1 + event_id % 9, ';RNAMES=r', event_id % 300, ',r', event_id % 211))"

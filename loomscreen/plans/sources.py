@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
-from ..operators import matrix, recall, screen, views
+from ..operators import matrix, recall, running, screen, views
 from ..sources import fastq, tables
 from ..sources.scratch import folder
 from . import workflows
@@ -101,7 +101,7 @@ def snk3_appended_chunks(spark, d):
 @query()
 def pl10_process_reads(spark, d):
     """Guides, barcodes and molecules called from one analog read of each kind."""
-    s = fastq.numbered(sequences(spark, d), "doc_id").select("rec_no", "seq")
+    s = running.numbered(sequences(spark, d), "doc_id").select("rec_no", "seq")
     library = s.select(sq.tolerant_guide(F.col("seq")).alias("identity")).where("identity <> ''").distinct()
     barcodes = s.select(sq.revcomp(F.substring("seq", 1, 25)).alias("barcode")).distinct()
     return workflows.process_reads(s, s, s, s.withColumn("seq", F.substring("seq", 1, 20)), library, barcodes, least=60)

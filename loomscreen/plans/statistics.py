@@ -150,6 +150,13 @@ def mx7_spearman(spark, d):
     return x.select("a", "b", r6(F.when(~F.isnan("v"), F.col("v")), "v"))
 
 
+@query("""WITH p AS (SELECT a.i AS a, b.i AS b, j, a.v AS x, b.v AS y FROM cells a JOIN cells b USING (j) WHERE a.i < b.i), l AS (SELECT DISTINCT a, b FROM p),
+s AS (SELECT p.a, p.b, sign(p.x - q.x) AS sx, sign(p.y - q.y) AS sy FROM p JOIN p q ON p.a = q.a AND p.b = q.b AND p.j < q.j)
+SELECT l.a, l.b, round(sum(sx * sy) / nullif(sqrt(CAST(sum(sx * sx) AS DOUBLE) * sum(sy * sy)), 0), 6) AS v FROM l LEFT JOIN s ON l.a = s.a AND l.b = s.b GROUP BY ALL""", "cells")
+def mx7_kendall(spark, d):
+    return matrix.kendall(cells(spark, d)).select("a", "b", r6("v", "v"))
+
+
 @query("SELECT i, j, round(sign(v) * greatest(abs(v) - 15, 0), 6) AS v FROM cells", "cells")
 def mx9_soft_threshold(spark, d):
     return cells(spark, d).select("i", "j", F.round(matrix.soft(F.col("v"), 15.0), 6).alias("v"))

@@ -6,31 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def numbered(df: DataFrame, order: str, name: str = "rec_no") -> DataFrame:
-    """Rows numbered 1, 2, ... in the order of a column, without gathering them in one task.
-
-    Range partitions are sorted and counted; each adds the rows before it.
-    """
-    # A fixed number of partitions, so both uses below see the same ones.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
-    start = F.col("_p").cast("long") * F.lit(1 << 33)
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return ranged.join(F.broadcast(before), "_p").withColumn(name, F.col("_m") - start + F.col("_b") + 1).drop("_p", "_m", "_b")
+from .scratch import settled
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """file, rec_no, name, seq, qual of every record of the (gzipped) files at ``path``.
 
-    A whole file's lines stay in their order in a partition: gzip isn't
-    splittable, and plain files' splits are ordered by their place, so a
-    record's number follows from its line's.  A record whose header lacks '@' raises.
+    Lines are written once with their split and their place in it.  A split's
+    lines before it come from the splits' counts, so a file is never sorted or
+    numbered in one task; a gzipped file is one split, as it can't be read from
+    its middle.  A record whose header lacks '@' raises.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("m"))
-    w = Window.partitionBy("file").orderBy("at", "m")
-    n = lines.withColumn("line", F.row_number().over(w) - 1)
+    place = {"file": F.col("_metadata.file_path"), "at": F.col("_metadata.file_block_start"), "m": F.monotonically_increasing_id()}
+    lines = settled(spark.read.text(path).withColumns(place), "lines")
+    splits = lines.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("m").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "at", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    n = lines.join(splits, ["file", "at"]).withColumn("line", F.col("m") + F.col("shift"))
     rec = n.groupBy("file", F.floor(F.col("line") / 4).alias("rec_no")).agg(*(F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(c) for k, c in enumerate(("header", "seq", "plus", "qual"))))
     bad = F.raise_error(F.concat(F.lit("a record's header doesn't start with @: "), F.coalesce("header", F.lit(""))))
     name = F.when(F.col("header").startswith("@"), F.substring(F.col("header"), 2, 1 << 20)).otherwise(bad.cast("string"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomscreen.functions import sequences as sq
-from loomscreen.operators import cluster, counts, lowrank, matching, matrix, models, network, ranks, recall, screen
+from loomscreen.operators import cluster, counts, lowrank, matching, matrix, models, network, ranks, recall, running, screen
 from loomscreen.plans import catalog, workflows
 from loomscreen.sources import fastq, genomics, tables
 from loomscreen.spec import ScreenSpec
@@ -225,6 +225,55 @@ def test_shrinking():
     assert np.allclose(lowrank.shrink_singular(x, 3.5)[0], [[0, 0], [0, 0.5]])
 
 
+def test_numbers_of_many_rows(spark):
+    """Each number once and in order, whatever columns come along, over sampled ranges."""
+    rows = spark.range(0, 150_000, 1, 7).select(((F.col("id") * 7919) % 150_000).alias("k"), F.repeat(F.lit("x"), F.col("id").cast("int") % 50).alias("a"), F.rand(1).alias("b"))
+    for df in (rows, rows.select("k"), rows.select("k", "a")):
+        got = running.numbered(df, "k", "n")
+        assert got.columns == [*df.columns, "n"]
+        assert got.agg(F.count("*"), F.count_distinct("n"), F.max(F.abs(F.col("n") - F.col("k") - 1))).first() == (150_000, 150_000, 0)
+    assert running.numbered(rows.limit(0), "k").count() == 0
+    tied = running.numbered(rows.select((F.col("k") % 3).alias("k")), "k", "n")
+    assert tied.agg(F.count_distinct("n"), F.max("n")).first() == (150_000, 150_000)
+
+
+def test_ranks_over_many_ranges(spark):
+    """Running sums over ranges equal whole windows."""
+    rng = np.random.default_rng(9)
+    p = rng.random(3000).round(3)
+    df = spark.createDataFrame([(int(i % 2), float(x)) for i, x in enumerate(p)], "g int, p double")
+    for by, groups in (([], [p]), (["g"], [p[::2], p[1::2]])):
+        want = []
+        for x in groups:
+            order = np.argsort(x, kind="stable")
+            q = np.minimum.accumulate((x[order] * len(x) / np.arange(1, len(x) + 1))[::-1])[::-1]
+            want += list(zip(x[order].tolist(), np.minimum(q, 1).tolist(), strict=True))
+        got = sorted((r.p, r.q) for r in ranks.bh_adjust(df, "p", "q", *by).collect())
+        assert np.allclose(np.array(got), np.array(sorted(want)))
+    x = spark.createDataFrame([(f"g{i % 5}", float(v)) for i, v in enumerate(rng.integers(0, 40, 1500))], "k string, x double")
+    of = {k: np.array([r.x for r in x.where(F.col("k") == k).collect()]) for k in (f"g{i}" for i in range(5))}
+    for r in ranks.mann_whitney(x, "k", "x", x.where("k in ('g0', 'g3')")).collect():
+        a, b = of[r.g], of[r.c]
+        assert r.u == ((a[:, None] > b[None]).sum() + 0.5 * (a[:, None] == b[None]).sum())
+        _, t = np.unique(np.concatenate([a, b]), return_counts=True)
+        n = len(a) + len(b)
+        sigma = np.sqrt(len(a) * len(b) / 12 * (n + 1 - (t.astype(float) ** 3 - t).sum() / (n * (n - 1))))
+        assert r.z == pytest.approx(max(abs(min(r.u, len(a) * len(b) - r.u) - len(a) * len(b) / 2) - 0.5, 0) / sigma)
+
+
+def test_records_of_split_files(spark, tmp_path):
+    """Records of a plain file that is read in many splits."""
+    lines = [f"@r{k}\nACGT{k}\n+\nIIII{k}\n" for k in range(20_000)]
+    (tmp_path / "big.fastq").write_text("".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        got = fastq.records(spark, f"{tmp_path}/big.fastq").orderBy("rec_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r.rec_no, r.name, r.seq, r.qual) for r in got] == [(k, f"r{k}", f"ACGT{k}", f"IIII{k}") for k in range(20_000)]
+
+
 def naive_linkage(d):
     groups = {i: [i] for i in range(len(d))}
     heights = []
