@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of rows that Spark sends to a worker at once.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
 #: Bytes of text that a worker handles at once; a longer text is handled alone.
 PART_BYTES = 4 << 20
 
@@ -33,7 +34,7 @@ def tidied(run: Callable) -> Callable:
     return whole
 
 
-def arrow(run: Callable, schema: str, size: str = BATCH_BYTES) -> Callable[[DataFrame], DataFrame]:
+def arrow(run: Callable, schema: str | StructType, size: str = BATCH_BYTES) -> Callable[[DataFrame], DataFrame]:
     """For DataFrame.transform: mapInArrow in batches of bounded bytes, whatever the rows' length."""
 
     def apply(df: DataFrame) -> DataFrame:
