@@ -34,9 +34,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of any repeated window of 35 words."""
-    out = substring.dedup(docs, carry=docs.columns)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("carried.text"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("carried.n_chars"))}
+    # The texts come back from the index; only the other columns are carried along.
+    rest = [c for c in docs.columns if c != "text"]
+    out = substring.dedup(docs, carry=rest, verbatim=True)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("carried.n_chars"))
+    new = {"text": F.col("kept"), "n_chars": n_chars}
     return out.select(*(new.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns))
 
 
