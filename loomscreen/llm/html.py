@@ -8,7 +8,8 @@ pages of a batch at once) and give exact marginals.  Weights are learned by
 gradient ascent on the labelled trees' likelihood; the labelled pages are
 written by a seeded generator in this module that knows every region's role.
 The text of elements whose marginal for content is over one half is returned,
-one block a line.  Forms, scripts, styles, templates and the like never hold
+one block a line; a line break is white space, and images, word break
+opportunities and the like aren't.  Forms, scripts, styles, templates and the like never hold
 text of the article, whatever their marginal, nor do elements that their page
 hides: by the attribute hidden, by aria-hidden="true", or by display: none or
 visibility: hidden in their own style (below the latter, visibility: visible
@@ -38,6 +39,7 @@ from .storage import columns
 
 # Fixed values of the HTML standard: element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+BREAKS = frozenset({"br", "hr"})
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 HIDDEN = frozenset("script style textarea title noscript iframe xmp noembed noframes template head svg math canvas object select option button datalist form audio video map dialog".split())
 BLOCK = frozenset(
@@ -90,7 +92,7 @@ def concealed(attrs: str) -> tuple[bool, bool | None]:
 
 
 def parse(page: str) -> Tree:
-    """The tree of a page; node 0 is the root, BR is kept as a white-space piece."""
+    """The tree of a page; node 0 is the root, breaks are white-space pieces, other void elements aren't."""
     t = Tree(["#root"], [-1], [""], gone=[False], visible=[None])
     stack = [0]
     tags, parents, names, pieces = t.tags, t.parents, t.names, t.pieces
@@ -140,7 +142,8 @@ def parse(page: str) -> Tree:
         t.gone.append(gone)
         t.visible.append(visible)
         if tag in VOID:
-            pieces.append((node, "\n"))
+            if tag in BREAKS:
+                pieces.append((node, "\n"))
             continue
         if attrs.endswith("/") and tag in ("svg", "path", "use"):
             continue
@@ -292,8 +295,9 @@ def text_of(t: Tree, content: np.ndarray) -> str:
             blocks.append([])
             last = here
         if visible[i] and not skip[i]:
-            blocks[-1].append(text if t.tags[i] not in VOID else " ")
-    out = (_SPACE.sub(" ", entities.unescape("".join(b))).strip() for b in blocks)
+            # References are decoded text by text: what elements join is no reference.
+            blocks[-1].append(entities.unescape(text))
+    out = (_SPACE.sub(" ", "".join(b)).strip() for b in blocks)
     return "\n".join(b for b in out if b)
 
 
