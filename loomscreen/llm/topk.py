@@ -1,14 +1,18 @@
 """Exact top-k inner-product search by block-max pruning.
 
-Vectors are put in an order that keeps near ones together (the nearest of a
-few centres, then the key) and cut into blocks of consecutive documents.  A
-block keeps its forward index (the integer vectors themselves) and, for each
-dimension, the least and largest component.  For a query, the sum over
-dimensions of the larger of query * least and query * largest bounds every
-score in a block.  Blocks are visited in the order of their bounds, some at a
-time, and scored through their forward indexes, until the next bound is below
-the k-th score found; equal bounds are still visited, as a tie goes to the
-smaller key.  The result is exact whatever the order of the documents.
+Vectors are put in an order that keeps near ones together (the nearest of some
+centres, about the root of the rows' number, then the key) and cut into blocks
+of consecutive documents.  A block keeps its forward index (the integer vectors
+themselves) and, for each dimension, the least and largest component.  For a
+query, the sum over dimensions of the larger of query * least and query *
+largest bounds every score in a block; so does the query's score with the
+block's middle plus the query's length times the block's radius.  The lesser
+bound counts.  Blocks are visited in the order of their bounds, some at a time,
+and scored through their forward indexes, until the next bound is below the
+k-th score found or the query's floor; equal bounds are still visited, as a tie
+goes to the smaller key.  The floor is the query's k-th score over the bounded
+sample that the centres are fitted on: all tasks start from it.  The result is
+exact whatever the order of the documents.
 
 Queries come in blocks of at most QUERY_ROWS, read one after another, and each
 block (a bounded number of bytes) is broadcast to all document blocks.  Every
@@ -38,10 +42,10 @@ from .batches import arrow, uniform
 from .storage import shared_dir, stored
 
 BLOCK = 64
-QUERY_ROWS = 2048
-CENTRES = 64
-#: Vectors that the centres are fitted on; they only order the documents.
-SAMPLE = 2000
+QUERY_ROWS = 8192
+#: Centres at most; and vectors for each that they are fitted on, which also give the queries' floors.
+CENTRES = 1024
+PER_CENTRE = 32
 #: Rows of a task's piece of the index that are searched at once, at least (an Arrow batch more at most).
 PIECE_ROWS = 16_384
 _EXACT = float(1 << 53)
@@ -101,23 +105,36 @@ class Block:
         self.least = np.minimum.reduceat(vectors, begins, axis=0)
         self.most = np.maximum.reduceat(vectors, begins, axis=0)
         self.begins, self.ends = begins, np.minimum(begins + BLOCK, len(ids))
+        self.middle = self.radius = None
+        if vectors.dtype != object and len(ids):
+            self.middle = np.add.reduceat(vectors, begins, axis=0) / (self.ends - begins)[:, None]
+            away = np.sqrt(((vectors - np.repeat(self.middle, self.ends - begins, axis=0)) ** 2).sum(axis=1))
+            self.radius = np.maximum.reduceat(away, begins)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """(queries, blocks): no score of the block is above it."""
-        return np.maximum(queries, 0) @ self.most.T + np.minimum(queries, 0) @ self.least.T
-
-    def search(self, query: np.ndarray, own: int, order: np.ndarray, bound: np.ndarray, k: int, best: list[tuple]) -> list[tuple]:
-        """The k best (-score, id) among ``best`` and this piece's documents."""
+        by_terms = np.maximum(queries, 0) @ self.most.T + np.minimum(queries, 0) @ self.least.T
+        if self.middle is None:
+            return by_terms
+        length = np.sqrt((queries**2).sum(axis=1))
+        by_radius = queries @ self.middle.T + length[:, None] * self.radius[None]
+        # Scores are whole numbers; the margin is far over what rounding does to these sums.
+        margin = 1 + 1e-9 * length[:, None] * (self.radius + np.sqrt((self.middle**2).sum(axis=1)))[None]
+        return np.minimum(by_terms, by_radius + margin)
+
+    def search(self, query: np.ndarray, own: int, order: np.ndarray, bound: np.ndarray, k: int, best: list[tuple], floor: float = -np.inf) -> list[tuple]:
+        """The k best (-score, id) among ``best`` and this piece's documents; those under the floor may be missing."""
         at, step = 0, 2
         while at < len(order):
-            if len(best) >= k and bound[order[at]] < -best[-1][0]:
+            if bound[order[at]] < floor or len(best) >= k and bound[order[at]] < -best[-1][0]:
                 break
             chosen = order[at : at + step]
             rows = np.concatenate([np.arange(self.begins[b], self.ends[b]) for b in chosen])
             rows = rows[self.ids[rows] != own]
             scores = self.vectors[rows] @ query
-            if len(best) >= k:
-                keep = scores >= -best[-1][0]
+            least = max(floor, -best[-1][0]) if len(best) >= k else floor
+            if least > -np.inf:
+                keep = scores >= least
                 rows, scores = rows[keep], scores[keep]
             if len(rows) > k:
                 top = np.lexsort((self.ids[rows], -scores))[:k]
@@ -135,7 +152,7 @@ def _exact(v: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return whole(v), whole(queries)
 
 
-def _search_all(ids: np.ndarray, vectors: np.ndarray, keys: np.ndarray, queries: np.ndarray, k: int, best: list[list[tuple]]) -> None:
+def _search_all(ids: np.ndarray, vectors: np.ndarray, keys: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int, best: list[list[tuple]]) -> None:
     width = max(vectors.shape[1], queries.shape[1])
     v, q = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (vectors, queries))
     v, q = _exact(v, q)
@@ -144,14 +161,31 @@ def _search_all(ids: np.ndarray, vectors: np.ndarray, keys: np.ndarray, queries:
         bound = block.bounds(q[at : at + 256])
         order = np.argsort(-bound, axis=1, kind="stable")
         for i in range(len(bound)):
-            best[at + i] = block.search(q[at + i], int(keys[at + i]), order[i], bound[i], k, best[at + i])
+            best[at + i] = block.search(q[at + i], int(keys[at + i]), order[i], bound[i], k, best[at + i], floors[at + i])
+
+
+def floors(keys: np.ndarray, queries: np.ndarray, ids: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th score among some of the rows, its own key's left out; no bound (-inf) if there are fewer."""
+    width = max(queries.shape[1], sample.shape[1])
+    q, s = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (queries, sample))
+    q, s = _exact(q, s)
+    out = np.full(len(keys), -np.inf)
+    if q.dtype == object or len(ids) <= k:
+        return out
+    for at in range(0, len(keys), 512):
+        scores = q[at : at + 512] @ s.T
+        scores[keys[at : at + 512, None] == ids[None]] = -np.inf
+        out[at : at + 512] = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+    return out
 
 
-def index(rows: DataFrame) -> DataFrame:
-    """Store the vectors in the order of their nearest centre and key."""
-    chosen = rows.orderBy(uniform(F.col("id")), "id").limit(SAMPLE).collect()
+def index(rows: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Store the vectors in the order of their nearest centre and key; and the sample's ids and vectors."""
+    n_centres = max(1, min(CENTRES, int(np.sqrt(rows.count()))))
+    chosen = rows.orderBy(uniform(F.col("id")), "id").limit(n_centres * PER_CENTRE).collect()
     width = max((len(r.v) for r in chosen), default=1)
-    found = centres(np.clip(_matrix([r.v for r in chosen], width), -1e9, 1e9), CENTRES)
+    sample = _matrix([r.v for r in chosen], width)
+    found = centres(np.clip(sample, -1e9, 1e9), n_centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +195,8 @@ def index(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), batch.column(0), batch.column(1)], names=["centre", "id", "v"])
 
     placed = rows.transform(arrow(run, "centre int, id long, v array<double>"))
-    return stored(placed.repartitionByRange("centre", "id").sortWithinPartitions("centre", "id"), "vectors")
+    vectors = stored(placed.repartitionByRange("centre", "id").sortWithinPartitions("centre", "id"), "vectors")
+    return vectors, np.array([r.id for r in chosen], dtype=np.int64), sample
 
 
 def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -186,20 +221,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     spark: SparkSession = vectors.sparkSession
     rows = stored(quantised(vectors, key, vector), "quantised")
     wanted = stored(quantised(vectors.where(is_query), key, vector).groupBy("id").agg(F.max("v").alias("v")), "queries")
-    indexed = index(rows)
+    indexed, sample_ids, sample = index(rows)
     out, written = shared_dir(spark, "candidates"), []
     schema = "query_id long, vec_id long, score long"
     for n, (keys, queries) in enumerate(_query_blocks(wanted)):
-        sent = spark.sparkContext.broadcast((keys, queries))
+        sent = spark.sparkContext.broadcast((keys, queries, floors(keys, queries, sample_ids, sample, k)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            keys, queries = sent.value
+            keys, queries, least = sent.value
             best: list[list[tuple]] = [[] for _ in keys]
             ids, parts = [], []
 
             def flush() -> None:
                 if ids:
-                    _search_all(np.concatenate(ids), _stack(parts), keys, queries, k, best)
+                    _search_all(np.concatenate(ids), _stack(parts), keys, queries, least, k, best)
                     ids.clear()
                     parts.clear()
 

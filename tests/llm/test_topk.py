@@ -55,3 +55,18 @@ def test_blocks_are_pruned():
     block.vectors = v.view(Counting)
     block.search(query, 3, np.argsort(-bound), bound, 5, [])
     assert sum(scored) < 400
+    # A floor that another task's rows give prunes from the start.
+    scored.clear()
+    assert block.search(query, 3, np.argsort(-bound), bound, 5, [], floor=float((v @ query).max()) + 1) == []
+    assert sum(scored) <= 128
+
+
+def test_floors_bound_the_kth_score():
+    rng = np.random.default_rng(1)
+    v, ids = np.floor(rng.standard_normal((400, 8)) * 200), np.arange(400)
+    ids[7] = 3
+    keys, sample = ids[:30], rng.permutation(400)[:60]
+    got = topk.floors(keys, v[:30], ids[sample], v[sample], 5)
+    for key, q, least in zip(keys, v[:30], got, strict=True):
+        assert least == sorted((v[sample] @ q)[ids[sample] != key])[-5]
+    assert (topk.floors(keys, v[:30], ids[:5], v[:5], 5) == -np.inf).all()
