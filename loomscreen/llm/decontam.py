@@ -9,12 +9,12 @@ a window of THRESHOLD or more is contaminated by the item.
 A window of THRESHOLD or more holds a certain number of shared shingles at least
 (of two sets of m, 8/9 of m), wherever they stand in the item, so every start
 whose window covers that many shingles of items of its length is fingerprinted,
-and no other.  A fingerprint is a 64-bit SimHash of the window's words.  Items are indexed by their length and each of RADIUS + 1
-blocks of their fingerprint: fingerprints that differ in RADIUS bits at most
-agree in one block at least, so the index finds all of these.  Candidates are
-then verified by the exact similarity.  (Windows of similarity 0.8 differ in 7
-bits on average for the shortest items, 5 for long ones; RADIUS is over four
-standard deviations beyond.)
+and no other.  A fingerprint is a 64-bit SimHash of the window's words, in
+BLOCKS blocks that fall into GROUPS groups.  Items are indexed by their length
+and every pair of blocks of a group: fingerprints that differ in RADIUS bits at
+most agree in more blocks than there are groups, so in two of one group, and the
+index finds all of these by keys of eight bits.  Candidates are then verified by
+the exact similarity.
 
 The items' shingles are broadcast if a count shows no more than BROADCAST_ROWS
 of them, and joined by a shuffle otherwise.  No Python runs on executors.
@@ -29,6 +29,8 @@ the inputs are ignored.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,10 @@ from .storage import stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RADIUS = 19
 BITS = 64
+BLOCKS, GROUPS = 16, 2
+#: Fingerprints that differ in so many bits at most share a key for sure.
+RADIUS = BLOCKS - GROUPS - 1
 BROADCAST_ROWS = 1_000_000
 
 
@@ -60,11 +64,12 @@ def simhash(hashes: str) -> Column:
     )
 
 
-def _block_of(fingerprint: str, block: str) -> str:
-    """The bits of one of RADIUS + 1 blocks, whose sizes differ by one at most."""
-    n = RADIUS + 1
-    lo, hi = f"cast(floor({block} * {BITS} / {n}) as int)", f"cast(floor(({block} + 1) * {BITS} / {n}) as int)"
-    return f"shiftrightunsigned({fingerprint}, {lo}) & (shiftleft(1L, {hi} - {lo}) - 1)"
+def _keys(fingerprint: str) -> Column:
+    """One number for each pair of blocks of a group: the pair and its bits."""
+    width, per_group = BITS // BLOCKS, BLOCKS // GROUPS
+    block = lambda i: f"(shiftrightunsigned({fingerprint}, {i * width}) & {(1 << width) - 1})"
+    pairs = [p for g in range(GROUPS) for p in combinations(range(g * per_group, (g + 1) * per_group), 2)]
+    return F.explode(F.array(*(F.expr(f"{k << 2 * width}L | shiftleft({block(i)}, {width}) | {block(j)}") for k, (i, j) in enumerate(pairs))))
 
 
 def _starts() -> Column:
@@ -139,12 +144,10 @@ def text_leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id",
         *row, F.expr("inline(transform(windows, x -> struct(x.length as length, x.start as start, size(w) as n, slice(h, x.start + 1, x.length) as hashes, slice(w, x.start + 1, x.length) as w)))"),
     )
     prints = stored(cut.withColumn("fingerprint", simhash("hashes")).withColumn("shingles", F.when(F.col("length") >= SHINGLE, shingled("w", SHINGLE)).otherwise(F.array(F.xxhash64("hashes")))).drop("w", "hashes"), "fingerprints")
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(RADIUS)))
-    key = F.expr(_block_of("fingerprint", "block"))
     # Equal windows are looked up once.
-    distinct = prints.select("length", "fingerprint").distinct().withColumn("block", blocks).withColumn("bits", key)
-    index = items.select("length", F.col("fingerprint").alias("item_print")).distinct().withColumn("block", blocks).withColumn("bits", F.expr(_block_of("item_print", "block")))
-    near = distinct.join(index, ["length", "block", "bits"]).where(f"bit_count(fingerprint ^ item_print) <= {RADIUS}").select("length", "fingerprint", "item_print").distinct()
+    distinct = prints.select("length", "fingerprint").distinct().withColumn("key", _keys("fingerprint"))
+    index = items.select("length", F.col("fingerprint").alias("item_print")).distinct().withColumn("key", _keys("item_print"))
+    near = distinct.join(index, ["length", "key"]).where(f"bit_count(fingerprint ^ item_print) <= {RADIUS}").select("length", "fingerprint", "item_print").distinct()
     of_items = items.select("length", F.col("fingerprint").alias("item_print"), "item_id", F.col("shingles").alias("item_shingles"), F.col("hashes").alias("item_hashes"))
     pairs = stored(near.join(of_items, ["length", "item_print"]).select("length", "fingerprint", "item_id", F.when(F.col("length") >= SHINGLE, F.col("item_shingles")).otherwise(F.array(F.xxhash64("item_hashes"))).alias("item_shingles")), "candidates")
     both = prints.join(pairs, ["length", "fingerprint"])

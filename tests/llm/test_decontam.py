@@ -75,3 +75,50 @@ def test_reordered_item(spark):
     want = brute(docs, items)
     assert {k: s for k, (s, _) in got.items()} == {k: round(v, 9) for k, v in want.items()} and len(want) == 5
     assert got[0, 1] == (round(52 / 60, 9), 40)
+
+
+def edited(rng, body, word):
+    """The body with words at one end, or one inside, replaced."""
+    n, kind = len(body), int(rng.integers(3))
+    most = max(1, (n - 4) // 9)
+    k = int(rng.integers(1, most + 1))
+    if kind == 0:
+        return word(k) + body[k:]
+    if kind == 1:
+        return body[: n - k] + word(k)
+    at = int(rng.integers(n))
+    return body[:at] + word(1) + body[at + 1 :]
+
+
+def test_recall_of_edited_copies(spark):
+    """Copies of similarity 0.8 to 1: nearly all lie within the radius of the index."""
+    rng = np.random.default_rng(12)
+    word = lambda n: ["y%d" % i for i in rng.integers(0, 10**6, n)]
+    bodies = [word(int(n)) for n in rng.integers(20, 120, 60)]
+    docs = [(k, " ".join(word(30) + edited(rng, bodies[k % 60], word) + word(30))) for k in range(300)]
+    items = [(i, " ".join(b)) for i, b in enumerate(bodies)]
+    want = {}
+    for k, t in docs:
+        want |= brute([(k, t)], [items[k % 60]])
+    assert len(want) > 200 and min(want.values()) < 0.82
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert found <= set(want) and len(found) >= 0.95 * len(want), (len(found), len(want))
+
+
+def test_index_guarantee(spark):
+    """Fingerprints that differ in RADIUS bits share a key, whichever bits; unrelated ones seldom do."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        a = rng.integers(0, 2, 64)
+        b = a.copy()
+        b[rng.choice(64, decontam.RADIUS, replace=False)] ^= 1
+        near, far = ([int(sum(int(x) << j for j, x in enumerate(v))) for v in p] for p in ((a, b), (a, rng.integers(0, 2, 64))))
+        rows += [(2 * i, *near), (2 * i + 1, *far)]
+    rows = [(k, *(x - (1 << 64) if x >> 63 else x for x in p)) for k, *p in rows]
+    df = spark.createDataFrame(rows, "i long, a long, b long")
+    hits = df.select("i", decontam._keys("a").alias("k")).join(df.select("i", decontam._keys("b").alias("k")), ["i", "k"]).select("i").distinct()
+    found = {r.i for r in hits.collect()}
+    assert {i for i in found if i % 2 == 0} == set(range(0, 800, 2))
+    assert sum(i % 2 for i in found) < 0.3 * 400
