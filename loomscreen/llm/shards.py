@@ -140,7 +140,9 @@ def assign(df: DataFrame, dims: list[Column], shards: int, id_col: str = "doc_id
             if k in cuts:
                 splits.append((k, widest[k][0], cuts[k], middle))
         table = spark.createDataFrame(splits, "node int, dim int, cut long, right_node int")
-        placed = placed.join(F.broadcast(table), "node", "left").withColumn("node", F.when(_key(F.col("dim"), n) > F.col("cut"), F.col("right_node")).otherwise(F.col("node"))).drop("dim", "cut", "right_node")
+        moved = F.when(_key(F.col("dim"), n) > F.col("cut"), F.col("right_node")).otherwise(F.col("node"))
+        # Written once a level: the next one's histograms read it several times.
+        placed = stored(placed.join(F.broadcast(table), "node", "left").withColumn("node", moved).drop("dim", "cut", "right_node"), "shard-level")
         nodes = new
     same = ["h", "crc", "size", "part"]
     where = stored(placed.select(*same, F.col("node").alias("shard")), "shard-of-unit")

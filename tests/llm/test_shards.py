@@ -41,3 +41,34 @@ def test_edges(spark):
     check(rows, docs, 4)
     assert len({r.shard for r in rows if r.size == 158}) > 1
     assert shards.assign(df.limit(0), [F.lit(1.0)], 4).collect() == []
+
+
+def tree(units, lo, hi):
+    """Shards of units (id, weight, keys) by the tree's definition: the widest dimension's weighted median, exactly."""
+    if hi - lo == 1 or not units:
+        return {u[0]: lo for u in units}
+    width = [max(u[2][i] for u in units) // shards._TIE - min(u[2][i] for u in units) // shards._TIE for i in range(len(units[0][2]))]
+    dim, middle = width.index(max(width)), lo + (hi - lo) // 2
+    want, below, left = (middle - lo) / (hi - lo) * sum(u[1] for u in units), 0, 0
+    units = sorted(units, key=lambda u: u[2][dim])
+    for u in units:
+        if below + u[1] > want:
+            left += below + u[1] - want < want - below
+            break
+        below, left = below + u[1], left + 1
+    return tree(units[:left], lo, middle) | tree(units[left:], middle, hi)
+
+
+@pytest.mark.parametrize("n", [2, 5, 8])
+def test_tree_by_brute_force(spark, n):
+    """300 units of different sizes: every histogram round ends at one unit, so medians are exact."""
+    rows = [(i, "w" * (1 + (i * 7919) % 900) + str(i), "abcd"[i * i % 4], f"s{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    dims = [shards.coded(F.col("source")), shards.coded(F.col("lang")), F.length("text")]
+    placed, units, target = shards._units(df, "doc_id", "text", dims, n)
+    found = units.collect()
+    assert len(found) == 300
+    want = tree([((r.h, r.crc, r["size"], r.part), r.w, (r.k0, r.k1, r.k2)) for r in found], 0, n)
+    of = {r.doc_id: want[r.h, r.crc, r["size"], r.part] for r in placed.collect()}
+    got = {r.doc_id: r.shard for r in shards.assign(df, dims, n).collect()}
+    assert got == of
