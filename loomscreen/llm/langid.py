@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import arrow, stratified, texts, uniform
+from .batches import arrow, stratified, texts
 from .storage import columns
 
 WINDOW = 256
@@ -32,9 +32,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBED = 8
 PAD = 256
-#: Labelled texts learned from, a language, and the most characters of each.
+#: Labelled texts learned from, a language; each whole.
 SAMPLE_TEXTS = 1500
-SAMPLE_CHARS = 1500
 STEPS = 700
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -139,11 +138,10 @@ def train(samples: list[tuple[bytes, str]], steps: int = STEPS, seed: int = 1) -
 
 
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = SAMPLE_TEXTS) -> Network | None:
-    """Train on about ``per_label`` texts a language (a hash of the key chooses) and a stretch of each, from a random place."""
+    """Train on about ``per_label`` whole texts a language (a hash of the key chooses)."""
     rows = columns(df, key=id_col, text=text_col, label=label_col).where("label is not null and text is not null")
     chosen = stratified(rows, "label", "key", per_label)
-    begin = F.floor(uniform(F.col("key"), F.lit(3)) * F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
-    return train([(r.text.encode(), str(r.label)) for r in chosen.select(F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("text"), "label").collect()])
+    return train([(r.text.encode(), str(r.label)) for r in chosen.select("text", "label").toLocalIterator()])
 
 
 def windows_of(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -40,3 +40,35 @@ def test_edges(spark):
     assert got == [(0, "en"), (1, "und"), (2, "und"), (3, "und"), (4, "de"), (5, "en"), (5, "en")]
     assert {r.lang_pred for r in langid.predict(df, None).collect()} == {"und"}
     assert langid.learn(df.limit(0)) is None and langid.predict(df.limit(0), net).collect() == []
+
+
+def test_forward_pass_by_brute_force():
+    """Convolutions, pooling, softmax and the means over windows, one number at a time."""
+    net = langid.Network.new(["a", "b", "c"], np.random.default_rng(4))
+    net.bias += np.linspace(-0.3, 0.3, len(net.bias)).astype(np.float32)
+    text = "Straße, naïve café: 12 km. ".encode() * 31
+    total, weights = np.zeros(3), 0
+    for at in range(0, len(text), langid.WINDOW):
+        piece = text[at : at + langid.WINDOW]
+        window = list(piece) + [langid.PAD] * (langid.WINDOW - len(piece) + max(langid.WIDTHS) - 1)
+        hidden = []
+        for f, width in enumerate(np.repeat(langid.WIDTHS, langid.FILTERS)):
+            best = -np.inf
+            for i in range(langid.WINDOW):
+                best = max(best, sum(float(net.embedding[window[i + j], e]) * float(net.filters[j * langid.EMBED + e, f]) for j in range(width) for e in range(langid.EMBED)))
+            hidden.append(max(best + float(net.bias[f]), 0))
+        z = [sum(h * float(net.dense[f, k]) for f, h in enumerate(hidden)) + float(net.dense_bias[k]) for k in range(3)]
+        p = np.exp(np.array(z) - max(z))
+        total, weights = total + p / p.sum() * len(piece), weights + len(piece)
+    windows, owner, size = langid.windows_of([text])
+    assert (owner == 0).all() and size.sum() == len(text)
+    got = (net.predict(windows) * size[:, None]).sum(axis=0) / size.sum()
+    np.testing.assert_allclose(got, total / weights, atol=1e-5)
+
+
+def test_whole_texts_are_learned_from(spark, monkeypatch):
+    rows = [(i, ("x" * 5000 if i % 2 else "y" * 5000) + f" end{i}", "ab"[i % 2]) for i in range(20)]
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda samples: seen.extend(samples))
+    langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(seen) == sorted((t.encode(), k) for _, t, k in rows)
