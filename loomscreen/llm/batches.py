@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 #: Bytes of rows that Spark sends to a worker at once.
 BATCH_BYTES = "2m"
 #: Bytes of text that a worker handles at once; a longer text is handled alone.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 
 
 def tidied(run: Callable) -> Callable:

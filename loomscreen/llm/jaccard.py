@@ -10,10 +10,13 @@ Each of RUNS repeats starts at one slot's token and samples further slots, 1 /
 THRESHOLD of them a level on average, chosen by a hash of the path so far; sets
 that share the sampled token stay together.  So paths of a linked pair survive
 a level with a chance that keeps one alive on average, those of others die out.
-A pair at the threshold shares a bucket of depth 2 with a chance of 0.5 a run,
-so 32 runs miss it with a chance under 1e-9 (under 1e-4 at MAX_DEPTH).  Buckets
-of more than SPLIT sets are split again, down to MAX_DEPTH; all others, and
-those that don't fall apart, are brute-forced in tiles of at most TILE x TILE.
+Buckets of more than SPLIT sets are split again, down to MAX_DEPTH at most, and
+no further if a split leaves over half of a bucket together: its sets are alike.
+Buckets of SPLIT sets at most are brute-forced at once, larger ones that don't
+fall apart in tiles of at most TILE x TILE.  A pair at the threshold shares a
+bucket of depth 2 with a chance of survival(2) = 0.5 a run, of depth 3 and 4 with
+0.375 and 0.3; runs are repeated until a pair is missed at depth 2 with a chance
+under MISSED (3e-7 at depth 3, 1e-5 at depth 4, for 32 runs).
 
 Each pair is compared once, in the least of the buckets that it shares, first
 by the sketch (half the slots must agree, which a linked pair fails with a
@@ -30,6 +33,7 @@ gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,11 +49,23 @@ from .wordhash import Words, mix, runs, stretches
 SHINGLE = 5
 THRESHOLD = 0.8
 SLOTS = 64
-RUNS = 32
 DEPTH, MAX_DEPTH = 2, 4
-SPLIT = 4096
+SPLIT = 512
 TILE = 512
+MISSED = 2e-10
 _U32 = np.uint32
+
+
+def survival(depth: int) -> float:
+    """The chance that a pair at the threshold shares a path of a run down to ``depth``: 1 / THRESHOLD slots are sampled a level, so one shared child is expected."""
+    alive = 1.0
+    for _ in range(depth - 1):
+        alive = 1 - (1 - alive / SLOTS) ** SLOTS
+    return THRESHOLD * alive
+
+
+#: Repeats until the target recall.
+RUNS = math.ceil(math.log(MISSED) / math.log(1 - survival(DEPTH)))
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = (_rng.integers(1 << 31, 1 << 32, SLOTS, dtype=np.uint64) | np.uint64(1)).astype(_U32)
 _ADD = _rng.integers(0, 1 << 32, SLOTS, dtype=np.uint64).astype(_U32)
@@ -123,42 +139,43 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(c1, c2, sketch) to (key, c1, c2)."""
+    """(c1, c2, sketch) to (key, parent, c1, c2)."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
             part = batch.slice(lo, 4096)
             owner, keys = leaves(_matrix(part.column(2)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner))], names=["key", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.int64()), part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner))], names=["key", "parent", "c1", "c2"])
 
 
 def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, c1, c2, sketch) to the next level's keys."""
+    """(key, total, c1, c2, sketch) to the next level's keys, with the size of the bucket that they split."""
     for batch in batches:
-        at, keys = children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(3)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at))], names=["key", "c1", "c2"])
+        at, keys = children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(4)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(i).take(pa.array(at)) for i in (1, 2, 3))], names=["key", "parent", "c1", "c2"])
 
 
-_PATH = "key long, c1 long, c2 long"
+_PATH = "key long, parent long, c1 long, c2 long"
 
 
 def _shared(paths: DataFrame, name: str) -> DataFrame:
     """The paths whose key two sets have at least, with their number."""
-    counts = stored(paths.groupBy("key").agg(F.count("*").alias("total")).where("total > 1"), f"{name}-counts")
-    return stored(paths.join(counts.hint("merge"), "key"), name)
+    counts = stored(paths.groupBy("key").agg(F.count("*").alias("total"), F.max("parent").alias("split")).where("total > 1"), f"{name}-counts")
+    together = (F.col("total") > SPLIT) & (F.col("split").isNull() | (F.col("total") * 2 <= F.col("split")))
+    return stored(paths.drop("parent").join(counts.select("key", "total", together.alias("open")).hint("merge"), "key"), name)
 
 
 def buckets(reps: DataFrame) -> DataFrame:
     """key, c1, c2, total: the final buckets of all sets that share one."""
     level = _shared(reps.select("c1", "c2", "sketch").transform(arrow(_paths, _PATH)), "paths")
-    done = [level.where(F.col("total") <= SPLIT)]
+    done = []
     for _ in range(DEPTH, MAX_DEPTH):
-        large = level.where(F.col("total") > SPLIT)
+        large = level.where("open")
         if large.isEmpty():
-            return done[0] if len(done) == 1 else _union(done)
-        rows = large.select("key", "c1", "c2").join(reps.select("c1", "c2", "sketch"), ["c1", "c2"]).select("key", "c1", "c2", "sketch")
+            break
+        done.append(level.where("not open"))
+        rows = large.select("key", "total", "c1", "c2").join(reps.select("c1", "c2", "sketch"), ["c1", "c2"]).select("key", "total", "c1", "c2", "sketch")
         level = _shared(rows.transform(arrow(_deeper, _PATH)), "deeper")
-        done.append(level.where(F.col("total") <= SPLIT))
-    return _union([*done, level.where(F.col("total") > SPLIT)])
+    return _union([*done, level]).drop("open")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -217,7 +234,7 @@ class Group:
         return a[keep], b[keep]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows of one (key, tile) after another, from batches sorted by both."""
     waiting: list[pa.RecordBatch] = []
     last = None
@@ -240,12 +257,12 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets that have a pair to compare in a tile."""
     out: list[pa.Table] = []
-    for table in _groups(batches, TILE):
+    for table in _groups(batches):
         if table.num_rows > 1:
             a, b = Group(table).pairs()
             if len(a):
                 out.append(table.take(pa.array(np.unique(np.concatenate([a, b])))))
-        if len(out) >= 256:
+        if sum(t.num_rows for t in out) >= 2 * TILE or len(out) >= 256:
             yield from pa.concat_tables(out).combine_chunks().to_batches()
             out = []
     if out:
@@ -292,7 +309,7 @@ _LINKS = "c1 long, c2 long, links long, r1 long, r2 long"
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each set with links in a tile: their number (copies counted) and the least set of its local component."""
-    for table in _groups(batches, TILE):
+    for table in _groups(batches):
         group = Group(table)
         a, b = group.pairs()
         if not len(a):

@@ -120,6 +120,24 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op2_jaccard_join"] = r"""
+WITH RECURSIVE split AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s
+  FROM split WHERE len(w) > 0),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM shingles a JOIN shingles b USING (s) WHERE a.r < b.r GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE c * 1000 >= 800 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT r AS a, r AS b FROM split UNION SELECT reached.a, edges.b FROM reached JOIN edges ON reached.b = edges.a),
+classes AS (SELECT a AS r, min(doc_id) AS class_id FROM reached JOIN split ON split.r = b GROUP BY a),
+counts AS (SELECT a AS r, count(*) AS n FROM edges GROUP BY a)
+SELECT doc_id, class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links FROM split JOIN classes USING (r) LEFT JOIN counts USING (r)
+"""
+
+
 @query
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, and where."""

@@ -1,8 +1,12 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomscreen.llm import jaccard
-from loomscreen.llm.queries import QUERIES
+from loomscreen.llm.queries import ORACLES, QUERIES
+
+from .oracle import oracle
+from .oracle import ours as rows_of
 
 
 def brute(rows):
@@ -73,3 +77,40 @@ def test_edges_and_families(spark, monkeypatch, split):
     else:
         assert np.mean([a == b for a, b in zip(got, want, strict=True)]) > 0.98
     assert jaccard.join(df.limit(0)).collect() == []
+
+
+def test_oracle(spark):
+    d = "/root/testdata/sf0.01"
+    assert rows_of(QUERIES["op2_jaccard_join"](spark, d)) == oracle(ORACLES["op2_jaccard_join"], d)
+
+
+def test_runs_for_the_target_recall():
+    assert jaccard.RUNS == 32 and (1 - jaccard.survival(2)) ** jaccard.RUNS <= jaccard.MISSED
+    rng = np.random.default_rng(6)
+    met = 0
+    for _ in range(300):
+        a = rng.integers(0, 1 << 32, (1, jaccard.SLOTS), dtype=np.uint64).astype(np.uint32)
+        b = np.where(rng.random((1, jaccard.SLOTS)) < jaccard.THRESHOLD, a, a + np.uint32(1)).astype(np.uint32)
+        (_, x), (_, y) = jaccard.leaves(a), jaccard.leaves(b)
+        met += len(np.intersect1d(x, y)) > 0
+    assert met == 300
+
+
+def test_large_buckets_are_split(spark, monkeypatch):
+    """Families that share a passage: the large buckets of depth 2 fall apart into families; alike sets stay together."""
+    rng = np.random.default_rng(3)
+    word = lambda n: ["w%d" % i for i in rng.integers(0, 9000, n)]
+    passage, texts = word(200), []
+    for _ in range(40):
+        base = passage + word(60)
+        for k in range(5):
+            texts.append(" ".join([*base[:-1], f"x{k}"]))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(jaccard, "SPLIT", 30)
+    signed = df.select("doc_id", *jaccard.class_key(F.col("text")), "text").transform(jaccard.arrow(jaccard._sign, "doc_id long, c1 long, c2 long, sketch binary"))
+    reps = jaccard.stored(signed, "test-signed").select("c1", "c2", "sketch")
+    sizes = [r.total for r in jaccard.buckets(reps).select("key", "total").distinct().collect()]
+    whole = jaccard._shared(reps.transform(jaccard.arrow(jaccard._paths, jaccard._PATH)), "test-paths").agg(F.max("total")).first()[0]
+    assert whole > 100 and np.mean(np.array(sizes) <= 30) > 0.8
+    assert ours(jaccard.join(df)) == brute(rows)
