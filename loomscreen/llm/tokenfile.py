@@ -55,6 +55,15 @@ MANIFEST = "doc_id {kind}, tie long, file string, nth long, place long, n_tokens
 _SPACES = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
 
 
+# The make of vocabulary whose words are normalised and split here.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+
+
+def _pre_tokeniser(pattern: str) -> dict:
+    split = {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Removed", "invert": True}
+    return {"type": "Sequence", "pretokenizers": [split, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 class Filled(dict):
     """A dictionary that computes what it misses."""
 
@@ -95,16 +104,14 @@ class Encoder:
 
     @staticmethod
     def _pattern(made: dict) -> regex.Pattern | None:
-        """The pattern of the pre-tokens if normaliser and pre-tokeniser are of the make that is handled here."""
-        norm, pre = (made.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
-        steps = [x["type"] for x in norm.get("normalizers", [])]
-        parts = pre.get("pretokenizers", [])
-        if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in parts] != ["Split", "ByteLevel"]:
-            return None
-        split, level = parts
-        if (split["behavior"], split["invert"], level["add_prefix_space"], level["use_regex"]) != ("Removed", True, False, False):
+        """The pattern of the pre-tokens if normaliser, pre-tokeniser and all else but the vocabulary are of the make that is handled here."""
+        parts = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        pattern = (parts[0].get("pattern") or {}).get("Regex")
+        rest = {k: made.get(k) for k in ("post_processor", "truncation", "padding")}
+        model = {k: (made.get("model") or {}).get(k) for k in ("type", "dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")}
+        if not pattern or made.get("normalizer") != NORMALISER or made["pre_tokenizer"] != _pre_tokeniser(pattern) or any(rest.values()) or model.pop("type") != "BPE" or any(model.values()):
             return None
-        return regex.compile(split["pattern"]["Regex"])
+        return regex.compile(pattern)
 
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
