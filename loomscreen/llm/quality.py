@@ -6,7 +6,9 @@ before and after it; transitions tie neighbouring labels.  Forward-backward
 gives each line's probability of being good; a text's score is their mean
 weighted by the lines' bytes.  Training (Adam on the chain's log-likelihood,
 every line carrying its text's label) takes a bounded sample of labelled texts,
-each whole; scoring covers every line.
+each whole, and a tenth as many texts that are two of them with different
+labels, one after the other, so that transitions learn where a label changes;
+scoring covers every line.
 
 Edge cases: a null or empty text counts as one empty line; a null label isn't
 learned; repeated rows are scored alike; an empty table gives an empty result;
@@ -16,6 +18,7 @@ without labels); other columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +35,8 @@ from .wordhash import Words, stretches
 SAMPLE_TEXTS = 1500
 TRAIN_BYTES = 4 << 20
 STEPS = 300
+#: Texts in training that are put together from two, as a share of the sample.
+MIXED = 0.1
 #: Words back within which a word counts as repeated.
 NEAR = 6
 
@@ -151,20 +156,34 @@ def _features(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(first)
 
 
+def _mixed(found: list[bytes], labels: np.ndarray, seed: int = 3) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+    """Texts of two labels, one after the other, and for each its parts' labels and numbers of lines."""
+    rng, of = np.random.default_rng(seed), [np.flatnonzero(labels == k) for k in (0, 1)]
+    out, parts = [], []
+    for i in range(math.ceil(MIXED * len(found))):
+        order = np.array([i % 2, 1 - i % 2])
+        chosen = [found[int(rng.choice(of[k]))] for k in order]
+        out.append(b"\n".join(chosen))
+        parts.append((order, np.array([t.count(b"\n") + 1 for t in chosen])))
+    return out, parts
+
+
 def train(samples: list[tuple[bytes | None, int]], steps: int = STEPS) -> Chain:
     """Fit the chain to labelled texts; label 1 is good."""
     labels = np.array([k for _, k in samples], dtype=np.int64)
     none = np.zeros(0)
     if len(set(labels.tolist())) < 2:
         return Chain(none, none, none, none, none, prior=float(labels.mean()) if len(labels) else 0.5)
-    features, first = _features([t or b"" for t, _ in samples])
+    found = [t or b"" for t, _ in samples]
+    joined, parts = _mixed(found, labels)
+    features, first = _features(found + joined)
     lengths = np.diff(first)
     mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-3
     mean[-1], scale[-1] = 0, 1
-    x, y = np.clip((features - mean) / scale, -5, 5), np.repeat(labels, lengths)
+    x, y = np.clip((features - mean) / scale, -5, 5), np.concatenate([np.repeat(labels, lengths[: len(labels)]), *(np.repeat(k, n) for k, n in parts)])
     # Each text weighs alike, and so does each label.
     share = np.bincount(labels, minlength=2) / len(labels)
-    weight = (0.5 / share[labels] / lengths) / len(labels)
+    weight = np.concatenate([0.5 / share[labels], np.ones(len(joined))]) / lengths / len(lengths)
     line_weight = np.repeat(weight, lengths)
     w, trans, begin = np.zeros((x.shape[1], 2)), np.zeros((2, 2)), np.zeros(2)
     inner = np.ones(len(x), dtype=bool)

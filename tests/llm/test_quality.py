@@ -60,3 +60,36 @@ def test_features_in_groups(monkeypatch):
         got, starts = quality._features(found)
         np.testing.assert_allclose(got, want)
         assert starts.tolist() == first.tolist()
+
+
+def test_labels_change_within_a_text(spark):
+    """Transitions are learned from mixed texts: lines of a text that changes midway get their own labels."""
+    rng = np.random.default_rng(1)
+    line = {1: lambda: " ".join("abcdefgh"[: int(rng.integers(2, 8))] for _ in range(9)) + ".", 0: lambda: "| 7 $ " * int(rng.integers(3, 9))}
+    text = lambda k, n: "\n".join(line[k]() for _ in range(n)).encode()
+    chain = quality.train([(text(k % 2, int(rng.integers(1, 30))), k % 2) for k in range(120)])
+    # Staying is likelier than changing, but changing has a chance.
+    stay, change = chain.trans[0, 0] + chain.trans[1, 1], chain.trans[0, 1] + chain.trans[1, 0]
+    assert 0 < stay - change < 30
+    mixed = text(1, 12) + b"\n" + text(0, 12)
+    features, _, first = quality.line_features([mixed])
+    good = np.exp(quality.marginals(chain.emit(features), first, chain.trans, chain.begin)[0][:, 1])
+    assert (good[:12] > 0.8).all() and (good[12:] < 0.2).all()
+
+
+def test_score_by_brute_force():
+    """Whole scores by enumerating every labelling of a text's lines."""
+    rng = np.random.default_rng(2)
+    n = quality.line_features([b"x"])[0].shape[1]
+    chain = quality.Chain(np.zeros(n), np.ones(n), rng.standard_normal((n, 2)) / 9, rng.standard_normal((2, 2)), rng.standard_normal(2))
+    found = [b"A line.\n| x |\n\n12 3", b"", b"one\ntwo words", None]
+    features, size, first = quality.line_features(found)
+    emit = features @ chain.weights
+    for got, a, b in zip(chain.scores(found), first[:-1], first[1:], strict=True):
+        total, good = 0.0, np.zeros(b - a)
+        for labels in itertools.product((0, 1), repeat=b - a):
+            p = np.exp(chain.begin[labels[0]] + sum(emit[a + i, k] for i, k in enumerate(labels)) + sum(chain.trans[i, j] for i, j in itertools.pairwise(labels)))
+            total += p
+            good += p * np.array(labels)
+        weight = np.maximum(size[a:b], 1)
+        assert abs(got - (good / total * weight).sum() / weight.sum()) < 1e-9
