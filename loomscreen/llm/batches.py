@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -47,16 +48,16 @@ def arrow(run: Callable, schema: str | StructType, size: str = BATCH_BYTES) -> C
 def texts(batches: Iterator[pa.RecordBatch], column: int, most: int = PART_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches of about ``most`` bytes of text, with the UTF-8 bytes of each."""
     for batch in batches:
-        found = batch.column(column).cast(pa.large_binary()).to_pylist()
+        column_of = batch.column(column).cast(pa.large_binary())
         at, total = 0, 0
-        for i, text in enumerate(found):
-            n = len(text or b"")
+        for i, n in enumerate(pc.binary_length(column_of).to_pylist()):
+            n = n or 0
             if total and total + n > most:
-                yield batch.slice(at, i - at), found[at:i]
+                yield batch.slice(at, i - at), column_of.slice(at, i - at).to_pylist()
                 at, total = i, 0
             total += n
-        if at < len(found):
-            yield batch.slice(at), found[at:]
+        if at < batch.num_rows:
+            yield batch.slice(at), column_of.slice(at).to_pylist()
 
 
 def uniform(*cols: Column) -> Column:

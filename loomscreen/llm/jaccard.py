@@ -304,6 +304,16 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = least
 
 
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    """The distinct shingles of each row's text, worked out for about PART_BYTES of text at a time."""
+    out: list[np.ndarray] = []
+    for _, found in texts(table.select(["text"]).combine_chunks().to_batches(), 0):
+        owner, tokens = shingles(Words(found))
+        cut = np.searchsorted(owner, np.arange(len(found) + 1))
+        out += [np.unique(tokens[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    return out
+
+
 _LINKS = "c1 long, c2 long, links long, r1 long, r2 long"
 
 
@@ -314,10 +324,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = group.pairs()
         if not len(a):
             continue
-        words = Words([t.encode() for t in table.column("text").to_pylist()])
-        owner, tokens = shingles(words)
-        cut = np.searchsorted(owner, np.arange(group.n + 1))
-        sets = [np.unique(tokens[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        sets = _sets(table)
         size = np.array([len(s) for s in sets])
         both = overlaps(sets, a, b)
         # both / union >= THRESHOLD, in whole numbers.
