@@ -76,7 +76,7 @@ def rs12_split_by_group(spark, d):
     return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.median("value"), 6).alias("mid"))
 
 
-@query()
+@query(r"""SELECT item_id, rtrim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '(\S{40,}|.{1,40})(?:\s+|$)', E'\\1\n', 'g'), chr(10)) AS label FROM benchmark""")
 def str16_wrapped_labels(spark, d):
     return read(spark, d, "benchmark").select("item_id", wrapped(F.regexp_replace("text", r"\s+", " "), 40).alias("label"))
 

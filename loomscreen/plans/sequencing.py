@@ -31,8 +31,11 @@ def src14_other_motif(spark, d):
     return sequences(spark, d).select("doc_id", sq.first_guide(F.col("seq"), ("TGTTG", "GTTG")).alias("guide"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, substring(seq, 141) AS x FROM sequences)
-SELECT doc_id, {RC.format("coalesce(" + _case("x", ["CAAAC", "AAAC"]) + ", CASE WHEN length(x) >= 23 THEN substring(x, length(x) - 22, 20) ELSE '' END)")} AS guide FROM t""", "sequences")
+#: The second guide of the read's part x behind base 140, and the tolerant guide of seq.
+SECOND = RC.format("coalesce(" + _case("x", ["CAAAC", "AAAC"]) + ", CASE WHEN length(x) >= 23 THEN substring(x, length(x) - 22, 20) ELSE '' END)")
+
+
+@query(f"WITH t AS (SELECT doc_id, substring(seq, 141) AS x FROM sequences) SELECT doc_id, {SECOND} AS guide FROM t", "sequences")
 def str8_second_guide(spark, d):
     return sequences(spark, d).select("doc_id", sq.second_guide(F.col("seq")).alias("guide"))
 
@@ -41,7 +44,10 @@ _TRIES = ", ".join(f"CASE WHEN instr(seq, '{v}') > 0 AND length(seq) - instr(seq
 _LAST = "(length(seq) - instr(reverse(seq), 'TGC') - 2)"
 
 
-@query(f"SELECT doc_id, coalesce({RC.format(f'coalesce({_TRIES}, CASE WHEN contains(seq, $$CGT$$) AND {_LAST} >= 20 THEN substring(seq, {_LAST} - 18, 20) END)')}, '') AS guide FROM sequences", "sequences")
+TOLERANT = f"coalesce({RC.format(f'coalesce({_TRIES}, CASE WHEN contains(seq, $$CGT$$) AND {_LAST} >= 20 THEN substring(seq, {_LAST} - 18, 20) END)')}, '')"
+
+
+@query(f"SELECT doc_id, {TOLERANT} AS guide FROM sequences", "sequences")
 def str9_tolerant_guide(spark, d):
     return sequences(spark, d).select("doc_id", sq.tolerant_guide(F.col("seq")).alias("guide"))
 

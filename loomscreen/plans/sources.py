@@ -10,6 +10,7 @@ from ..sources import fastq, tables
 from ..sources.scratch import folder
 from . import workflows
 from .analogs import CONTROL, DUAL, cells, dual, query, read, sequences, single
+from .sequencing import RC, SECOND, TOLERANT
 
 
 def _written(spark, df, name, **options):
@@ -98,7 +99,12 @@ def snk3_appended_chunks(spark, d):
     return tables.read_table(spark, path, "l_orderkey long, l_partkey long").groupBy("l_partkey").agg(F.count("*").alias("kept"))
 
 
-@query()
+@query(f"""WITH g AS (SELECT row_number() OVER (ORDER BY doc_id) AS rec_no, seq, {TOLERANT} AS g1, {SECOND.replace("x", "substring(seq, 141)")} AS g2 FROM sequences),
+lib AS (SELECT DISTINCT g1 AS b FROM g WHERE g1 <> ''), asked AS (SELECT g1 AS a FROM g WHERE g1 <> '' UNION SELECT g2 FROM g WHERE g2 <> ''),
+scored AS (SELECT a, b, 100 * (1 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE)) AS score FROM asked, lib),
+called AS (SELECT a, b, score FROM scored WHERE score >= 60 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1)
+SELECT x.b AS p1_identity, x.score AS p1_score, y.b AS p2_identity, y.score AS p2_score, {RC.format("substring(seq, 1, 25)")} AS barcode_mapped, substring(seq, 9, 12) AS "UMI"
+FROM g JOIN called x ON x.a = g1 JOIN called y ON y.a = g2""", "sequences")
 def pl10_process_reads(spark, d):
     """Guides, barcodes and molecules called from one analog read of each kind."""
     s = running.numbered(sequences(spark, d), "doc_id").select("rec_no", "seq")
