@@ -54,6 +54,16 @@ def test_edges(spark):
         for _, stage in cp.STAGES:
             at = cp.stored(stage(spark, at, D), "edges")
         assert at.count() == (0 if empty else 2)
+    # Names that the operators use themselves, nulls beside them, and a long text.
+    names = ["row", "key", "carried", "kept", "c1", "c2", "_h", "_1", "_0", "n_removed", "lang_pred", "sketch"]
+    long = " ".join(f"w{i * i % 9973}x{i}" for i in range(60_000))
+    clash = spark.createDataFrame([(1, long, *[None] * len(names)), (2, "one two three four five six", *["z"] * len(names))], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)).withColumns({"lang": F.lit("en"), "n_chars": F.lit(3).cast("long")})
+    at = clash
+    for _, stage in cp.STAGES[:-1]:
+        at = cp.stored(stage(spark, at, D), "clash")
+        assert at.columns == clash.columns
+    assert sorted((r.doc_id, r.text, r.row, r.c1) for r in at.collect()) == [(1, long, None, None), (2, "one two three four five six", "z", "z")]
+    assert cp.tokens(spark, at, D).count() == 2
     assert cp.near_duplicates(spark, df, D).where(F.col("text").isNull() | (F.col("text") == "")).count() == 3
 
 
