@@ -4,6 +4,10 @@
 returns the documents that it keeps, with the columns of ``documents``; the last
 returns the kept documents' token ids.  ``run`` applies them to the table and
 stores what each stage returns before the next one reads it.
+
+Edge cases, for all stages: any column may be null and bear any name (rows are
+carried as structs, so names can't clash); an empty table gives an empty result;
+texts of any length are worked on whole, each by one worker.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     No document is rejected for its score: texts of mixed languages, which stay,
     score less than junk with letters and texts of languages that aren't learned.
+    Null, empty and letterless texts go; repeated rows are decided alike.
     """
     net = langid.learn(docs)
     kept = langid.predict(docs, net, carry=docs.columns).where(F.col("lang_pred") != langid.UNDETERMINED)
@@ -28,12 +33,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of similarity 0.8 connect: the one of the least id and text."""
+    """One document of each group that links of similarity 0.8 connect: the one of the least id and text.
+
+    Rows without a word link to nothing and stay; of repeated rows one stays; a
+    null id stands back behind any other.
+    """
     return jaccard.survivors(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of any repeated window of 35 words."""
+    """Documents without the words of any repeated window of 35 words.
+
+    A text that loses none is kept as it is, null or empty ones too; repeated
+    rows count as occurrences of their own; n_chars is that of the new text.
+    """
     # The texts come back from the index; only the other columns are carried along.
     rest = [c for c in docs.columns if c != "text"]
     out = substring.dedup(docs, carry=rest, verbatim=True)
@@ -43,15 +56,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of ``benchmark``."""
+    """Documents that hold no item of ``benchmark``; null and empty texts stay, repeated rows are decided alike."""
     found = decontam.text_leaks(docs.select("text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("c1", "c2").distinct()
-    keyed = docs.select("*", *(c.alias(f"_{i}") for i, c in enumerate(decontam.text_key(docs["text"]))))
-    kept = keyed.join(found, (F.col("_0") == found["c1"]) & (F.col("_1") == found["c2"]), "left_anti")
-    return kept.select(*docs.columns)
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *decontam.text_key(docs["text"]))
+    return keyed.join(found, ["c1", "c2"], "left_anti").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, their number, and digests of the ids and of the bytes that they decode to."""
+    """Ids of every document, their number, and digests of the ids and of the bytes that they decode to; a null text has none."""
     vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     return bpe.digests(bpe.decode(bpe.encode(docs, vocabulary, pattern), vocabulary, pattern), "ids")
 
