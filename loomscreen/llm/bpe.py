@@ -20,12 +20,13 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import arrow
+from .batches import PART_BYTES, arrow
 from .storage import columns
 
 #: Pre-tokens remembered by a worker before its memory of them is cleared.
@@ -139,7 +140,7 @@ def _lists(buffers: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose sizes sum to about ``most``, one row at least."""
     at, total = 0, 0
     for i, n in enumerate(sizes):
@@ -151,19 +152,27 @@ def _parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int = 16 << 20) -> It
         yield batch.slice(at)
 
 
+def _encoded(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """The keys and ids of batches of (key, text), some rows at a time."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        for part in _parts(batch, sizes):
+            yield part.column(0), _lists([c.encode(t or "") for t in part.column(1).to_pylist()])
+
+
+def _decoded(c: Codec, lists: pa.ListArray) -> pa.Array:
+    values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return pa.array([c.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], type=pa.binary())
+
+
 def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key`` and ``ids`` (array<int>) of every row; a null text has no ids."""
-    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocabulary, pattern)
-        for batch in batches:
-            sizes = batch.column(1).cast(pa.large_binary()).fill_null(b"")
-            for part in _parts(batch, np.diff(np.frombuffer(sizes.buffers()[1], dtype=np.int64, count=len(sizes) + 1 + sizes.offset)[sizes.offset :])):
-                ids = [c.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], names=["key", "ids"])
+        for keys, lists in _encoded(codec(vocabulary, pattern), batches):
+            yield pa.RecordBatch.from_arrays([keys, lists], names=["key", "ids"])
 
-    return columns(df, key=id_col, text=text_col).transform(arrow(run, f"key {kind}, ids array<int>"))
+    return columns(df, key=id_col, text=text_col).transform(arrow(run, f"key {df.schema[id_col].dataType.simpleString()}, ids array<int>"))
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -172,18 +181,24 @@ def decode(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
         for batch in batches:
-            lists = batch.column(1)
-            values = lists.values.to_numpy(zero_copy_only=False)
-            ends = lists.offsets.to_numpy()
-            decoded = [c.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, type=pa.binary())], names=["key", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(c, batch.column(1))], names=["key", "ids", "decoded"])
+
+    return df.select("key", "ids").transform(arrow(run, f"key {df.schema['key'].dataType.simpleString()}, ids array<int>, decoded binary"))
+
+
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode`` of ``encode``, by one worker a task: the ids don't leave it in between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(vocabulary, pattern)
+        for keys, lists in _encoded(c, batches):
+            yield pa.RecordBatch.from_arrays([keys, lists, _decoded(c, lists)], names=["key", "ids", "decoded"])
 
-    kind = df.schema["key"].dataType.simpleString()
-    return df.select("key", "ids").transform(arrow(run, f"key {kind}, ids array<int>, decoded binary"))
+    return columns(df, key=id_col, text=text_col).transform(arrow(run, f"key {df.schema[id_col].dataType.simpleString()}, ids array<int>, decoded binary"))
 
 
 def digests(df: DataFrame, *more: str) -> DataFrame:
-    """The counts and SHA-256 digests of what ``decode`` returns, and any of its columns."""
+    """The counts and SHA-256 digests of what ``decode`` or ``round_trip`` returns, and any of its columns."""
     return df.select(
         F.col("key").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),

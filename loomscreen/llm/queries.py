@@ -28,8 +28,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded bytes of every document."""
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, vocabulary, public_tokenizers.PATTERN))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN))
 
 
 @query

@@ -44,8 +44,9 @@ def test_query(spark, tik):
 def test_edges(spark, tik):
     texts = [None, "", "  \n\t ", "a" * 5000, "x y " * 120_000, "日本語 🙂 é", None, ""]
     df = spark.createDataFrame([(i, t, "z", [1]) for i, t in enumerate(texts)], "doc_id long, text string, key string, ids array<int>")
-    got = {r.key: r for r in bpe.decode(bpe.encode(df, PATH, P.PATTERN), PATH, P.PATTERN).collect()}
-    for i, t in enumerate(texts):
-        assert got[i].ids == tik.encode_ordinary(t or "")
-        assert bytes(got[i].decoded).decode() == (t or "")
+    for out in (bpe.decode(bpe.encode(df, PATH, P.PATTERN), PATH, P.PATTERN), bpe.round_trip(df, PATH, P.PATTERN)):
+        got = {r.key: r for r in out.collect()}
+        for i, t in enumerate(texts):
+            assert got[i].ids == tik.encode_ordinary(t or "")
+            assert bytes(got[i].decoded).decode() == (t or "")
     assert bpe.encode(df.limit(0), PATH, P.PATTERN).collect() == []
