@@ -65,7 +65,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, their number, and digests of the ids and of the bytes that they decode to; a null text has none."""
     vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digests(bpe.decode(bpe.encode(docs, vocabulary, pattern), vocabulary, pattern), "ids")
+    return bpe.digests(bpe.round_trip(docs, vocabulary, pattern), "ids")
 
 
 STAGES = [

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.sequences import identity_score
 from ..sources.scratch import settled
 
-#: About the most rows of a library that are sent to every task at once; larger ones are sent in blocks, one after another.
+#: About the most rows and bytes of a library that are sent to every task at once; larger ones are sent in blocks, one after another.
 BROADCAST_LIBRARY = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def best_match(seqs: DataFrame, library: DataFrame, least: float = 0.0) -> DataFrame:
@@ -25,7 +26,8 @@ def best_match(seqs: DataFrame, library: DataFrame, least: float = 0.0) -> DataF
         scored = seqs.crossJoin(F.broadcast(part)).withColumn("score", identity_score(F.col("seq"), F.col("identity"))).where(F.col("score") >= least)
         return _best(scored)
 
-    blocks = -(-library.count() // BROADCAST_LIBRARY)
+    rows, size = library.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("identity") + 16), F.lit(0))).first()
+    blocks = max(-(-rows // BROADCAST_LIBRARY), -(-size // BROADCAST_BYTES))
     if blocks <= 1:
         return best(library)
     seqs, library = settled(seqs, "sequences"), settled(library.withColumn("block", F.expr(f"pmod(xxhash64(identity), {blocks})")), "library")
