@@ -114,3 +114,26 @@ def test_large_buckets_are_split(spark, monkeypatch):
     whole = jaccard._shared(reps.transform(jaccard.arrow(jaccard._paths, jaccard._PATH)), "test-paths").agg(F.max("total")).first()[0]
     assert whole > 100 and np.mean(np.array(sizes) <= 30) > 0.8
     assert ours(jaccard.join(df)) == brute(rows)
+
+
+def test_connected(spark):
+    """Paths, cycles, stars and pairs in one graph; a graph of stars needs no round."""
+    rng = np.random.default_rng(7)
+    names = rng.permutation(400).tolist()
+    edges = [(names[i], names[i + 1]) for i in range(150)] + [(names[200 + i], names[200 + (i + 1) % 40]) for i in range(40)] + [(names[300], names[300 + i]) for i in range(1, 50)] + [(names[390], names[391]), (names[391], names[390])]
+    group = {x: x for e in edges for x in e}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        group[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(edges, "a int, b int")
+    got = {r.node: r.root for r in jaccard.connected(df).collect()}
+    assert got == {x: find(x) for x in group if find(x) != x}
+    stars = df.select(F.lit(0).alias("b"), (F.col("a") + 1).alias("a"))
+    assert jaccard._starred(stars.distinct()) and not jaccard._starred(df.where("a > b").distinct())
+    assert jaccard.connected(df.limit(0)).collect() == []
