@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, jaccard, langid, quality, shards, substring, tokenfile, topk
+from . import bpe, conversations, decontam, html, jaccard, langid, quality, shards, substring, tokenfile, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,3 +176,66 @@ best AS (
 SELECT doc_id, item_id, round(max(CAST(similarity AS DOUBLE)), 6) AS similarity, CAST(min(start) AS INTEGER) AS start_word, CAST(max(length) AS INTEGER) AS n_words
 FROM best WHERE k = 1 GROUP BY doc_id, item_id
 """
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every damaged conversation, and the cheapest edits that repair it."""
+    rows = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.digests(rows, copies="copies").withColumnRenamed("key", "conv_id")
+
+
+def _edit(state: str, cost: str, letter: str, line: str = "") -> str:
+    """SQL for a path of cost c, audit a and text o, one edit longer."""
+    text = f"CASE WHEN {state}.o = '' THEN {line} ELSE {state}.o || chr(10) || {line} END" if line else f"{state}.o"
+    return f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{letter}', o := {text})"
+
+
+def _repair_sql() -> str:
+    insert_user, insert_assistant = (lambda s, r=r: _edit(s, "5", "I", f"'{r}:'") for r in ("user", "assistant"))
+    keep = lambda s, initial: f"CASE WHEN NOT gone AND ini = '{initial}' THEN {_edit(s, 'extra', 'K', 'role || chr(58) || text')} END"
+    rerole = lambda s, role: f"CASE WHEN NOT gone THEN {_edit(s, '1 + extra', 'R', repr(role + ':') + ' || text')} END"
+    to_user = ", ".join(x for s in ("z0", "zs", "za") for x in (keep(s, "u"), rerole(s, "user")))
+    least = lambda *found: f"list_min([{', '.join(found)}])"
+    return f"""
+WITH RECURSIVE hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substring(key, i, 1)) AS BIGINT)),
+      lambda crc, code: list_reduce(range(1, 9), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(crc, code)), 4294967295)) % 20 AS kind
+  FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations)),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hashed),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS k, substring(role, 1, 1) AS ini FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN k > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+rows_ AS (SELECT conv_id, i, role, text, ini, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS extra FROM faulty),
+counts AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY conv_id),
+paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, struct_pack(c := CAST(0 AS BIGINT), a := '', o := '') AS z0,
+    CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR)) AS zs, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR)) AS zu, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR)) AS za FROM counts
+  UNION ALL
+  SELECT conv_id, i, {_edit("z0", "2", "D")}, {least(_edit("zs", "2", "D"), keep("z0", "s"))}, {least(_edit("zu", "2", "D"), to_user)},
+    {least(_edit("za", "2", "D"), keep("zu", "a"), rerole("zu", "assistant"))}
+  FROM (SELECT * REPLACE ({least("za", insert_assistant("zu"))} AS za) FROM (
+    SELECT * EXCLUDE (u) REPLACE ({least("zu", insert_user("z0"), insert_user("zs"), insert_user("za"))} AS zu) FROM (
+      SELECT p.conv_id, r.* EXCLUDE (conv_id), p.z0, p.zs, p.zu, p.za, 0 AS u FROM paths p JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1)))),
+ends AS (
+  SELECT conv_id, {least("z0", "za", insert_assistant("zu"), insert_assistant("y"))} AS z
+  FROM (SELECT p.*, {insert_user("zs")} AS y FROM paths p JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i = c.n))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(z.c, 0) AS cost, coalesce(z.a, '') AS audit, sha256(coalesce(z.o, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+ORACLES["op12_conversation_repair"] = _repair_sql()
