@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, decontam, html, jaccard, langid, quality, shards, substring, tokenfile, topk
+from . import bpe, conversations, decontam, html, jaccard, langid, quality, shards, substring, tokenfile, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,6 +178,16 @@ FROM best WHERE k = 1 GROUP BY doc_id, item_id
 """
 
 
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; fold 1 of 3 is held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.where(langid.fold("doc_id", 3) != 1))
+    return toxicity.score(docs, model).select(
+        F.col("key").alias("doc_id"), F.coalesce(langid.fold("key", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every damaged conversation, and the cheapest edits that repair it."""
