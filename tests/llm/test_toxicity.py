@@ -67,13 +67,13 @@ def test_training_by_hand():
                 z[k] += g - sigma * w[k]
                 n[k] += g * g
     wanted = {k: weight(k) for k in seen if weight(k)}
-    assert wanted and abs(model.bias - weight("bias")) < 1e-5
+    assert wanted and abs(model.bias - weight("bias")) < 1e-4
     assert model.at.tolist() == sorted(wanted)
-    np.testing.assert_allclose(model.weight, [wanted[k] for k in sorted(wanted)], rtol=1e-5, atol=1e-6)
+    np.testing.assert_allclose(model.weight, [wanted[k] for k in sorted(wanted)], rtol=1e-4, atol=1e-5)
     for t in (b"w1 w2 bad word", b"", b"bad w3 w1"):
         counts = Counter(toxicity.features([t])[0].tolist())
         s = weight("bias") + sum(toxicity.SCALE * c * wanted.get(k, 0) for k, c in counts.items()) / math.sqrt(max(len(t.split()), 1))
-        assert abs(model.scores([t])[0] - 1 / (1 + math.exp(-s))) < 1e-5
+        assert abs(model.scores([t])[0] - 1 / (1 + math.exp(-s))) < 1e-4
 
 
 def test_held_out_accuracy(spark):
