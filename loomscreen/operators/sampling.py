@@ -11,8 +11,11 @@ MULTIPLIERS = (48_271, 16_807, 69_621, 39_373, 30_269)
 
 
 def hashed(keys: list[str], seed: int) -> Column:
+    """A hash of up to five integer keys."""
+    if len(keys) > len(MULTIPLIERS):
+        raise ValueError(f"at most {len(MULTIPLIERS)} keys can be hashed, not {len(keys)}")
     out = F.lit(seed).cast("long")
-    for k, m in zip(keys, MULTIPLIERS, strict=False):
+    for k, m in zip(keys, MULTIPLIERS[: len(keys)], strict=True):
         out = out + F.col(k) * F.lit(m)
     return out % F.lit(MODULUS)
 

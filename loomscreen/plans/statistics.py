@@ -426,6 +426,35 @@ def pl13_split_half(spark, d):
     return halves[0].join(halves[1], "l_suppkey").agg(r6(F.corr("a", "b"), "r"), F.count("*").alias("n"))
 
 
+#: Sizes and seeds of the downsampling grid, and its rows' lineages with their halves and order keys in SQL.
+SIZES, SEEDS = (500, 1000, 1500, 2000, 2500), (0, 1, 2, 3, 4)
+_HALF = "CASE WHEN substring(md5(concat('half|', p1, '|', p2, '|', barcode, '|', rep)), 1, 20) < '8' THEN 1 ELSE 2 END"
+_GRID = f"""SELECT round(r_sampled, 6) AS r_sampled, n_sampled, round(r_full, 6) AS r_full, n_full, size, seed FROM (WITH rows_ AS (SELECT *, log2(report + 10) AS x, {_HALF} AS half FROM dual),
+lin AS (SELECT DISTINCT p1, p2, barcode, rep, half FROM rows_),
+placed AS (SELECT *, row_number() OVER (PARTITION BY half, seed ORDER BY substring(md5(concat(seed, '|', p1, '|', p2, '|', barcode, '|', rep)), 1, 20)) AS k, count(*) OVER (PARTITION BY half, seed) AS held
+  FROM lin, (SELECT unnest({list(SEEDS)}) AS seed)),
+sizes AS (SELECT unnest({list(SIZES)}) AS size),
+means AS (SELECT half, seed, size, p1, p2, p1 LIKE 'NATION_2%' AND p2 LIKE 'NATION_2%' AS control, avg(x) AS v FROM placed JOIN sizes ON k <= size AND size <= held JOIN rows_ USING (p1, p2, barcode, rep, half) GROUP BY ALL),
+scores AS (SELECT half, seed, size, p1, p2, coalesce((v - avg(v) FILTER (control) OVER w) / nullif(stddev_samp(v) FILTER (control) OVER w, 0), 0) AS z FROM means WINDOW w AS (PARTITION BY half, seed, size)),
+whole AS (SELECT p1, p2, p1 LIKE 'NATION_2%' AND p2 LIKE 'NATION_2%' AS control, avg(x) AS v FROM rows_ WHERE half = 2 GROUP BY ALL),
+full_ AS (SELECT p1, p2, coalesce((v - avg(v) FILTER (control) OVER ()) / nullif(stddev_samp(v) FILTER (control) OVER (), 0), 0) AS z FROM whole),
+a AS (SELECT * FROM scores WHERE half = 1), b AS (SELECT * FROM scores WHERE half = 2), g AS (SELECT DISTINCT size, seed FROM a),
+sampled AS (SELECT size, seed, corr(coalesce(a.z, 0), coalesce(b.z, 0)) AS r_sampled, count(*) AS n_sampled FROM a FULL JOIN b USING (size, seed, p1, p2) GROUP BY 1, 2),
+whole2 AS (SELECT size, seed, corr(coalesce(a.z, 0), coalesce(f.z, 0)) AS r_full, count(*) AS n_full FROM a FULL JOIN (SELECT * FROM full_, g) f USING (size, seed, p1, p2) GROUP BY 1, 2)
+SELECT * FROM sampled JOIN whole2 USING (size, seed))"""
+
+
+@query(_GRID, "dual")
+def pl13_downsampling_grid(spark, d):
+    """Correlations of pair scores of two half screens for five sizes and five seeds, both halves sampled and one."""
+    from ..operators import downsample
+
+    x = dual(spark, d).withColumn("x", F.log2(F.col("report") + 10))
+    control = F.col("p1").startswith(CONTROL) & F.col("p2").startswith(CONTROL)
+    t = downsample.concordance(x, ["p1", "p2", "barcode", "rep"], ["p1", "p2"], "x", list(SIZES), list(SEEDS), control)
+    return t.select("size", "seed", r6("r_sampled", "r_sampled"), "n_sampled", r6("r_full", "r_full"), "n_full")
+
+
 @query("""WITH m AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS j FROM embeddings), b AS (SELECT label, j, avg(CAST(v AS DOUBLE)) AS v FROM m GROUP BY ALL), c AS (SELECT j, avg(v) AS y FROM b GROUP BY 1)
 SELECT label, round(corr(v, y), 5) AS r FROM b JOIN c USING (j) GROUP BY 1""")
 def pl20_pseudobulk_correlation(spark, d):
