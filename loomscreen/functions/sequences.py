@@ -13,6 +13,12 @@ def revcomp(x: Column) -> Column:
     return F.reverse(F.translate(x, "ATGC", "TACG"))
 
 
+def letters_as_bases(x: Column, letters: str, bases: str) -> Column:
+    """The Latin letters of a text as bases: A, C, G and T stay, N is G, and ``letters`` stand for ``bases``."""
+    seq = F.translate(F.upper(F.regexp_replace(x, "[^A-Za-z]", "")), letters, bases)
+    return F.translate(seq, "N", "G")
+
+
 def slice_of(x: Column, start: int, stop: int | None = None) -> Column:
     """Characters start .. stop - 1, counted from 0; to the end without ``stop``."""
     return F.substring(x, start + 1, 2**31 - 1 - start if stop is None else stop - start)

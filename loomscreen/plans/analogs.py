@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sequences import letters_as_bases
 from ..spec import ScreenSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,8 +47,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters of the documents as bases: doc_id, seq."""
-    seq = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, BASES)
-    return read(spark, sf_dir, "documents").select("doc_id", F.translate(seq, "N", "G").alias("seq"))
+    return read(spark, sf_dir, "documents").select("doc_id", letters_as_bases(F.col("text"), LETTERS, BASES).alias("seq"))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,5 +22,6 @@ def test_imports_without_corpus_queries(tmp_path):
         # Left behind alone, it isn't imported.
         shutil.copy(f"{ROOT}/corpus_pipeline.py", tmp_path)
     shutil.copytree(f"{ROOT}/loomscreen", tmp_path / "loomscreen", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(f"{ROOT}/jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 150 and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
