@@ -2,25 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import identity_score
+from ..functions.sequences import identity_score, known_bases
 from ..sources.scratch import settled
 
 #: About the most rows and bytes of a library that are sent to every task at once; larger ones are sent in blocks, one after another.
 BROADCAST_LIBRARY = 200_000
 BROADCAST_BYTES = 32 << 20
+#: Letters that a piece of the library's shortest identity has at least in the rounds that join by pieces.
+PIECE = 4
+
+
+def candidates(seqs: DataFrame, library: DataFrame, edits: int) -> DataFrame:
+    """Pairs (seq, identity) among which are all of at most ``edits`` edits; a pair may stand several times.
+
+    An identity is cut into edits + 1 pieces, one of which no edit touches.  It
+    stands in the sequence moved by x letters, and with lengths that differ by
+    d, moving takes at least |x| + |d - x| edits, which leaves few places.  Both
+    sides meet by identity length, number of the piece and its letters.
+    """
+    n = edits + 1
+    start = lambda m, i: f"({i} * {m} div {n})"
+    size = lambda m, i: f"({start(m, f'({i} + 1)')} - {start(m, i)})"
+    library = library.withColumn("m", F.length("identity"))
+    pieces = library.selectExpr("identity", "m", f"posexplode(transform(sequence(0, {edits}), i -> substring(identity, {start('m', 'i')} + 1, {size('m', 'i')}))) AS (i, piece)")
+    lengths = library.select("m").distinct()
+    asked = seqs.selectExpr("seq", "length(seq) AS n", f"explode(sequence(greatest(length(seq) - {edits}, 0), length(seq) + {edits})) AS m").join(lengths, "m")
+    places = (
+        f"flatten(transform(sequence(0, {edits}), i -> transform(sequence(-(({edits} - n + m) div 2), ({edits} + n - m) div 2), "
+        f"x -> struct(i, {start('m', 'i')} + x AS at, {size('m', 'i')} AS size))))"
+    )
+    asked = asked.selectExpr("seq", "n", "m", f"explode({places}) AS p").where("p.at >= 0 and p.at + p.size <= n")
+    asked = asked.selectExpr("seq", "m", "p.i AS i", "substring(seq, p.at + 1, p.size) AS piece")
+    return asked.join(pieces, ["m", "i", "piece"]).select("seq", "identity")
 
 
 def best_match(seqs: DataFrame, library: DataFrame, least: float = 0.0) -> DataFrame:
     """For each distinct ``seq`` the library ``identity`` of the best score (ties by name), if it is ``least`` or more.
 
     Scores are worked out once for each distinct sequence, not for each read.
-    Every sequence is compared with every identity at any size: blocks of the
-    library are broadcast one after another, and each leaves its best matches.
+    Rounds of 0, 1, 2, 4 ... edits compare only pairs that share a piece; a
+    sequence leaves as soon as no pair of more edits can score as well, or reach
+    ``least``.  Rounds end where pieces would have under PIECE letters: what is
+    left then, sequences far from all identities, is compared with each of them,
+    blocks of the library being broadcast one after another.  The result is that
+    of comparing all pairs, at any size.
     """
-    seqs, library = seqs.select("seq").distinct(), library.select("identity").distinct()
+    seqs, library = seqs.select("seq").distinct().where("seq is not null"), settled(library.select("identity").distinct().where("identity is not null"), "library")
+    shortest, longest = library.agg(F.min(F.length("identity")), F.max(F.length("identity"))).first()
+    if shortest is None:
+        return library.select(F.col("identity").alias("seq"), "identity", F.lit(0.0).alias("score")).limit(0)
+    left, edits, out = settled(seqs, "sequences"), 0, None
+    while shortest // (edits + 1) >= PIECE:
+        pairs = candidates(left, library, edits) if edits else left.join(library, left["seq"] == library["identity"]).select("seq", "identity")
+        close = pairs.where(F.levenshtein("seq", "identity", edits) >= 0).withColumn("score", identity_score(F.col("seq"), F.col("identity"))).where(F.col("score") >= least)
+        bound = _bound("seq", edits + 1, longest)
+        final = settled(_best(close).where(F.col("score") > bound), "matches")
+        out = final if out is None else out.unionByName(final)
+        left = settled(left.where(bound >= least).join(final.select("seq"), "seq", "left_anti"), "sequences")
+        if left.isEmpty():
+            return out
+        edits = 2 * edits or 1
+    rest = _compared(left, library, least)
+    return rest if out is None else out.unionByName(rest)
+
+
+def _bound(seq: str, edits: int, longest: int) -> Column:
+    """The best score of a sequence and an identity that are at least so many edits apart."""
+    n = F.length(seq)
+    reach = F.least(F.greatest(n, F.lit(longest)), n + edits)
+    return F.greatest(100.0 * (1 - edits / reach.cast("double")), F.lit(0.0))
+
+
+def _compared(seqs: DataFrame, library: DataFrame, least: float) -> DataFrame:
+    """Every sequence against every identity, a block of the library after another."""
 
     def best(part: DataFrame) -> DataFrame:
         scored = seqs.crossJoin(F.broadcast(part)).withColumn("score", identity_score(F.col("seq"), F.col("identity"))).where(F.col("score") >= least)
@@ -30,7 +87,7 @@ def best_match(seqs: DataFrame, library: DataFrame, least: float = 0.0) -> DataF
     blocks = max(-(-rows // BROADCAST_LIBRARY), -(-size // BROADCAST_BYTES))
     if blocks <= 1:
         return best(library)
-    seqs, library = settled(seqs, "sequences"), settled(library.withColumn("block", F.expr(f"pmod(xxhash64(identity), {blocks})")), "library")
+    library = settled(library.withColumn("block", F.expr(f"pmod(xxhash64(identity), {blocks})")), "library")
     out = None
     for k in range(blocks):
         part = settled(best(library.where(F.col("block") == k).select("identity")), "matches")
@@ -43,6 +100,48 @@ def _best(scored: DataFrame) -> DataFrame:
     return best.select("seq", "b.identity", "b.score")
 
 
+def decode_sphere(known: DataFrame, radius: int, letters: str = "ACGT") -> DataFrame:
+    """``word`` and ``barcode``: every word that is decoded, and the barcode that it stands for.
+
+    A read has the barcode's length, whatever happened before: insertions push
+    the barcode's end out of it, deletions let any letters follow.  So a barcode
+    becomes a word by substitutions, insertions and deletions, then by cutting or
+    filling up to its length.  A word within ``radius`` edits of a barcode, and of
+    no other as few, is decoded to it.  Its rows grow with the barcodes times the
+    size of a sphere, about (9 * length) ** radius / radius!.
+    """
+    bases = F.array(*(F.lit(c) for c in letters))
+    w = F.col("word")
+    before = lambda i: F.substring(w, F.lit(1), i)
+    after = lambda i: F.substring(w, i + 1, F.length(w))
+    gaps = F.sequence(F.lit(0), F.length(w))
+    places = F.filter(F.sequence(F.lit(0), F.length(w)), lambda i: i < F.length(w))
+    filled = lambda i, rest: F.transform(bases, lambda b: F.concat(before(i), b, rest))
+    edited = F.concat(
+        F.flatten(F.transform(gaps, lambda i: filled(i, after(i)))), F.flatten(F.transform(places, lambda i: filled(i, after(i + 1)))), F.transform(places, lambda i: F.concat(before(i), after(i + 1)))
+    )
+    rows = known.where("barcode is not null").select("barcode", F.col("barcode").alias("word"), F.lit(0).alias("edits")).distinct()
+    reached = rows
+    for k in range(1, radius + 1):
+        rows = rows.select("barcode", F.explode(F.array_distinct(edited)).alias("word"), F.lit(k).alias("edits")).distinct()
+        reached = reached.unionByName(rows)
+    n = F.length("barcode")
+    reached = reached.select("barcode", F.when(F.length("word") > n, F.substring(w, F.lit(1), n)).otherwise(w).alias("word"), "edits")
+    for _ in range(radius):
+        short = F.length("word") < n
+        reached = reached.select("barcode", F.explode(F.when(short, F.transform(bases, lambda b: F.concat(w, b))).otherwise(F.array(w))).alias("word"), "edits")
+    near = reached.groupBy("word", "barcode").agg(F.min("edits").alias("edits"))
+    rivals = near.groupBy("word", "edits").agg(F.count("*").alias("n"), F.min("barcode").alias("barcode"))
+    return rivals.groupBy("word").agg(F.min_by(F.struct("n", "barcode"), "edits").alias("b")).where("b.n = 1").select("word", F.col("b.barcode").alias("barcode"))
+
+
+def decoded(df: DataFrame, known: DataFrame, column: str, radius: int = 1, into: str = "barcode_mapped", letters: str = "ACGT") -> DataFrame:
+    """Rows whose barcode read is decoded, with what it stands for in ``into``; unknown bases are read as C."""
+    words = df.select(F.col(column).alias("_read")).distinct().withColumn("word", known_bases(F.col("_read")))
+    found = words.join(decode_sphere(known, radius, letters), "word").select("_read", F.col("barcode").alias(into))
+    return df.join(found, df[column] == found["_read"]).drop("_read")
+
+
 def whitelisted(df: DataFrame, known: DataFrame, column: str, correct: bool = False) -> DataFrame:
     """Rows whose barcode is known; with ``correct``, also those one substitution from exactly one known barcode, mapped to it."""
     names = known.select(F.col("barcode").alias(column)).distinct()

@@ -146,6 +146,19 @@ def str20_whitelist(spark, d):
     return whitelisted(e.select("event_id", b.alias("barcode_mapped")), known, "barcode_mapped").select("event_id", "barcode_mapped")
 
 
+@query("""WITH known AS (SELECT DISTINCT substring(seq, 31, 7) AS b FROM sequences WHERE doc_id % 5 = 0 AND length(seq) >= 37), words AS (SELECT DISTINCT substring(seq, 11, 7) AS w FROM sequences WHERE length(seq) >= 17),
+near AS (SELECT w, b, list_min(list_transform(range(0, 8), lambda i: least(levenshtein(b, substring(w, 1, i)), levenshtein(substring(b, 1, i), w)))) AS e FROM words, known),
+best AS (SELECT w, min(e) AS e FROM near WHERE e <= 1 GROUP BY w), one AS (SELECT w, min(b) AS b FROM near JOIN best USING (w, e) GROUP BY w HAVING count(*) = 1)
+SELECT doc_id, b AS barcode_mapped FROM sequences JOIN one ON w = substring(seq, 11, 7) WHERE length(seq) >= 17""", "sequences")
+def str20_decoded(spark, d):
+    """Barcodes with up to one substitution, insertion or deletion."""
+    from ..operators.matching import decoded
+
+    s = sequences(spark, d)
+    known = s.where("doc_id % 5 = 0 and length(seq) >= 37").select(F.substring("seq", 31, 7).alias("barcode"))
+    return decoded(s.where("length(seq) >= 17").select("doc_id", F.substring("seq", 11, 7).alias("read")), known, "read").select("doc_id", "barcode_mapped")
+
+
 @query("SELECT concat('@', url, chr(10), upper(split_part(url, '/', 3)), chr(10), '+', chr(10), translate(upper(split_part(url, '/', 3)), 'ACGTN', 'IIII!')) AS value FROM pages")
 def snk5_fastq_text(spark, d):
     seq = F.upper(sq.field(F.col("url"), "/", 2))

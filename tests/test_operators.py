@@ -409,6 +409,75 @@ def test_best_match_of_a_large_library(spark, monkeypatch):
     assert {least: found(least) for least in (0, 60)} == whole
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def edited(rng, s, edits):
+    """``s`` after so many random edits."""
+    for _ in range(edits):
+        i, b = int(rng.integers(0, len(s) + 1)), "ACGT"[rng.integers(0, 4)]
+        s = [s[:i] + b + s[i:], s[:i] + s[i + 1 :], s[:i] + b + s[i + 1 :]][rng.integers(0, 3)]
+    return s
+
+
+@pytest.mark.parametrize("least", [0, 60, 80, 100])
+def test_best_match_by_brute_force(spark, least):
+    """Identities of several lengths, sequences of 0 to 9 edits, short and empty ones: as comparing all pairs."""
+    rng = np.random.default_rng(least)
+    library = ["".join(rng.choice(list("ACGT"), int(rng.choice([8, 19, 20, 21, 30])))) for _ in range(60)]
+    asked = [edited(rng, library[int(rng.integers(0, 60))], int(rng.integers(0, 10))) for _ in range(120)] + ["", "A", "ACGTA"]
+    score = lambda a, b: 100.0 * (1 - edit_distance(a, b) / max(len(a), len(b)))
+    want = {}
+    for a in set(asked):
+        s, b = min((-score(a, b), b) for b in set(library))
+        if -s >= least:
+            want[a] = (b, -s)
+    got = matching.best_match(spark.createDataFrame([(a,) for a in [*asked, None]], "seq string").repartition(4), spark.createDataFrame([(b,) for b in [*library, library[0], None]], "identity string"), least)
+    assert {r.seq: (r.identity, r.score) for r in got.collect()} == want
+    assert got.count() == len(want)
+
+
+def test_best_match_prunes(spark):
+    """20,000 sequences and 20,000 identities: under one candidate pair in 500, and the sequences' own identities."""
+    rng = np.random.default_rng(5)
+    library = ["".join(x) for x in rng.choice(list("ACGT"), (20_000, 20))]
+    asked = {edited(rng, library[k], int(rng.integers(0, 3))): library[k] for k in range(20_000)}
+    seqs = spark.createDataFrame([(a,) for a in asked], "seq string").repartition(8)
+    names = spark.createDataFrame([(b,) for b in library], "identity string").repartition(8)
+    pairs = sum(matching.candidates(seqs, names, d).count() for d in (1, 2))
+    assert pairs < len(asked) * len(library) / 500
+    got = {r.seq: r.identity for r in matching.best_match(seqs, names, 90).collect()}
+    assert set(got) == set(asked) and sum(got[a] == b for a, b in asked.items()) > 0.999 * len(asked)
+
+
+def test_best_match_of_nothing(spark):
+    none = spark.createDataFrame([], "seq string, identity string")
+    some = spark.createDataFrame([("ACGT", "ACGA")], "seq string, identity string")
+    assert matching.best_match(some, none).collect() == matching.best_match(none, some).collect() == []
+
+
+@pytest.mark.parametrize("radius", [1, 2])
+def test_decoding_by_brute_force(spark, radius):
+    """All words of five letters: the least edits with the ends of barcode or word left open, ambiguous words left out."""
+    barcodes = ["AACCG", "TTGCA", "GGGTT", "CATCA"]
+    want = {}
+    for letters in itertools.product("ACGT", repeat=5):
+        w = "".join(letters)
+        near = sorted((min(min(edit_distance(b, w[:i]), edit_distance(b[:i], w)) for i in range(6)), b) for b in barcodes)
+        if near[0][0] <= radius and (near[0][0] < near[1][0]):
+            want[w] = near[0][1]
+    known = spark.createDataFrame([(b,) for b in [*barcodes, barcodes[0], None]], "barcode string")
+    assert {r.word: r.barcode for r in matching.decode_sphere(known, radius).collect()} == want
+    reads = spark.createDataFrame([(1, "AACNG"), (2, "AACCG"), (3, None), (4, "NNNNN")], "k int, b string")
+    assert {r.k: r.barcode_mapped for r in matching.decoded(reads, known, "b", radius).collect()} == {k: want[w] for k, w in ((1, "AACCG"), (2, "AACCG"), (4, "CCCCC")) if w in want}
+
+
 def test_registered_permutations(spark, monkeypatch):
     """The recall queries take the reference's permutations and level: 1,000 for one set, 10,000 and 0.05 for several."""
     seen = []
