@@ -411,6 +411,36 @@ def ml20_running_enrichment(spark, d):
     return views.running_enrichment(ranked, chosen).select("gene", r6("es", "es"))
 
 
+@query("""WITH g AS (SELECT l_suppkey AS gene, avg(l_extendedprice) - 38000 AS weight FROM lineitem GROUP BY 1),
+r AS (SELECT gene, row_number() OVER (ORDER BY weight DESC, gene) - 1 AS rank, abs(weight) AS w, count(*) OVER () AS n FROM g),
+hits AS (SELECT s_nationkey AS gene_set, rank, w, n FROM r JOIN supplier ON gene = s_suppkey),
+sizes0 AS (SELECT DISTINCT size FROM (SELECT gene_set, count(*) AS size FROM hits GROUP BY 1) WHERE size < (SELECT count(*) FROM g)),
+keys AS (SELECT permutation, rank, w, n, x * x % 2147483647 AS x FROM (SELECT permutation, rank, w, n, (x * 16807 + permutation) % 2147483647 AS x FROM (
+  SELECT permutation, rank, w, n, (x * x + 16807) % 2147483647 AS x FROM (SELECT p AS permutation, rank, w, n, (rank * 48271 + (p + 1) * 69621) % 2147483647 AS x FROM r, range(0, 100000) t(p))))),
+drawn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY permutation ORDER BY x, rank) AS k FROM keys) WHERE k <= (SELECT max(size) FROM sizes0)),
+every AS (SELECT -1 - gene_set AS id, 0 AS permutation, rank, w, n FROM hits UNION ALL SELECT size, permutation, rank, w, n FROM drawn JOIN sizes0 ON k <= size),
+sums AS (SELECT *, sum(w) OVER (PARTITION BY id, permutation) AS total, count(*) OVER (PARTITION BY id, permutation) AS size, sum(w) OVER (PARTITION BY id, permutation ORDER BY rank) AS up, row_number() OVER (PARTITION BY id, permutation ORDER BY rank) AS i FROM every),
+ends AS (SELECT id, permutation, size, round(max(up / total - (rank - i + 1) / CAST(n - size AS DOUBLE)), 9) AS high, round(min((up - w) / total - (rank - i + 1) / CAST(n - size AS DOUBLE)), 9) AS low FROM sums WHERE size < n AND total > 0 GROUP BY ALL),
+es AS (SELECT id, permutation, size, CASE WHEN high >= -low THEN high ELSE low END AS es, CASE WHEN high >= -low THEN CASE WHEN high >= 0 THEN 1 ELSE -1 END ELSE CASE WHEN low >= 0 THEN 1 ELSE -1 END END AS sign FROM ends),
+null_ AS (SELECT * FROM es WHERE id >= 0), means AS (SELECT size, sign, avg(abs(es)) AS mean, count(*) AS n_null FROM null_ GROUP BY ALL),
+mine AS (SELECT -1 - id AS gene_set, e.size, e.sign, es, round(abs(es) / mean, 9) AS x, n_null FROM es e LEFT JOIN means m ON m.size = e.size AND m.sign = e.sign WHERE id < 0),
+theirs AS (SELECT t.size, t.sign, permutation, abs(es) AS a, round(abs(es) / mean, 9) AS x, sets FROM null_ t JOIN means USING (size, sign) JOIN (SELECT size, count(*) AS sets FROM mine GROUP BY 1) USING (size)),
+peaks AS (SELECT sign, permutation, max(x) AS x FROM theirs GROUP BY ALL)
+SELECT gene_set, size, round(es, 6) AS es, round(sign * x, 6) AS nes,
+  round((SELECT count(*) FROM theirs t WHERE t.size = m.size AND t.sign = m.sign AND t.a >= abs(m.es)) / CAST(n_null AS DOUBLE), 6) AS p_value,
+  round(least(1, (SELECT sum(sets) FROM theirs t WHERE t.sign = m.sign AND t.x >= m.x) / CAST((SELECT sum(sets) FROM theirs t WHERE t.sign = m.sign) AS DOUBLE)
+    / ((SELECT count(*) FROM mine o WHERE o.sign = m.sign AND o.x >= m.x) / CAST((SELECT count(*) FROM mine o WHERE o.sign = m.sign) AS DOUBLE))), 6) AS fdr,
+  round((SELECT count(*) FROM peaks k WHERE k.sign = m.sign AND k.x >= m.x) / 100000.0, 6) AS fwer FROM mine m""")
+def ml20_enrichment(spark, d):
+    """Nations' suppliers along the suppliers' mean prices, with 100,000 permutations."""
+    from ..operators import enrichment
+
+    genes = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("gene")).agg((F.avg("l_extendedprice") - 38000).alias("weight"))
+    sets = read(spark, d, "supplier").select(F.col("s_nationkey").alias("gene_set"), F.col("s_suppkey").alias("gene"))
+    t = enrichment.enrichment(genes, sets)
+    return t.select("gene_set", "size", *(r6(c, c) for c in ("es", "nes", "p_value", "fdr", "fwer")))
+
+
 @query("""WITH w AS (SELECT guide, rep, avg(log2(report + 10)) AS v FROM single GROUP BY ALL) SELECT round(corr(a.v, b.v), 6) AS r, count(*) AS n FROM w a JOIN w b USING (guide) WHERE a.rep = 'F' AND b.rep = 'O'""", "single")
 def pl19_replicate_concordance(spark, d):
     w = single(spark, d).groupBy("guide", "rep").agg(F.avg(F.log2(F.col("report") + 10)).alias("v"))

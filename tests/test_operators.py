@@ -1,5 +1,6 @@
 """Operators that SQL can't express, and edge cases, against small direct computations."""
 
+import hashlib
 import inspect
 import itertools
 import math
@@ -478,6 +479,73 @@ def test_decoding_by_brute_force(spark, radius):
     assert {r.k: r.barcode_mapped for r in matching.decoded(reads, known, "b", radius).collect()} == {k: want[w] for k, w in ((1, "AACCG"), (2, "AACCG"), (4, "CCCCC")) if w in want}
 
 
+def test_enrichment_by_brute_force(spark, monkeypatch):
+    """Scores, p, nes, fdr and fwer of a small case, set by set; and the same beyond the size that is sent to tasks."""
+    from loomscreen.operators import enrichment as en
+
+    rng = np.random.default_rng(4)
+    n, perms = 40, 60
+    names = [f"g{k:02d}" for k in range(n)]
+    weight = dict(zip(names, np.round(rng.normal(size=n), 1) + 0.05, strict=True))
+    order = sorted(names, key=lambda g: (-weight[g], g))
+    w = np.abs([weight[g] for g in order])
+    sets = {"top": set(order[:6]), "low": set(order[-5:]), **{f"s{k}": set(rng.choice(names, int(rng.integers(1, 9)), replace=False)) for k in range(9)}, "all": set(names)}
+
+    def curve(ranks):
+        """The whole running sum, rank by rank."""
+        total, up, best = sum(w[r] for r in ranks), 0.0, [0.0, 0.0]
+        for r in range(n):
+            up += w[r] / total if r in ranks else -1 / (n - len(ranks))
+            best = [max(best[0], up), min(best[1], up)]
+        high, low = round(best[0], 9), round(best[1], 9)
+        return high if high >= -low else low
+
+    sizes = sorted({len(s) for s in sets.values()} - {n})
+    null = {(k, p): curve(set(en.first_ranks(n, k, p).tolist())) for k in sizes for p in range(perms)}
+    # A permutation's sets are nested, and its order is that of its keys.
+    assert all(set(en.first_ranks(n, 3, p)) < set(en.first_ranks(n, 8, p)) for p in range(perms))
+    mean = lambda k, s: np.mean([abs(v) for (j, _), v in null.items() if j == k and (v >= 0) == s])
+    es = {name: curve({order.index(g) for g in s}) for name, s in sets.items() if len(s) < n}
+    nes = {name: round(abs(v) / mean(len(sets[name]), v >= 0), 9) for name, v in es.items()}
+    want = {}
+    for name, v in es.items():
+        k, up = len(sets[name]), v >= 0
+        alike = [abs(x) for (j, _), x in null.items() if j == k and (x >= 0) == up]
+        every = [(round(abs(null[len(sets[o]), p]) / mean(len(sets[o]), up), 9), p) for o in es for p in range(perms) if (null[len(sets[o]), p] >= 0) == up]
+        own = [nes[o] for o in es if (es[o] >= 0) == up]
+        fdr = (sum(x >= nes[name] for x, _ in every) / len(every)) / (sum(x >= nes[name] for x in own) / len(own))
+        want[name] = (k, v, nes[name] * (1 if up else -1), np.mean([a >= abs(v) for a in alike]), min(fdr, 1.0), len({p for x, p in every if x >= nes[name]}) / perms)
+    genes = spark.createDataFrame([(g, float(x)) for g, x in weight.items()] + [("none", None), (None, 1.0)], "gene string, weight double")
+    rows = spark.createDataFrame([(k, g) for k, s in sets.items() for g in s] + [("top", "unknown"), ("empty", "unknown"), ("top", order[0])], "gene_set string, gene string")
+    for _ in range(2):
+        got = {r.gene_set: tuple(r)[1:] for r in en.enrichment(genes, rows, perms).collect()}
+        assert set(got) == set(want)
+        for name, r in want.items():
+            np.testing.assert_allclose(got[name], r, atol=1e-8, err_msg=name)
+        monkeypatch.setattr(en, "MOST_SENT", 10)
+
+
+def test_downsampled_sizes(spark):
+    """Samples are exact, nested and of distinct lineages; a half without enough lineages has no sample of a size."""
+    from loomscreen.operators import downsample
+
+    rows = spark.createDataFrame([(f"g{k % 7}", k, 1 + k % 2) for k in range(300)], "guide string, barcode long, half int").where("half = 1 or barcode < 100")
+    got = downsample.levels(rows, ["guide", "barcode"], [10, 60, 120], [3, 4]).collect()
+    for half, seed in itertools.product((1, 2), (3, 4)):
+        mine = [r for r in got if (r.half, r.seed) == (half, seed)]
+        counts = [sum(r.level <= n for r in mine) for n in (10, 60, 120)]
+        assert counts == ([10, 60, 120] if half == 1 else [10, 10, 10]) and {r.top for r in mine} == {120 if half == 1 else 10}
+        keys = sorted(hashlib.md5(f"{seed}|{r.guide}|{r.barcode}".encode()).hexdigest() for r in rows.where(f"half = {half}").collect())
+        assert sorted(hashlib.md5(f"{seed}|{r.guide}|{r.barcode}".encode()).hexdigest() for r in mine if r.level == 10) == keys[:10]
+
+
+def test_hash_of_too_many_keys():
+    from loomscreen.operators import sampling
+
+    with pytest.raises(ValueError, match="at most 5"):
+        sampling.hashed(list("abcdef"), 0)
+
+
 def test_registered_permutations(spark, monkeypatch):
     """The recall queries take the reference's permutations and level: 1,000 for one set, 10,000 and 0.05 for several."""
     seen = []
