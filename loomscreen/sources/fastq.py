@@ -6,19 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import blocks
 from .scratch import settled
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """file, rec_no, name, seq, qual of every record of the (gzipped) files at ``path``.
 
+    A plainly gzipped file is one split, as it can't be read from its middle;
+    block-compressed ones are read in splits by ``block_records``.
+    """
+    place = {"file": F.col("_metadata.file_path"), "at": F.col("_metadata.file_block_start"), "m": F.monotonically_increasing_id()}
+    return assembled(spark.read.text(path).withColumns(place))
+
+
+def block_records(spark: SparkSession, path: str, split_bytes: int = blocks.SPLIT_BYTES) -> DataFrame:
+    """As ``records``, of block-compressed files, each read in splits of about so many compressed bytes."""
+    return assembled(blocks.lines(spark, path, split_bytes))
+
+
+def assembled(lines: DataFrame) -> DataFrame:
+    """Records from lines (file, at: their split, m: a number that grows in the split, value).
+
     Lines are written once with their split and their place in it.  A split's
     lines before it come from the splits' counts, so a file is never sorted or
-    numbered in one task; a gzipped file is one split, as it can't be read from
-    its middle.  A record whose header lacks '@' raises.
+    numbered in one task.  A record whose header lacks '@' raises.
     """
-    place = {"file": F.col("_metadata.file_path"), "at": F.col("_metadata.file_block_start"), "m": F.monotonically_increasing_id()}
-    lines = settled(spark.read.text(path).withColumns(place), "lines")
+    lines = settled(lines, "lines")
     splits = lines.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("m").alias("first"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select("file", "at", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
