@@ -479,6 +479,66 @@ def test_decoding_by_brute_force(spark, radius):
     assert {r.k: r.barcode_mapped for r in matching.decoded(reads, known, "b", radius).collect()} == {k: want[w] for k, w in ((1, "AACCG"), (2, "AACCG"), (4, "CCCCC")) if w in want}
 
 
+def naive_tree(d, method):
+    """Merge the two closest clusters, one pair at a time, by all pairs of their members."""
+    live, out = {i: [i] for i in range(len(d))}, []
+    gap = lambda a, b: (np.min if method == "single" else np.mean)(d[np.ix_(live[a], live[b])])
+    while len(live) > 1:
+        h, a, b = min((gap(a, b), a, b) for a, b in itertools.combinations(sorted(live), 2))
+        members = live.pop(a) + live.pop(b)
+        live[len(d) + len(out)] = members
+        out.append((a, b, h, len(members)))
+    return out
+
+
+def long_matrix(spark, d):
+    n = len(d)
+    i, j = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
+    return spark.createDataFrame(pd.DataFrame({"i": [f"l{k:05d}" for k in i.ravel()], "j": [f"l{k:05d}" for k in j.ravel()], "v": d.ravel()}))
+
+
+@pytest.mark.parametrize(("method", "small"), [("average", 2), ("single", 9), ("average", 1024)])
+def test_clustering_by_rounds(spark, monkeypatch, method, small):
+    """Rounds of mutual neighbours give the merges of one pair at a time, and the same leaves."""
+    rng = np.random.default_rng(small)
+    x = rng.normal(size=(40, 3))
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    monkeypatch.setattr(cluster, "SMALL", small)
+    tree, places = cluster.order_of(spark, long_matrix(spark, d), method, optimal=False)
+    rows = sorted(tree.collect())
+    want = naive_tree(d, method)
+    assert [(r.step, r.left, r.right, r.size) for r in rows] == [(k, a, b, s) for k, (a, b, _, s) in enumerate(want)]
+    np.testing.assert_allclose([r.distance for r in rows], [h for _, _, h, _ in want], rtol=1e-9)
+    order = [int(r.label[1:]) for r in sorted(places.collect())]
+    assert order == cluster.leaves(np.array([(r.left, r.right, r.distance, r.size) for r in rows]))
+
+
+def test_clustering_of_many_labels(spark, monkeypatch):
+    """500 labels by rounds down to 200 clusters: the merges of the chain method on the whole matrix."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(500, 4))
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    monkeypatch.setattr(cluster, "SMALL", 200)
+    with pytest.warns(UserWarning, match="up to 200"):
+        tree, places = cluster.order_of(spark, long_matrix(spark, d))
+    rows, z = sorted(tree.collect()), cluster.linkage(d)
+    assert [(r.left, r.right, r.size) for r in rows] == [(int(a), int(b), int(s)) for a, b, _, s in z]
+    np.testing.assert_allclose([r.distance for r in rows], z[:, 2], rtol=1e-9)
+    assert [int(r.label[1:]) for r in sorted(places.collect())] == cluster.leaves(z)
+
+
+def test_clustering_edges(spark):
+    """No label, one, missing pairs (at distance 1), ties and a matrix that isn't symmetric."""
+    empty = spark.createDataFrame([], "i string, j string, v double")
+    assert [t.collect() for t in cluster.order_of(spark, empty)] == [[], []]
+    one = spark.createDataFrame([("a", "a", 0.0)], "i string, j string, v double")
+    assert [[tuple(r) for r in t.collect()] for t in cluster.order_of(spark, one)] == [[], [(0, "a")]]
+    few = spark.createDataFrame([("a", "b", 0.2), ("b", "a", 0.4), ("a", "a", 0.0), ("b", "b", 0.0), ("c", "c", 0.0), ("c", "a", float("nan"))], "i string, j string, v double")
+    tree, places = cluster.order_of(spark, few)
+    assert [(r.left, r.right, round(r.distance, 9), r.size) for r in sorted(tree.collect())] == [(0, 1, 0.3, 2), (2, 3, 1.0, 3)]
+    assert {r.label for r in places.collect()} == {"a", "b", "c"} and places.count() == 3
+
+
 def test_enrichment_by_brute_force(spark, monkeypatch):
     """Scores, p, nes, fdr and fwer of a small case, set by set; and the same beyond the size that is sent to tasks."""
     from loomscreen.operators import enrichment as en
