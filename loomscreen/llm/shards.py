@@ -2,7 +2,7 @@
 
 The units of the tree are groups of equal texts, so copies share a shard; a
 group larger than a shard's target is dealt in parts by a hash of its rows'
-keys.  A unit's place in each dimension is the metadata of its least row,
+numbers, which tell rows of one key and text apart too.  A unit's place in each dimension is the metadata of its least row,
 scaled to 31 bits over the table's range, with a hash of the text below it, so
 that units with equal metadata can be told apart.  From one node that owns all
 shards, every node is split along its widest dimension at the weighted median
@@ -54,7 +54,7 @@ def _units(df: DataFrame, key: str, text: str, dims: list[Column], shards: int)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = stored(
         df.select(
-            F.col(key).alias("doc_id"), (F.octet_length(body) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"), F.xxhash64(body).alias("h"),
+            F.col(key).alias("doc_id"), (F.octet_length(body) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"), F.xxhash64(body).alias("h"), F.monotonically_increasing_id().alias("row"),
             *(F.coalesce(d.cast("double"), F.lit(0.0)).alias(f"d{i}") for i, d in enumerate(dims)),
         ),
         "shard-rows",
@@ -66,7 +66,7 @@ def _units(df: DataFrame, key: str, text: str, dims: list[Column], shards: int)
     groups = rows.groupBy(*same).agg(F.sum("size").alias("w"))
     # At most `shards` groups exceed the target: they are broadcast.
     large = groups.where(F.col("w") > target).select(*same, F.ceil(F.col("w") / max(target / 16, 1)).cast("long").alias("parts"))
-    rows = rows.join(F.broadcast(large), same, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    rows = rows.join(F.broadcast(large), same, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
     # An aggregate buffer of longs, not of structs: the least row by the key's hash stands for the unit.
     units = rows.groupBy(*same, "part").agg(F.sum("size").alias("w"), F.min_by(F.struct(*places), F.xxhash64("doc_id", *places)).alias("at"))
     keys = []
@@ -146,14 +146,14 @@ def assign(df: DataFrame, dims: list[Column], shards: int, id_col: str = "doc_id
         nodes = new
     same = ["h", "crc", "size", "part"]
     where = stored(placed.select(*same, F.col("node").alias("shard")), "shard-of-unit")
-    placed_rows = stored(rows.select("doc_id", *same).join(where, same).select("doc_id", "size", "crc", "shard"), "shard-of-row")
+    placed_rows = stored(rows.select("doc_id", "row", *same).join(where, same).select("doc_id", "row", "size", "crc", "shard"), "shard-of-row")
     return numbered(placed_rows, shards)
 
 
 def numbered(rows: DataFrame, shards: int) -> DataFrame:
-    """Number each shard's rows from 0, in buckets."""
+    """Number each shard's rows from 0, in buckets that a hash of the rows' own numbers fills evenly."""
     buckets = max(1, rows.count() // (shards * BUCKET_ROWS))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "crc"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("shard", "bucket", F.expr("sum(n) over (partition by shard order by bucket rows between unbounded preceding and 1 preceding)").alias("before"))
     at = F.expr("row_number() over (partition by shard, bucket order by doc_id, crc, size)")

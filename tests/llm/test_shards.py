@@ -43,6 +43,28 @@ def test_edges(spark):
     assert shards.assign(df.limit(0), [F.lit(1.0)], 4).collect() == []
 
 
+def test_many_rows_of_one_key_and_text(spark):
+    """Half of all bytes in equal rows: every shard gets its share, and slots are counted in buckets of a few hundred rows."""
+    docs = [(5, "the same text " * 14)] * 2000 + [(100 + i, f"text {i} " * (10 + i % 20)) for i in range(2000)]
+    df = spark.createDataFrame([(*d, "en", 1, 2, 3, 4) for d in docs], "doc_id long, text string, lang string, shard int, slot int, part int, row int").repartition(6)
+    rows = shards.assign(df, [shards.coded(F.col("lang")), F.length("text")], 8).collect()
+    check(rows, docs, 8)
+    size = Counter()
+    for r in rows:
+        size[r.shard] += r.size
+    mean = sum(size.values()) / 8
+    print({k: round(v / mean, 3) for k, v in sorted(size.items())})
+    assert len(size) == 8 and all(abs(v - mean) < 0.03 * mean for v in size.values())
+
+
+def test_a_long_text(spark):
+    docs = [(1, "long " * 1_000_000)] * 2 + [(i, f"short {i}") for i in range(2, 50)]
+    rows = shards.assign(spark.createDataFrame(docs, "doc_id long, text string"), [F.lit(0.5)], 3).collect()
+    check(rows, docs, 3)
+    # Two texts fill two shards, as each exceeds the target.
+    assert len({r.shard for r in rows if r.doc_id == 1}) == 2
+
+
 def tree(units, lo, hi):
     """Shards of units (id, weight, keys) by the tree's definition: the widest dimension's weighted median, exactly."""
     if hi - lo == 1 or not units:
