@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..sources.scratch import settled
 
 
 def within(centres: DataFrame, points: DataFrame, radius: float) -> DataFrame:
@@ -30,19 +33,24 @@ def edges(m: DataFrame, positive: float, negative: float) -> DataFrame:
     return m.withColumn("v", x).where("i < j").where(F.abs("v") >= F.when(F.col("v") > 0, positive).otherwise(negative)).where("v <> 0").select("i", "j", "v")
 
 
-def capped(found: DataFrame, most: int) -> pd.DataFrame:
-    """Greedy choice by falling weight, at most ``most`` edges a node and sign; a sequential pass over the few edges left."""
-    rows = found.orderBy(F.desc(F.abs("v")), "i", "j").toPandas()
-    degree: dict = {}
-    keep = []
-    for i, j, v in rows.itertuples(index=False):
-        a, b = (i, v > 0), (j, v > 0)
-        if degree.get(a, 0) < most and degree.get(b, 0) < most:
-            degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
-            keep.append(True)
-        else:
-            keep.append(False)
-    return rows[np.array(keep, dtype=bool)] if len(rows) else rows
+def capped(found: DataFrame, most: int) -> DataFrame:
+    """Greedy choice of i < j edges by falling weight (ties by i, j), at most ``most`` edges a node and sign: i, j, v.
+
+    In rounds: an edge is out once ``most`` chosen ones stand before it at an
+    end, and chosen once fewer stand before it at both ends with all undecided
+    ones counted.  The first undecided edge always is decided, and with it the
+    first ones of all nodes.
+    """
+    edges_ = settled(found.select("i", "j", "v", F.lit(None).cast("boolean").alias("chosen")), "edges")
+    while not edges_.where("chosen is null").isEmpty():
+        ends = edges_.select("i", "j", "v", "chosen", F.explode(F.array("i", "j")).alias("node"))
+        before = Window.partitionBy("node", F.col("v") > 0).orderBy(F.desc(F.abs("v")), "i", "j").rowsBetween(Window.unboundedPreceding, -1)
+        sure, open_ = (F.coalesce(F.sum(c.cast("int")).over(before), F.lit(0)) for c in (F.coalesce("chosen", F.lit(False)), F.col("chosen").isNull()))
+        ends = ends.withColumns({"_full": sure >= most, "_free": sure + open_ < most})
+        ends = ends.groupBy("i", "j", "v", "chosen").agg(F.max("_full").alias("full"), F.min("_free").alias("free"))
+        decided = F.when(F.col("chosen") | F.col("free"), True).when(F.col("full"), False)
+        edges_ = settled(ends.select("i", "j", "v", decided.alias("chosen")).where("chosen is null or chosen"), "edges")
+    return edges_.select("i", "j", "v")
 
 
 def density_mode(points: np.ndarray, bins: int = 50, margin: float = 0.1) -> tuple[float, float]:

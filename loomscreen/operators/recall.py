@@ -6,32 +6,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import running
 from .ranks import bh_adjust
 
 
 def positions(df: DataFrame, order: str, label: str, *more: str) -> DataFrame:
-    """Places 0, 1, ... of rows in an order of leaves.
+    """Places 0, 1, ... of rows in an order of leaves."""
+    return running.numbered(df, order, "_n").select((F.col("_n") - 1).cast("int").alias("pos"), label, order, *more)
 
-    An order is one clustering's leaves (at most some thousands), so one task numbers it.
-    """
-    return df.select("*", (F.row_number().over(Window.orderBy(order)) - 1).alias("pos")).select("pos", label, order, *more)
+
+def bucket(pos: str, window: int) -> Column:
+    """The stretch of window + 1 places that a place is in: places within ``window`` are in the same or in adjacent ones."""
+    return F.floor(F.col(pos) / F.lit(window + 1)).cast("long")
+
+
+def buckets(pos: str, window: int) -> Column:
+    """A place's stretch and both beside it, one a row."""
+    b = bucket(pos, window)
+    return F.explode(F.array(b - 1, b, b + 1))
 
 
 def neighbours(p: DataFrame, chosen: str, window: int, label: str = "label") -> DataFrame:
-    """at, near, cluster: other places of the same cluster within ``window`` of a chosen row."""
-    s = p.where(chosen).select(F.col("pos").alias("at"), F.col(label).alias("cluster"))
-    other = p.select(F.col("pos").alias("near"), F.col(label).alias("cluster"))
-    return s.join(other, "cluster").where(F.col("near").between(F.col("at") - window, F.col("at") + window) & (F.col("near") != F.col("at"))).select("at", "near", "cluster").distinct()
+    """at, near, cluster: other places of the same cluster within ``window`` of a chosen row, joined by cluster and stretch."""
+    s = p.where(chosen).select(F.col("pos").alias("at"), F.col(label).alias("cluster"), buckets("pos", window).alias("_b"))
+    other = p.select(F.col("pos").alias("near"), F.col(label).alias("cluster"), bucket("pos", window).alias("_b"))
+    return s.join(other, ["cluster", "_b"]).where((F.abs(F.col("near") - F.col("at")) <= window) & (F.col("near") != F.col("at"))).select("at", "near", "cluster").distinct()
 
 
 def near(rows: DataFrame, anchors: DataFrame, window: int, label: str = "label", pos: str = "pos") -> DataFrame:
-    """Rows with an anchor of their cluster within ``window``."""
-    a, b = rows.alias("a"), anchors.select(F.col(pos).alias("_p"), F.col(label).alias("_l")).alias("b")
-    return a.join(b, (F.col(f"a.{label}") == F.col("b._l")) & F.col("b._p").between(F.col(f"a.{pos}") - window, F.col(f"a.{pos}") + window), "left_semi")
+    """Rows with an anchor of their cluster within ``window``, joined by cluster and stretch."""
+    b = anchors.select(F.col(pos).alias("_p"), F.col(label).alias("_l"), buckets(pos, window).alias("_c"))
+    a = rows.withColumn("_b", bucket(pos, window))
+    return a.join(b, (F.col(label) == F.col("_l")) & (F.col("_b") == F.col("_c")) & (F.abs(F.col("_p") - F.col(pos)) <= window), "left_semi").drop("_b")
 
 
 def observed(order: DataFrame, sets: DataFrame, window: int = 20) -> DataFrame:
@@ -100,8 +110,8 @@ def permutation_recall(order: DataFrame, sets: DataFrame, window: int = 20, n_pe
 
 def expand(significant: DataFrame, members: DataFrame, window: int) -> DataFrame:
     """Significant rows (cluster, gene, pos, score) and their clusters' other members within ``window``, with a null score."""
-    s = significant.select("cluster", F.col("pos").alias("_p"))
-    close = members.join(s, "cluster").where(F.abs(F.col("pos") - F.col("_p")) <= window).select("cluster", "gene", "pos").distinct()
+    s = significant.select("cluster", F.col("pos").alias("_p"), buckets("pos", window).alias("_b"))
+    close = members.withColumn("_b", bucket("pos", window)).join(s, ["cluster", "_b"]).where(F.abs(F.col("pos") - F.col("_p")) <= window).select("cluster", "gene", "pos").distinct()
     new = close.join(significant.select("cluster", "gene", "pos"), ["cluster", "gene", "pos"], "left_anti").withColumn("score", F.lit(None).cast("double"))
     return significant.select("cluster", "gene", "pos", "score").unionByName(new)
 

@@ -42,11 +42,20 @@ def mt9_mt16_sentinels(spark, d):
     return e.select("event_id", F.nullif(F.col("event_id") % 10, F.lit(0)).alias("x"), F.coalesce(F.nullif(F.col("event_id") % 4, F.lit(0)), F.lit(-1)).alias("filled"))
 
 
-@query("SELECT x AS x, y AS y, x * y AS z FROM (SELECT unnest(range(0, 11)) * 0.5::DOUBLE AS x), (SELECT unnest(range(0, 5)) * 0.25::DOUBLE AS y)")
+@query("""WITH r AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS e FROM lineitem), k AS (SELECT unnest(range(0, 11)) AS i),
+g AS (SELECT k.i, m.i AS j, a + (b - a) * k.i / 10 AS x, c + (e - c) * m.i / 10 AS y FROM k, k m, r),
+n AS (SELECT CAST(round((l_quantity - a) / (b - a) * 10) AS BIGINT) AS i, CAST(round((l_extendedprice - c) / (e - c) * 10) AS BIGINT) AS j, count(*) AS n FROM lineitem, r GROUP BY ALL)
+SELECT i, j, round(x, 4) AS x, round(y, 4) AS y, coalesce(n, 0) AS n FROM g LEFT JOIN n USING (i, j)""")
 def mt13_grid(spark, d):
-    x = spark.range(11).select((F.col("id") * 0.5).alias("x"))
-    y = spark.range(5).select((F.col("id") * 0.25).alias("y"))
-    return x.crossJoin(F.broadcast(y)).withColumn("z", F.col("x") * F.col("y"))
+    """An 11 x 11 grid over the ranges of two columns, with the rows nearest to each of its points."""
+    rows = read(spark, d, "lineitem").select("l_quantity", "l_extendedprice")
+    ends = rows.agg(F.min("l_quantity").alias("a"), F.max("l_quantity").alias("b"), F.min("l_extendedprice").alias("c"), F.max("l_extendedprice").alias("e"))
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(10).cast("long")))
+    x, y = F.col("a") + (F.col("b") - F.col("a")) * F.col("i") / 10, F.col("c") + (F.col("e") - F.col("c")) * F.col("j") / 10
+    grid = ends.withColumn("i", k).withColumn("j", k).select("i", "j", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
+    step = lambda v, lo, hi: F.round((F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo)) * 10).cast("long")
+    near = rows.crossJoin(F.broadcast(ends)).groupBy(step("l_quantity", "a", "b").alias("i"), step("l_extendedprice", "c", "e").alias("j")).agg(F.count("*").alias("n"))
+    return grid.join(near, ["i", "j"], "left").select("i", "j", "x", "y", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT event_id FROM events WHERE value > 50 AND event_type <> 'view'")
@@ -73,7 +82,10 @@ def rs5_rs6_dummies_beside_columns(spark, d):
 
 @query("SELECT event_type, count(*) AS n, round(median(value), 6) AS mid FROM events GROUP BY 1")
 def rs12_split_by_group(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.median("value"), 6).alias("mid"))
+    """One folder a group; a reader of one group opens no other's files."""
+    path = folder(spark, "groups")
+    read(spark, d, "events").select("event_type", "value").hint("rebalance", "event_type").write.partitionBy("event_type").parquet(path)
+    return spark.read.schema("value double, event_type string").parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.median("value"), 6).alias("mid"))
 
 
 @query(r"""SELECT item_id, rtrim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '(\S{40,}|.{1,40})(?:\s+|$)', E'\\1\n', 'g'), chr(10)) AS label FROM benchmark""")
@@ -130,21 +142,16 @@ def src7_stored_screen(spark, d):
     return lineages.groupBy(*spec.guides).agg(F.count("*").alias("n_lineages"), F.round(F.sum("s"), 2).alias("total"))
 
 
-@query("SELECT r_name AS name, r_regionkey % 2 = 1 AS raised FROM region")
+@query("SELECT c_mktsegment AS name, count(*) AS records, count(*) FILTER (c_custkey % 10 = 0) AS faults FROM customer GROUP BY 1")
 def src17_header_check(spark, d):
-    """Which of several files raises: each has one record, with a proper header for even keys only."""
-    found = []
-    for name, key in read(spark, d, "region").select("r_name", "r_regionkey").collect():
-        path = folder(spark, "header")
-        spark.createDataFrame([(f"{'' if key % 2 else '@'}{name}\nACGT\n+\nIIII",)], "value string").coalesce(1).write.text(path)
-        try:
-            fastq.records(spark, path).collect()
-            found.append((name, False))
-        except Exception as e:
-            if "doesn't start with @" not in str(e):
-                raise
-            found.append((name, True))
-    return spark.createDataFrame(found, "name string, raised boolean")
+    """Records of several files, and those whose header lacks '@': every tenth customer's."""
+    path, key = folder(spark, "header"), F.col("c_custkey")
+    text = F.concat(F.when(key % 10 == 0, "").otherwise("@"), F.lit("r"), key.cast("string"), F.lit("\nACGT\n+\nIIII"))
+    read(spark, d, "customer").select("c_mktsegment", text.alias("value")).repartition("c_mktsegment").write.partitionBy("c_mktsegment").text(path)
+    lines = settled(fastq.placed_lines(spark, path), "lines")
+    name = F.regexp_extract("file", "c_mktsegment=([^/]+)/", 1).alias("name")
+    faults = fastq.faulty(lines).groupBy(name).agg(F.count("*").alias("faults"))
+    return lines.groupBy(name).agg((F.count("*") / 4).cast("long").alias("records")).join(faults, "name", "left").select("name", "records", F.coalesce("faults", F.lit(0)).cast("long").alias("faults"))
 
 
 @query("SELECT concat('s=', n_regionkey) AS sample FROM nation GROUP BY 1")

@@ -389,7 +389,7 @@ g AS (WITH RECURSIVE t AS (SELECT 0::BIGINT AS k, false AS keep, []::VARCHAR[] A
 SELECT i, j, round(v, 6) AS v FROM e JOIN g USING (k)""", "cells")
 def sr9_capped_edges(spark, d):
     m = cells(spark, d).withColumn("v", F.col("v") - F.lit(15.2))
-    return spark.createDataFrame(network.capped(network.edges(m, 0.05, 0.02), 3), "i string, j string, v double").select("i", "j", r6("v", "v"))
+    return network.capped(network.edges(m, 0.05, 0.02), 3).select("i", "j", r6("v", "v"))
 
 
 @query()

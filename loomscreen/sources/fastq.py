@@ -16,8 +16,13 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     A plainly gzipped file is one split, as it can't be read from its middle;
     block-compressed ones are read in splits by ``block_records``.
     """
+    return assembled(placed_lines(spark, path))
+
+
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (value) of text files with their file, split (at) and a number that grows in the split (m)."""
     place = {"file": F.col("_metadata.file_path"), "at": F.col("_metadata.file_block_start"), "m": F.monotonically_increasing_id()}
-    return assembled(spark.read.text(path).withColumns(place))
+    return spark.read.text(path).withColumns(place)
 
 
 def block_records(spark: SparkSession, path: str, split_bytes: int = blocks.SPLIT_BYTES) -> DataFrame:
@@ -32,15 +37,25 @@ def assembled(lines: DataFrame) -> DataFrame:
     lines before it come from the splits' counts, so a file is never sorted or
     numbered in one task.  A record whose header lacks '@' raises.
     """
+    rec = _fours(lines)
+    bad = F.raise_error(F.concat(F.lit("a record's header doesn't start with @: "), F.coalesce("header", F.lit(""))))
+    name = F.when(F.col("header").startswith("@"), F.substring(F.col("header"), 2, 1 << 20)).otherwise(bad.cast("string"))
+    return rec.select("file", "rec_no", name.alias("name"), "seq", "qual")
+
+
+def faulty(lines: DataFrame) -> DataFrame:
+    """file and rec_no of the records whose header lacks '@', instead of an error."""
+    return _fours(lines).where(~F.coalesce(F.col("header").startswith("@"), F.lit(False))).select("file", "rec_no")
+
+
+def _fours(lines: DataFrame) -> DataFrame:
     lines = settled(lines, "lines")
     splits = lines.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("m").alias("first"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select("file", "at", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
     n = lines.join(splits, ["file", "at"]).withColumn("line", F.col("m") + F.col("shift"))
     rec = n.groupBy("file", F.floor(F.col("line") / 4).alias("rec_no")).agg(*(F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(c) for k, c in enumerate(("header", "seq", "plus", "qual"))))
-    bad = F.raise_error(F.concat(F.lit("a record's header doesn't start with @: "), F.coalesce("header", F.lit(""))))
-    name = F.when(F.col("header").startswith("@"), F.substring(F.col("header"), 2, 1 << 20)).otherwise(bad.cast("string"))
-    return rec.select("file", "rec_no", name.alias("name"), "seq", "qual")
+    return rec
 
 
 def header_fields(df: DataFrame) -> DataFrame:
