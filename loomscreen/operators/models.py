@@ -7,6 +7,7 @@ coefficients.  Predictions are plain column expressions.
 
 from __future__ import annotations
 
+import warnings
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -19,6 +20,9 @@ from ..spec import ScreenSpec
 from .matrix import joint_value, mean_of, single_effects
 from .screen import with_scalars
 
+#: Pairs of guides up to which the robust surface is fitted on the driver (four numbers each).
+MOST_LOCAL = 200_000
+
 
 def _products(df: DataFrame, x: list[Column], y: Column) -> tuple[np.ndarray, np.ndarray, float, int]:
     """X'X (with an intercept), X'y, y'y and n in one pass."""
@@ -123,17 +127,63 @@ def huber_concomitant(x: np.ndarray, y: np.ndarray, epsilon: float = 1.35, alpha
     return beta
 
 
+def huber_by_sums(rows: DataFrame, x: list[str], y: str, epsilon: float = 1.35, alpha: float = 1e-4, most: int = 500) -> np.ndarray:
+    """The coefficients of ``huber_concomitant`` from one aggregate over the rows a round: weighted sums of products, and what the scale needs.
+
+    Warns if they still move after ``most`` rounds.  The rows are read once a
+    round: settle them first.
+    """
+    k = len(x)
+    cells = [(a, b) for a in range(k) for b in range(a, k)]
+
+    def sums(beta: np.ndarray, sigma: float | None) -> dict:
+        r = F.col(y) - sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, x, strict=True)), F.lit(0.0))
+        near = F.lit(True) if sigma is None else F.abs(r) <= epsilon * sigma
+        w = F.lit(1.0) if sigma is None else F.when(near, 1 / sigma).otherwise(epsilon / F.greatest(F.abs(r), F.lit(1e-300)))
+        products = [F.sum(w * F.col(x[a]) * F.col(x[b])).alias(f"p{a}_{b}") for a, b in cells] + [F.sum(w * F.col(c) * F.col(y)).alias(f"q{a}") for a, c in enumerate(x)]
+        return rows.agg(*products, F.sum(r).alias("r"), F.sum(r * r).alias("rr"), F.sum(F.when(near, r * r)).alias("inside"), F.count_if(~near).alias("out"), F.count("*").alias("n")).first().asDict()
+
+    def solved(s: dict, penalty: float) -> np.ndarray:
+        m = np.zeros((k, k))
+        for a, b in cells:
+            m[a, b] = m[b, a] = s[f"p{a}_{b}"]
+        q = np.array([s[f"q{a}"] for a in range(k)])
+        return np.linalg.lstsq(m + penalty * np.eye(k), q, rcond=None)[0]
+
+    s = sums(np.zeros(k), None)
+    if not s["n"]:
+        return np.zeros(k)
+    beta = solved(s, 0.0)
+    s = sums(beta, None)
+    sigma = max((s["rr"] / s["n"] - (s["r"] / s["n"]) ** 2) ** 0.5 if s["rr"] * s["n"] > s["r"] ** 2 else 0.0, 1e-12)
+    for _ in range(most):
+        s = sums(beta, sigma)
+        free = s["n"] - epsilon**2 * s["out"]
+        new, new_sigma = solved(s, alpha), max(((s["inside"] or 0.0) / free) ** 0.5, 1e-12) if free > 0 else sigma
+        moved = np.abs(new - beta).max() + abs(new_sigma - sigma)
+        beta, sigma = new, new_sigma
+        if moved < 1e-11 * (1 + np.abs(beta).max()):
+            return beta
+    warnings.warn(f"the robust fit still moves by {moved:.1e} after {most} rounds", stacklevel=2)
+    return beta
+
+
 def joint_surface(pairs: DataFrame, effects: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """Interactions: pairs (i, j, v) minus the fitted a (x1^2 + x2^2) + b (x1 + x2) + c x1 x2, and (a, b, c).
 
-    The fit takes the upper triangle with the diagonal (one row a pair of
-    guides, so its size is a matrix's, not the reads').
+    The fit takes the upper triangle with the diagonal.  Up to MOST_LOCAL of its
+    rows come to the driver; more are fitted by sums over the table.
     """
     left, right = (effects.select(F.col("guide").alias(k), F.col("x").alias(f"x{k}")) for k in ("i", "j"))
     rows = pairs.join(left, "i").join(right, "j")
-    data = rows.where("i <= j and v is not null").select("i", "j", "xi", "xj", "v").orderBy("i", "j").toPandas()
-    a, b = data["xi"].to_numpy(float), data["xj"].to_numpy(float)
-    fit = huber_concomitant(np.column_stack([a**2 + b**2, a + b, a * b]), data["v"].to_numpy(float)) if len(data) else np.zeros(3)
+    a, b = F.col("xi"), F.col("xj")
+    terms = [(a * a + b * b).alias("t0"), (a + b).alias("t1"), (a * b).alias("t2")]
+    data = settled(rows.where("i <= j and v is not null and xi is not null and xj is not null").select("i", "j", *terms, "v"), "surface")
+    if data.count() > MOST_LOCAL:
+        fit = huber_by_sums(data, ["t0", "t1", "t2"], "v")
+    else:
+        local = data.toPandas().sort_values(["i", "j"])
+        fit = huber_concomitant(local[["t0", "t1", "t2"]].to_numpy(float), local["v"].to_numpy(float)) if len(local) else np.zeros(3)
     return rows.select("i", "j", (F.col("v") - joint_value(F.col("xi"), F.col("xj"), *map(float, fit))).alias("v")), fit
 
 

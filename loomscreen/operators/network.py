@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,36 +53,54 @@ def capped(found: DataFrame, most: int) -> DataFrame:
     return edges_.select("i", "j", "v")
 
 
-def density_mode(points: np.ndarray, bins: int = 50, margin: float = 0.1) -> tuple[float, float]:
-    """The densest place of a grid under a Gaussian kernel with Scott's bandwidth; the median of fewer than 3 points or of singular ones."""
-    points = points[np.isfinite(points).all(axis=1)]
-    if len(points) == 0:
-        return np.nan, np.nan
-    middle = tuple(float(x) for x in np.median(points, axis=0))
-    if len(points) < 3:
-        return middle
-    cov = np.cov(points.T) * len(points) ** (-2 / 6)
-    if np.linalg.matrix_rank(cov) < 2:
-        return middle
-    lo, hi = points.min(axis=0), points.max(axis=0)
-    pad = (hi - lo) * margin
-    gx, gy = np.meshgrid(*(np.linspace(a - p, b + p, bins) for a, b, p in zip(lo, hi, pad, strict=True)))
-    grid = np.stack([gx.ravel(), gy.ravel()], axis=1)
-    white = np.linalg.cholesky(np.linalg.inv(cov))
-    d = ((grid[:, None] - points[None]) @ white) ** 2
-    best = np.exp(-d.sum(axis=2) / 2).sum(axis=1).argmax()
-    return float(grid[best, 0]), float(grid[best, 1])
-
-
-def centres(members: DataFrame, points: DataFrame) -> DataFrame:
-    """cluster, x, y, n: each cluster's densest place (members: cluster, gene; points: gene, x, y)."""
-
-    def mode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = density_mode(pdf[["x", "y"]].to_numpy(float))
-        return pd.DataFrame({"cluster": [key[0]], "x": [x], "y": [y], "n": [len(pdf)]})
-
-    kind = members.schema["cluster"].dataType.simpleString()
-    return members.distinct().join(points, "gene").select("cluster", "x", "y").groupBy("cluster").applyInPandas(mode, f"cluster {kind}, x double, y double, n long")
+def density(points: np.ndarray, grid: np.ndarray, white: np.ndarray, block: int = 1024) -> np.ndarray:
+    """Sums of Gaussian kernels around points at each place of a grid; ``white`` turns distances into standard ones."""
+    out, g = np.zeros(len(grid)), grid @ white
+    for at in range(0, len(points), block):
+        p = points[at : at + block] @ white
+        out += np.exp(-((g[:, None] - p[None]) ** 2).sum(axis=2) / 2).sum(axis=1)
+    return out
+
+
+def centres(members: DataFrame, points: DataFrame, bins: int = 50, margin: float = 0.1) -> DataFrame:
+    """cluster, x, y, n: each cluster's densest place (members: cluster, gene; points: gene, x, y).
+
+    The densest place is that of a bins x bins grid over the cluster's range and
+    a margin, under Gaussian kernels with Scott's bandwidth; the median for fewer
+    than 3 points or singular ones.  Moments and ranges are aggregates; batches
+    of points add up their kernels at the grid's places, and these sums add up
+    by cluster and place, so a cluster of any size is never gathered.
+    """
+    known = settled(members.distinct().join(points, "gene").select("cluster", F.col("x").cast("double"), F.col("y").cast("double")).where("x is not null and y is not null and not isnan(x) and not isnan(y) and abs(x) <> double('inf') and abs(y) <> double('inf')"), "members")
+    ends = [f(c).alias(f"{name}_{c}") for c in ("x", "y") for name, f in (("low", F.min), ("high", F.max), ("mid", F.median))]
+    stats = known.groupBy("cluster").agg(F.count("*").alias("n"), *ends, *(F.covar_samp(a, b).alias(f"c_{a}{b}") for a, b in ("xx", "xy", "yy")))
+    scale = F.pow(F.col("n").cast("double"), F.lit(-2 / 6))
+    stats = settled(stats.select("*", *((F.col(f"c_{k}") * scale).alias(f"s_{k}") for k in ("xx", "xy", "yy"))), "centres")
+    regular = stats.where(f"n >= 3 and s_xx * s_yy - s_xy * s_xy > {np.finfo(float).eps} * s_xx * s_yy")
+    shape = ["low_x", "high_x", "low_y", "high_y", "s_xx", "s_xy", "s_yy"]
+
+    def axis(lo: float, hi: float) -> np.ndarray:
+        return np.linspace(lo - (hi - lo) * margin, hi + (hi - lo) * margin, bins)
+
+    def kernels(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for key, mine in part.groupby("cluster", dropna=False):
+                f = mine.iloc[0]
+                gx, gy = np.meshgrid(axis(f.low_x, f.high_x), axis(f.low_y, f.high_y))
+                white = np.linalg.cholesky(np.linalg.inv(np.array([[f.s_xx, f.s_xy], [f.s_xy, f.s_yy]], dtype=float)))
+                sums = density(mine[["x", "y"]].to_numpy(float), np.stack([gx.ravel(), gy.ravel()], axis=1), white)
+                yield pd.DataFrame({"cluster": key, "place": np.arange(bins * bins), "s": sums})
+
+    kind = known.schema["cluster"].dataType.simpleString()
+    summed = known.join(regular.select("cluster", *shape), "cluster").mapInPandas(kernels, f"cluster {kind}, place int, s double").groupBy("cluster", "place").agg(F.sum("s").alias("s"))
+    best = summed.groupBy("cluster").agg(F.max_by("place", F.struct("s", -F.col("place"))).alias("place"))
+
+    def at(c: str, step: Column) -> Column:
+        lo, hi = F.col(f"low_{c}"), F.col(f"high_{c}")
+        first, last = lo - (hi - lo) * margin, hi + (hi - lo) * margin
+        return F.coalesce(first + (last - first) * step / (bins - 1), F.col(f"mid_{c}")).alias(c)
+
+    return stats.join(best, "cluster", "left").select("cluster", at("x", F.col("place") % bins), at("y", F.floor(F.col("place") / bins)), "n")
 
 
 def control_points(table: pd.DataFrame, bend: float = 0.2) -> Iterator[tuple[float, float]]:

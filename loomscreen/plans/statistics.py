@@ -392,10 +392,16 @@ def sr9_capped_edges(spark, d):
     return network.capped(network.edges(m, 0.05, 0.02), 3).select("i", "j", r6("v", "v"))
 
 
-@query()
+@query("""WITH p AS (SELECT label AS cluster, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+st AS (SELECT cluster, count(*) AS n, min(x) - 0.1 * (max(x) - min(x)) AS ax, max(x) + 0.1 * (max(x) - min(x)) AS bx, min(y) - 0.1 * (max(y) - min(y)) AS ay, max(y) + 0.1 * (max(y) - min(y)) AS by_,
+  covar_samp(x, x) * pow(count(*), -1 / 3.0) AS sxx, covar_samp(x, y) * pow(count(*), -1 / 3.0) AS sxy, covar_samp(y, y) * pow(count(*), -1 / 3.0) AS syy FROM p GROUP BY 1),
+g AS (SELECT st.*, i.v AS i, j.v AS j, ax + (bx - ax) * i.v / 49 AS gx, ay + (by_ - ay) * j.v / 49 AS gy FROM st, range(0, 50) i(v), range(0, 50) j(v)),
+k AS (SELECT cluster, g.n, gx, gy, i, j, sum(exp(-(syy * (x - gx) ** 2 - 2 * sxy * (x - gx) * (y - gy) + sxx * (y - gy) ** 2) / (sxx * syy - sxy * sxy) / 2)) AS s FROM g JOIN p USING (cluster) GROUP BY ALL)
+SELECT cluster, round(gx, 6) AS x, round(gy, 6) AS y, n FROM k QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY s DESC, j, i) = 1""")
 def ml18_ml19_cluster_centres(spark, d):
     p = read(spark, d, "embeddings").select(F.col("vec_id").alias("gene"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return network.centres(read(spark, d, "embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("gene")), p)
+    t = network.centres(read(spark, d, "embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("gene")), p)
+    return t.select("cluster", r6("x", "x"), r6("y", "y"), "n")
 
 
 @query("SELECT floor(value / 5) * 5 AS bin, count(*) AS n FROM events GROUP BY 1")

@@ -331,8 +331,18 @@ def test_assign_prefers_near_and_large(spark):
 def test_density_mode_and_edges(spark):
     rng = np.random.default_rng(7)
     p = np.concatenate([rng.normal(0, 0.2, (200, 2)), rng.normal(4, 1.5, (60, 2))])
-    assert np.abs(np.array(network.density_mode(p))).max() < 0.5
-    assert network.density_mode(np.array([[1.0, 2.0], [3.0, 4.0]])) == (2.0, 3.0)
+    rows = [("a", k, float(x), float(y)) for k, (x, y) in enumerate(p)] + [("b", 1000, 1.0, 2.0), ("b", 1001, 3.0, 4.0), ("c", 1002, float("nan"), 1.0), ("d", 1003, 1.0, None)] + [("e", 2000 + k, float(k), 2.0 * k) for k in range(5)]
+    df = spark.createDataFrame(rows, "cluster string, gene long, x double, y double").repartition(5)
+    got = {r.cluster: (r.x, r.y, r.n) for r in network.centres(df.select("cluster", "gene"), df.select("gene", "x", "y")).collect()}
+    assert np.abs(np.array(got["a"][:2])).max() < 0.5 and got["a"][2] == len(p)
+    # Few points and singular ones: medians; a cluster without a known point has no row.
+    assert got["b"] == (2.0, 3.0, 2) and got["e"] == (2.0, 4.0, 5) and set(got) == {"a", "b", "e"}
+    # All kernels at all places of the grid.
+    lo, hi = p.min(axis=0), p.max(axis=0)
+    gx, gy = (np.linspace(a - 0.1 * (b - a), b + 0.1 * (b - a), 50) for a, b in zip(lo, hi, strict=True))
+    inverse = np.linalg.inv(np.cov(p.T) * len(p) ** (-1 / 3))
+    best = max(((sum(np.exp(-0.5 * v @ inverse @ v) for v in p - np.array([x, y])), x, y) for x in gx for y in gy if abs(x) < 0.6 and abs(y) < 0.6), key=lambda t: t[0])
+    np.testing.assert_allclose(got["a"][:2], best[1:], rtol=1e-9)
     m = spark.createDataFrame([("a", "b", 3.0), ("a", "c", 2.0), ("a", "d", -5.0), ("b", "c", 1.0)], "i string, j string, v double")
     assert {(r.i, r.j) for r in network.capped(network.edges(m, 1.0, 1.0), 1).collect()} == {("a", "d"), ("a", "b")}
 
@@ -507,6 +517,24 @@ def test_band_joins_by_stretches(spark):
     assert "_b#" in plan.split("Join Inner")[1].split("\n")[0]
 
 
+def test_robust_fit_by_sums(spark, monkeypatch):
+    """Rounds of aggregates end at the fit of the whole table, and the surface takes them beyond its size."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    y = x @ np.array([0.5, -1.0, 2.0]) + rng.standard_t(2, size=400)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y})).repartition(4).cache()
+    np.testing.assert_allclose(models.huber_by_sums(df, ["a", "b", "c"], "y"), models.huber_concomitant(x, y), rtol=1e-7)
+    assert models.huber_by_sums(df.limit(0), ["a", "b", "c"], "y").tolist() == [0, 0, 0]
+    with pytest.warns(UserWarning, match="after 2 rounds"):
+        models.huber_by_sums(df, ["a", "b", "c"], "y", most=2)
+    df.unpersist()
+    effects = spark.createDataFrame([(f"g{k}", float(v)) for k, v in enumerate(rng.normal(size=12))], "guide string, x double")
+    pairs = spark.createDataFrame([(f"g{i}", f"g{j}", float(rng.normal())) for i in range(12) for j in range(12)], "i string, j string, v double")
+    local = models.joint_surface(pairs, effects)[1]
+    monkeypatch.setattr(models, "MOST_LOCAL", 0)
+    np.testing.assert_allclose(models.joint_surface(pairs, effects)[1], local, rtol=1e-6)
+
+
 def naive_tree(d, method):
     """Merge the two closest clusters, one pair at a time, by all pairs of their members."""
     live, out = {i: [i] for i in range(len(d))}, []
