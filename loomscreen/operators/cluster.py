@@ -173,8 +173,8 @@ def _round(pairs: DataFrame, method: str) -> tuple[DataFrame, DataFrame]:
     return merges, settled(after, "pairs")
 
 
-def _finished(pairs: DataFrame, method: str, optimal: bool, first: int) -> DataFrame:
-    """The merges of at most SMALL clusters, in one task: kept, gone, distance, size and their order; with ``optimal`` also each leaf's place (gone is null)."""
+def _finished(pairs: DataFrame, method: str, first: int) -> DataFrame:
+    """The merges of at most SMALL clusters, in one task: kept, gone, distance, size and their order."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([part["a"], part["b"]]))
@@ -190,10 +190,7 @@ def _finished(pairs: DataFrame, method: str, optimal: bool, first: int) -> DataF
             p, q = sorted((kept[int(x)], kept[int(y)]))
             kept.append(p)
             rows.append((ids[p], ids[q], h, s, first + k))
-        if optimal:
-            rows += [(ids[leaf], None, 0.0, 0.0, place) for place, leaf in enumerate(optimal_leaves(z, d))]
-        out = pd.DataFrame(rows, columns=["kept", "gone", "distance", "size", "turn"])
-        return out.astype({"gone": "Int64"})
+        return pd.DataFrame(rows, columns=["kept", "gone", "distance", "size", "turn"])
 
     return pairs.groupBy().applyInPandas(run, "kept long, gone long, distance double, size double, turn long")
 
@@ -228,19 +225,45 @@ def _places(tree: DataFrame, n: int) -> DataFrame:
     return nodes.where(F.col("node") < n).select(F.col("node").cast("long").alias("c"), F.col("add").cast("int").alias("position"))
 
 
+def _whole(distances: DataFrame, method: str, optimal: bool) -> DataFrame:
+    """Merges (step ... size) and leaves (position, label) of at most SMALL labels, all in one task."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        labels = np.array(sorted(set(part["i"])), dtype=object)
+        place = {x: k for k, x in enumerate(labels)}
+        part = part[part["j"].isin(place.keys()) & (part["i"] != part["j"])]
+        n, i, j = len(labels), part["i"].map(place).to_numpy(int), part["j"].map(place).to_numpy(int)
+        total, known = np.zeros((n, n)), np.zeros((n, n))
+        for a, b in ((i, j), (j, i)):
+            np.add.at(total, (a, b), part["v"].fillna(1.0).to_numpy(float))
+            np.add.at(known, (a, b), 1)
+        d = np.where(known > 0, total / np.maximum(known, 1), 1.0)
+        np.fill_diagonal(d, 0)
+        z = linkage(d, method) if n > 1 else np.zeros((0, 4))
+        order = optimal_leaves(z, d) if optimal else leaves(z)
+        merges = pd.DataFrame({"step": np.arange(len(z)), "left": z[:, 0], "right": z[:, 1], "distance": z[:, 2], "size": z[:, 3], "position": None, "label": None})
+        places = pd.DataFrame({"step": None, "left": None, "right": None, "distance": None, "size": None, "position": np.arange(n), "label": labels[order]})
+        out = pd.concat([merges.astype(object), places.astype(object)])
+        numbers = {c: "Int32" for c in ("step", "left", "right", "size", "position")}
+        return out.astype(numbers | {"distance": "Float64"})
+
+    kind = distances.schema["i"].dataType.simpleString()
+    return distances.select("i", "j", "v").where("i is not null").groupBy().applyInPandas(run, f"step int, left int, right int, distance double, size int, position int, label {kind}")
+
+
 def order_of(spark: SparkSession, distances: DataFrame, method: str = "average", optimal: bool = True) -> tuple[DataFrame, DataFrame]:
     """Merges (step, left, right, distance, size) and leaves (position, label) of a square long matrix of distances.
 
     Leaves are in the optimal order where ``optimal`` and there are at most SMALL,
     else as the merges name them.
     """
-    labels, pairs = _pairs(distances)
-    n = labels.count()
+    n = distances.select("i").where("i is not null").distinct().count()
     kind = distances.schema["i"].dataType.simpleString()
-    if n < 2:
-        none = spark.createDataFrame([], "step int, left int, right int, distance double, size int")
-        return none, labels.select(F.lit(0).alias("position"), "label")
-    if optimal and n > SMALL:
+    if n <= SMALL:
+        both = settled(_whole(distances, method, optimal), "tree")
+        return both.where("step is not null").drop("position", "label"), both.where("position is not null").select("position", "label")
+    labels, pairs = _pairs(distances)
+    if optimal:
         warnings.warn(f"the leaves' order is optimised for up to {SMALL} labels, not {n}", stacklevel=2)
     live, turn, merges = n, 0, None
     while live > SMALL:
@@ -248,11 +271,7 @@ def order_of(spark: SparkSession, distances: DataFrame, method: str = "average",
         live -= found.count()
         found = found.withColumn("turn", F.lit(turn).cast("long"))
         merges, turn = found if merges is None else merges.unionByName(found), turn + 1
-    best = optimal and n <= SMALL
     if live > 1:
-        rest = settled(_finished(pairs, method, best, turn), "merges")
-        mine = rest.where("gone is not null")
-        merges = mine if merges is None else merges.unionByName(mine)
+        merges = merges.unionByName(settled(_finished(pairs, method, turn), "merges"))
     tree = _tree(merges, n)
-    places = rest.where("gone is null").select(F.col("kept").alias("c"), F.col("turn").cast("int").alias("position")) if best else _places(tree, n)
-    return tree, places.join(labels, "c").select("position", F.col("label").cast(kind).alias("label"))
+    return tree, _places(tree, n).join(labels, "c").select("position", F.col("label").cast(kind).alias("label"))

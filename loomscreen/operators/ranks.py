@@ -63,13 +63,13 @@ def bh_adjust(df: DataFrame, p: str, name: str, *by: str) -> DataFrame:
 
     Ranks and minima run over ranges of the order, so one large set of tests isn't sorted in one task.
     """
-    rows = running.ranged(df.where(F.col(p).isNotNull()), *by, p)
-    rows = running.carried(rows, [*by], {"_before": (F.count("*"), F.sum)})
-    sizes = rows.groupBy(*(F.col(c).alias(f"_set_{c}") for c in by)).agg(F.count("*").alias("_n"))
-    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_set_{c}")) for c in by), F.lit(True))
+    # Of equal p the last rank counts for all, so their order is free: a hash keeps a frequent one from being a range of its own.
+    known = df.where(F.col(p).isNotNull()).withColumn("_tie", F.xxhash64(*df.columns))
+    rows = running.ranged(known, *by, p, "_tie").drop("_tie")
+    rows = running.carried(rows, [*by], {"_before": (F.count("*"), F.sum)}, whole={"_n": (F.count("*"), F.sum)})
     part = Window.partitionBy(*by, running.RANGE)
     rank = F.row_number().over(part.orderBy(running.PLACE)) + F.coalesce("_before", F.lit(0))
-    rows = rows.withColumn("_r", rank).join(sizes, same).drop(*(f"_set_{c}" for c in by)).withColumn("_q", F.col(p) * F.col("_n") / F.col("_r"))
+    rows = rows.withColumn("_r", rank).withColumn("_q", F.col(p) * F.col("_n") / F.col("_r"))
     rows = running.carried(rows, [*by], {"_later": (F.min("_q"), F.min)}, last_first=True)
     here = F.min("_q").over(part.orderBy(F.desc(running.PLACE)).rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn(name, F.least(F.lit(1.0), here, F.col("_later"))).select(*df.columns, name)

@@ -8,6 +8,7 @@ twice could give two different sets.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,16 +28,22 @@ def ranged(df: DataFrame, *order: str) -> DataFrame:
     return settled(rows.withColumns({RANGE: F.spark_partition_id(), PLACE: F.monotonically_increasing_id()}), "ranges")
 
 
-def carried(rows: DataFrame, by: list[str], new: dict[str, Column], last_first: bool = False) -> DataFrame:
+def carried(rows: DataFrame, by: list[str], new: dict[str, tuple[Column, Callable[[Column], Column]]], last_first: bool = False, whole: dict[str, tuple[Column, Callable[[Column], Column]]] | None = None) -> DataFrame:
     """``rows`` with aggregates over all earlier ranges (later ones if ``last_first``) of the same ``by``.
 
-    ``new`` names pairs of (aggregate of a range, how ranges' values add up); null where there is no such range.
+    ``new`` names pairs of (aggregate of a range, how ranges' values add up); null
+    where there is no such range.  ``whole`` names pairs that add up over all
+    ranges.  The ranges' values are written once; Spark broadcasts them where
+    their file is small.
     """
-    sums = rows.groupBy(*by, RANGE).agg(*(once.alias(c) for c, (once, _) in new.items()))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(RANGE) if last_first else RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*(F.col(c).alias(f"_of_{c}") for c in [*by, RANGE]), *(over(F.col(c)).over(w).alias(c) for c, (_, over) in new.items()))
+    whole = whole or {}
+    sums = rows.groupBy(*by, RANGE).agg(*(once.alias(c) for c, (once, _) in (new | whole).items()))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    before = group.orderBy(F.desc(RANGE) if last_first else RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    added = [over(F.col(c)).over(before).alias(c) for c, (_, over) in new.items()] + [over(F.col(c)).over(group).alias(c) for c, (_, over) in whole.items()]
+    sums = settled(sums.select(*(F.col(c).alias(f"_of_{c}") for c in [*by, RANGE]), *added), "sums")
     same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, RANGE]))
-    return rows.join(F.broadcast(sums) if not by else sums, same).drop(*(f"_of_{c}" for c in [*by, RANGE]))
+    return rows.join(sums, same).drop(*(f"_of_{c}" for c in [*by, RANGE]))
 
 
 def numbered(df: DataFrame, order: str, name: str = "rec_no") -> DataFrame:
