@@ -9,11 +9,14 @@ gradient ascent on the labelled trees' likelihood; the labelled pages are
 written by a seeded generator in this module that knows every region's role.
 The text of elements whose marginal for content is over one half is returned,
 one block a line; a line break is white space, and images, word break
-opportunities and the like aren't.  Forms, scripts, styles, templates and the like never hold
-text of the article, whatever their marginal, nor do elements that their page
-hides: by the attribute hidden, by aria-hidden="true", or by display: none or
+opportunities and the like aren't.  Forms, scripts, styles and templates never hold
+text of the article, whatever their marginal, nor do what is shown only where an
+object, a video, a sound or a canvas can't be, what a drawing or formula keeps
+unseen (definitions, descriptions, annotations), dialogs that aren't open, and
+elements that their page hides: by the attribute hidden, by aria-hidden="true", or by display: none or
 visibility: hidden in their own style (below the latter, visibility: visible
-shows an element again).  Such words in names and labels are left to the model.
+shows an element again).  Formulas, labels of drawings and image maps go with
+the element around them, open dialogs are left to the model.  Such words in names and labels are left to the model.
 
 Edge cases: null or empty HTML gives an empty text; unclosed, misnested and
 unknown tags are accepted; text outside any tag belongs to the page's root;
@@ -41,14 +44,15 @@ from .storage import columns
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BREAKS = frozenset({"br", "hr"})
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-HIDDEN = frozenset("script style textarea title noscript iframe xmp noembed noframes template head svg math canvas object select option button datalist form audio video map dialog".split())
+HIDDEN = frozenset("script style textarea title noscript iframe xmp noembed noframes template head canvas object select option button datalist form audio video desc metadata defs symbol annotation annotation-xml".split())
+FOREIGN = frozenset({"svg", "math"})
 BLOCK = frozenset(
-    "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption address header footer nav aside form fieldset details summary hr menu hgroup search center".split()
+    "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption address header footer nav aside form fieldset details dialog summary hr menu hgroup search center".split()
 )
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "caption", "thead", "tbody", "tfoot", "figcaption", "summary"}
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("html body table ul ol dl td th section article div main aside nav header footer form".split())
-INLINE_FORMAT = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+INLINE_FORMAT = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var map svg g text tspan textpath foreignobject math semantics mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup mover munder munderover mtable mtr mtd".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|aria-label|itemprop|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I | re.S)
@@ -139,13 +143,15 @@ def parse(page: str) -> Tree:
         parents.append(stack[-1])
         names.append(" ".join(f"{k} {a or b or c or ''}" for k, a, b, c in _NAMES.findall(attrs)).lower() if len(attrs) > 3 else "")
         gone, visible = concealed(attrs)
+        # A dialog that isn't open isn't rendered.
+        gone = gone or tag == "dialog" and not any(k.lower() == "open" for k, *_ in _ATTRIBUTE.findall(attrs))
         t.gone.append(gone)
         t.visible.append(visible)
         if tag in VOID:
             if tag in BREAKS:
                 pieces.append((node, "\n"))
             continue
-        if attrs.endswith("/") and tag in ("svg", "path", "use"):
+        if attrs.endswith("/") and (tag in FOREIGN or any(tags[k] in FOREIGN for k in stack)):
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)

@@ -89,6 +89,20 @@ def test_elements_within_words():
     assert _all('<p class="hidden sm:block">shown</p><p id=hidden>too</p><p hidden>not</p>') == "shown\ntoo"
 
 
+def test_formulas_drawings_and_dialogs():
+    """Formulas, labels, maps and open dialogs are text; their unseen parts, closed dialogs and fallbacks aren't."""
+    assert _all("<p>The energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m</annotation></math> as known</p>") == "The energy is E=m as known"
+    assert _all("<p>See <svg><title>t</title><desc>d</desc><defs><text>x</text></defs><circle r=1/><text>label</text></svg> here</p><p>More.</p>") == "See label here\nMore."
+    assert _all("<map><p>In a map.</p><area></map><dialog open><p>Shown.</p></dialog><dialog><p>Closed.</p></dialog>") == "In a map.\nShown."
+    assert _all("<p>a</p><object>no</object><video>no</video><canvas>no</canvas><form><p>no</p></form><p>b</p>") == "a\nb"
+    model = html.train()
+    page = BY_HAND[1][0]
+    for old, new in [("<p>Burn what you cut", '<p>Use <math><mn>3</mn><mo>+</mo><mn>4</mn></math> buds.</p><p>Burn what you cut'), ("<p>Burn what you cut", '<map name=m><p>Roses of the north garden, by age and colour.</p></map><p>Burn what you cut')]:
+        got = html.extract_texts(model, [page.replace(old, new)])[0]
+        assert "Use 3+4 buds." in got or "Roses of the north garden, by age and colour." in got
+        assert "Tweet" not in got and "Burn what you cut" in got
+
+
 #: Pages written by hand, in layouts that the generator doesn't write, and their main text.
 BY_HAND = [
     (
