@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.scratch import settled
+from . import running
 
 
 def within(centres: DataFrame, points: DataFrame, radius: float) -> DataFrame:
@@ -103,6 +104,84 @@ def centres(members: DataFrame, points: DataFrame, bins: int = 50, margin: float
     return stats.join(best, "cluster", "left").select("cluster", at("x", F.col("place") % bins), at("y", F.floor(F.col("place") / bins)), "n")
 
 
+#: Looks along a curve, and the shares of an edge's length within which nodes, background points and collisions count.
+LOOKS, NODES_WITHIN, BACKGROUND_WITHIN, COLLISION = 15, 0.3, 0.25, 0.15
+
+
+def _spacing(nodes: DataFrame) -> DataFrame:
+    """One row: the nodes' mean place (mx, my) and the median distance between one and the next by name (spacing)."""
+    placed = running.numbered(nodes, "node", "k").select("k", "x", "y")
+    after = placed.select((F.col("k") - 1).alias("k"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return placed.join(after, "k", "left").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.median(F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y"))).alias("spacing"))
+
+
+def _crowding(looks: DataFrame, points: DataFrame, margin: float, strength: float) -> DataFrame:
+    """i, j, side, density and nearest (None if no node is within reach) of looks (i, j, side, w, length, px, py) among points (node, x, y; no node: background).
+
+    Radii are shares of an edge's length, so looks are matched at cells of a
+    width of their own: the power of two above the radius.  A point is put into
+    its cell of every width that occurs, a look into the nine around it.
+    """
+    reach = F.col("length") * NODES_WITHIN * margin
+    looks = looks.withColumn("level", (F.floor(F.log2(reach)) + 1).cast("int"))
+    levels = looks.agg(F.collect_set("level").alias("levels"))
+    width = F.pow(F.lit(2.0), F.col("level").cast("double"))
+    cell = lambda c: F.floor(F.col(c) / width)
+    p = points.crossJoin(F.broadcast(levels)).withColumn("level", F.explode("levels")).drop("levels").withColumns({"_a": cell("x"), "_b": cell("y")})
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    q = looks.withColumn("_s", F.explode(steps)).withColumns({"_a": cell("px") + F.col("_s.a"), "_b": cell("py") + F.col("_s.b")}).drop("_s")
+    d = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
+    met = q.join(p, ["level", "_a", "_b"]).withColumn("d", d).where("node is null or node <> i and node <> j")
+    near = F.when(F.col("node").isNotNull() & (F.col("d") < reach), (1 - F.col("d") / reach) * F.col("w"))
+    behind = F.when(F.col("node").isNull() & (F.col("d") < F.col("length") * BACKGROUND_WITHIN * margin), F.col("w") * strength)
+    return met.groupBy("i", "j", "side").agg(F.sum(F.coalesce(near, behind, F.lit(0.0))).alias("density"), F.min(F.when(F.col("node").isNotNull(), F.col("d"))).alias("nearest"))
+
+
+def curves(found: DataFrame, nodes: DataFrame, background: DataFrame | None = None, curvature: float = 0.03, margin: float = 1.0, strength: float = 0.2) -> DataFrame:
+    """i, j, v, direction (1, -1), score, curvature, and control point (cx, cy) of each edge's curve.
+
+    ``found`` are edges (i, j, v), ``nodes`` places (node, x, y), ``background``
+    further points (x, y).  A curve of twice the curvature on either side of the
+    chord is looked at in LOOKS places; nodes and points near these count, most
+    in its middle, and long edges are drawn to the side away from the centre.
+    The side of the lesser score is taken, +1 of equal ones.  Edges longer than
+    the usual spacing bend more, as do edges in dense regions: there the density
+    of side -1 counts, whichever is taken, and a node close to the curve adds
+    to it.  Edges whose ends have no place are left out; one without length
+    keeps the curvature and side +1.
+    """
+    nodes = settled(nodes.select("node", F.col("x").cast("double"), F.col("y").cast("double")).where("node is not null and x is not null and y is not null"), "nodes")
+    end = lambda c, n: nodes.select(F.col("node").alias(c), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    e = found.select("i", "j", "v").join(end("i", 1), "i").join(end("j", 2), "j").crossJoin(F.broadcast(_spacing(nodes)))
+    e = e.withColumns({"dx": F.col("x2") - F.col("x1"), "dy": F.col("y2") - F.col("y1")}).withColumn("length", F.hypot("dx", "dy"))
+    e = settled(e.withColumn("flat", F.col("length") < 1e-6), "edges")
+    t = 0.1 + 0.8 * F.col("k") / (LOOKS - 1)
+    height = 4 * F.col("t") * (1 - F.col("t")) * 2 * curvature * F.col("side")
+    looks = e.where("not flat").withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(LOOKS - 1)))).withColumn("t", t)
+    looks = looks.select(
+        "i", "j", "side", "length", F.greatest(F.lit(0.05), 1 - 2 * F.pow(F.col("t") - 0.5, F.lit(4.0))).alias("w"),
+        (F.col("x1") + F.col("t") * F.col("dx") - F.col("dy") * height).alias("px"), (F.col("y1") + F.col("t") * F.col("dy") + F.col("dx") * height).alias("py"),
+    )
+    points = nodes if background is None else nodes.unionByName(background.select(F.lit(None).cast(nodes.schema["node"].dataType).alias("node"), F.col("x").cast("double"), F.col("y").cast("double")).where("x is not null and y is not null"))
+    crowd = _crowding(looks, points, margin, strength)
+    sides = crowd.groupBy("i", "j").agg(*(F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{n}") for c in ("density", "nearest") for s, n in ((1, "up"), (-1, "down"))))
+    e = e.join(sides, ["i", "j"], "left")
+    up, down = (F.coalesce(f"density_{n}", F.lit(0.0)) for n in ("up", "down"))
+    ratio = F.coalesce(F.try_divide("length", "spacing"), F.lit(0.0))
+    outward = ((F.col("x1") + F.col("x2")) / 2 - F.col("mx")) * -F.col("dy") + ((F.col("y1") + F.col("y2")) / 2 - F.col("my")) * F.col("dx")
+    bonus = F.when(ratio > 1.5, F.least(ratio - 1, F.lit(3.0))).otherwise(0.0)
+    e = e.withColumns({"_up": F.round(up - F.when(outward > 0, bonus).otherwise(0.0), 9), "_down": F.round(down - F.when(outward > 0, 0.0).otherwise(bonus), 9)})
+    positive = F.col("flat") | (F.col("_up") <= F.col("_down"))
+    close = F.col("length") * COLLISION * margin
+    nearest = F.when(positive, F.col("nearest_up")).otherwise(F.col("nearest_down"))
+    stretched = curvature * F.when(ratio > 1, 1 + 1.5 * F.least(F.pow(ratio, F.lit(1.15)) - 1, F.lit(5.0))).otherwise(1.0)
+    crowded = stretched * (1 + F.least(down / 10, F.lit(2.0))) * F.when(nearest < close, 1 + (close - nearest) / close).otherwise(1.0)
+    bent = F.when(F.col("flat"), curvature).when(down > 1, F.least(crowded, F.lit(15.0 * curvature))).otherwise(stretched)
+    e = e.withColumns({"direction": F.when(positive, 1).otherwise(-1), "score": F.when(~F.col("flat"), F.least("_up", "_down")), "curvature": bent})
+    off = F.col("curvature") * F.col("direction")
+    return e.select("i", "j", "v", "direction", "score", "curvature", ((F.col("x1") + F.col("x2")) / 2 - F.col("dy") * off).alias("cx"), ((F.col("y1") + F.col("y2")) / 2 + F.col("dx") * off).alias("cy"))
+
+
 def control_points(table: pd.DataFrame, bend: float = 0.2) -> Iterator[tuple[float, float]]:
     """The middle control point of each edge's curve, off its chord by ``bend`` of its length."""
     for x1, y1, x2, y2 in table[["x1", "y1", "x2", "y2"]].itertuples(index=False):

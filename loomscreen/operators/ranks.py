@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import erfc
+from math import erfc, lgamma
 
 import numpy as np
 import pandas as pd
@@ -93,33 +93,55 @@ def pearson_test(df: DataFrame, a: str, b: str) -> DataFrame:
     return r.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))))
 
 
-def log10_t_tail(t: float, df: float) -> float:
-    """log10 of the two-sided tail of Student's t, by the incomplete beta function's continued fraction."""
-    from math import lgamma, log
-
-    x = df / (df + t * t)
-    a, b = df / 2, 0.5
-    if x >= (a + 1) / (a + b + 2):
-        front = lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(max(1 - x, 1e-300))
-        return float(np.log10(max(1 - np.exp(front) * _fraction(b, a, 1 - x) / b, 1e-300)))
-    return float((lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x) + log(_fraction(a, b, x) / a)) / log(10))
-
-
-def _fraction(a: float, b: float, x: float) -> float:
-    """The continued fraction of the incomplete beta function (modified Lentz)."""
+def log10_t_tail(t, df):
+    """log10 of the two-sided tail of Student's t, by the incomplete beta function's continued fraction; numbers or arrays."""
+    t, df = np.broadcast_arrays(np.asarray(t, dtype=float), np.asarray(df, dtype=float))
+    shape, t, df = t.shape, np.atleast_1d(t), np.atleast_1d(df)
+    out = np.full(t.shape, np.nan)
+    ok = np.isfinite(t) & (df > 0) & np.isfinite(df)
+    square = t[ok] * t[ok]
+    x, rest = df[ok] / (df[ok] + square), square / (df[ok] + square)
+    a, b = df[ok] / 2, np.full(len(x), 0.5)
+    gamma = np.vectorize(lgamma, otypes=[float])
+    with np.errstate(divide="ignore"):
+        front = gamma(a + b) - gamma(a) - gamma(b) + a * np.log(x) + b * np.log(rest)
+    turned = x >= (a + 1) / (a + b + 2)
+    f = _fraction(np.where(turned, b, a), np.where(turned, a, b), np.where(turned, rest, x))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        body = np.log10(np.maximum(1 - np.exp(front) * f / b, 1e-300))
+        out[ok] = np.where(turned, body, (front + np.log(f / a)) / np.log(10))
+    out[np.isinf(t) & (df > 0)] = -np.inf
+    return out.reshape(shape) if shape else float(out[0])
+
+
+def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The continued fraction of the incomplete beta function (modified Lentz), all places at once."""
     tiny = 1e-300
-    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
-    out = d
+    some = lambda v: np.where(v == 0, tiny, v)
+    c, d = np.ones(len(x)), 1 / some(1 - (a + b) * x / (a + 1))
+    out = d.copy()
     for m in range(1, 400):
         for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + k * d or tiny)
-            c = 1 + k / c or tiny
-            out *= c * d
-        if abs(c * d - 1) < 1e-14:
+            d, c = 1 / some(1 + k * d), 1 + k / some(c)
+            out = out * c * d
+        if (np.abs(c * d - 1) < 1e-14).all():
             break
     return out
 
 
+@F.pandas_udf(DoubleType())
+def log10_t_tail_udf(t: pd.Series, df: pd.Series) -> pd.Series:
+    """log10_t_tail by Arrow batches; null for missing values and degrees of freedom of 0 or less."""
+    return pd.Series(log10_t_tail(t.to_numpy(float), df.to_numpy(float)))
+
+
+#: log10 of the least normal positive double.
+LEAST = -307.6526555685888
+
+
+def p_bound(log10_p: Column) -> Column:
+    """The exponent of the least power of ten over p, or over the least positive double."""
+    return (F.floor(F.greatest(log10_p, F.lit(LEAST))) + 1).cast("int")
 
 
-__all__ = ["against_controls", "average_rank", "bh_adjust", "erfc_udf", "log10_t_tail", "mann_whitney", "pearson_test"]
+__all__ = ["against_controls", "average_rank", "bh_adjust", "erfc_udf", "log10_t_tail", "log10_t_tail_udf", "mann_whitney", "p_bound", "pearson_test"]

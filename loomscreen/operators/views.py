@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,6 +38,16 @@ def term_edges(terms: DataFrame) -> DataFrame:
     return both.select("a", "b", "shared", (s / (F.col("na") + F.col("nb") - s)).alias("jaccard"), (s / F.least("na", "nb")).alias("overlap"), "genes")
 
 
+def annotated(df: DataFrame, picks: dict[str, tuple[Column, str]], most: int = 50) -> DataFrame:
+    """The rows to label: for each named pick (condition, column) the ``most`` rows of the condition with the largest values (ties by all columns), with the pick's name."""
+    out = None
+    for name, (condition, value) in picks.items():
+        ties = [c for c in df.columns if c != value]
+        top = df.where(condition & F.col(value).isNotNull()).orderBy(F.desc(value), *ties).limit(most).withColumn("pick", F.lit(name))
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
 def mean_sem(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("sem"), F.count(value).alias("n"))
 
@@ -59,4 +69,4 @@ def running_enrichment(ranked: DataFrame, genes: DataFrame) -> DataFrame:
     return rows.withColumn("es", F.sum("_step").over(here) + F.coalesce("_before", F.lit(0.0))).select("gene", "weight", "hit", "es")
 
 
-__all__ = ["histogram", "mean_of", "mean_sem", "running_enrichment", "term_edges", "term_table", "top_percent"]
+__all__ = ["annotated", "histogram", "mean_of", "mean_sem", "running_enrichment", "term_edges", "term_table", "top_percent"]

@@ -392,6 +392,34 @@ def sr9_capped_edges(spark, d):
     return network.capped(network.edges(m, 0.05, 0.02), 3).select("i", "j", r6("v", "v"))
 
 
+_CURVES = """e AS (SELECT i, j, v - 15.2 AS v FROM cells WHERE i < j AND abs(v - 15.2) >= CASE WHEN v > 15.2 THEN 0.05 ELSE 0.02 END),
+pt AS (SELECT c_nationkey, c_acctbal / 1000 AS x, (c_custkey * 7919 % 1000) / 100.0 AS y FROM customer),
+nd AS (SELECT n_name AS node, avg(x) AS x, avg(y) AS y FROM pt JOIN nation ON n_nationkey = c_nationkey GROUP BY 1),
+sp AS (SELECT avg(x) AS mx, avg(y) AS my, median(sqrt((x - px) ** 2 + (y - py) ** 2)) AS spacing FROM (SELECT x, y, lag(x) OVER (ORDER BY node) AS px, lag(y) OVER (ORDER BY node) AS py FROM nd)),
+g AS (SELECT i, j, v, a.x AS x1, a.y AS y1, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS len, mx, my, spacing FROM e JOIN nd a ON a.node = i JOIN nd b ON b.node = j, sp),
+lk AS (SELECT i, j, side, len, greatest(0.05, 1 - 2 * (t - 0.5) ** 4) AS w, x1 + t * dx - dy * 4 * t * (1 - t) * 0.06 * side AS px, y1 + t * dy + dx * 4 * t * (1 - t) * 0.06 * side AS py
+  FROM g, (SELECT unnest([1, -1]) AS side), (SELECT 0.1 + 0.8 * k / 14 AS t FROM range(0, 15) r(k))),
+hit AS (SELECT i, j, side, sum(CASE WHEN d < len * 0.3 THEN (1 - d / (len * 0.3)) * w ELSE 0 END) AS s, min(d) AS d FROM (SELECT lk.*, sqrt((x - px) ** 2 + (y - py) ** 2) AS d FROM lk JOIN nd ON node <> i AND node <> j) GROUP BY ALL),
+back AS (SELECT i, j, side, sum(0.2 * w) AS s FROM lk JOIN pt ON (x - px) ** 2 + (y - py) ** 2 < (len * 0.25) ** 2 GROUP BY ALL),
+both_ AS (SELECT hit.i, hit.j, hit.side, hit.s + coalesce(back.s, 0) AS s, d FROM hit LEFT JOIN back USING (i, j, side)),
+sc AS (SELECT g.*, u.s AS us, u.d AS ud, n.s AS ns, n.d AS nd_, len / spacing AS r, (x1 + dx / 2 - mx) * -dy + (y1 + dy / 2 - my) * dx > 0 AS outward FROM g JOIN both_ u ON u.i = g.i AND u.j = g.j AND u.side = 1 JOIN both_ n ON n.i = g.i AND n.j = g.j AND n.side = -1),
+bn AS (SELECT *, CASE WHEN r > 1.5 THEN least(r - 1, 3) ELSE 0 END AS bonus FROM sc),
+up AS (SELECT *, round(us - CASE WHEN outward THEN bonus ELSE 0 END, 9) AS a, round(ns - CASE WHEN outward THEN 0 ELSE bonus END, 9) AS b FROM bn),
+st AS (SELECT *, CASE WHEN a <= b THEN 1 ELSE -1 END AS direction, least(a, b) AS score, CASE WHEN a <= b THEN ud ELSE nd_ END AS d, 0.03 * CASE WHEN r > 1 THEN 1 + 1.5 * least(pow(r, 1.15) - 1, 5) ELSE 1 END AS k FROM up),
+cv AS (SELECT *, CASE WHEN ns > 1 THEN least(k * (1 + least(ns / 10, 2)) * CASE WHEN d < len * 0.15 THEN 1 + (len * 0.15 - d) / (len * 0.15) ELSE 1 END, 0.45) ELSE k END AS curvature FROM st)"""
+
+
+@query(f"WITH {_CURVES} SELECT i, j, direction, round(score, 5) AS score, round(curvature, 6) AS curvature, round(x1 + dx / 2 - dy * curvature * direction, 5) AS cx, round(y1 + dy / 2 + dx * curvature * direction, 5) AS cy FROM cv", "cells")
+def vz13_curves(spark, d):
+    """Curves between nations that keep off other nations' places and off the customers."""
+    points = read(spark, d, "customer").select("c_nationkey", (F.col("c_acctbal") / 1000).alias("x"), (F.col("c_custkey") * 7919 % 1000 / 100).alias("y"))
+    nation = read(spark, d, "nation")
+    nodes = points.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("node")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    found = network.edges(cells(spark, d).withColumn("v", F.col("v") - F.lit(15.2)), 0.05, 0.02)
+    t = network.curves(found, nodes, points)
+    return t.select("i", "j", "direction", *(F.round(c, 6 if c == "curvature" else 5).alias(c) for c in ("score", "curvature", "cx", "cy")))
+
+
 @query("""WITH p AS (SELECT label AS cluster, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
 st AS (SELECT cluster, count(*) AS n, min(x) - 0.1 * (max(x) - min(x)) AS ax, max(x) + 0.1 * (max(x) - min(x)) AS bx, min(y) - 0.1 * (max(y) - min(y)) AS ay, max(y) + 0.1 * (max(y) - min(y)) AS by_,
   covar_samp(x, x) * pow(count(*), -1 / 3.0) AS sxx, covar_samp(x, y) * pow(count(*), -1 / 3.0) AS sxy, covar_samp(y, y) * pow(count(*), -1 / 3.0) AS syy FROM p GROUP BY 1),
@@ -404,6 +432,18 @@ def ml18_ml19_cluster_centres(spark, d):
     return t.select("cluster", r6("x", "x"), r6("y", "y"), "n")
 
 
+@query("SELECT kind, count(DISTINCT (cell, umi)) AS n, true AS within FROM reads GROUP BY 1", "reads")
+def ag4_merged_sketches(spark, d):
+    """Sketches of molecules by kind and transcript and hour of a read, written, read and merged by kind: within four standard errors of the exact number."""
+    from .analogs import reads
+
+    rows = reads(spark, d).withColumn("molecule", F.xxhash64("cell", "umi"))
+    parts = settled(counts.sketches(rows.withColumn("batch", F.col("event_id") % 24), ["kind", "transcript", "batch"], "molecule"), "sketches")
+    exact = rows.select("kind", "cell", "umi").distinct().groupBy("kind").agg(F.count("*").alias("exact"))
+    t = counts.merged(parts, ["kind"]).join(exact, "kind")
+    return t.select("kind", F.col("exact").alias("n"), (F.abs(F.col("n") - F.col("exact")) <= F.lit(4 * 1.04 / 64) * F.col("exact") + 1).alias("within"))
+
+
 @query("SELECT floor(value / 5) * 5 AS bin, count(*) AS n FROM events GROUP BY 1")
 def vz14_histogram(spark, d):
     return views.histogram(read(spark, d, "events"), "value", 5.0).select(F.col("bin").cast("double").alias("bin"), "n")
@@ -508,6 +548,17 @@ def pl18_wide_phenotypes(spark, d):
     return w.select("gene", "guide", F.row_number().over(Window.partitionBy("gene").orderBy("guide")).alias("number"), r6("F", "report_F"), r6("O", "report_O"))
 
 
+@query("""WITH w AS (SELECT gene, guide, avg(log2(report + 10)) FILTER (rep = 'F') AS f, avg(log2(report + 10)) FILTER (rep = 'O') AS o FROM single GROUP BY ALL), d AS (SELECT gene, guide, f - o AS change, abs(f + o) AS weight FROM w)
+SELECT * FROM (SELECT gene, guide, round(change, 6) AS change, round(weight, 6) AS weight, 'up' AS pick FROM d WHERE change > 0.2 ORDER BY round(weight, 9) DESC, gene, guide LIMIT 50)
+UNION ALL SELECT * FROM (SELECT gene, guide, round(change, 6) AS change, round(weight, 6) AS weight, 'down' AS pick FROM d WHERE change < -0.2 ORDER BY round(weight, 9) DESC, gene, guide LIMIT 50)""", "single")
+def pl18_annotations(spark, d):
+    """The 50 guides to label on each side of a change of 0.2."""
+    w = screen.log_transform(single(spark, d), ["report"]).groupBy("gene", "guide").pivot("rep", ["F", "O"]).agg(F.avg("log2_report"))
+    w = w.select("gene", "guide", (F.col("F") - F.col("O")).alias("change"), F.round(F.abs(F.col("F") + F.col("O")), 9).alias("weight"))
+    t = views.annotated(w, {"up": (F.col("change") > 0.2, "weight"), "down": (F.col("change") < -0.2, "weight")})
+    return t.select("gene", "guide", r6("change", "change"), r6("weight", "weight"), "pick")
+
+
 @query("""WITH x AS (SELECT least(p1, p2) || '+' || greatest(p1, p2) AS pair, log2(report + 10) AS v FROM dual), k AS (SELECT pair, count(*) AS n, avg(v) AS m FROM x GROUP BY 1 HAVING count(*) >= 50), r AS (SELECT *, row_number() OVER (ORDER BY m, pair) AS q, count(*) OVER () AS t FROM k)
 SELECT pair, n, round(m, 6) AS mean FROM r WHERE q > t - floor(t * 20 / 100)""", "dual")
 def pl15_lineage_view(spark, d):
@@ -525,6 +576,21 @@ def mt_scalar_math(spark, d):
     return read(spark, d, "events").select("event_id", F.round(F.log2(x + 1), 8).alias("a"), F.round(-F.log10(x / 101 + F.lit(1e-9)), 6).alias("b"), F.round(F.sqrt(x) + F.pow(x, F.lit(2.0)), 4).alias("c"), F.signum(x - 50).alias("d"), F.round(F.when(r <= 20, 0.5 * r * r).otherwise(20 * (r - 10)), 5).alias("huber"))
 
 
+@query("""WITH r AS (SELECT l_suppkey, corr(l_quantity, l_discount) AS r, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 2),
+t AS (SELECT l_suppkey, n, r * sqrt((n - 2) / (1 - r * r)) AS t, (n - 2) / 2.0 AS a, r * r AS y, 1 - r * r AS x FROM r),
+f AS (SELECT *, lgamma(a + 0.5) - lgamma(a) - lgamma(0.5) + a * ln(x) + 0.5 * ln(y) AS front,
+  list_reduce(list_concat([CAST(1 AS DOUBLE)], list_transform(range(400, -1, -1), lambda n: CAST(n AS DOUBLE))), lambda acc, n: 1 + (a + 0.5 + n) / (1.5 + n) * y * acc) AS small,
+  list_reduce(list_concat([CAST(1 AS DOUBLE)], list_transform(range(1000, -1, -1), lambda n: CAST(n AS DOUBLE))), lambda acc, n: 1 + (a + 0.5 + n) / (a + 1 + n) * x * acc) AS large FROM t),
+p AS (SELECT *, CASE WHEN t * t < 25 THEN log10(1 - exp(front) / 0.5 * small) ELSE (front - ln(a) + ln(large)) / ln(10) END AS log10_p FROM f)
+SELECT l_suppkey, n, round(t, 5) AS t, round(log10_p, 5) AS log10_p, CAST(floor(log10_p) + 1 AS INTEGER) AS bound FROM p""")
+def mt6_t_tail(spark, d):
+    """Each supplier's correlation of quantity and discount, its t and its two-sided tail; the oracle sums the incomplete beta function's series."""
+    r = read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.corr("l_quantity", "l_discount").alias("r"), F.count("*").alias("n")).where("n > 2")
+    t = r.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
+    t = t.withColumn("log10_p", ranks.log10_t_tail_udf(F.col("t"), (F.col("n") - 2).cast("double")))
+    return t.select("l_suppkey", "n", F.round("t", 5).alias("t"), F.round("log10_p", 5).alias("log10_p"), ranks.p_bound(F.col("log10_p")).alias("bound"))
+
+
 @query("""WITH v AS (SELECT event_id, (value - 50) / 30 AS x, abs((value - 50) / 30) AS a FROM events),
 e AS (SELECT *, CASE WHEN a < 3 THEN 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 70), lambda n: (1 - 2 * (n % 2)) * pow(a, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))))
   ELSE exp(-a * a) / sqrt(pi()) / list_reduce(list_concat([a], list_transform(range(80, 0, -1), lambda n: CAST(n AS DOUBLE))), lambda acc, n: a + n / 2 / acc) END AS tail FROM v)
