@@ -11,8 +11,9 @@ bound counts.  Blocks are visited in the order of their bounds, some at a time,
 and scored through their forward indexes, until the next bound is below the
 k-th score found or the query's floor; equal bounds are still visited, as a tie
 goes to the smaller key.  The floor is the query's k-th score over the bounded
-sample that the centres are fitted on: all tasks start from it.  The result is
-exact whatever the order of the documents.
+sample that the centres are fitted on (never over an eighth of the rows), worked
+out in tasks over the queries: all searches start from it.  The result is exact
+whatever the order of the documents.
 
 Queries come in blocks of at most QUERY_ROWS, read one after another, and each
 block (a bounded number of bytes) is broadcast to all document blocks.  Every
@@ -43,9 +44,10 @@ from .storage import shared_dir, stored
 
 BLOCK = 64
 QUERY_ROWS = 8192
-#: Centres at most; and vectors for each that they are fitted on, which also give the queries' floors.
+#: Centres at most; and vectors for each, at most and one row in LEAST_SHARE, that they are fitted on and that give the queries' floors.
 CENTRES = 1024
 PER_CENTRE = 32
+LEAST_SHARE = 8
 #: Rows of a task's piece of the index that are searched at once, at least (an Arrow batch more at most).
 PIECE_ROWS = 16_384
 _EXACT = float(1 << 53)
@@ -181,8 +183,9 @@ def floors(keys: np.ndarray, queries: np.ndarray, ids: np.ndarray, sample: np.nd
 
 def index(rows: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Store the vectors in the order of their nearest centre and key; and the sample's ids and vectors."""
-    n_centres = max(1, min(CENTRES, int(np.sqrt(rows.count()))))
-    chosen = rows.orderBy(uniform(F.col("id")), "id").limit(n_centres * PER_CENTRE).collect()
+    n = rows.count()
+    n_centres = max(1, min(CENTRES, int(np.sqrt(n))))
+    chosen = rows.orderBy(uniform(F.col("id")), "id").limit(min(n_centres * PER_CENTRE, -(-n // LEAST_SHARE))).collect()
     width = max((len(r.v) for r in chosen), default=1)
     sample = _matrix([r.v for r in chosen], width)
     found = centres(np.clip(sample, -1e9, 1e9), n_centres)
@@ -199,17 +202,35 @@ def index(rows: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     return vectors, np.array([r.id for r in chosen], dtype=np.int64), sample
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The queries, QUERY_ROWS at a time; one partition's rows at most are on the driver."""
-    keys, lists = [], []
+def _with_floors(queries: DataFrame, ids: np.ndarray, sample: np.ndarray, k: int) -> DataFrame:
+    """id, v and floor of the queries; the sample (of a bounded number of rows) is broadcast."""
+    sent = queries.sparkSession.sparkContext.broadcast((ids, sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sample = sent.value
+        for batch in batches:
+            least = floors(batch.column(0).to_numpy(), _dense(batch.column(1)), ids, sample, k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least)], names=["id", "v", "floor"])
+
+    out = stored(queries.select("id", "v").transform(arrow(run, "id long, v array<double>, floor double")), "queries")
+    sent.destroy()
+    return out
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, vectors and floors of the queries, QUERY_ROWS at a time; one partition's rows at most are on the driver."""
+    rows: list = []
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array([r.id for r in rows], dtype=np.int64), _matrix([r.v for r in rows], max(len(r.v) for r in rows)), np.array([r.floor for r in rows])
+
     for r in queries.toLocalIterator():
-        keys.append(r.id)
-        lists.append(r.v)
-        if len(keys) == QUERY_ROWS:
-            yield np.array(keys, dtype=np.int64), _matrix(lists, max(map(len, lists)))
-            keys, lists = [], []
-    if keys:
-        yield np.array(keys, dtype=np.int64), _matrix(lists, max(map(len, lists)))
+        rows.append(r)
+        if len(rows) == QUERY_ROWS:
+            yield block()
+            rows = []
+    if rows:
+        yield block()
 
 
 def _long(x: float | int) -> int:
@@ -220,12 +241,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     """query_id, rank, vec_id and score of each query's k best rows."""
     spark: SparkSession = vectors.sparkSession
     rows = stored(quantised(vectors, key, vector), "quantised")
-    wanted = stored(quantised(vectors.where(is_query), key, vector).groupBy("id").agg(F.max("v").alias("v")), "queries")
     indexed, sample_ids, sample = index(rows)
+    wanted = _with_floors(quantised(vectors.where(is_query), key, vector).groupBy("id").agg(F.max("v").alias("v")), sample_ids, sample, k)
     out, written = shared_dir(spark, "candidates"), []
     schema = "query_id long, vec_id long, score long"
-    for n, (keys, queries) in enumerate(_query_blocks(wanted)):
-        sent = spark.sparkContext.broadcast((keys, queries, floors(keys, queries, sample_ids, sample, k)))
+    for n, block in enumerate(_query_blocks(wanted)):
+        sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             keys, queries, least = sent.value

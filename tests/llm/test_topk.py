@@ -61,6 +61,23 @@ def test_blocks_are_pruned():
     assert sum(scored) <= 128
 
 
+def test_floors_come_from_a_part_of_the_rows(spark, monkeypatch):
+    """The sample holds at most an eighth of the rows, and queries in several blocks give what one block gives."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    quantised = topk.quantised(df, "vec_id", "embedding")
+    _, ids, sample = topk.index(quantised)
+    assert len(ids) == len(sample) == 50
+    got = topk._with_floors(quantised, ids, sample, 5).collect()
+    for r in got[::40]:
+        scores = sorted(float(np.dot(r.v, s)) for i, s in zip(ids, sample, strict=True) if i != r.id)
+        assert r.floor == scores[-5]
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    found = topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == brute(rows, lambda i: i % 50 == 0, 5)
+
+
 def test_floors_bound_the_kth_score():
     rng = np.random.default_rng(1)
     v, ids = np.floor(rng.standard_normal((400, 8)) * 200), np.arange(400)
