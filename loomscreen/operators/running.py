@@ -52,3 +52,24 @@ def numbered(df: DataFrame, order: str, name: str = "rec_no") -> DataFrame:
     # The place starts at the range's number times 2 ** 33.
     place = F.col(PLACE) - F.col(RANGE).cast("long") * F.lit(1 << 33)
     return rows.withColumn(name, place + F.coalesce("_before", F.lit(0)) + 1).drop(RANGE, PLACE, "_before")
+
+
+def nearest(points: DataFrame, centres: DataFrame, x: str, centre: str, name: str) -> DataFrame:
+    """``points`` with the name of the centre (columns ``centre``, ``name``) nearest to ``x``, ties to the lesser name; null without a known x or any centre.
+
+    Points and centres stand in one order, so the nearest is the last centre
+    before a point or the first one after it; no pairs are made.
+    """
+    one = centres.where(F.col(centre).isNotNull() & F.col(name).isNotNull()).groupBy(F.col(centre).cast("double").alias("c")).agg(F.min(name).alias("k"))
+    known = points.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("at"), F.struct(*points.columns).alias("row"), F.lit(None).cast(one.select(F.struct("c", "k").alias("s")).schema["s"].dataType).alias("s"))
+    # A hash deals points at one place over several ranges.
+    both = known.unionByName(one.select(F.col("c").alias("at"), F.lit(None).cast(known.schema["row"].dataType).alias("row"), F.struct("c", "k").alias("s"))).withColumn("_tie", F.xxhash64("row"))
+    rows = carried(ranged(both, "at", "_tie"), [], {"_below": (F.max("s"), F.max)})
+    rows = carried(rows, [], {"_above": (F.min("s"), F.min)}, last_first=True)
+    here = Window.partitionBy(RANGE).orderBy(PLACE)
+    below = F.greatest("_below", F.max("s").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    above = F.least("_above", F.min("s").over(here.rowsBetween(0, Window.unboundedFollowing)))
+    found = rows.withColumns({"_b": below, "_a": above}).where("row is not null")
+    away = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("at") - F.col(f"{c}.c")).alias("d"), F.col(f"{c}.k").alias("k")))
+    found = found.select("row.*", F.least(away("_b"), away("_a"))["k"].alias(name))
+    return found.unionByName(points.where(F.col(x).isNull()).withColumn(name, F.lit(None).cast(one.schema["k"].dataType)))

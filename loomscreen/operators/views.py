@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.sequences import ratio
-from . import running
-from .matrix import mean_of
+from ..sources.scratch import settled
+from . import cluster, running
+from .matrix import grid, mean_of
 
 
 def top_percent(df: DataFrame, value: str, tie: str, percent: float) -> DataFrame:
@@ -23,8 +24,11 @@ def term_table(df: DataFrame, hue: str, cutoff: float, top: int, by: str | None
     if p_like:
         clipped = F.greatest(F.least(F.col("_h"), F.lit(1.0)), F.lit(1e-5))
         rows = rows.where(F.col("_h") <= cutoff).withColumn("p_inv", F.log10(1 / clipped)).withColumn("_h", F.col("p_inv"))
-    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("_h"), "Term")
-    out = rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top).drop("_k", "_h")
+    first = [F.desc("_h"), F.col("Term")]
+    if by:
+        out = rows.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*first))).where(F.col("_k") <= top).drop("_k", "_h")
+    else:
+        out = rows.orderBy(*first).limit(top).drop("_h")
     return out.withColumn("Hits_ratio", ratio(F.col("Overlap"))) if "Overlap" in df.columns else out
 
 
@@ -48,6 +52,24 @@ def annotated(df: DataFrame, picks: dict[str, tuple[Column, str]], most: int = 5
     return out
 
 
+def axis_order(df: DataFrame, item: str, other: str, value: str, method: str = "single") -> DataFrame:
+    """position and label of an axis's items, by clustering their values over the other axis (missing ones 0) at Euclidean distance.
+
+    Cells that occur twice count once (their first value by size).  Products are
+    summed over shared columns only; the table of distances is of all pairs of
+    items, as the clustering takes it.  At each merge the part that joined at the
+    lesser distance comes first.
+    """
+    cells = df.where(F.col(item).isNotNull() & F.col(other).isNotNull()).groupBy(F.col(item).alias("i"), F.col(other).alias("o")).agg(F.min(F.col(value).cast("double")).alias("v"))
+    cells = settled(cells.withColumn("v", F.coalesce("v", F.lit(0.0))), "axis")
+    lengths = cells.groupBy("i").agg(F.sum(F.col("v") * F.col("v")).alias("n"))
+    shared = cells.join(cells.select(F.col("i").alias("j"), "o", F.col("v").alias("w")), "o").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    square = grid(shared).join(lengths, "i").join(lengths.select(F.col("i").alias("j"), F.col("n").alias("m")), "j")
+    apart = F.sqrt(F.greatest(F.col("n") + F.col("m") - 2 * F.coalesce("v", F.lit(0.0)), F.lit(0.0)))
+    distances = settled(square.select("i", "j", F.round(apart, 12).alias("v")), "distances")
+    return cluster.order_of(df.sparkSession, distances, method, optimal=False)[1]
+
+
 def mean_sem(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("sem"), F.count(value).alias("n"))
 
@@ -69,4 +91,4 @@ def running_enrichment(ranked: DataFrame, genes: DataFrame) -> DataFrame:
     return rows.withColumn("es", F.sum("_step").over(here) + F.coalesce("_before", F.lit(0.0))).select("gene", "weight", "hit", "es")
 
 
-__all__ = ["annotated", "histogram", "mean_of", "mean_sem", "running_enrichment", "term_edges", "term_table", "top_percent"]
+__all__ = ["annotated", "axis_order", "histogram", "mean_of", "mean_sem", "running_enrichment", "term_edges", "term_table", "top_percent"]

@@ -563,7 +563,7 @@ def wn7_tie_breaks(spark, d):
 def wn8_nearest(spark, d):
     s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("q"), (F.col("s_acctbal") / 400).alias("x"))
     n = read(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
-    return s.crossJoin(F.broadcast(n)).groupBy("q").agg(F.min_by("k", F.struct(F.abs(F.col("x") - F.col("k")), "k")).alias("k"))
+    return running.nearest(s, n.withColumn("c", F.col("k").cast("double")), "x", "c", "k").select("q", "k")
 
 
 @query("SELECT c_nationkey, c_custkey, c_acctbal FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) <= 5")

@@ -369,6 +369,14 @@ def vz9_term_table(spark, d):
     return views.term_table(t, "p", 0.5, 4, by="x").select("Term", r6("p_inv", "p_inv"), r6("Hits_ratio", "Hits_ratio"))
 
 
+@query()
+def vz11_axis_orders(spark, d):
+    """Both axes of a dot plot of brands and types: the mean price of each pair, items ordered by single linkage."""
+    t = read(spark, d, "part").groupBy("p_brand", "p_type").agg((F.avg("p_retailprice") / 1000).alias("v"))
+    x, y = views.axis_order(t, "p_brand", "p_type", "v"), views.axis_order(t, "p_type", "p_brand", "v")
+    return x.withColumn("axis", F.lit("x")).unionByName(y.withColumn("axis", F.lit("y"))).select("axis", "position", "label")
+
+
 @query("""WITH g AS (SELECT DISTINCT p_brand AS t, p_size AS x FROM part), n AS (SELECT t, count(*) AS n FROM g GROUP BY 1)
 SELECT a.t AS a, b.t AS b, count(*) AS shared, round(count(*) / CAST(any_value(na.n) + any_value(nb.n) - count(*) AS DOUBLE), 6) AS jaccard, round(count(*) / CAST(least(any_value(na.n), any_value(nb.n)) AS DOUBLE), 6) AS overlap
 FROM g a JOIN g b USING (x) JOIN n na ON na.t = a.t JOIN n nb ON nb.t = b.t WHERE a.t < b.t GROUP BY a.t, b.t""")

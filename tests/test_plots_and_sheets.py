@@ -138,3 +138,35 @@ def test_spreadsheet(spark, tmp_path):
         tables.read_spreadsheet(spark, f"{tmp_path}/a.xlsx", "other int", "Data", 1).collect()
     with pytest.raises(Exception, match="no sheet"):
         tables.read_spreadsheet(spark, f"{tmp_path}/a.xlsx", schema, "Data2").collect()
+
+
+def test_nearest_on_a_line(spark):
+    """Equal to comparing all: ties, equal centres, places of many points, missing values, no centres."""
+    from loomscreen.operators import running
+
+    rng = random.Random(2)
+    points = [(k, float(rng.randint(0, 60)) / 2) for k in range(400)] + [(500 + k, 7.0) for k in range(300)] + [(900, None), (901, -50.0), (902, 99.0)]
+    centres = [(k, float(rng.randint(0, 30))) for k in range(12)] + [(20, 5.0), (21, 5.0), (None, 3.5), (30, None)]
+    p, c = spark.createDataFrame(points, "q long, x double"), spark.createDataFrame(centres, "k long, c double")
+    got = {r.q: r.k for r in running.nearest(p, c, "x", "c", "k").collect()}
+    known = [(k, v) for k, v in centres if k is not None and v is not None]
+    assert got == {q: None if x is None else min((abs(x - v), k) for k, v in known)[1] for q, x in points}
+    none = running.nearest(p, c.limit(0), "x", "c", "k").collect()
+    assert len(none) == len(points) and {r.k for r in none} == {None}
+
+
+def test_axis_order(spark):
+    """Items by a plain single linkage: at each merge the part of the lesser distance first."""
+    rng = random.Random(8)
+    cells = [(f"t{i:02}", f"g{j}", round(rng.random() * 9, 3)) for i in range(14) for j in range(6) if rng.random() < 0.6]
+    names = sorted({a for a, _, _ in cells})
+    rows = {n: [next((v for a, b, v in cells if (a, b) == (n, f"g{j}")), 0.0) for j in range(6)] for n in names}
+    groups = [(0.0, [n]) for n in names]
+    while len(groups) > 1:
+        d, a, b = min((min(math.dist(rows[p], rows[q]) for p in groups[a][1] for q in groups[b][1]), a, b) for a in range(len(groups)) for b in range(a + 1, len(groups)))
+        # Groups stand in the order in which they were formed.
+        new = (d, groups[a][1] + groups[b][1])
+        groups = [g for k, g in enumerate(groups) if k not in (a, b)] + [new]
+    df = spark.createDataFrame([*cells, (None, "g1", 1.0), ("t00", None, 1.0)], "term string, gene string, v double")
+    got = views.axis_order(df, "term", "gene", "v").orderBy("position").collect()
+    assert [r.label for r in got] == groups[0][1] and [r.position for r in got] == list(range(len(names)))
