@@ -126,6 +126,30 @@ BY_HAND = [
         """<div class="cookie-banner" role="dialog"><p>We value your privacy, so please accept all cookies.</p><button>OK</button></div><div id=page><div class="advertisement">Buy one, get two.</div><article itemprop="articleBody"><header><h1>Moon base plans</h1></header><p>Engineers showed a plan on Friday, in some detail.</p><div class="ad-slot sponsored">Sponsored: cheap flights, today only.</div><p>The first crew would land in ten years, they said.</p><figure><img src=m.jpg><figcaption>A drawing of the base.</figcaption></figure></article><aside class="related"><h4>More</h4><a href=y>Mars</a></aside></div>""",
         "Moon base plans\nEngineers showed a plan on Friday, in some detail.\nThe first crew would land in ten years, they said.\nA drawing of the base.",
     ),
+    (
+        """<body><div class="masthead"><a href=/>Chronicle</a><span class="tagline">Since 1901</span></div><div class="breadcrumbs"><a href=/a>Home</a> / <a href=/b>Science</a></div><div role="main"><h1>Bees count to four</h1><p class="lead">Honey bees can tell three dots from four, a study of two hundred hives found.</p><p>The insects were shown cards, and rewarded with sugar when they chose well.</p></div><div class="newsletter-signup"><form><p>Get our letter.</p><input name=e><button>Join</button></form></div><div id="footer"><ul><li><a href=x>Terms</a></li><li><a href=y>Privacy</a></li></ul></div></body>""",
+        "Bees count to four\nHoney bees can tell three dots from four, a study of two hundred hives found.\nThe insects were shown cards, and rewarded with sugar when they chose well.",
+    ),
+    (
+        """<html><body><nav><a href=1>Index</a><a href=2>Search</a></nav><section class="post"><h2>Bread without yeast</h2><ol><li>Mix the flour with water, and leave it for a day.</li><li>Feed the dough each morning, for a week or so.</li><li>Bake it in a hot oven, with some steam.</li></ol><p>Eat it warm, with butter.</p></section><section id="comments"><h3>Comments</h3><div class="comment"><p>Mine went mouldy, what did I do wrong?</p></div><div class="comment"><p>Use less water, I would say.</p></div></section></body></html>""",
+        "Bread without yeast\nMix the flour with water, and leave it for a day.\nFeed the dough each morning, for a week or so.\nBake it in a hot oven, with some steam.\nEat it warm, with butter.",
+    ),
+    (
+        """<body><div id=wrap><div id=sidebar><h4>Archives</h4><ul><li><a href=1>May</a></li><li><a href=2>June</a></li></ul></div><div id=content class="article-body"><h1>On tides</h1><p>The sea rises twice a day, as the moon pulls at it.</p><table><tr><th>Port</th><th>Height</th></tr><tr><td>Dover</td><td>6.7 metres</td></tr></table><p>Spring tides come at the new moon and the full moon, when the sun adds its share.</p></div></div><div class="cookie-notice"><p>This site uses cookies. <a href=c>Learn more</a></p></div></body>""",
+        "On tides\nThe sea rises twice a day, as the moon pulls at it.\nPort\nHeight\nDover\n6.7 metres\nSpring tides come at the new moon and the full moon, when the sun adds its share.",
+    ),
+    (
+        """<body><center><font size=5>My trip to the lakes</font></center><p>We left at six, in the rain, and had breakfast on the road.<p>By noon the sky was clear; we rowed out to the island and swam.<p>Nobody wanted to go home, least of all the dog.<hr><a href=index.html>Back</a> | <a href=next.html>Next</a></body>""",
+        "My trip to the lakes\nWe left at six, in the rain, and had breakfast on the road.\nBy noon the sky was clear; we rowed out to the island and swam.\nNobody wanted to go home, least of all the dog.",
+    ),
+    (
+        """<body><header class="global-header"><ul class="menu"><li><a href=a>Shop</a></li><li><a href=b>Help</a></li></ul></header><main><article><h1>Why steel rusts</h1><p>Iron gives electrons to oxygen, and water carries them.</p><p>The rate follows <math><mi>k</mi><mo>=</mo><mi>A</mi></math> at a given heat, more or less.</p><blockquote>Paint it, or lose it.</blockquote></article><aside class="promo"><p>Save ten percent on primer today!</p></aside></main><footer><p>All rights reserved, 2024.</p></footer></body>""",
+        "Why steel rusts\nIron gives electrons to oxygen, and water carries them.\nThe rate follows k=A at a given heat, more or less.\nPaint it, or lose it.",
+    ),
+    (
+        """<div class="page"><div class="top-banner ad">Win a car!</div><div class="story-content"><h1 class="headline">Old bridge to close</h1><div class="text"><p>The bridge over the Wye will close in March, for two years.</p><p>Its stones have shifted, engineers said, and the arches need new mortar.</p></div><div class="related-links"><h5>Related</h5><a href=1>Road works</a><a href=2>Bus routes</a></div><div class="text"><p>Walkers may use the ferry, which runs from dawn to dusk.</p></div></div><div class="social-share"><a href=#>Share</a></div></div>""",
+        "Old bridge to close\nThe bridge over the Wye will close in March, for two years.\nIts stones have shifted, engineers said, and the arches need new mortar.\nWalkers may use the ferry, which runs from dawn to dusk.",
+    ),
 ]
 
 
