@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import cluster, counts, lowrank, matrix, models, network, ranks, recall, sampling, screen, views
+from ..operators import cluster, counts, lowrank, matrix, models, network, ranks, recall, running, sampling, screen, views
 from ..sources.scratch import settled
 from .analogs import CONTROL, DUAL, cells, dual, query, read, single
 
@@ -290,7 +290,8 @@ def pl07_single_screen(spark, d):
 
 def _order(spark, d):
     e = read(spark, d, "embeddings")
-    return e.select((F.row_number().over(Window.orderBy("label", "vec_id")) - 1).cast("long").alias("pos"), F.col("vec_id").alias("guide"), F.concat_ws("_", F.col("label").cast("string"), (F.col("vec_id") % 4).cast("string")).alias("gene"))
+    e = running.numbered(e.select("label", "vec_id", F.struct("label", "vec_id").alias("_o")), "_o", "pos")
+    return e.select((F.col("pos") - 1).alias("pos"), F.col("vec_id").alias("guide"), F.concat_ws("_", F.col("label").cast("string"), (F.col("vec_id") % 4).cast("string")).alias("gene"))
 
 
 def _sets(spark):
