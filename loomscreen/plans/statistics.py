@@ -276,13 +276,35 @@ def pl08_dual_screen(spark, d):
     return standard_dual(dual(spark, d), DUAL.with_(samples=("rep",)), prefix=CONTROL, pcp=True, method="per_gene").interactions
 
 
-@query()
+# Least squares with a full set of replicate dummies is that of values off their replicate's mean; the Poisson fit is ml01's with replicates alone.
+@query("""WITH lin AS (SELECT guide, barcode, rep, sum(ident) AS a, sum(report) AS b FROM single GROUP BY ALL),
+sh AS (SELECT *, a / nullif(sum(a) OVER (PARTITION BY guide), 0) AS ra, b / nullif(sum(b) OVER (PARTITION BY guide), 0) AS rb FROM lin),
+th AS (SELECT greatest(avg(coalesce(ra, 0)) + 3 * stddev_samp(coalesce(ra, 0)), CAST(0.05 AS DOUBLE)) AS ta, greatest(avg(coalesce(rb, 0)) + 3 * stddev_samp(coalesce(rb, 0)), CAST(0.05 AS DOUBLE)) AS tb FROM sh),
+kept AS (SELECT guide, barcode, rep FROM sh, th WHERE ra < ta AND rb < tb),
+r AS MATERIALIZED (SELECT guide, rep, guide LIKE 'Brand#1%' AS control, CAST(ident AS DOUBLE) AS ident, log2(ident + 10) AS x, log2(report + 10) AS y FROM single s WHERE EXISTS (SELECT 1 FROM kept k WHERE k.guide = s.guide AND k.barcode = s.barcode AND k.rep = s.rep)),
+mean AS MATERIALIZED (SELECT rep, avg(x) AS mx, avg(x * x) AS mq, avg(y) AS my FROM r WHERE control GROUP BY 1),
+sums AS (SELECT sum(u * u) AS uu, sum(u * q) AS uq, sum(q * q) AS qq, sum(u * v) AS uv, sum(q * v) AS qv FROM (SELECT x - mx AS u, x * x - mq AS q, y - my AS v FROM r JOIN mean USING (rep) WHERE control)),
+line AS (SELECT (qq * uv - uq * qv) / (uu * qq - uq * uq) AS b1, (uu * qv - uq * uv) / (uu * qq - uq * uq) AS b2 FROM sums),
+cell AS MATERIALIZED (SELECT list(k ORDER BY rep) AS n, list(t ORDER BY rep) AS ts, list(rep ORDER BY rep) AS rl, sum(k) AS total, sum(t) AS ys FROM (SELECT rep, count(ident) AS k, sum(ident) AS t FROM r WHERE control GROUP BY 1)),
+fit AS MATERIALIZED (WITH RECURSIVE it AS (
+  SELECT 0 AS k, ln(ys / total) AS b0, list_transform(rl, lambda x: 0.0::DOUBLE) AS br FROM cell
+  UNION ALL
+  SELECT k + 1, b0 - (list_sum(mu) - ys) / (3 * list_sum(mu)), list_transform(br, lambda b, a: b - ((mu[a] - ts[a]) / total + b) / (3 * (mu[a] / total + 1)))
+  FROM (SELECT *, list_transform(n, lambda x, i: x * exp(b0 + br[i])) AS mu FROM it, cell WHERE k < 3000))
+  SELECT b0, br FROM it WHERE k = 3000),
+res AS (SELECT guide, control, ident, ident - exp(b0 + br[list_position(rl, rep)]) AS e, y - my - b1 * (x - mx) - b2 * (x * x - mq) AS resid FROM r JOIN mean USING (rep), line, fit, cell),
+ends AS (SELECT min(e) AS a, max(e) AS z, min(ident) AS lo, max(ident) AS hi FROM res),
+g AS (SELECT guide, control, avg((e - a) / nullif(z - a, 0) * (hi - lo) + lo) AS identity, avg(resid) AS reporter FROM res, ends GROUP BY ALL),
+c AS (SELECT avg(identity) FILTER (control) AS m1, stddev_samp(identity) FILTER (control) AS s1, avg(reporter) FILTER (control) AS m2, stddev_samp(reporter) FILTER (control) AS s2 FROM g)
+SELECT guide, control, round(identity, 6) AS identity, round(reporter, 6) AS reporter, round((identity - m1) / nullif(s1, 0), 5) AS identity_z, round((reporter - m2) / nullif(s2, 0), 5) AS reporter_z FROM g, c""", "single")
 def pl07_single_screen(spark, d):
+    """Lineage filter, controls, both regressions and the guides' summary in one run."""
     from ..spec import ScreenSpec
     from .workflows import standard_single
 
     spec = ScreenSpec(guides=("guide",), barcodes=("barcode",), identity="ident", reporter="report", samples=("rep",), rep="rep")
-    return standard_single(single(spark, d), spec, prefix="Brand#1", degree=2).summary
+    t = standard_single(single(spark, d), spec, prefix="Brand#1", degree=2).summary
+    return t.select("guide", "control", r6("identity", "identity"), r6("reporter", "reporter"), F.round("identity_z", 5).alias("identity_z"), F.round("reporter_z", 5).alias("reporter_z"))
 
 
 # Recall
