@@ -27,6 +27,12 @@ def average_rank(value: str, *by: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
 
 
+def tie_term(df: DataFrame, value: str) -> DataFrame:
+    """One row, ``ties``: the sum of t ** 3 - t over all values' numbers of rows, added up exactly in 38 digits."""
+    t = F.col("t").cast("decimal(38,0)")
+    return df.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum(t * t * t - t).cast("double").alias("ties"))
+
+
 def mann_whitney(df: DataFrame, group: str, value: str, controls: DataFrame) -> DataFrame:
     """Each group against each control group: u, cles, rbc, z (tie- and continuity-corrected) and p.
 
@@ -144,4 +150,4 @@ def p_bound(log10_p: Column) -> Column:
     return (F.floor(F.greatest(log10_p, F.lit(LEAST))) + 1).cast("int")
 
 
-__all__ = ["against_controls", "average_rank", "bh_adjust", "erfc_udf", "log10_t_tail", "log10_t_tail_udf", "mann_whitney", "p_bound", "pearson_test"]
+__all__ = ["against_controls", "average_rank", "bh_adjust", "erfc_udf", "log10_t_tail", "log10_t_tail_udf", "mann_whitney", "p_bound", "pearson_test", "tie_term"]

@@ -47,8 +47,7 @@ def ml09_against_controls(spark, d):
 
 @query("WITH k AS (SELECT l_linenumber, count(*) AS t FROM lineitem GROUP BY 1) SELECT CAST(sum(t * t * t - t) AS DOUBLE) AS ties FROM k")
 def ml10_tie_term(spark, d):
-    k = read(spark, d, "lineitem").groupBy("l_linenumber").agg(F.count("*").alias("t"))
-    return k.agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
+    return ranks.tie_term(read(spark, d, "lineitem"), "l_linenumber")
 
 
 @query("""WITH p AS (SELECT event_type, event_id, value / 1013 AS p FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY p, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM p)
