@@ -321,8 +321,8 @@ def jn24_within_radius(spark, d):
 
     p = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("double").alias("x"), (F.col("c_acctbal") / 1000).alias("y"))
     s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("q"), F.col("s_nationkey").cast("double").alias("x"), (F.col("s_acctbal") / 1000).alias("y"))
-    near = network.within(s, p, 2.0)
-    return near.groupBy("q").agg(F.count("*").alias("n"), F.round(F.sum(2.0 - F.col("distance")), 4).alias("weight"))
+    near = network.closeness(s, p, 2.0)
+    return near.groupBy("q").agg(F.sum("n").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
 # Aggregates

@@ -1,11 +1,40 @@
 """Steps whose figures must not grow faster than their input, and results that small tables don't reach."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from loomscreen.operators import ranks
+from loomscreen.operators import network, pairing, ranks
 
 
 def test_ties_of_millions(spark):
     """Cubes beyond 64 bits."""
     x = spark.range(4_000_000).select((F.col("id") % 4_000_000 < 3_000_000).alias("k"))
     assert ranks.tie_term(x, "k").first().ties == float(3_000_000**3 - 3_000_000 + 1_000_000**3 - 1_000_000)
+
+
+def test_closeness_without_pairs(spark, monkeypatch):
+    """As adding up the pairs; copies of places, unknown places, frequent cells in several parts; tasks get each distinct place once a part."""
+    rng = np.random.default_rng(11)
+    places = [*rng.normal(0, 2, (300, 2)).tolist(), [1.0, 0.0], [-1.0, 0.0], [-0.0, 0.0], [float("nan"), 0.0], [float("inf"), 1.0], [None, 1.0]]
+    p = spark.createDataFrame([(k % 306, *places[k % 306]) for k in range(3060)], "k int, x double, y double")
+    c = spark.createDataFrame([(k, *places[-k]) for k in range(1, 40)], "q int, x double, y double")
+    monkeypatch.setattr(network, "CENTRE_ROWS", 7)
+    monkeypatch.setattr(network, "POINT_ROWS", 16)
+    sent = spark.sparkContext.accumulator(0)
+    compared = pairing.compared
+
+    def counting(left, right, by, a, b, f, schema):
+        def g(x, y):
+            sent.add(len(y) if len(x) else 0)
+            return f(x, y)
+
+        return compared(left, right, by, a, b, g, schema)
+
+    monkeypatch.setattr(pairing, "compared", counting)
+    finite = lambda df: df.where("abs(x) < 1e9")
+    pairs = network.within(finite(c), finite(p), 1.5).groupBy("q").agg(F.count("*").alias("n"), F.sum(1.5 - F.col("distance")).alias("w"))
+    want = {r.q: (r.n, round(r.w, 9)) for r in pairs.collect()}
+    got = network.closeness(c, p, 1.5).collect()
+    assert {r.q: (r.n, round(r.weight, 9)) for r in got} == want and len(want) > 30
+    assert 0 < sent.value < 303 * 40
+    assert network.closeness(c, p.limit(0), 1.5).count() == 0
