@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+import os
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import identity_score, known_bases
 from ..sources.scratch import settled
+from . import pairing
 
-#: About the most rows and bytes of a library that are sent to every task at once; larger ones are sent in blocks, one after another.
-BROADCAST_LIBRARY = 200_000
-BROADCAST_BYTES = 32 << 20
-#: Letters that a piece of the library's shortest identity has at least in the rounds that join by pieces.
-PIECE = 4
+#: About the most identities and sequences of a group that is compared in full.
+BROADCAST_LIBRARY, SEQUENCE_ROWS = 32_768, 4_096
+#: Letters that a piece of the library's shortest identity has at least in the rounds that join by pieces, and the least share of all pairs at which a round isn't worth its join.
+PIECE, DENSE = 4, 1 / 100
+#: Letters of the longest identities whose distances are worked out in bits of a machine word, and letters of a shared beginning that are kept.
+WORD, KEPT = 64, 64
 
 
 def candidates(seqs: DataFrame, library: DataFrame, edits: int) -> DataFrame:
-    """Pairs (seq, identity) among which are all of at most ``edits`` edits; a pair may stand several times.
+    """Pairs (seq, identity) among which are all of at most ``edits`` edits; a pair may stand several times."""
+    asked, pieces = _pieces(seqs, library, edits)
+    return asked.join(pieces, ["m", "i", "piece"]).select("seq", "identity")
+
+
+def _candidates_number(seqs: DataFrame, library: DataFrame, edits: int) -> float:
+    """The rows of ``candidates``, from both sides' numbers by piece."""
+    asked, pieces = (df.groupBy("m", "i", "piece").agg(F.count("*").cast("double").alias(n)) for df, n in zip(_pieces(seqs, library, edits), ("a", "b"), strict=True))
+    return asked.join(pieces, ["m", "i", "piece"]).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0.0
+
+
+def _pieces(seqs: DataFrame, library: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of ``candidates``: pieces of sequences' places and of identities.
 
     An identity is cut into edits + 1 pieces, one of which no edit touches.  It
     stands in the sequence moved by x letters, and with lengths that differ by
@@ -35,8 +53,7 @@ def candidates(seqs: DataFrame, library: DataFrame, edits: int) -> DataFrame:
         f"x -> struct(i, {start('m', 'i')} + x AS at, {size('m', 'i')} AS size))))"
     )
     asked = asked.selectExpr("seq", "n", "m", f"explode({places}) AS p").where("p.at >= 0 and p.at + p.size <= n")
-    asked = asked.selectExpr("seq", "m", "p.i AS i", "substring(seq, p.at + 1, p.size) AS piece")
-    return asked.join(pieces, ["m", "i", "piece"]).select("seq", "identity")
+    return asked.selectExpr("seq", "m", "p.i AS i", "substring(seq, p.at + 1, p.size) AS piece"), pieces
 
 
 def best_match(seqs: DataFrame, library: DataFrame, least: float = 0.0) -> DataFrame:
@@ -45,10 +62,10 @@ def best_match(seqs: DataFrame, library: DataFrame, least: float = 0.0) -> DataF
     Scores are worked out once for each distinct sequence, not for each read.
     Rounds of 0, 1, 2, 4 ... edits compare only pairs that share a piece; a
     sequence leaves as soon as no pair of more edits can score as well, or reach
-    ``least``.  Rounds end where pieces would have under PIECE letters: what is
-    left then, sequences far from all identities, is compared with each of them,
-    blocks of the library being broadcast one after another.  The result is that
-    of comparing all pairs, at any size.
+    ``least``.  Rounds end where pieces would have under PIECE letters, or would
+    leave DENSE of all pairs: what is left then, sequences far from all
+    identities, is compared with each of them, in groups of bounded size.  The
+    result is that of comparing all pairs, at any size.
     """
     seqs, library = seqs.select("seq").distinct().where("seq is not null"), settled(library.select("identity").distinct().where("identity is not null"), "library")
     shortest, longest = library.agg(F.min(F.length("identity")), F.max(F.length("identity"))).first()
@@ -56,6 +73,8 @@ def best_match(seqs: DataFrame, library: DataFrame, least: float = 0.0) -> DataF
         return library.select(F.col("identity").alias("seq"), "identity", F.lit(0.0).alias("score")).limit(0)
     left, edits, out = settled(seqs, "sequences"), 0, None
     while shortest // (edits + 1) >= PIECE:
+        if edits > 1 and _candidates_number(left, library, edits) > DENSE * left.count() * library.count():
+            break
         pairs = candidates(left, library, edits) if edits else left.join(library, left["seq"] == library["identity"]).select("seq", "identity")
         close = pairs.where(F.levenshtein("seq", "identity", edits) >= 0).withColumn("score", identity_score(F.col("seq"), F.col("identity"))).where(F.col("score") >= least)
         bound = _bound("seq", edits + 1, longest)
@@ -77,24 +96,61 @@ def _bound(seq: str, edits: int, longest: int) -> Column:
 
 
 def _compared(seqs: DataFrame, library: DataFrame, least: float) -> DataFrame:
-    """Every sequence against every identity, a block of the library after another."""
-
-    def best(part: DataFrame) -> DataFrame:
-        scored = seqs.crossJoin(F.broadcast(part)).withColumn("score", identity_score(F.col("seq"), F.col("identity"))).where(F.col("score") >= least)
-        return _best(scored)
-
-    rows, size = library.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("identity") + 16), F.lit(0))).first()
-    blocks = max(-(-rows // BROADCAST_LIBRARY), -(-size // BROADCAST_BYTES))
-    if blocks <= 1:
-        return best(library)
-    library = settled(library.withColumn("block", F.expr(f"pmod(xxhash64(identity), {blocks})")), "library")
-    out = None
-    for k in range(blocks):
-        part = settled(best(library.where(F.col("block") == k).select("identity")), "matches")
-        out = part if out is None else out.unionByName(part)
+    """Every sequence against every identity; those of more than WORD letters by Spark's own function."""
+    schema = "seq string, identity string, score double"
+    nearest = lambda a, b: _nearest(a["seq"].tolist(), b["identity"].tolist(), least)
+    out = pairing.compared(seqs.select("seq"), library.where(F.length("identity") <= WORD).select("identity"), [], SEQUENCE_ROWS, BROADCAST_LIBRARY, nearest, schema)
+    long = library.where(F.length("identity") > WORD).select("identity")
+    if not long.isEmpty():
+        scored = seqs.crossJoin(long).withColumn("score", identity_score(F.col("seq"), F.col("identity"))).where(F.col("score") >= least)
+        out = out.unionByName(scored.select("seq", "identity", "score"))
     return _best(out)
 
 
+def _nearest(seqs: list[str], library: list[str], least: float) -> pd.DataFrame:
+    """For each sequence the identity of the best score, ties to the first in order, if it is ``least`` or more.
+
+    A bit for each letter of an identity says how its column of the edit table
+    steps up or down (the bit-parallel algorithm of Myers and Hyyro); a sequence's
+    letters move all identities' columns at once.  Sequences are taken in order,
+    so the columns of a shared beginning are kept.
+    """
+    if not seqs or not library:
+        return pd.DataFrame({"seq": [], "identity": [], "score": []})
+    library, seqs = sorted(library), sorted(seqs)
+    lengths = np.array([len(x) for x in library])
+    word = np.uint32 if lengths.max() <= 32 else np.uint64
+    letters = np.full((len(library), max(1, int(lengths.max()))), 0x110000, dtype=np.uint32)
+    for k, x in enumerate(library):
+        letters[k, : len(x)] = [ord(c) for c in x]
+    places = word(1) << np.arange(letters.shape[1], dtype=word)
+    masks = {chr(c): ((letters == c) * places).sum(axis=1, dtype=word) for c in np.unique(letters) if c < 0x110000}
+    none, one = np.zeros(len(library), dtype=word), word(1)
+    own = ((np.arange(letters.shape[1]) < lengths[:, None]) * places).sum(axis=1, dtype=word)
+    columns, last, rows = [(~none, none)], "", []
+    for seq in seqs:
+        shared = min(len(os.path.commonprefix([last, seq])), len(columns) - 1)
+        del columns[shared + 1 :]
+        up, down = columns[-1]
+        for c in seq[shared:]:
+            same = masks.get(c, none)
+            inner = (((same & up) + up) ^ up) | same
+            right, left = down | ~(inner | up), up & inner
+            right = (right << one) | one
+            outer = same | down
+            up, down = (left << one) | ~(outer | right), outer & right
+            if len(columns) <= KEPT:
+                columns.append((up, down))
+        last = seq
+        edits = len(seq) + np.bitwise_count(up & own).astype(np.int64) - np.bitwise_count(down & own)
+        longest = np.maximum(lengths, len(seq))
+        score = 100.0 * (1 - edits / np.maximum(longest, 1))
+        k = int(np.argmax(np.where(longest > 0, score, -1.0)))
+        if longest[k] > 0 and score[k] >= least:
+            rows.append((seq, library[k], float(score[k])))
+    return pd.DataFrame(rows, columns=["seq", "identity", "score"])
+
+
 def _best(scored: DataFrame) -> DataFrame:
     best = scored.groupBy("seq").agg(F.min_by(F.struct("identity", "score"), F.struct(-F.col("score"), "identity")).alias("b"))
     return best.select("seq", "b.identity", "b.score")

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomscreen.operators import network, pairing, ranks
+from loomscreen.operators import matching, network, pairing, ranks
 
 
 def test_ties_of_millions(spark):
@@ -38,3 +38,32 @@ def test_closeness_without_pairs(spark, monkeypatch):
     assert {r.q: (r.n, round(r.weight, 9)) for r in got} == want and len(want) > 30
     assert 0 < sent.value < 303 * 40
     assert network.closeness(c, p.limit(0), 1.5).count() == 0
+
+
+def test_nearest_in_words():
+    """Distances in bits are those of the edit table: all lengths up to a word, any letters, long sequences, empty texts, shared beginnings."""
+    from tests.test_operators import edit_distance
+
+    rng = np.random.default_rng(2)
+    text = lambda n: "".join(rng.choice(list("ACGT\0\U0001f600"), n))
+    for most in (5, 32, 33, 64):
+        library = sorted({"", text(most), *(text(int(rng.integers(0, most + 1))) for _ in range(25))})
+        asked = ["", text(150), *(x[: len(x) // 2] + text(int(rng.integers(0, 9))) for x in library)]
+        asked += [asked[1][:100] + text(9), "ACGN"]
+        got = matching._nearest(asked, library[::-1], 20)
+        score = lambda a, b: 100.0 * (1 - edit_distance(a, b) / max(len(a), len(b))) if a or b else -1.0
+        want = [(a, *min((-score(a, b), b) for b in library)) for a in sorted(asked)]
+        assert [tuple(r) for r in got.itertuples(index=False)] == [(a, b, -s) for a, s, b in want if -s >= 20]
+
+
+def test_dense_rounds_are_left_out(spark, monkeypatch):
+    """A round of pieces that would join a good part of all pairs isn't run."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(x) for x in rng.choice(list("ACGT"), (600, 20))]
+    seqs, library = spark.createDataFrame([(a,) for a in texts[:300]], "seq string"), spark.createDataFrame([(b,) for b in texts[300:]], "identity string")
+    rounds, candidates = [], matching.candidates
+    assert matching._candidates_number(seqs, library, 4) == candidates(seqs, library, 4).count()
+    monkeypatch.setattr(matching, "candidates", lambda a, b, edits: rounds.append(edits) or candidates(a, b, edits))
+    got = {r.seq: (r.identity, r.score) for r in matching.best_match(seqs, library, 50).collect()}
+    near = matching._nearest(texts[:300], texts[300:], 50)
+    assert got == {a: (b, s) for a, b, s in near.itertuples(index=False)} and max(rounds) == 2
