@@ -11,6 +11,20 @@ def present(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.na.drop(subset=keys)
 
 
+#: Rows that a task of a spread table has at most, about; tables of up to four times as many are left to Spark.
+TASK_ROWS = 250_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to tasks whose number grows with ``rows``, so that no task's memory does.
+
+    Joins and groups by more keys than these need no further exchange.
+    """
+    if rows <= 4 * TASK_ROWS:
+        return df
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), *keys)
+
+
 def umi_collapse(reads: DataFrame, lineage: list[str], umi: str, transcript: str, kinds: dict[str, str]) -> DataFrame:
     """Distinct molecules of each transcript for each lineage, zero where it has none.
 

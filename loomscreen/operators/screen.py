@@ -38,7 +38,8 @@ def lineage_shares(df: DataFrame, spec: ScreenSpec) -> DataFrame:
     sums = present(df, spec.lineage).groupBy(*spec.lineage).agg(*(F.coalesce(F.sum(t).cast("double"), F.lit(0.0)).alias(t) for t in spec.transcripts))
     sums = settled(sums, "lineages")
     # A sum and a join, not a window: a guide with many lineages is summed before the shuffle, and its join can be split.
-    totals = sums.groupBy(*spec.guides).agg(*(F.sum(t).alias(f"all_{t}") for t in spec.transcripts))
+    # The totals are settled too, so that a few guides' are broadcast and many lineages stay where they are.
+    totals = settled(sums.groupBy(*spec.guides).agg(*(F.sum(t).alias(f"all_{t}") for t in spec.transcripts)), "totals")
     return sums.join(totals, list(spec.guides)).select(*spec.lineage, *(F.try_divide(F.col(t), F.col(f"all_{t}")).alias(f"share_{t}") for t in spec.transcripts))
 
 
@@ -57,8 +58,9 @@ def filter_lineages(df: DataFrame, spec: ScreenSpec, floor: float | None = 0.05)
         limit = F.avg(x) + 3 * F.stddev_samp(x)
         limits.append((F.greatest(limit, F.lit(floor)) if floor is not None else limit).alias(f"limit_{n}"))
     under = reduce(Column.__and__, (F.col(n) < F.col(f"limit_{n}") for n in names))
-    kept = with_scalars(shares, *limits).where(under).select(*spec.lineage)
-    return df.join(kept, spec.lineage, "left_semi")
+    # Most lineages are kept, so the few others are joined: every known lineage of the rows has shares.
+    gone = settled(with_scalars(shares, *limits).where(~F.coalesce(under, F.lit(False))).select(*spec.lineage), "gone")
+    return present(df, spec.lineage).join(gone, spec.lineage, "left_anti")
 
 
 def log_transform(df: DataFrame, columns: list[str], pseudocount: float = 10) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import letters_as_bases
+from ..operators.counts import spread
 from ..spec import ScreenSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +29,12 @@ def dual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A two-guide molecule table: p1, p2, barcode, rep, sample, ident, report."""
     t = lambda name: read(spark, sf_dir, name)
     side = lambda keyed, key, name: t(keyed).join(t("nation"), F.col(f"{key[0]}_nationkey") == F.col("n_nationkey")).select(key, F.col("n_name").alias(name))
-    orders = t("orders").join(side("customer", "c_custkey", "p2"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "p2")
-    rows = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(side("supplier", "s_suppkey", "p1"), F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = t("lineitem")
+    n = lines.count()
+    orders = spread(t("orders").join(side("customer", "c_custkey", "p2"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "p2"), n, "o_orderkey")
+    # The last join is by order, so rows of a lineage are together from then on.
+    lines = lines.select("l_orderkey", "l_suppkey", "l_linestatus", "l_linenumber", "l_quantity", "l_extendedprice").join(side("supplier", "s_suppkey", "p1"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = spread(lines, n, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select("p1", "p2", F.col("l_orderkey").alias("barcode"), F.col("l_linestatus").alias("rep"), F.col("l_linenumber").alias("sample"), F.col("l_quantity").alias("ident"), F.col("l_extendedprice").alias("report"))
 
 

@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomscreen.operators import matching, network, pairing, ranks
+from loomscreen.operators import counts, matching, network, pairing, ranks, screen
+from loomscreen.plans import analogs
+from loomscreen.spec import ScreenSpec
 
 
 def test_ties_of_millions(spark):
@@ -67,3 +69,23 @@ def test_dense_rounds_are_left_out(spark, monkeypatch):
     got = {r.seq: (r.identity, r.score) for r in matching.best_match(seqs, library, 50).collect()}
     near = matching._nearest(texts[:300], texts[300:], 50)
     assert got == {a: (b, s) for a, b, s in near.itertuples(index=False)} and max(rounds) == 2
+
+
+def test_lineage_rows_are_dealt_by_number(spark, monkeypatch):
+    """The two-guide table's tasks grow with its rows, and a lineage's rows are in one of them, so lineage sums need no further exchange."""
+    d = "/root/testdata/sf0.001"
+    n = analogs.read(spark, d, "lineitem").count()
+    monkeypatch.setattr(counts, "TASK_ROWS", 100)
+    rows = analogs.dual(spark, d)
+    parts = rows.withColumn("part", F.spark_partition_id()).groupBy("barcode").agg(F.count_distinct("part").alias("n"))
+    assert rows.rdd.getNumPartitions() == -(-n // 100) and parts.where("n > 1").isEmpty()
+    sums = counts.pseudobulk(rows, analogs.DUAL.lineage, ["ident"])
+    assert sums.rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+
+
+def test_lineages_without_a_share_are_left_out(spark):
+    """Rows of unknown lineages, of guides whose total is 0 and of over-represented lineages are gone, all others stay."""
+    rows = [("a", 1, 1.0, 1.0)] * 2 + [("a", k, 1.0, 1.0) for k in range(2, 60)] + [("b", 1, 0.0, 3.0), (None, 1, 1.0, 1.0), ("c", None, 1.0, 1.0), ("d", 1, 9.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, b int, a double, r double")
+    got = screen.filter_lineages(df, ScreenSpec(guides=("g",), barcodes=("b",), identity="a", reporter="r")).collect()
+    assert sorted((r.g, r.b) for r in got) == sorted([("a", 1)] * 2 + [("a", k) for k in range(2, 60)])
