@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as sq
 from ..operators import matrix, recall, running, screen, views
 from ..sources import blocks, fastq, tables
-from ..sources.scratch import folder
+from ..sources.scratch import folder, settled
 from . import workflows
 from .analogs import CONTROL, DUAL, cells, dual, query, read, sequences, single
 from .sequencing import RC, SECOND, TOLERANT
@@ -95,10 +95,11 @@ def src8_block_compressed(spark, d):
     """Records of block-compressed files, read in splits of 20,000 compressed bytes."""
     path = folder(spark, "blocks")
     x = F.col("seq")
-    rows = sequences(spark, d).where("seq <> ''").select(sq.fastq_text(F.concat(F.lit("d"), F.col("doc_id").cast("string")), x, sq.masked_quality(x)).alias("value"))
-    blocks.write_lines(rows.repartition(2), path)
-    back = fastq.block_records(spark, path, 20_000)
-    return back.select("name", "seq", "qual").withColumn("n", F.lit(back.count()))
+    # Dealt by a key, so that the files' number is that of the tasks that Spark finds fit.
+    rows = sequences(spark, d).repartition("doc_id").where("seq <> ''").select(sq.fastq_text(F.concat(F.lit("d"), F.col("doc_id").cast("string")), x, sq.masked_quality(x)).alias("value"))
+    blocks.write_lines(rows, path)
+    back = settled(fastq.block_records(spark, path, 20_000).select("name", "seq", "qual"), "records")
+    return back.withColumn("n", F.lit(back.count()))
 
 
 @query("""SELECT concat('r', event_id) AS qname, CAST(CASE WHEN event_id % 5 = 0 THEN 256 ELSE 16 END AS INTEGER) AS flag, 'chr' || (user_id % 3) AS rname, event_id + 1 AS pos, CAST(event_id % 60 AS INTEGER) AS mapq,
@@ -108,11 +109,11 @@ def src22_binary_alignments(spark, d):
     path, k = folder(spark, "alignments"), F.col("event_id")
     n = (k % 40).cast("int")
     seq = F.expr("substring(repeat('ACGTN', 10), 1, cast(7 + event_id % 40 as int))")
-    rows = read(spark, d, "events").select(
+    rows = read(spark, d, "events").select("event_id", "user_id").repartition("event_id").select(
         F.concat(F.lit("r"), k.cast("string")).alias("qname"), F.when(k % 5 == 0, 256).otherwise(16).alias("flag"), F.concat(F.lit("chr"), (F.col("user_id") % 3).cast("string")).alias("rname"), (k + 1).alias("pos"), (k % 60).cast("int").alias("mapq"),
         F.concat((n + 5).cast("string"), F.lit("M2I")).alias("cigar"), F.when(k % 2 == 0, "=").otherwise("*").alias("rnext"), (k % 2).alias("pnext"), F.lit(0).cast("long").alias("tlen"), seq.alias("seq"), F.lit("*").alias("qual"),
     )
-    blocks.write_alignments(rows.repartition(2), path, {f"chr{i}": 1 << 28 for i in range(3)})
+    blocks.write_alignments(rows, path, {f"chr{i}": 1 << 28 for i in range(3)})
     return blocks.alignments(spark, path, 20_000).select("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "seq")
 
 

@@ -23,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 #: Compressed bytes of a split, and bytes of text in a block that is written.
 SPLIT_BYTES = 16 << 20
 BLOCK_TEXT = 60_000
+#: Tasks of a read, at least, where there are as many splits; and compressed bytes that a task has at most, unless its split is larger.
+LEAST_TASKS, TASK_BYTES = 64, 4 << 20
 #: Fixed values of the formats: a block's first bytes, the empty block at a file's end, letters of bases and operations.
 MAGIC = b"\x1f\x8b\x08\x04"
 END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -32,7 +34,7 @@ RECORDS = "file string, at long, m long, qname string, flag int, rname string, p
 
 
 @dataclass
-class Split(InputPartition):
+class Split:
     file: str
     start: int
     stop: int
@@ -40,6 +42,22 @@ class Split(InputPartition):
     names: tuple[str, ...] = ()
 
 
+@dataclass
+class Splits(InputPartition):
+    """Consecutive splits that a task reads one after another: those of a stretch of a file."""
+
+    file: str
+    start: int
+    stop: int
+    size: int
+    step: int
+    names: tuple[str, ...] = ()
+
+    def each(self) -> Iterator[Split]:
+        for at in range(self.start, self.stop, self.step):
+            yield Split(self.file, at, min(at + self.step, self.size), self.size, self.names)
+
+
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
@@ -298,9 +316,12 @@ class _Reader(DataSourceReader):
     def __init__(self, path: str, schema: str, split_bytes: int, records: bool):
         self.path, self.schema, self.split_bytes, self.records = path, schema, split_bytes, records
 
-    def partitions(self) -> list[Split]:
-        out = []
-        for file, size in _files(self.path):
+    def partitions(self) -> list[Splits]:
+        out, files = [], _files(self.path)
+        # Small splits are read several to a task, so that a large table isn't a task for each of them.
+        together = min(TASK_BYTES, sum(size for _, size in files) // LEAST_TASKS) // self.split_bytes
+        stretch = max(1, together) * self.split_bytes
+        for file, size in files:
             names: tuple[str, ...] = ()
             if self.records:
                 data, header = b"", None
@@ -309,12 +330,14 @@ class _Reader(DataSourceReader):
                     if header := _header(data):
                         break
                 names = tuple(header[0]) if header else ()
-            out += [Split(file, at, min(at + self.split_bytes, size), size, names) for at in range(0, size, self.split_bytes)]
-        return out or [Split("", 0, 0, 0)]
+            out += [Splits(file, at, min(at + stretch, size), size, self.split_bytes, names) for at in range(0, size, stretch)]
+        return out or [Splits("", 0, 0, 0, 1)]
 
-    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
-        if not split.size:
-            return
+    def read(self, splits: Splits) -> Iterator[pa.RecordBatch]:
+        for split in splits.each():
+            yield from self._read(split)
+
+    def _read(self, split: Split) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in self.schema.split(", ")]
         kinds = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[c.split()[1]] for c in self.schema.split(", ")]
         m = 0

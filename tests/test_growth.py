@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomscreen.operators import counts, matching, network, pairing, ranks, screen
 from loomscreen.plans import analogs
+from loomscreen.sources import blocks
 from loomscreen.spec import ScreenSpec
 
 
@@ -89,3 +90,20 @@ def test_lineages_without_a_share_are_left_out(spark):
     df = spark.createDataFrame(rows, "g string, b int, a double, r double")
     got = screen.filter_lineages(df, ScreenSpec(guides=("g",), barcodes=("b",), identity="a", reporter="r")).collect()
     assert sorted((r.g, r.b) for r in got) == sorted([("a", 1)] * 2 + [("a", k) for k in range(2, 60)])
+
+
+def test_small_splits_share_tasks(spark, tmp_path, monkeypatch):
+    """Splits are read several to a task, with the lines and places of single ones."""
+    monkeypatch.setattr(blocks, "LEAST_TASKS", 4)
+    monkeypatch.setattr(blocks, "BLOCK_TEXT", 500)
+    lines = [f"{k} {k * 7919 % 10007}" for k in range(20_000)]
+    text = "".join(f"{x}\n" for x in lines).encode()
+    path = str(tmp_path / "a.gz")
+    with open(path, "wb") as f:
+        f.write(b"".join(blocks.block(text[i : i + 500]) for i in range(0, len(text), 500)) + blocks.END)
+    reader = blocks._Reader(path, blocks.LINES, 1000, False)
+    tasks = reader.partitions()
+    splits = [s for t in tasks for s in t.each()]
+    assert 4 <= len(tasks) <= 6 and [s.start for s in splits] == list(range(0, splits[-1].stop, 1000))
+    got = [(at, m, v) for t in tasks for b in reader.read(t) for at, m, v in zip(*(b.column(c).to_pylist() for c in ("at", "m", "value")), strict=True)]
+    assert [v for _, _, v in got] == lines and len({at for at, _, _ in got}) > 50 and len({(at, m) for at, m, _ in got}) == len(lines)
