@@ -31,6 +31,21 @@ def halves(lineages: DataFrame, keys: list[str], name: str = "half") -> DataFram
     return lineages.withColumn(name, F.when(order_key(F.lit("half"), keys) < "8", 1).otherwise(2))
 
 
+def least_keys(keyed: DataFrame, by: list[str], most: int, key: str = "key") -> DataFrame:
+    """The rows of ``keyed`` among which are the ``most`` least keys of each group.
+
+    Keys are counted in bins by their first digits; what lies beyond the bin of
+    the last wanted key is left out, so only about as many rows as are wanted
+    are kept of a group of any size.  ``keyed`` is worked out twice, not written.
+    """
+    bin_ = F.substring(key, 1, BIN_DIGITS)
+    bins = settled(keyed.groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("n")), "bins")
+    w = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    # The last bin with fewer wanted keys before it than there are.
+    last = bins.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("before") < most).groupBy(*by).agg(F.max("bin").alias("_last"))
+    return keyed.join(F.broadcast(last), by).where(bin_ <= F.col("_last")).drop("_last")
+
+
 def thresholds(keyed: DataFrame, by: list[str], sizes: list[int], key: str = "key") -> DataFrame:
     """The n-th least key of each group for each size n (no row where a group has fewer): ``by``, size, limit.
 
@@ -56,7 +71,8 @@ def levels(lineages: DataFrame, keys: list[str], sizes: list[int], seeds: list[i
     size has no sample of it.
     """
     keyed = lineages.select(*keys, by, F.explode(F.array(*(F.lit(s) for s in seeds))).alias("seed"))
-    keyed = settled(keyed.withColumn("key", order_key(F.col("seed"), keys)), "order-keys")
+    # Only keys that a sample can hold are written.
+    keyed = settled(least_keys(keyed.withColumn("key", order_key(F.col("seed"), keys)), [by, "seed"], max(sizes)), "order-keys")
     limits = thresholds(keyed, [by, "seed"], sizes)
     # One row a group and seed, with the limits in the order of sizes: groups times seeds times sizes in all.
     limits = limits.groupBy(by, "seed").agg(F.array_sort(F.collect_list(F.struct("size", "limit"))).alias("limits"))
@@ -67,10 +83,19 @@ def levels(lineages: DataFrame, keys: list[str], sizes: list[int], seeds: list[i
 
 def means(rows: DataFrame, lineage: list[str], guides: list[str], value: str, sizes: list[int], seeds: list[int]) -> DataFrame:
     """The mean ``value`` of each guide in each half, seed and size: half, seed, size, guides, v, n (rows)."""
-    known = present(rows, [*lineage, value])
-    lineages = halves(known.select(*lineage).distinct(), lineage)
-    chosen = levels(lineages, lineage, sizes, seeds)
-    sums = known.select(*lineage, value).join(chosen, lineage).groupBy("half", "seed", "level", "top", *guides).agg(F.sum(value).alias("s"), F.count("*").alias("c"))
+    return _sampled(lineage_sums(rows, lineage, value), lineage, guides, sizes, seeds)
+
+
+def lineage_sums(rows: DataFrame, lineage: list[str], value: str) -> DataFrame:
+    """``lineage``, its half, and the sum ``s`` and number ``c`` of its known values, settled."""
+    sums = present(rows, [*lineage, value]).groupBy(*lineage).agg(F.sum(value).alias("s"), F.count("*").alias("c"))
+    return settled(halves(sums, lineage), "lineage-sums")
+
+
+def _sampled(sums: DataFrame, lineage: list[str], guides: list[str], sizes: list[int], seeds: list[int]) -> DataFrame:
+    # Settled, so that small samples are broadcast and the lineages stay where they are.
+    chosen = settled(levels(sums.select(*lineage, "half"), lineage, sizes, seeds), "chosen")
+    sums = sums.drop("half").join(chosen, lineage).groupBy("half", "seed", "level", "top", *guides).agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
     # What a level adds counts in all larger samples too.
     larger = F.filter(F.array(*(F.lit(n).cast("long") for n in sizes)), lambda n: n.between(F.col("level"), F.col("top")))
     spread = sums.select("half", "seed", *guides, "s", "c", F.explode(larger).alias("size"))
@@ -91,12 +116,12 @@ def concordance(rows: DataFrame, lineage: list[str], guides: list[str], value: s
     the first with all of the second.  A guide that one side lacks has a score of
     0 there; guides that no side has take no part.
     """
-    table = settled(control_scores(means(rows, lineage, guides, value, sizes, seeds), ["half", "seed", "size"], control), "downsampled")
+    sums = lineage_sums(rows, lineage, value)
+    table = settled(control_scores(_sampled(sums, lineage, guides, sizes, seeds), ["half", "seed", "size"], control), "downsampled")
     first = table.where("half = 1").select("size", "seed", *guides, F.coalesce("z", F.lit(0.0)).alias("a"))
     second = table.where("half = 2").select("size", "seed", *guides, F.coalesce("z", F.lit(0.0)).alias("b"))
     grid = F.explode(F.array(*(F.struct(F.lit(n).cast("long").alias("size"), F.lit(s).alias("seed")) for n in sizes for s in seeds)))
-    known = present(rows, [*lineage, value])
-    other = halves(known, lineage).where("half = 2").groupBy(*guides).agg(F.avg(value).alias("v"))
+    other = sums.where("half = 2").groupBy(*guides).agg((F.sum("s") / F.sum("c")).alias("v"))
     full = control_scores(other.withColumn("side", F.lit(2)), ["side"], control).select(*guides, F.coalesce("z", F.lit(0.0)).alias("b"), grid.alias("g")).select("g.size", "g.seed", *guides, "b")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomscreen.operators import counts, matching, network, pairing, ranks, screen
+from loomscreen.operators import counts, downsample, matching, network, pairing, ranks, screen
 from loomscreen.plans import analogs
 from loomscreen.sources import blocks
 from loomscreen.spec import ScreenSpec
@@ -107,3 +107,19 @@ def test_small_splits_share_tasks(spark, tmp_path, monkeypatch):
     assert 4 <= len(tasks) <= 6 and [s.start for s in splits] == list(range(0, splits[-1].stop, 1000))
     got = [(at, m, v) for t in tasks for b in reader.read(t) for at, m, v in zip(*(b.column(c).to_pylist() for c in ("at", "m", "value")), strict=True)]
     assert [v for _, _, v in got] == lines and len({at for at, _, _ in got}) > 50 and len({(at, m) for at, m, _ in got}) == len(lines)
+
+
+def test_order_keys_are_written_for_samples_only(spark, monkeypatch):
+    """Of 20,000 lineages and 3 seeds, a sample of 30 leaves few keys; none that a sample of any group needs is missing."""
+    written = {}
+    settled = downsample.settled
+    monkeypatch.setattr(downsample, "settled", lambda df, name: written.setdefault(name, settled(df, name)))
+    monkeypatch.setattr(downsample, "BIN_DIGITS", 2)
+    x = spark.range(20_000).select((F.col("id") % 9).alias("g"), F.col("id").alias("b"), F.when(F.col("id") < 20, 2).otherwise(1).alias("half"))
+    got = downsample.levels(x, ["g", "b"], [10, 30], [0, 1, 2])
+    counts_ = {(r.half, r.seed): (r.a, r.b) for r in got.groupBy("half", "seed").agg(F.count_if(F.col("level") == 10).alias("a"), F.count("*").alias("b")).collect()}
+    assert counts_ == {(h, s): (10, 30 if h == 1 else 10) for h in (1, 2) for s in range(3)}
+    assert 3 * 30 <= written["order-keys"].where("half = 1").count() < 3 * 200
+    keys = lambda df: sorted(r[0] for r in df.where("half = 1 and seed = 0").select("key").collect())
+    every = x.withColumn("seed", F.lit(0)).withColumn("key", downsample.order_key(F.col("seed"), ["g", "b"]))
+    assert keys(written["order-keys"])[:30] == keys(every)[:30]
