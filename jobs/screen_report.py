@@ -50,10 +50,9 @@ def hits(rows: DataFrame, prefix: str) -> DataFrame:
     lineages = settled(lineages, "report-lineages")
     means = lineages.groupBy("replicate", "guide", "gene", "control").agg(F.count("*").alias("lineages"), F.avg("x").alias("reporter"))
     scored = downsample.control_scores(means, ["replicate"], F.col("control"), "reporter")
-    # The controls of a replicate are one group of the test; guides are told apart by replicate too.
-    key = F.concat_ws("\t", "replicate", "guide")
-    tested = ranks.mann_whitney(lineages.select(key.alias("g"), "x"), "g", "x", lineages.where("control").select(F.col("replicate").alias("g"), "x"))
-    tested = tested.where(F.substring_index("g", "\t", 1) == F.col("c")).select(F.col("c").alias("replicate"), F.substring_index("g", "\t", -1).alias("guide"), F.col("p").alias("p_value"))
+    # The controls of a replicate are one group of the test; a guide's lineages are compared with those of their own replicate.
+    tested = ranks.mann_whitney(lineages, "guide", "x", lineages.where("control").select(F.col("replicate").alias("guide"), "x"), only="replicate")
+    tested = tested.select(F.col("c").alias("replicate"), F.col("g").alias("guide"), F.col("p").alias("p_value"))
     joined = scored.join(tested, ["replicate", "guide"], "left")
     return ranks.bh_adjust(joined, "p_value", "fdr", "replicate").select("guide", "gene", "control", "lineages", "reporter", "z", "p_value", "fdr", "replicate")
 

@@ -33,20 +33,21 @@ def tie_term(df: DataFrame, value: str) -> DataFrame:
     return df.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum(t * t * t - t).cast("double").alias("ties"))
 
 
-def mann_whitney(df: DataFrame, group: str, value: str, controls: DataFrame) -> DataFrame:
-    """Each group against each control group: u, cles, rbc, z (tie- and continuity-corrected) and p.
+def mann_whitney(df: DataFrame, group: str, value: str, controls: DataFrame, only: str | None = None) -> DataFrame:
+    """Each group against each control group, or, by the column ``only``, its rows against the control group named there: u, cles, rbc, z (tie- and continuity-corrected) and p.
 
     ``controls`` has the same columns.  For a control group its values and all
     groups' values stand in one order, dealt in ranges, so the numbers of lesser
     and equal controls come from one running sum, whatever the groups' number.
     The ties' sum is the controls' own plus a correction at the group's values.
     """
-    x = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("x")).agg(F.count("*").alias("n"))
+    x = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("x"), *([F.col(only).alias("c")] if only else [])).agg(F.count("*").alias("n"))
     y = controls.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("c"), F.col(value).alias("x")).agg(F.count("*").alias("m"))
     triple = lambda t: t.cast("double") * t * t - t
     y = settled(y, "controls")
     names = y.groupBy(F.col("c").alias("_c")).agg(F.sum("m").cast("double").alias("n2"), F.sum(triple(F.col("m"))).alias("own"))
-    a = x.crossJoin(F.broadcast(names.select(F.col("_c").alias("c")))).select("c", "x", "g", "n", F.lit(0).cast("long").alias("m"), F.lit(True).alias("asks"))
+    groups = F.broadcast(names.select(F.col("_c").alias("c")))
+    a = (x.join(groups, "c") if only else x.crossJoin(groups)).select("c", "x", "g", "n", F.lit(0).cast("long").alias("m"), F.lit(True).alias("asks"))
     b = y.select("c", "x", F.lit(None).cast(x.schema["g"].dataType).alias("g"), F.lit(0).cast("long").alias("n"), "m", F.lit(False).alias("asks"))
     rows = running.carried(running.ranged(a.unionByName(b), "c", "x"), ["c"], {"before": (F.sum("m"), F.sum)})
     here = Window.partitionBy("c", running.RANGE)

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomscreen.operators import counts, downsample, matching, network, pairing, ranks, screen
+from loomscreen.operators import counts, downsample, matching, network, pairing, ranks, running, screen
 from loomscreen.plans import analogs
 from loomscreen.sources import blocks
 from loomscreen.spec import ScreenSpec
@@ -123,3 +123,17 @@ def test_order_keys_are_written_for_samples_only(spark, monkeypatch):
     keys = lambda df: sorted(r[0] for r in df.where("half = 1 and seed = 0").select("key").collect())
     every = x.withColumn("seed", F.lit(0)).withColumn("key", downsample.order_key(F.col("seed"), ["g", "b"]))
     assert keys(written["order-keys"])[:30] == keys(every)[:30]
+
+
+def test_rank_test_against_own_controls(spark, monkeypatch):
+    """By ``only`` the results are those rows of all comparisons, and no others are made."""
+    rows = [(f"g{k % 5}", "uv"[k % 2], float(k * 37 % 23)) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, rep string, x double")
+    own = df.where("g in ('g0', 'g1')").select(F.col("rep").alias("g"), "x")
+    key = F.concat("rep", F.lit("/"), "g")
+    every = {(r.c, r.g): r for r in ranks.mann_whitney(df.select(key.alias("g"), "x"), "g", "x", own).collect()}
+    dealt, ranged = [], running.ranged
+    monkeypatch.setattr(running, "ranged", lambda d, *order: dealt.append(d.where("asks").count()) or ranged(d, *order))
+    got = ranks.mann_whitney(df, "g", "x", own, only="rep").collect()
+    assert len(got) == 10 and all(every[r.c, f"{r.c}/{r.g}"][2:] == r[2:] for r in got)
+    assert dealt == [df.distinct().count()]
