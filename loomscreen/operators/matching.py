@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import identity_score, known_bases
 from ..sources.scratch import settled
+from . import edits as near
 from . import pairing
 
 #: About the most identities and sequences of a group that is compared in full.
 BROADCAST_LIBRARY, SEQUENCE_ROWS = 32_768, 4_096
 #: Letters that a piece of the library's shortest identity has at least in the rounds that join by pieces, and the least share of all pairs at which a round isn't worth its join.
 PIECE, DENSE = 4, 1 / 100
+#: Pairs from which rounds work in tasks' arrays, and candidates a row of both sides from which a round does that joined by pieces before.
+ARRAY_PAIRS, ROW_CANDIDATES = 1 << 26, 16
+#: Letters that a half of the shortest identity has at least for each of its edits in these rounds; about the most identities, and the least and most sequences, of a group.
+HALF_LETTERS, TREE_LIBRARY, WALKS = 3, 131_072, (1024, 8192)
 #: Letters of the longest identities whose distances are worked out in bits of a machine word, and letters of a shared beginning that are kept.
 WORD, KEPT = 64, 64
 
@@ -62,32 +67,55 @@ def best_match(seqs: DataFrame, library: DataFrame, least: float = 0.0) -> DataF
     Scores are worked out once for each distinct sequence, not for each read.
     Rounds of 0, 1, 2, 4 ... edits compare only pairs that share a piece; a
     sequence leaves as soon as no pair of more edits can score as well, or reach
-    ``least``.  Rounds end where pieces would have under PIECE letters, or would
-    leave DENSE of all pairs: what is left then, sequences far from all
-    identities, is compared with each of them, in groups of bounded size.  The
-    result is that of comparing all pairs, at any size.
+    ``least``.  These rounds end where pieces would have under PIECE letters, or
+    would leave DENSE of all pairs or too many rows.  Of large tables, rounds of
+    3, 4, 5 ... edits follow that walk trees of the identities' halves.  What is
+    left then, sequences far from all identities, is compared with each of them.
+    Both work in groups of bounded size.  The result is that of comparing all
+    pairs, at any size.
     """
     seqs, library = seqs.select("seq").distinct().where("seq is not null"), settled(library.select("identity").distinct().where("identity is not null"), "library")
-    shortest, longest = library.agg(F.min(F.length("identity")), F.max(F.length("identity"))).first()
+    n, shortest, longest = library.agg(F.count("*"), F.min(F.length("identity")), F.max(F.length("identity"))).first()
     if shortest is None:
         return library.select(F.col("identity").alias("seq"), "identity", F.lit(0.0).alias("score")).limit(0)
-    left, edits, out = settled(seqs, "sequences"), 0, None
-    while shortest // (edits + 1) >= PIECE:
-        if edits > 1 and _candidates_number(left, library, edits) > DENSE * left.count() * library.count():
+    left, edits, last, out, trees = settled(seqs, "sequences"), 0, -1, None, False
+    while True:
+        m = left.count()
+        if not m and out is not None:
+            return out
+        if not trees:
+            trees = shortest // (edits + 1) < PIECE or (edits > 1 and _many(left, library, edits, m, n))
+            edits = max(3, last + 1) if trees else edits
+        if trees and (m * n < ARRAY_PAIRS or edits // 2 * HALF_LETTERS > shortest // 2 or longest + edits > near.WORD):
             break
-        pairs = candidates(left, library, edits) if edits else left.join(library, left["seq"] == library["identity"]).select("seq", "identity")
-        close = pairs.where(F.levenshtein("seq", "identity", edits) >= 0).withColumn("score", identity_score(F.col("seq"), F.col("identity"))).where(F.col("score") >= least)
+        if trees:
+            close = _near(left, library, edits, least, m)
+        else:
+            pairs = candidates(left, library, edits) if edits else left.join(library, left["seq"] == library["identity"]).select("seq", "identity")
+            close = pairs.where(F.levenshtein("seq", "identity", edits) >= 0).withColumn("score", identity_score(F.col("seq"), F.col("identity"))).where(F.col("score") >= least)
         bound = _bound("seq", edits + 1, longest)
         final = settled(_best(close).where(F.col("score") > bound), "matches")
         out = final if out is None else out.unionByName(final)
         left = settled(left.where(bound >= least).join(final.select("seq"), "seq", "left_anti"), "sequences")
-        if left.isEmpty():
-            return out
-        edits = 2 * edits or 1
+        last, edits = edits, edits + 1 if trees else 2 * edits or 1
     rest = _compared(left, library, least)
     return rest if out is None else out.unionByName(rest)
 
 
+def _many(seqs: DataFrame, library: DataFrame, edits: int, m: int, n: int) -> bool:
+    """A round by pieces isn't worth its join: for its share of all pairs, or its rows where tables are large."""
+    number = _candidates_number(seqs, library, edits)
+    return number > DENSE * m * n or (m * n >= ARRAY_PAIRS and number > ROW_CANDIDATES * (m + n))
+
+
+def _near(seqs: DataFrame, library: DataFrame, edits: int, least: float, m: int) -> DataFrame:
+    """The best pair of each sequence and group of identities among those of at most ``edits`` edits."""
+    fair = -(-m // (2 * int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    walk = min(max(fair, WALKS[0]), WALKS[1])
+    nearest = lambda a, b: near.within(a["seq"].tolist(), b["identity"].tolist(), edits, least)
+    return pairing.compared(seqs.select("seq"), library.select("identity"), [], walk, TREE_LIBRARY, nearest, "seq string, identity string, score double")
+
+
 def _bound(seq: str, edits: int, longest: int) -> Column:
     """The best score of a sequence and an identity that are at least so many edits apart."""
     n = F.length(seq)

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomscreen.operators import counts, downsample, matching, network, pairing, ranks, running, screen
+from loomscreen.operators import counts, downsample, edits, matching, network, pairing, ranks, running, screen
 from loomscreen.plans import analogs
 from loomscreen.sources import blocks
 from loomscreen.spec import ScreenSpec
@@ -137,3 +137,38 @@ def test_rank_test_against_own_controls(spark, monkeypatch):
     got = ranks.mann_whitney(df, "g", "x", own, only="rep").collect()
     assert len(got) == 10 and all(every[r.c, f"{r.c}/{r.g}"][2:] == r[2:] for r in got)
     assert dealt == [df.distinct().count()]
+
+
+def test_near_in_trees(monkeypatch):
+    """What trees of halves find is what the whole comparison finds: any letters and lengths, empty and overlong texts, small steps."""
+    from tests.test_operators import edit_distance
+
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(edits, "PLACES", 40)
+    monkeypatch.setattr(edits, "PAIRS", 15)
+    monkeypatch.setattr(edits, "MASKS", 100)
+    for letters in ("A", "AC", "ACGT\0\U0001f600"):
+        text = lambda n: "".join(rng.choice(list(letters), n))  # noqa: B023, E731
+        library = sorted({text(int(rng.integers(0, 13))) for _ in range(30)})
+        asked = sorted({"", text(70), *(x[:4] + text(2) + x[5:] for x in library), *("Z" + x for x in library)})
+        away = {(a, b): edit_distance(a, b) for a in asked for b in library if a or b}
+        score = lambda a, b: 100.0 * (1 - away[a, b] / max(len(a), len(b)))  # noqa: B023, E731
+        for most in range(1, 8):
+            got = edits.within(asked[::-1], library[::-1], most, 30)
+            want = [(a, *min((-score(a, b), b) for b in library if b and away[a, b] <= most)) for a in asked if any(b and away[a, b] <= most for b in library)]
+            assert [tuple(r) for r in got.itertuples(index=False)] == [(a, b, -s) for a, s, b in want if -s >= 30]
+
+
+def test_far_sequences_are_settled_in_trees(spark, monkeypatch):
+    """Of sequences some edits from all identities few are left for the comparison with each identity, and no match changes."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(x) for x in rng.choice(list("ACGT"), (1200, 20))]
+    seqs, library = spark.createDataFrame([(a,) for a in texts[:200]], "seq string"), spark.createDataFrame([(b,) for b in texts[200:]], "identity string")
+    left, compared = [], matching._compared
+    monkeypatch.setattr(matching, "ARRAY_PAIRS", 1)
+    monkeypatch.setattr(matching, "TREE_LIBRARY", 400)
+    monkeypatch.setattr(matching, "WALKS", (16, 64))
+    monkeypatch.setattr(matching, "_compared", lambda a, *rest: left.append(a.count()) or compared(a, *rest))
+    got = {r.seq: (r.identity, r.score) for r in matching.best_match(seqs, library, 50).collect()}
+    near = matching._nearest(texts[:200], texts[200:], 50)
+    assert got == {a: (b, s) for a, b, s in near.itertuples(index=False)} and len(got) > 190 and sum(left) < 100
