@@ -19,6 +19,8 @@ from .counts import present
 
 #: Hexadecimal digits of an order key, and of the bins in which keys are counted.
 KEY_DIGITS, BIN_DIGITS = 20, 4
+#: Digits of a bound on keys, and keys under it besides twice the wanted ones.
+BOUND_DIGITS, SPARE = 8, 64
 
 
 def order_key(seed: Column, keys: list[str]) -> Column:
@@ -46,6 +48,14 @@ def least_keys(keyed: DataFrame, by: list[str], most: int, key: str = "key") ->
     return keyed.join(F.broadcast(last), by).where(bin_ <= F.col("_last")).drop("_last")
 
 
+def bounded(keyed: DataFrame, by: str, numbers: DataFrame, most: int, key: str = "key") -> DataFrame:
+    """The rows of ``keyed`` under a bound that leaves about twice ``most`` of evenly spread keys of each group; ``numbers``: groups (_by) and their numbers of keys (n)."""
+    share = F.lit(2.0 * most + SPARE) / F.col("n")
+    limit = F.when(share < 1, F.lpad(F.lower(F.hex((share * F.lit(float(16**BOUND_DIGITS))).cast("long"))), BOUND_DIGITS, "0"))
+    limits = numbers.select("_by", limit.alias("_limit"))
+    return keyed.join(F.broadcast(limits), F.col(by) == F.col("_by")).where(F.col("_limit").isNull() | (F.substring(key, 1, BOUND_DIGITS) <= F.col("_limit"))).drop("_by", "_limit")
+
+
 def thresholds(keyed: DataFrame, by: list[str], sizes: list[int], key: str = "key") -> DataFrame:
     """The n-th least key of each group for each size n (no row where a group has fewer): ``by``, size, limit.
 
@@ -70,9 +80,17 @@ def levels(lineages: DataFrame, keys: list[str], sizes: list[int], seeds: list[i
     ``lineages`` are distinct and non-null.  A group of fewer lineages than a
     size has no sample of it.
     """
-    keyed = lineages.select(*keys, by, F.explode(F.array(*(F.lit(s) for s in seeds))).alias("seed"))
-    # Only keys that a sample can hold are written.
-    keyed = settled(least_keys(keyed.withColumn("key", order_key(F.col("seed"), keys)), [by, "seed"], max(sizes)), "order-keys")
+    # Settled, as counting the groups reads all lineages.
+    numbers = settled(lineages.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("n")), "numbers")
+    keyed = lineages.select(*keys, by, F.explode(F.array(*(F.lit(s) for s in seeds))).alias("seed")).withColumn("key", order_key(F.col("seed"), keys))
+    # Only keys that a sample can hold are written, and keys are worked out once, as evenly spread ones leave enough under a bound.
+    few = settled(bounded(keyed, by, numbers, max(sizes)), "order-keys")
+    short = numbers.join(few.groupBy(by, "seed").agg(F.count("*").alias("has")), F.col("_by") == F.col(by), "left").groupBy("_by", "n").agg(F.min("has").alias("has"), F.count("has").alias("seeds"))
+    wanted = F.least(F.col("n"), F.lit(max(sizes)))
+    if short.where((F.col("seeds") < len(set(seeds))) | (F.col("has") < wanted)).isEmpty():
+        keyed = few
+    else:
+        keyed = settled(least_keys(keyed, [by, "seed"], max(sizes)), "order-keys-by-bins")
     limits = thresholds(keyed, [by, "seed"], sizes)
     # One row a group and seed, with the limits in the order of sizes: groups times seeds times sizes in all.
     limits = limits.groupBy(by, "seed").agg(F.array_sort(F.collect_list(F.struct("size", "limit"))).alias("limits"))
@@ -116,7 +134,11 @@ def concordance(rows: DataFrame, lineage: list[str], guides: list[str], value: s
     the first with all of the second.  A guide that one side lacks has a score of
     0 there; guides that no side has take no part.
     """
-    sums = lineage_sums(rows, lineage, value)
+    return concordance_of(lineage_sums(rows, lineage, value), lineage, guides, sizes, seeds, control)
+
+
+def concordance_of(sums: DataFrame, lineage: list[str], guides: list[str], sizes: list[int], seeds: list[int], control: Column) -> DataFrame:
+    """As ``concordance``, of a settled table of lineages with their half, sum ``s`` and number ``c`` of values."""
     table = settled(control_scores(_sampled(sums, lineage, guides, sizes, seeds), ["half", "seed", "size"], control), "downsampled")
     first = table.where("half = 1").select("size", "seed", *guides, F.coalesce("z", F.lit(0.0)).alias("a"))
     second = table.where("half = 2").select("size", "seed", *guides, F.coalesce("z", F.lit(0.0)).alias("b"))

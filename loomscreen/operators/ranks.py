@@ -16,6 +16,10 @@ from ..sources.scratch import settled
 from . import running
 
 
+#: The most distinct values whose running counts are sent to all tasks.
+PLACES = 1 << 21
+
+
 @F.pandas_udf(DoubleType())
 def erfc_udf(x: pd.Series) -> pd.Series:
     """Complementary error function, by Arrow batches."""
@@ -56,13 +60,46 @@ def mann_whitney(df: DataFrame, group: str, value: str, controls: DataFrame, onl
     out = rows.where("asks").groupBy("g", "c").agg(
         F.sum("n").cast("double").alias("n1"), F.sum(F.col("n") * (F.col("below") + F.col("equal") / 2.0)).alias("u"), F.sum(triple(F.col("n") + F.col("equal")) - triple(F.col("equal"))).alias("more")
     ).join(F.broadcast(names), F.col("c").eqNullSafe(F.col("_c"))).drop("_c")
+    return _statistics(out, "g", "c")
+
+
+def _statistics(out: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and u, cles, rbc, z and p, from n1, n2, u and the ties' sum, own + more."""
     n1, n2, u = F.col("n1"), F.col("n2"), F.col("u")
     n, full = n1 + n2, n1 * n2
     sigma = F.sqrt(full / 12 * (n + 1 - F.coalesce(F.try_divide(F.col("own") + F.col("more"), n * (n - 1)), F.lit(0.0))))
     least = F.least(u, full - u)
     # The continuity correction doesn't turn the sign: p is 1 at most.
     z = F.when((sigma > 0) & (n > 1), F.greatest(F.abs(least - full / 2) - 0.5, F.lit(0.0)) / sigma).otherwise(0.0)
-    return out.select("g", "c", "u", F.try_divide(u, full).alias("cles"), (2 * F.try_divide(u, full) - 1).alias("rbc"), z.alias("z")).withColumn("p", erfc_udf(F.col("z") / F.sqrt(F.lit(2.0))))
+    return out.select(*keep, "u", F.try_divide(u, full).alias("cles"), (2 * F.try_divide(u, full) - 1).alias("rbc"), z.alias("z")).withColumn("p", erfc_udf(F.col("z") / F.sqrt(F.lit(2.0))))
+
+
+def mann_whitney_within(df: DataFrame, by: str, group: list[str], value: str, control: str) -> DataFrame:
+    """Each group's rows in ``by`` against all rows there that ``control`` marks: by, group, rows, mean (of known values), and as ``mann_whitney``; null statistics where there is nothing to compare.
+
+    The running counts of controls are made over distinct values only and joined
+    to the rows, so rows are dealt once, by group: of up to PLACES values the
+    counts are sent to the tasks, beyond, rows are dealt by value too.
+    """
+    known = df.where(F.col(value).isNotNull() & F.col(by).isNotNull())
+    values = known.groupBy(F.col(by).alias("_c"), F.col(value).alias("_x")).agg(F.count_if(control).alias("_m"))
+    rows = running.carried(running.ranged(values, "_c", "_x"), ["_c"], {"_before": (F.sum("_m"), F.sum)})
+    upto = F.sum("_m").over(Window.partitionBy("_c", running.RANGE).orderBy(running.PLACE).rowsBetween(Window.unboundedPreceding, 0))
+    places = settled(rows.select("_c", "_x", (upto - F.col("_m") + F.coalesce("_before", F.lit(0))).alias("_below"), "_m"), "places")
+    triple = lambda t: t.cast("double") * t * t - t
+    names = places.groupBy("_c").agg(F.sum("_m").cast("double").alias("n2"), F.sum(triple(F.col("_m"))).alias("own")).where("n2 > 0")
+    # Rows of a group are together from here on, so counting its values and adding them up need no further exchange.
+    counted = df.select(by, *group, F.col(value).alias("_x")).repartition(by, *group).groupBy(by, *group, "_x").agg(F.count("*").alias("_n"))
+    found = counted.join(F.broadcast(places) if places.count() <= PLACES else places, (F.col(by) == F.col("_c")) & (counted["_x"] == places["_x"]), "left").drop("_c").drop(places["_x"])
+    n, e = F.when(F.col("_x").isNotNull(), F.col("_n")), F.coalesce("_m", F.lit(0))
+    sums = found.groupBy(by, *group).agg(
+        F.sum("_n").alias("rows"), F.sum(n).cast("double").alias("n1"), F.sum(n * F.col("_x")).alias("sum"), F.sum(n * (F.col("_below") + e / 2.0)).alias("u"), F.sum(triple(n + e) - triple(e)).alias("more")
+    )
+    sums = sums.withColumn("mean", F.try_divide("sum", "n1")).join(F.broadcast(names), F.col(by) == F.col("_c"), "left").drop("_c")
+    tests = ["u", "cles", "rbc", "z", "p"]
+    some = F.col("n1").isNotNull() & F.col("n2").isNotNull()
+    out = _statistics(sums.withColumn("_some", some), by, *group, "rows", "mean", "_some")
+    return out.select(by, *group, "rows", "mean", *(F.when(F.col("_some"), F.col(c)).alias(c) for c in tests))
 
 
 def bh_adjust(df: DataFrame, p: str, name: str, *by: str) -> DataFrame:
@@ -70,6 +107,8 @@ def bh_adjust(df: DataFrame, p: str, name: str, *by: str) -> DataFrame:
 
     Ranks and minima run over ranges of the order, so one large set of tests isn't sorted in one task.
     """
+    # Written once: sampling the ranges, dealing the rows and the nulls would each work the tests out again.
+    df = settled(df, "tests")
     # Of equal p the last rank counts for all, so their order is free: a hash keeps a frequent one from being a range of its own.
     known = df.where(F.col(p).isNotNull()).withColumn("_tie", F.xxhash64(*df.columns))
     rows = running.ranged(known, *by, p, "_tie").drop("_tie")
@@ -151,4 +190,4 @@ def p_bound(log10_p: Column) -> Column:
     return (F.floor(F.greatest(log10_p, F.lit(LEAST))) + 1).cast("int")
 
 
-__all__ = ["against_controls", "average_rank", "bh_adjust", "erfc_udf", "log10_t_tail", "log10_t_tail_udf", "mann_whitney", "p_bound", "pearson_test", "tie_term"]
+__all__ = ["against_controls", "average_rank", "bh_adjust", "erfc_udf", "log10_t_tail", "log10_t_tail_udf", "mann_whitney", "mann_whitney_within", "p_bound", "pearson_test", "tie_term"]

@@ -51,16 +51,27 @@ def filter_lineages(df: DataFrame, spec: ScreenSpec, floor: float | None = 0.05)
     The rows are read twice: settle them first if they are costly to make.
     """
     shares = settled(lineage_shares(df, spec), "shares")
+    limits, under = _limits(spec, floor)
+    # Most lineages are kept, so the few others are joined: every known lineage of the rows has shares.
+    gone = settled(with_scalars(shares, *limits).where(~under).select(*spec.lineage), "gone")
+    return present(df, spec.lineage).join(gone, spec.lineage, "left_anti")
+
+
+def kept_lineages(shares: DataFrame, spec: ScreenSpec, floor: float | None = 0.05) -> DataFrame:
+    """As ``filter_lineages``, of a settled table with a row and the shares of each lineage."""
+    limits, under = _limits(spec, floor)
+    return shares.crossJoin(F.broadcast(settled(shares.agg(*limits), "limits"))).where(under).select(*shares.columns)
+
+
+def _limits(spec: ScreenSpec, floor: float | None) -> tuple[list[Column], Column]:
+    """Aggregates that limit the shares, and whether a lineage is under them all."""
     names = [f"share_{t}" for t in spec.transcripts]
     limits = []
     for n in names:
         x = F.coalesce(n, F.lit(0.0))
         limit = F.avg(x) + 3 * F.stddev_samp(x)
         limits.append((F.greatest(limit, F.lit(floor)) if floor is not None else limit).alias(f"limit_{n}"))
-    under = reduce(Column.__and__, (F.col(n) < F.col(f"limit_{n}") for n in names))
-    # Most lineages are kept, so the few others are joined: every known lineage of the rows has shares.
-    gone = settled(with_scalars(shares, *limits).where(~F.coalesce(under, F.lit(False))).select(*spec.lineage), "gone")
-    return present(df, spec.lineage).join(gone, spec.lineage, "left_anti")
+    return limits, F.coalesce(reduce(Column.__and__, (F.col(n) < F.col(f"limit_{n}") for n in names)), F.lit(False))
 
 
 def log_transform(df: DataFrame, columns: list[str], pseudocount: float = 10) -> DataFrame:

@@ -172,3 +172,39 @@ def test_far_sequences_are_settled_in_trees(spark, monkeypatch):
     got = {r.seq: (r.identity, r.score) for r in matching.best_match(seqs, library, 50).collect()}
     near = matching._nearest(texts[:200], texts[200:], 50)
     assert got == {a: (b, s) for a, b, s in near.itertuples(index=False)} and len(got) > 190 and sum(left) < 100
+
+
+def test_rank_test_within_replicates(spark, monkeypatch):
+    """As comparing with each replicate's controls, with unknown values, and with values joined instead of sent; ranges hold each distinct value once."""
+    rows = [(f"g{k % 5}", "uv"[k % 2], float(k * 37 % 23) if k % 11 else None) for k in range(400)] + [("g7", "w", 1.0), ("g8", "u", None)]
+    df = spark.createDataFrame(rows, "g string, rep string, x double").withColumn("control", F.col("g").isin("g0", "g1"))
+    own = df.where("control").select(F.col("rep").alias("g"), "x")
+    want = {(r.c, r.g): r[2:] for r in ranks.mann_whitney(df, "g", "x", own, only="rep").collect()}
+    dealt, ranged = [], running.ranged
+    monkeypatch.setattr(running, "ranged", lambda d, *order: dealt.append(d.count()) or ranged(d, *order))
+    for places in (ranks.PLACES, 0):
+        monkeypatch.setattr(ranks, "PLACES", places)
+        got = {(r.rep, r.g): r for r in ranks.mann_whitney_within(df, "rep", ["g"], "x", "control").collect()}
+        assert {k: (r.u, r.cles, r.rbc, r.z, r.p) for k, r in got.items() if r.p is not None} == want and len(want) == 10
+        assert got["w", "g7"].rows == 1 and got["u", "g8"].rows == 1 and got["u", "g8"]["mean"] is None
+    assert dealt == 2 * [df.where("x is not null").select("rep", "x").distinct().count()]
+
+
+def test_order_keys_that_a_bound_leaves_too_few(spark, monkeypatch):
+    """Where too few keys lie under the bound, bins give the same samples."""
+    x = spark.range(3000).select(F.lit(1).alias("g"), F.col("id").alias("b"), (F.col("id") % 2 + 1).alias("half"))
+    samples = lambda: sorted(tuple(r) for r in downsample.levels(x, ["g", "b"], [10, 30], [0, 1]).collect())
+    want, by_bins = samples(), []
+    least_keys = downsample.least_keys
+    monkeypatch.setattr(downsample, "least_keys", lambda *a: by_bins.append(1) or least_keys(*a))
+    assert samples() == want and len(want) == 120 and not by_bins
+    monkeypatch.setattr(downsample, "SPARE", -55)
+    assert samples() == want and by_bins
+
+
+def test_tests_are_worked_out_once(spark):
+    """Ranges are sampled and nulls are added back without working the tests out again."""
+    seen = spark.sparkContext.accumulator(0)
+    p = F.udf(lambda k: seen.add(1) or k / 100, "double")
+    got = ranks.bh_adjust(spark.range(90).select(p("id").alias("p")), "p", "q")
+    assert got.count() == 90 and seen.value == 90
