@@ -49,9 +49,11 @@ def lineages(rows: DataFrame, known: DataFrame, config: dict) -> DataFrame:
     """One row a lineage of a known guide: its molecule rows, sum ``s`` and number ``c`` of known log2 reporters, half, and its shares.
 
     Everything that is reported is a function of these rows, so molecule rows
-    are grouped once, before their guides get names.
+    are grouped once, before their guides get names.  Most lineages have a row or
+    two, so rows are dealt as they are, not added up before.
     """
-    rows = screen.log_transform(rows.na.drop(subset=["id", "barcode", "replicate", "reporter"]), ["reporter"], config["pseudocount"])
+    rows = rows.na.drop(subset=["id", "barcode", "replicate", "reporter"]).repartition("id", "barcode", "replicate")
+    rows = screen.log_transform(rows, ["reporter"], config["pseudocount"])
     sums = (F.coalesce(F.sum(t).cast("double"), F.lit(0.0)).alias(t) for t in SPEC.transcripts)
     sums = settled(rows.groupBy("id", "barcode", "replicate").agg(F.count("*").alias("rows"), F.sum("log2_reporter").alias("s"), F.count("log2_reporter").alias("c"), *sums), "report-sums")
     # Settled, so that a few guides' totals are broadcast.
@@ -69,12 +71,13 @@ def guide() -> Column:
     return F.concat_ws("_", "gene", F.col("id").cast("string"))
 
 
-def hits(rows: DataFrame) -> DataFrame:
+def hits(rows: DataFrame, known: DataFrame, prefix: str) -> DataFrame:
     """One row a guide and replicate, from rows of lineages."""
     # Rounded, so that the order in which a lineage's rows are added up decides no tie.
-    rows = rows.select("replicate", "id", "gene", "control", F.round(F.try_divide("s", "c"), 9).alias("x"))
+    rows = rows.select("replicate", "id", "control", F.round(F.try_divide("s", "c"), 9).alias("x"))
     # The controls of a replicate are one group of the test; a guide's lineages are compared with those of their own replicate.
-    tested = ranks.mann_whitney_within(rows, "replicate", ["id", "gene", "control"], "x", "control")
+    tested = ranks.mann_whitney_within(rows, "replicate", ["id"], "x", "control")
+    tested = screen.set_control(tested.join(known, "id").withColumn("guide", guide()), ["guide"], prefix)
     # Settled, as the controls' scores use it twice.
     tested = settled(tested.select("replicate", "id", "gene", "control", F.col("rows").alias("lineages"), F.col("mean").alias("reporter"), F.col("p").alias("p_value")), "report-tests")
     scored = downsample.control_scores(tested, ["replicate"], F.col("control"), "reporter")
@@ -94,7 +97,7 @@ def run(spark: SparkSession, tables: str, out: str, config: dict) -> tuple[DataF
     kept = screen.set_control(kept.withColumn("guide", guide()), ["guide"], config["control_prefix"])
     grid = downsample.concordance_of(kept.where("c > 0"), SPEC.lineage, ["id", "control"], config["sizes"], config["seeds"], F.col("control"))
     out_tables = []
-    for name, table, by, schema in (("guides", hits(kept), "replicate", GUIDES), ("saturation", grid, "size", SATURATION)):
+    for name, table, by, schema in (("guides", hits(kept, known, config["control_prefix"]), "replicate", GUIDES), ("saturation", grid, "size", SATURATION)):
         table.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{out}/{name}")
         out_tables.append(spark.read.schema(schema).parquet(f"{out}/{name}"))
         log.info("%s/%s has %d rows now", out, name, out_tables[-1].count())
